@@ -1,0 +1,81 @@
+"""Column helpers for string work that mirror Python ``str`` semantics.
+
+Everything here returns a ``Column`` built from JVM-side functions, so the
+expressions stay inside whole-stage code generation.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Characters Python's ``str.strip()`` removes that matter for ASCII text.
+PY_WHITESPACE = " \t\n\r\x0b\x0c"
+
+
+def lit(s: str) -> Column:
+    return F.lit(s)
+
+
+def py_strip(c: Column, chars: str = PY_WHITESPACE) -> Column:
+    """``s.strip(chars)``."""
+    return F.btrim(c, F.lit(chars))
+
+
+def py_rstrip(c: Column, chars: str) -> Column:
+    # SQL RTRIM(BOTH chars FROM s) takes the characters first; the Column
+    # API keeps the string first.
+    return F.rtrim(c, F.lit(chars))
+
+
+def py_lstrip(c: Column, chars: str) -> Column:
+    return F.ltrim(c, F.lit(chars))
+
+
+def replace(c: Column, old: str, new: str = "") -> Column:
+    """Literal (non-regex) replace of every occurrence."""
+    return F.replace(c, F.lit(old), F.lit(new))
+
+
+def after_first(c: Column, delim: str) -> Column:
+    """``s.split(delim, 1)[1]`` (caller guarantees ``delim in s``)."""
+    return F.substr(c, F.instr(c, delim) + F.lit(len(delim)))
+
+
+def after_last(c: Column, delim: str) -> Column:
+    """``s.split(delim)[-1]``."""
+    return F.substring_index(c, delim, -1)
+
+
+def before_first(c: Column, delim: str) -> Column:
+    """``s.split(delim)[0]``."""
+    return F.substring_index(c, delim, 1)
+
+
+def balanced_body_regex(depth: int = 10) -> str:
+    """Possessive Java regex for text with balanced ``{}`` up to ``depth`` levels.
+
+    Possessive quantifiers keep the matcher from backtracking (and from
+    overflowing the stack on long responses).
+    """
+    inner = r"[^{}]*+"
+    for _ in range(depth):
+        inner = r"(?:[^{}]++|\{" + inner + r"\})*+"
+    return inner
+
+
+def last_or_empty(arr: Column) -> Column:
+    return F.coalesce(F.try_element_at(arr, F.lit(-1)), F.lit(""))
+
+
+# A number Python's ``float()`` accepts (ASCII forms, optional underscores
+# between digits, inf/nan words), surrounded by optional whitespace.
+FLOAT_TEXT = (
+    r"^\s*[+-]?(?:(?:[0-9](?:_?[0-9])*(?:\.(?:[0-9](?:_?[0-9])*)?)?|\.[0-9](?:_?[0-9])*)"
+    r"(?:[eE][+-]?[0-9](?:_?[0-9])*)?|(?i:inf|infinity|nan))\s*$"
+)
+
+
+def py_float(c: Column) -> Column:
+    """``float(s)`` or NULL when Python would raise."""
+    return F.when(c.rlike(FLOAT_TEXT), F.replace(F.btrim(c, F.lit(PY_WHITESPACE)), F.lit("_"), F.lit("")).try_cast("double"))
