@@ -6,10 +6,10 @@ oracle can build exactly the same rows; sizes grow with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coverlens.sources.tables import table
+from coverlens.sources.tables import ensure_parallelism, table
 
 
 def _s(c):
@@ -18,7 +18,7 @@ def _s(c):
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """§3.1: one generation row per event; 12 response shapes by ``event_id % 12``."""
-    ev = table(spark, sf_dir, "events")
+    ev = ensure_parallelism(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"))
     uid, eid = F.col("user_id"), F.col("event_id")
     g = uid * 7 + 3
     G = _s(g)
@@ -49,3 +49,72 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
         G.alias("gt_answer"),
         response.alias("response"),
     )
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded samples without the text work: correctness follows the
+    generation fixture's response shapes (shapes 5, 7, 9 are wrong)."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("user_id").alias("question_id"),
+        F.col("user_id").alias("prompt_id"),
+        F.col("event_id").alias("sample_id"),
+        F.col("event_type").alias("run"),
+        F.lit("all").alias("split"),
+        F.concat(F.lit("set"), (F.col("user_id") % 3).cast("string")).alias("subset"),
+        F.pow(F.lit(2), F.col("event_id") % 5).cast("int").alias("epoch"),
+        F.when(F.col("user_id") % 2 == 0, F.lit("forward")).otherwise(F.lit("reverse")).alias("direction"),
+        (~(F.col("event_id") % 12).isin(5, 7, 9)).alias("is_correct"),
+    )
+
+
+def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§3.2: four samples per group, reward 0/1, finish reason, iteration."""
+    ev = table(spark, sf_dir, "events")
+    w = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    return ev.select(
+        F.col("event_id"),
+        F.col("user_id").alias("question_id"),
+        F.floor((w - 1) / 4).cast("int").alias("grp"),
+        F.when((F.col("event_id") % 12).isin(1, 5, 7, 9), F.lit(0.0)).otherwise(F.lit(1.0)).alias("reward"),
+        F.when(F.col("value") > 100, F.lit("length")).otherwise(F.lit("stop")).alias("finish_reason"),
+        F.dayofmonth("ts").alias("iteration"),
+        (F.lit(1) + F.col("event_id") % 9).cast("int").alias("resp_len"),
+    )
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§3.5: logged per-token log-probs, advantages and masks (lineitem)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("seq_id"),
+        F.col("l_linenumber").alias("pos"),
+        F.to_date("l_shipdate").alias("iteration"),
+        (-F.col("l_discount")).alias("logp"),
+        (-F.col("l_tax")).alias("ref_logp"),
+        (F.col("l_quantity") - 25).alias("adv"),
+        (F.col("l_linestatus") == "O").cast("int").alias("mask"),
+    )
+
+
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§3.7 ``batches``: query/response token arrays and a batch id (events)."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("event_id").alias("seq_id"),
+        F.floor(F.col("event_id") / 16).cast("bigint").alias("batch"),
+        F.sequence(F.lit(1), (F.lit(1) + F.col("user_id") % 3).cast("int")).alias("query_ids"),
+        F.sequence(F.lit(1), (F.lit(1) + F.col("event_id") % 4).cast("int")).alias("response_ids"),
+        F.round((F.col("value") - 50) / 100, 6).alias("advantage"),
+    )
+
+
+def test_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§3.7 ``test_grades``: task, generation, one grade per test (lineitem)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_partkey").alias("task_id"),
+        F.col("l_orderkey").alias("gen_id"),
+        F.col("l_linenumber").alias("test_id"),
+        (F.col("l_quantity") > 5).cast("int").alias("grade"),
+    )

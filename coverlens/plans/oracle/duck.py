@@ -364,3 +364,40 @@ FROM (SELECT *, CASE WHEN {has('response', '<llm-code>')} THEN 'code' ELSE 'nl'
     with_gt = stages(with_gt, "gt_norm", normalize_exprs("gt_norm"))
     graded = grade_query(with_gt)
     return f"SELECT * EXCLUDE (response), length(pred_answer) > 0 AS is_valid FROM ({graded})"
+
+
+OUTCOMES = """
+SELECT user_id AS question_id, user_id AS prompt_id, event_id AS sample_id, event_type AS run, 'all' AS split,
+       'set' || CAST(user_id % 3 AS VARCHAR) AS subset, CAST(pow(2, event_id % 5) AS INTEGER) AS epoch,
+       CASE WHEN user_id % 2 = 0 THEN 'forward' ELSE 'reverse' END AS direction,
+       NOT (event_id % 12 IN (5, 7, 9)) AS is_correct
+FROM events
+"""
+
+ROLLOUTS = """
+SELECT event_id, user_id AS question_id,
+       CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 4) AS INTEGER) AS grp,
+       CASE WHEN event_id % 12 IN (1, 5, 7, 9) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS reward,
+       CASE WHEN value > 100 THEN 'length' ELSE 'stop' END AS finish_reason,
+       CAST(day(ts) AS INTEGER) AS iteration, CAST(1 + event_id % 9 AS INTEGER) AS resp_len
+FROM events
+"""
+
+TOKENS = """
+SELECT l_orderkey AS seq_id, l_linenumber AS pos, CAST(l_shipdate AS DATE) AS iteration, -l_discount AS logp,
+       -l_tax AS ref_logp, l_quantity - 25 AS adv, CAST(l_linestatus = 'O' AS INTEGER) AS mask
+FROM lineitem
+"""
+
+BATCHES = """
+SELECT event_id AS seq_id, CAST(floor(event_id / 16) AS BIGINT) AS batch,
+       CAST(range(1, CAST(2 + user_id % 3 AS BIGINT)) AS INTEGER[]) AS query_ids,
+       CAST(range(1, CAST(2 + event_id % 4 AS BIGINT)) AS INTEGER[]) AS response_ids,
+       round((value - 50) / 100, 6) AS advantage
+FROM events
+"""
+
+TEST_GRADES = """
+SELECT l_partkey AS task_id, l_orderkey AS gen_id, l_linenumber AS test_id, CAST(l_quantity > 5 AS INTEGER) AS grade
+FROM lineitem
+"""
