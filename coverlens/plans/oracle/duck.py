@@ -401,3 +401,19 @@ TEST_GRADES = """
 SELECT l_partkey AS task_id, l_orderkey AS gen_id, l_linenumber AS test_id, CAST(l_quantity > 5 AS INTEGER) AS grade
 FROM lineitem
 """
+
+
+def reward_boxed(text: str) -> str:
+    """E9 in DuckDB: after the first </think> (to a second one), last \\boxed{...}."""
+    body = f"(CASE WHEN {has(text, '</think>')} THEN string_split({text}, '</think>')[2] ELSE {text} END)"
+    tail = after_last(body, "\\boxed")
+    group = f"regexp_extract({tail}, {s('^{(' + BODY + ')}')}, 1)"
+    closes = f"regexp_matches({tail}, {s('^{' + BODY + '}')})"
+    spaced = before_first(after_last(body, "\\boxed "), "$")
+    return f"(CASE WHEN {has(body, chr(92) + 'boxed ')} THEN {spaced} WHEN {has(body, chr(92) + 'boxed')} AND {closes} THEN {group} ELSE '' END)"
+
+
+def reward_int_match(text: str, target: str) -> str:
+    ans = reward_boxed(text)
+    as_int = f"CASE WHEN regexp_matches({ans}, {s(r'^\s*[+-]?[0-9](?:_?[0-9])*\s*$')}) THEN TRY_CAST(replace({strip(ans)}, '_', '') AS BIGINT) END"
+    return f"(CASE WHEN abs(CAST({as_int} AS DOUBLE) - CAST({target} AS DOUBLE)) < 1e-5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
