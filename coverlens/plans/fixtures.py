@@ -118,3 +118,44 @@ def test_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("test_id"),
         (F.col("l_quantity") > 5).cast("int").alias("grade"),
     )
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction/truth pairs, one answer shape per ``p_partkey % 10``:
+    exact, percent, tuple, bracket, matrix, equation side, equation pair,
+    fraction, choice, mismatch/residual."""
+    part = table(spark, sf_dir, "part")
+    return part.select(
+        "p_partkey",
+        F.expr(
+            r"""CASE CAST(p_partkey % 10 AS INT)
+              WHEN 0 THEN CAST(p_size AS STRING)
+              WHEN 1 THEN concat(CAST(p_size AS STRING), '%')
+              WHEN 2 THEN concat('(', CAST(p_size AS STRING), ',', CAST(p_partkey AS STRING), ')')
+              WHEN 3 THEN concat('[', CAST(p_size AS STRING), ']')
+              WHEN 4 THEN concat('\\begin{pmatrix}', CAST(p_size AS STRING), '&', CAST(p_partkey % 7 AS STRING), '\\\\',
+                                 CAST(p_partkey % 5 AS STRING), '&', CAST(p_partkey % 3 AS STRING), '\\end{pmatrix}')
+              WHEN 5 THEN concat('x=', CAST(p_size AS STRING))
+              WHEN 6 THEN concat('y=', CAST(p_size AS STRING))
+              WHEN 7 THEN concat('\\frac{', CAST(2 * p_size AS STRING), '}{2}')
+              WHEN 8 THEN concat('The answer is (', char(65 + CAST(p_partkey % 5 AS INT)), ')')
+              ELSE CASE WHEN p_partkey % 20 = 9 THEN CAST(p_size + 1 AS STRING) ELSE concat('x^', CAST(p_size AS STRING)) END
+            END"""
+        ).alias("pred"),
+        F.expr(
+            r"""CASE CAST(p_partkey % 10 AS INT)
+              WHEN 0 THEN CAST(p_size AS STRING)
+              WHEN 1 THEN concat('0.', lpad(CAST(p_size AS STRING), 2, '0'))
+              WHEN 2 THEN concat('(', CAST(p_size AS STRING), ', ', CAST(p_partkey + p_partkey % 2 AS STRING), ')')
+              WHEN 3 THEN concat('{', CAST(p_size AS STRING), '}')
+              WHEN 4 THEN concat('\\begin{pmatrix}', CAST(p_size AS STRING), '&', CAST(p_partkey % 7 AS STRING), '\\\\',
+                                 CAST(p_partkey % 5 AS STRING), '&',
+                                 CAST(p_partkey % 3 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS STRING), '\\end{pmatrix}')
+              WHEN 5 THEN CAST(p_size AS STRING)
+              WHEN 6 THEN concat(CAST(p_size AS STRING), '=y')
+              WHEN 7 THEN CAST(p_size AS STRING)
+              WHEN 8 THEN char(65 + CAST(p_partkey % 5 AS INT))
+              ELSE CAST(p_size AS STRING)
+            END"""
+        ).alias("gt"),
+    )

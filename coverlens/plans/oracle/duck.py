@@ -417,3 +417,79 @@ def reward_int_match(text: str, target: str) -> str:
     ans = reward_boxed(text)
     as_int = f"CASE WHEN regexp_matches({ans}, {s(r'^\s*[+-]?[0-9](?:_?[0-9])*\s*$')}) THEN TRY_CAST(replace({strip(ans)}, '_', '') AS BIGINT) END"
     return f"(CASE WHEN abs(CAST({as_int} AS DOUBLE) - CAST({target} AS DOUBLE)) < 1e-5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+
+
+ANSWERS = r"""
+SELECT p_partkey,
+  CASE CAST(p_partkey % 10 AS INTEGER)
+    WHEN 0 THEN CAST(p_size AS VARCHAR)
+    WHEN 1 THEN CAST(p_size AS VARCHAR) || '%'
+    WHEN 2 THEN '(' || CAST(p_size AS VARCHAR) || ',' || CAST(p_partkey AS VARCHAR) || ')'
+    WHEN 3 THEN '[' || CAST(p_size AS VARCHAR) || ']'
+    WHEN 4 THEN '\begin{pmatrix}' || CAST(p_size AS VARCHAR) || '&' || CAST(p_partkey % 7 AS VARCHAR) || '\\'
+                || CAST(p_partkey % 5 AS VARCHAR) || '&' || CAST(p_partkey % 3 AS VARCHAR) || '\end{pmatrix}'
+    WHEN 5 THEN 'x=' || CAST(p_size AS VARCHAR)
+    WHEN 6 THEN 'y=' || CAST(p_size AS VARCHAR)
+    WHEN 7 THEN '\frac{' || CAST(2 * p_size AS VARCHAR) || '}{2}'
+    WHEN 8 THEN 'The answer is (' || chr(CAST(65 + p_partkey % 5 AS INTEGER)) || ')'
+    ELSE CASE WHEN p_partkey % 20 = 9 THEN CAST(p_size + 1 AS VARCHAR) ELSE 'x^' || CAST(p_size AS VARCHAR) END
+  END AS pred,
+  CASE CAST(p_partkey % 10 AS INTEGER)
+    WHEN 0 THEN CAST(p_size AS VARCHAR)
+    WHEN 1 THEN '0.' || lpad(CAST(p_size AS VARCHAR), 2, '0')
+    WHEN 2 THEN '(' || CAST(p_size AS VARCHAR) || ', ' || CAST(p_partkey + p_partkey % 2 AS VARCHAR) || ')'
+    WHEN 3 THEN '{' || CAST(p_size AS VARCHAR) || '}'
+    WHEN 4 THEN '\begin{pmatrix}' || CAST(p_size AS VARCHAR) || '&' || CAST(p_partkey % 7 AS VARCHAR) || '\\'
+                || CAST(p_partkey % 5 AS VARCHAR) || '&'
+                || CAST(p_partkey % 3 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS VARCHAR) || '\end{pmatrix}'
+    WHEN 5 THEN CAST(p_size AS VARCHAR)
+    WHEN 6 THEN CAST(p_size AS VARCHAR) || '=y'
+    WHEN 7 THEN CAST(p_size AS VARCHAR)
+    WHEN 8 THEN chr(CAST(65 + p_partkey % 5 AS INTEGER))
+    ELSE CAST(p_size AS VARCHAR)
+  END AS gt
+FROM part
+"""
+
+
+def tuple_ok(p: str, r: str) -> str:
+    shape = f"(regexp_matches({p}, '^[(\\[].+[)\\]]') AND regexp_matches({r}, '^[(\\[].+[)\\]]'))"
+    pp = f"string_split(substr({p}, 2, length({p}) - 2), ',')"
+    rp = f"string_split(substr({r}, 2, length({r}) - 2), ',')"
+    return (
+        f"coalesce({shape} AND len({pp}) = len({rp}) AND "
+        f"list_bool_and(list_transform(range(1, len({pp}) + 1), lambda i: {element_equal(f'{pp}[i]', f'{rp}[i]')})), false)"
+    )
+
+
+def matrix_ok(p: str, r: str) -> str:
+    mat = lambda x: f"(regexp_matches({x}, '^\\\\begin\\{{[pb]matrix\\}}') AND regexp_matches({x}, '\\\\end\\{{[pb]matrix\\}}$'))"
+    lines = lambda x: f"list_filter(list_transform(string_split(substr({x}, 16, length({x}) - 28), '\\\\'), lambda l: {strip('l')}), lambda l: l <> '')"
+    pl, rl = lines(p), lines(r)
+    cells = lambda x: f"string_split({x}, '&')"
+    row = (
+        f"len({cells(pl + '[i]')}) = len({cells(rl + '[i]')}) AND list_bool_and(list_transform(range(1, len({cells(pl + '[i]')}) + 1), "
+        f"lambda j: {element_equal(cells(pl + '[i]') + '[j]', cells(rl + '[i]') + '[j]')}))"
+    )
+    return f"coalesce({mat(p)} AND {mat(r)} AND len({pl}) = len({rl}) AND list_bool_and(list_transform(range(1, len({pl}) + 1), lambda i: {row})), false)"
+
+
+def _eqc(x: str) -> str:
+    return f"(length({x}) - length(replace({x}, '=', '')))"
+
+
+def pair_ok(p: str, r: str) -> str:
+    lhs = lambda x: strip(f"string_split({x}, '=')[1]")
+    rhs = lambda x: strip(f"string_split({x}, '=')[-1]")
+    return (
+        f"({_eqc(p)} = 1 AND {_eqc(r)} = 1 AND (({element_equal(lhs(p), lhs(r))} AND {element_equal(rhs(p), rhs(r))}) OR "
+        f"({element_equal(lhs(p), rhs(r))} AND {element_equal(rhs(p), lhs(r))})))"
+    )
+
+
+def side_ok(p: str, r: str) -> str:
+    lhs = lambda x: strip(f"string_split({x}, '=')[1]")
+    return (
+        f"(CASE WHEN {_eqc(p)} = 1 AND length({lhs(p)}) <= 2 AND {_eqc(r)} = 0 THEN {element_equal(f'string_split({p}, {s(chr(61))})[-1]', r)} "
+        f"WHEN {_eqc(r)} = 1 AND length({lhs(r)}) <= 2 AND {_eqc(p)} = 0 THEN {element_equal(p, f'string_split({r}, {s(chr(61))})[-1]')} ELSE false END)"
+    )
