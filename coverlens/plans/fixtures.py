@@ -159,3 +159,44 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
             END"""
         ).alias("gt"),
     )
+
+
+def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Un-normalised answer strings, one clean-up case per ``p_partkey % 12``
+    (units, dollars, \\text, degrees, leading zeros, number words, decimal
+    tails, \\dfrac, a/b, ``x =``, \\sqrt, percent)."""
+    part = table(spark, sf_dir, "part")
+    return part.select(
+        "p_partkey",
+        F.expr(
+            r"""CASE CAST(p_partkey % 12 AS INT)
+              WHEN 0 THEN concat(CAST(p_size AS STRING), ' apples')
+              WHEN 1 THEN concat('\\$', CAST(p_size AS STRING))
+              WHEN 2 THEN concat(CAST(p_size AS STRING), ' \\text{ cm}')
+              WHEN 3 THEN concat(CAST(p_size AS STRING), '^\\circ')
+              WHEN 4 THEN concat('00', CAST(p_size AS STRING))
+              WHEN 5 THEN element_at(array('seven', 'Twenty-one', 'one hundred', 'ninety nine'), CAST(p_size % 4 AS INT) + 1)
+              WHEN 6 THEN concat(CAST(p_size AS STRING), '.000')
+              WHEN 7 THEN concat('\\dfrac', CAST(p_size % 10 AS STRING), CAST(p_partkey % 10 AS STRING))
+              WHEN 8 THEN concat(CAST(p_size AS STRING), '/', CAST(p_size + 1 AS STRING))
+              WHEN 9 THEN concat('x = ', CAST(p_size AS STRING), '.')
+              WHEN 10 THEN concat('\\sqrt', CAST(p_size AS STRING))
+              ELSE concat(' ', CAST(p_size AS STRING), '\\%  ')
+            END"""
+        ).alias("raw"),
+    )
+
+
+def choice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multiple-choice responses (customer): trigger phrase, bare letters, few-shot repeats."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(
+        "c_custkey",
+        F.expr(
+            r"""CASE CAST(c_custkey % 3 AS INT)
+              WHEN 0 THEN concat('So the answer is (', char(65 + CAST(c_custkey % 5 AS INT)), ').')
+              WHEN 1 THEN concat(c_mktsegment, ' maybe ', char(65 + CAST(c_custkey % 5 AS INT)))
+              ELSE concat('answer is A', char(10), char(10), 'Problem: the answer is ', char(65 + CAST(c_custkey % 5 AS INT)))
+            END"""
+        ).alias("response"),
+    )

@@ -493,3 +493,54 @@ def side_ok(p: str, r: str) -> str:
         f"(CASE WHEN {_eqc(p)} = 1 AND length({lhs(p)}) <= 2 AND {_eqc(r)} = 0 THEN {element_equal(f'string_split({p}, {s(chr(61))})[-1]', r)} "
         f"WHEN {_eqc(r)} = 1 AND length({lhs(r)}) <= 2 AND {_eqc(p)} = 0 THEN {element_equal(p, f'string_split({r}, {s(chr(61))})[-1]')} ELSE false END)"
     )
+
+
+RAW_ANSWERS = r"""
+SELECT p_partkey,
+  CASE CAST(p_partkey % 12 AS INTEGER)
+    WHEN 0 THEN CAST(p_size AS VARCHAR) || ' apples'
+    WHEN 1 THEN '\$' || CAST(p_size AS VARCHAR)
+    WHEN 2 THEN CAST(p_size AS VARCHAR) || ' \text{ cm}'
+    WHEN 3 THEN CAST(p_size AS VARCHAR) || '^\circ'
+    WHEN 4 THEN '00' || CAST(p_size AS VARCHAR)
+    WHEN 5 THEN ['seven', 'Twenty-one', 'one hundred', 'ninety nine'][CAST(p_size % 4 AS INTEGER) + 1]
+    WHEN 6 THEN CAST(p_size AS VARCHAR) || '.000'
+    WHEN 7 THEN '\dfrac' || CAST(p_size % 10 AS VARCHAR) || CAST(p_partkey % 10 AS VARCHAR)
+    WHEN 8 THEN CAST(p_size AS VARCHAR) || '/' || CAST(p_size + 1 AS VARCHAR)
+    WHEN 9 THEN 'x = ' || CAST(p_size AS VARCHAR) || '.'
+    WHEN 10 THEN '\sqrt' || CAST(p_size AS VARCHAR)
+    ELSE ' ' || CAST(p_size AS VARCHAR) || '\%  '
+  END AS raw
+FROM part
+"""
+
+CHOICE_TEXTS = r"""
+SELECT c_custkey,
+  CASE CAST(c_custkey % 3 AS INTEGER)
+    WHEN 0 THEN 'So the answer is (' || chr(CAST(65 + c_custkey % 5 AS INTEGER)) || ').'
+    WHEN 1 THEN c_mktsegment || ' maybe ' || chr(CAST(65 + c_custkey % 5 AS INTEGER))
+    ELSE 'answer is A' || chr(10) || chr(10) || 'Problem: the answer is ' || chr(CAST(65 + c_custkey % 5 AS INTEGER))
+  END AS response
+FROM customer
+"""
+
+
+def choice_answer_clean(pred: str) -> str:
+    """E4 (parser variant) in DuckDB."""
+    icl = f"(len(string_split({pred}, 'choice is')) > 2 OR len(string_split({pred}, 'answer is')) > 2)"
+    p = strip(pred, NL)
+    p = f"(CASE WHEN {icl} THEN string_split({p}, {NL} || {NL})[1] ELSE {p} END)"
+    flagged = f"regexp_matches({p}, 'choice is|answer is')"
+    tail = f"regexp_extract({p}, '(?s)(?:.*)(?:choice is|answer is)(.*)$', 1)"
+    p = f"(CASE WHEN {flagged} THEN {tail} ELSE {p} END)"
+    p = f"ltrim(trim(rtrim(rtrim({strip(p, NL)}, '.'), '/'), ' '), ':')"
+    letters = f"regexp_extract_all(upper({p}), '\\b(A|B|C|D|E)\\b', 1)"
+    picked = f"CASE WHEN len({letters}) = 0 THEN trim({strip(p)}, '.') WHEN {flagged} THEN {letters}[1] ELSE {letters}[-1] END"
+    return f"rtrim(rtrim({picked}, '.'), '/')"
+
+
+def multi_choice(pred: str) -> str:
+    p = f"(CASE WHEN strpos({pred}, 'Problem:') > 0 THEN string_split({pred}, 'Problem:')[1] ELSE {pred} END)"
+    p = f"lower(replace({p}, 'choice is', 'answer is'))"
+    letter = f"regexp_extract({p}, 'answer is \\(?([abcde])\\)?', 1)"
+    return f"CASE WHEN {letter} <> '' THEN upper({letter}) ELSE 'placeholder' END"
