@@ -40,4 +40,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # importing the query modules fills the registry
-    from coverlens.plans import queries_estimators, queries_eval, queries_extract, queries_grade, queries_rollouts  # noqa: F401
+    from coverlens.plans import queries_estimators, queries_eval, queries_extract, queries_grade, queries_prompts, queries_rollouts  # noqa: F401
