@@ -200,3 +200,31 @@ def choice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             END"""
         ).alias("response"),
     )
+
+
+def chain_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§3.3: ten additive steps per problem (part); premise letter at position 0."""
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    k = F.col("p_partkey")
+    steps = part.select(k.alias("id"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("pos"))
+    i = F.col("pos").cast("bigint")
+    return steps.select(
+        "id", F.col("pos"),
+        ((F.col("id") * (2 * i + 1) + i * i) % 20 + 1).cast("bigint").alias("cst"),
+        ((F.col("id") * 7) % 20 + 1).cast("bigint").alias("p0"),
+        F.expr("char(97 + CAST((pos * 3 + id) % 26 AS INT))").alias("var"),
+        F.expr("char(97 + CAST(id % 26 AS INT))").alias("premise_var"),
+    )
+
+
+def counterfact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§3.4: two 2-digit numbers in base 7/9/11/12 per order (leading digit non-zero)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    k = F.col("o_orderkey")
+    base = F.element_at(F.array(*[F.lit(b) for b in [7, 9, 11, 12]]), (k % 4).cast("int") + 1)
+    digit = lambda d: F.substring(F.lit("0123456789AB"), (d + 1).cast("int"), 1)
+    return o.select(
+        k.alias("id"), base.alias("base"),
+        F.concat(digit(k % 5 + 1), digit(k % 7)).alias("p"),
+        F.concat(digit(k % 3 + 1), digit((k * 5) % 7)).alias("q"),
+    )

@@ -544,3 +544,34 @@ def multi_choice(pred: str) -> str:
     p = f"lower(replace({p}, 'choice is', 'answer is'))"
     letter = f"regexp_extract({p}, 'answer is \\(?([abcde])\\)?', 1)"
     return f"CASE WHEN {letter} <> '' THEN upper({letter}) ELSE 'placeholder' END"
+
+
+CHAIN_STEPS = """
+SELECT p_partkey AS id, CAST(i AS INTEGER) AS pos, CAST((p_partkey * (2 * i + 1) + i * i) % 20 + 1 AS BIGINT) AS cst,
+       CAST((p_partkey * 7) % 20 + 1 AS BIGINT) AS p0, chr(CAST(97 + (i * 3 + p_partkey) % 26 AS INTEGER)) AS var,
+       chr(CAST(97 + p_partkey % 26 AS INTEGER)) AS premise_var
+FROM part, (SELECT unnest(range(1, 11)) AS i)
+"""
+
+COUNTERFACT = """
+SELECT o_orderkey AS id, [7, 9, 11, 12][CAST(o_orderkey % 4 AS INTEGER) + 1] AS base,
+       substr('0123456789AB', CAST(o_orderkey % 5 + 2 AS INTEGER), 1) || substr('0123456789AB', CAST(o_orderkey % 7 + 1 AS INTEGER), 1) AS p,
+       substr('0123456789AB', CAST(o_orderkey % 3 + 2 AS INTEGER), 1) || substr('0123456789AB', CAST((o_orderkey * 5) % 7 + 1 AS INTEGER), 1) AS q
+FROM orders
+"""
+
+
+def base_digits(v: str, b: str) -> str:
+    """Non-negative integer < b^3 written in base b with 0-9A-B digits, no leading zeros."""
+    d = "'0123456789AB'"
+    v = f"({v})"
+    three = (
+        f"substr({d}, CAST({v} // ({b} * {b}) + 1 AS INTEGER), 1) || substr({d}, CAST(({v} // {b}) % {b} + 1 AS INTEGER), 1) "
+        f"|| substr({d}, CAST({v} % {b} + 1 AS INTEGER), 1)"
+    )
+    return f"CASE WHEN {v} = 0 THEN '0' ELSE ltrim({three}, '0') END"
+
+
+def base_value(x: str, b: str) -> str:
+    d = "'0123456789AB'"
+    return f"((strpos({d}, substr({x}, 1, 1)) - 1) * {b} + (strpos({d}, substr({x}, 2, 1)) - 1))"
