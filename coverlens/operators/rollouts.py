@@ -78,10 +78,10 @@ def token_loss_metrics(tok: DataFrame, by: str = "iteration") -> DataFrame:
     delta = F.col("ref_logp") - F.col("logp")
     total = F.sum(m)
     return tok.groupBy(by).agg(
-        F.round(F.sum(-F.col("logp") * F.col("adv") * m) / total, 9).alias("policy_loss"),
-        F.round(F.sum((F.exp(delta) - 1 - delta) * m) / total, 9).alias("kl_penalty"),
-        F.round(-F.sum("logp") / total, 9).alias("entropy"),
-        F.round(F.sum(F.when(F.abs(F.col("adv")) < ZERO_TOL, m).otherwise(F.lit(0.0))) / total, 9).alias("zero_advantages_ratio"),
+        F.round(F.try_divide(F.sum(-F.col("logp") * F.col("adv") * m), total), 9).alias("policy_loss"),
+        F.round(F.try_divide(F.sum((F.exp(delta) - 1 - delta) * m), total), 9).alias("kl_penalty"),
+        F.round(F.try_divide(-F.sum("logp"), total), 9).alias("entropy"),
+        F.round(F.try_divide(F.sum(F.when(F.abs(F.col("adv")) < ZERO_TOL, m).otherwise(F.lit(0.0))), total), 9).alias("zero_advantages_ratio"),
     )
 
 

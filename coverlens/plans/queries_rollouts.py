@@ -72,10 +72,10 @@ def q_gradient_micro_batches(spark, sf):
 
 @register("token_loss_metrics", oracle=lambda: f"""
 SELECT iteration,
-  round(sum(-logp * adv * mask) / sum(mask), 9) AS policy_loss,
-  round(sum((exp(ref_logp - logp) - 1 - (ref_logp - logp)) * mask) / sum(mask), 9) AS kl_penalty,
-  round(-sum(logp) / sum(mask), 9) AS entropy,
-  round(sum(CASE WHEN abs(adv) < 1e-8 THEN CAST(mask AS DOUBLE) ELSE 0.0 END) / sum(mask), 9) AS zero_advantages_ratio
+  round(sum(-logp * adv * mask) / sum(mask), 9) + 0.0 AS policy_loss,
+  round(sum((exp(ref_logp - logp) - 1 - (ref_logp - logp)) * mask) / sum(mask), 9) + 0.0 AS kl_penalty,
+  round(-sum(logp) / sum(mask), 9) + 0.0 AS entropy,
+  round(sum(CASE WHEN abs(adv) < 1e-8 THEN CAST(mask AS DOUBLE) ELSE 0.0 END) / sum(mask), 9) + 0.0 AS zero_advantages_ratio
 FROM ({duck.TOKENS}) GROUP BY iteration HAVING sum(mask) > 0""")
 def q_token_loss_metrics(spark, sf):
     """H6: masked policy loss, KL penalty, entropy per iteration (logged log-probs)."""
@@ -89,7 +89,7 @@ def q_zero_advantage_ratio(spark, sf):
     """H7: share of response tokens whose advantage is ~0."""
     t = fixtures.tokens(spark, sf)
     return t.groupBy("iteration").agg(
-        F.round(F.count_if((F.abs("adv") < ro.ZERO_TOL) & (F.col("mask") == 1)) / F.sum("mask"), 9).alias("zero_advantages_ratio")
+        F.round(F.try_divide(F.count_if((F.abs("adv") < ro.ZERO_TOL) & (F.col("mask") == 1)), F.sum("mask")), 9).alias("zero_advantages_ratio")
     ).where(F.col("zero_advantages_ratio").isNotNull())
 
 
