@@ -58,11 +58,12 @@ def k_grid(counts: DataFrame, run_keys: Sequence[str], k_cap: int = K_CAP) -> Da
 def pass_at_k_detail(counts: DataFrame, question_keys: Sequence[str], run_keys: Sequence[str], k_cap: int = K_CAP) -> DataFrame:
     """G4 per question: ``(run_keys, question_keys, k, pass_at_k)``.
 
-    The k grid is a tiny per-run table; it is joined on the run keys (or
-    crossed when there are none), which the planner broadcasts.
+    The k grid has at most ``k_cap`` rows per run; the join is left to AQE,
+    which broadcasts it after checking its runtime size and otherwise falls
+    back to a sort-merge join.
     """
     grid = k_grid(counts, run_keys, k_cap)
-    joined = counts.join(F.broadcast(grid), list(run_keys), "inner") if run_keys else counts.crossJoin(F.broadcast(grid))
+    joined = counts.join(grid, list(run_keys), "inner") if run_keys else counts.crossJoin(grid)
     return joined.select(
         *run_keys, *question_keys, "k", estimate_pass_at_k(F.col("n"), F.col("c"), F.col("k")).alias("pass_at_k")
     )
@@ -72,10 +73,11 @@ def pass_at_k(counts: DataFrame, run_keys: Sequence[str] = (), k_cap: int = K_CA
     """Mean pass@k over questions for every ``run_keys`` value and k.
 
     Evaluated once per distinct ``(n, c, k)`` and weighted by how many
-    questions share ``(n, c)``.
+    questions share ``(n, c)``; the k grid is derived from the same
+    histogram, so the per-question table is aggregated only once.
     """
     hist = counts.groupBy(*run_keys, "n", "c").agg(F.count(F.lit(1)).alias("__q"))
-    grid = k_grid(counts, run_keys, k_cap)
+    grid = k_grid(hist, run_keys, k_cap)
     joined = hist.join(grid, list(run_keys), "inner") if run_keys else hist.crossJoin(grid)
     est = joined.withColumn("__p", estimate_pass_at_k(F.col("n"), F.col("c"), F.col("k")))
     return est.groupBy(*run_keys, "k").agg(

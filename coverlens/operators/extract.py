@@ -143,17 +143,16 @@ def clean_sql(pred: str, data_name: str) -> str:
     return rx(rx(pred, r"\.\z"), r"/\z")
 
 
-def extract_answers(
+def extract_raw_answers(
     df: DataFrame,
     data_name: str = "math",
     response_col: str = "response",
     use_last_number: bool = True,
 ) -> DataFrame:
-    """E1 + E7 + E10-E15 over a generation table.
+    """E1 + E10-E13 without normalisation.
 
-    Adds ``response_len``, ``mode`` (code/nl), ``branch``, ``raw_answer``,
-    ``pred_answer`` and ``is_valid``.  Code responses take the recorded
-    program output and are not normalised; an ``ERROR:`` output is invalid.
+    Adds ``response_len``, ``mode`` (code/nl), ``branch``, ``raw_answer`` and
+    ``cleaned`` (the text handed to normalisation; code output as is).
     """
     df = df.withColumn("__r", F.coalesce(F.col(response_col).cast("string"), F.lit("")))
     df = df.withColumn("response_len", F.expr(response_length_sql("__r"))).withColumn("mode", F.expr(solution_mode_sql("__r")))
@@ -162,7 +161,27 @@ def extract_answers(
     code_out = f"CASE WHEN startswith({code_out}, 'ERROR:') THEN '' ELSE {code_out} END"
     df = df.withColumn("branch", F.expr(f"CASE WHEN mode = 'code' THEN 'code_output' ELSE {branch} END"))
     df = df.withColumn("raw_answer", F.expr(f"CASE WHEN mode = 'code' THEN {code_out} ELSE {raw} END")).drop("__r")
-    df = df.withColumn("__cleaned", F.expr(f"CASE WHEN mode = 'code' THEN raw_answer ELSE {clean_sql('raw_answer', data_name)} END"))
-    df = normalize_answers(df, "__cleaned", "__normed", skip_unit=data_name in SKIP_UNIT_DATASETS)
-    df = df.withColumn("pred_answer", F.expr("CASE WHEN mode = 'code' THEN raw_answer ELSE __normed END"))
-    return df.drop("__cleaned", "__normed").withColumn("is_valid", F.length("pred_answer") > 0)
+    return df.withColumn("cleaned", F.expr(f"CASE WHEN mode = 'code' THEN raw_answer ELSE {clean_sql('raw_answer', data_name)} END"))
+
+
+def finish_answers(df: DataFrame, data_name: str = "math") -> DataFrame:
+    """E7 + E14 on ``cleaned``: ``pred_answer`` (code output kept verbatim) and ``is_valid``."""
+    df = normalize_answers(df, "cleaned", "__normed", skip_unit=data_name in SKIP_UNIT_DATASETS)
+    df = df.withColumn("pred_answer", F.expr("CASE WHEN mode = 'code' THEN cleaned ELSE __normed END"))
+    return df.drop("__normed").withColumn("is_valid", F.length("pred_answer") > 0)
+
+
+def extract_answers(
+    df: DataFrame,
+    data_name: str = "math",
+    response_col: str = "response",
+    use_last_number: bool = True,
+) -> DataFrame:
+    """E1 + E7 + E10-E15 over a generation table.
+
+    Adds ``response_len``, ``mode`` (code/nl), ``branch``, ``raw_answer``,
+    ``pred_answer`` and ``is_valid``.  Code responses take the recorded
+    program output and are not normalised; an ``ERROR:`` output is invalid.
+    """
+    out = finish_answers(extract_raw_answers(df, data_name, response_col, use_last_number), data_name)
+    return out.drop("cleaned")

@@ -180,24 +180,31 @@ def grade_answers(df: DataFrame, pred: str = "pred_answer", gt: str = "gt_norm")
     df = df.withColumn("__pl", F.expr(strip("substring_index(__p, '=', 1)"))).withColumn("__pr", F.expr(strip("substring_index(__p, '=', -1)")))
     df = df.withColumn("__rl", F.expr(strip("substring_index(__r, '=', 1)"))).withColumn("__rr", F.expr(strip("substring_index(__r, '=', -1)")))
     pl, pr, rl, rr = "__pl", "__pr", "__rl", "__rr"
-    pair_ok = (
-        f"(({element_equal_sql(pl, rl)} AND {element_equal_sql(pr, rr)}) OR "
-        f"({element_equal_sql(pl, rr)} AND {element_equal_sql(pr, rl)}))"
+    # equation tiers: every element comparison they may need, one rule copy
+    pairs = (
+        "array(named_struct('a', __pl, 'b', __rl), named_struct('a', __pr, 'b', __rr), "
+        "named_struct('a', __pl, 'b', __rr), named_struct('a', __pr, 'b', __rl), "
+        "named_struct('a', substring_index(__p, '=', -1), 'b', __r), named_struct('a', __p, 'b', substring_index(__r, '=', -1)))"
     )
+    eq = f"transform({pairs}, x -> {element_equal_sql('x.a', 'x.b')})"
     p_side = f"(__pe = 1 AND length({pl}) <= 2 AND __re = 0)"
     r_side = f"(__re = 1 AND length({rl}) <= 2 AND __pe = 0)"
-    side_ok = (
-        f"(CASE WHEN {p_side} THEN {element_equal_sql('substring_index(__p, ' + q('=') + ', -1)', '__r')} "
-        f"WHEN {r_side} THEN {element_equal_sql('__p', 'substring_index(__r, ' + q('=') + ', -1)')} ELSE false END)"
+    equation = let(
+        {"e": eq},
+        lambda v: (
+            f"CASE WHEN __pe = 1 AND __re = 1 THEN (CASE WHEN ({v['e']}[0] AND {v['e']}[1]) OR ({v['e']}[2] AND {v['e']}[3]) "
+            f"THEN 'equation_pair' END) "
+            f"WHEN {p_side} AND {v['e']}[4] THEN 'equation_side' WHEN {r_side} AND {v['e']}[5] THEN 'equation_side' END"
+        ),
     )
+    needs_eq = f"((__pe = 1 AND __re = 1) OR {p_side} OR {r_side})"
+    fraction = let({'a': fraction_value_sql('__p'), 'b': fraction_value_sql('__r')}, lambda w: is_close_sql(w['a'], w['b']))
     late = (
         f"CASE WHEN {bracket_equal_sql('__p', '__r')} THEN 'bracket' "
         f"WHEN {tuple_equal_sql('__p', '__r')} THEN 'tuple' "
         f"WHEN {matrix_equal_sql('__p', '__r')} THEN 'matrix' "
-        f"WHEN __pe = 1 AND __re = 1 AND {pair_ok} THEN 'equation_pair' "
-        f"WHEN NOT (__pe = 1 AND __re = 1) AND {side_ok} THEN 'equation_side' "
-        f"WHEN {let({'a': fraction_value_sql('__p'), 'b': fraction_value_sql('__r')}, lambda w: is_close_sql(w['a'], w['b']))} THEN 'fraction_value' "
-        f"ELSE 'residual' END"
+        f"ELSE coalesce(CASE WHEN {needs_eq} THEN {equation} END, "
+        f"CASE WHEN {fraction} THEN 'fraction_value' ELSE 'residual' END) END"
     )
     df = df.withColumn("tier", F.expr(f"coalesce(__early, {late})"))
     df = df.withColumn("is_correct", F.expr("tier NOT IN ('null', 'numeric_mismatch', 'empty', 'residual')"))

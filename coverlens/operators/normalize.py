@@ -143,12 +143,23 @@ def normalize_stages(s: str, skip_unit: bool = False) -> list[str]:
     return stages
 
 
+# Plain integers: the whole chain only strips leading zeros of unsigned ones.
+_PLAIN_INT = r"^-?[0-9]+$"
+
+
 def normalize_answers(df: DataFrame, src: str, dst: str, skip_unit: bool = False) -> DataFrame:
-    """E7 ``strip_string``: add column ``dst`` with the normalised text of ``src``."""
-    t = "__norm"
+    """E7 ``strip_string``: add column ``dst`` with the normalised text of ``src``.
+
+    Plain integers (the common answer) take an exact shortcut; every other
+    value runs the ordered stages.
+    """
+    t, fast = "__norm", "__plain"
     df = df.withColumn(t, F.coalesce(F.col(src).cast("string"), F.lit("")))
+    df = df.withColumn(fast, F.col(t).rlike(_PLAIN_INT))
     for stage in normalize_stages(f"`{t}`", skip_unit):
-        df = df.withColumn(t, F.expr(stage))
+        df = df.withColumn(t, F.expr(f"CASE WHEN `{fast}` THEN `{t}` ELSE {stage} END"))
+    df = df.withColumn(t, F.expr(f"CASE WHEN `{fast}` AND `{t}` RLIKE '^[0-9]+$' THEN regexp_replace(`{t}`, '^0+(?=[0-9])', '') ELSE `{t}` END"))
+    df = df.drop(fast)
     if src == dst:
         df = df.drop(src)
     return df.withColumnRenamed(t, dst)

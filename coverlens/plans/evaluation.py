@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverlens.operators.estimators import DEFAULT_CUTOFF, correct_counts, first_n_cutoff, pass_at_k
-from coverlens.operators.extract import extract_answers
+from coverlens.operators.extract import extract_answers, extract_raw_answers, finish_answers
 from coverlens.operators.grade import grade_answers
 from coverlens.operators.normalize import normalize_answers
 
@@ -38,10 +38,24 @@ def graded_counts(
     cutoff: int = DEFAULT_CUTOFF,
     order_col: str = "sample_id",
 ) -> DataFrame:
-    graded = process_generations(gens, data_name).select(*run_keys, *QUESTION_KEYS, order_col, "is_correct")
+    """Per question ``(n, c)`` over its first ``cutoff`` samples.
+
+    Extraction is per row; the cutoff only depends on sample order, so it runs
+    before grading.  Samples are then counted per distinct (question, answer,
+    truth) with map-side partial aggregation, and normalisation and grading
+    run once per distinct answer of a question, not once per sample.  A hot
+    question or answer is pre-aggregated before any shuffle.
+    """
     keys = [*run_keys, *QUESTION_KEYS]
-    kept = first_n_cutoff(graded, keys, order_col, cutoff)
-    return correct_counts(kept, keys)
+    ex = extract_raw_answers(gens, data_name=data_name).select(*keys, order_col, "mode", "cleaned", "gt_answer")
+    kept = first_n_cutoff(ex, keys, order_col, cutoff)
+    pairs = kept.groupBy(*keys, "mode", "cleaned", "gt_answer").agg(F.count(F.lit(1)).alias("__cnt"))
+    pairs = finish_answers(pairs, data_name)
+    pairs = normalize_answers(pairs, "gt_answer", "gt_norm")
+    pairs = grade_answers(pairs, "pred_answer", "gt_norm")
+    return pairs.groupBy(*keys).agg(
+        F.sum("__cnt").alias("n"), F.sum(F.when(F.col("is_correct"), F.col("__cnt")).otherwise(F.lit(0))).alias("c")
+    )
 
 
 def evaluate_pass_at_k(
