@@ -185,3 +185,46 @@ def extract_answers(
     """
     out = finish_answers(extract_raw_answers(df, data_name, response_col, use_last_number), data_name)
     return out.drop("cleaned")
+
+
+def clean_units_sql(x: str) -> str:
+    """E6 helper: pi -> 3.14 forms, % -> /100, currency and degree marks removed."""
+    y = rep(x, "\\pi", "π")
+    y = rx(y, r"(?<![\d}])\\?π", "3.14")
+    y = rx(y, r"(\d)(\\?π)", "$1*3.14")
+    y = rx(y, r"\{(\\?π)\}", "3.14")
+    y = rx(y, r"\*(\\?π)", "*3.14")
+    y = rep(y, "%", "/100")
+    for mark in ["$", "¥", "°C", " C", "°"]:
+        y = rep(y, mark)
+    return y
+
+
+def theoremqa_answer_sql(pred: str) -> str:
+    """yes/true -> True, no/false -> False, option letters kept; else the
+    boxed content's value after the last '=', units cleaned, a trailing unit
+    word dropped (LaTeX evaluation is not built)."""
+    low = f"lower({pred})"
+    opts = " OR ".join(f"instr({low}, '({c})') > 0" for c in "abcdef")
+    body = f"CASE WHEN instr({pred}, 'boxed') > 0 THEN {extract_boxed_sql(pred)} ELSE {pred} END"
+    v = clean_units_sql(strip(f"substring_index({body}, '=', -1)"))
+    tail = (
+        f"CASE WHEN {v} RLIKE {q(r'^-?[\d\.]+\s\D+$')} OR {v} RLIKE {q(r'^-?[\d\.]+\s[^\s]+$')} "
+        f"THEN substring_index({v}, ' ', 1) ELSE {v} END"
+    )
+    return (
+        f"CASE WHEN instr({low}, 'yes') > 0 OR instr({low}, 'true') > 0 THEN 'True' "
+        f"WHEN instr({low}, 'no') > 0 OR instr({low}, 'false') > 0 THEN 'False' "
+        f"WHEN {opts} THEN {pred} ELSE {tail} END"
+    )
+
+
+def extract_by_prompt_type(df: DataFrame, data_name: str = "math", response_col: str = "response") -> DataFrame:
+    """E15 ``run_execute`` (text prompt types): empty or 'error' -> NULL; else the
+    extracted answer normalised once more."""
+    r = f"`{response_col}`"
+    branch, raw = _text_branch_sql(rep(r, "ки"), data_name, True)
+    df = df.withColumn("__x", F.expr(clean_sql(f"({raw})", data_name)))
+    df = normalize_answers(df, "__x", "__x", skip_unit=data_name in SKIP_UNIT_DATASETS)
+    df = normalize_answers(df, "__x", "__x", skip_unit=data_name in SKIP_UNIT_DATASETS)
+    return df.withColumn("prediction", F.expr(f"CASE WHEN {r} IS NULL OR {r} = '' OR {r} = 'error' THEN NULL ELSE __x END")).drop("__x")

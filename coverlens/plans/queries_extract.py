@@ -95,3 +95,42 @@ def q_answer_validity(spark, sf):
     """Valid (non-empty) predicted answers per run."""
     p = process_generations(fixtures.generations(spark, sf))
     return p.groupBy("run", "split").agg(F.count_if("is_valid").alias("n_valid"), F.count_if(~F.col("is_valid")).alias("n_invalid"))
+
+
+def theorem_texts(spark, sf):
+    """Theorem-QA style responses (part): true/false words, option letters, boxed
+    equations, values with units, percentages."""
+    p = table(spark, sf, "part")
+    return p.select(
+        F.col("p_partkey").alias("id"),
+        F.expr(
+            r"""CASE CAST(p_partkey % 5 AS INT)
+              WHEN 0 THEN 'The statement is true.'
+              WHEN 1 THEN 'Answer: (b)'
+              WHEN 2 THEN concat('\\boxed{x = ', CAST(p_size AS STRING), '}')
+              WHEN 3 THEN concat('The value = ', CAST(p_size AS STRING), ' m')
+              ELSE concat(CAST(p_size AS STRING), '%')
+            END"""
+        ).alias("response"),
+    )
+
+
+@register("extract_theoremqa", oracle=lambda: f"SELECT id, {duck.theoremqa('response')} AS answer FROM ({duck.THEOREM_TEXTS})")
+def q_extract_theoremqa(spark, sf):
+    """Theorem-QA answers (booleans, options, value after '=', units cleaned)."""
+    return theorem_texts(spark, sf).select("id", F.expr(X.theoremqa_answer_sql("response")).alias("answer"))
+
+
+def _duck_by_prompt_type() -> str:
+    branch, raw = duck.text_branch(duck.rep("response", "ки"))
+    base = f"SELECT sample_id, response, {duck.clean(f'({raw})')} AS x FROM {_G}"
+    once = duck.stages(base, "x", duck.normalize_exprs("x"))
+    twice = duck.stages(once, "x", duck.normalize_exprs("x"))
+    return f"SELECT sample_id, CASE WHEN response IS NULL OR response = '' OR response = 'error' THEN NULL ELSE x END AS prediction FROM ({twice})"
+
+
+@register("extract_by_prompt_type", oracle=lambda: _duck_by_prompt_type())
+def q_extract_by_prompt_type(spark, sf):
+    """Text-prompt extraction (code blocks not executed) normalised again; empty/'error' -> NULL."""
+    g = fixtures.generations(spark, sf).select("sample_id", "response")
+    return X.extract_by_prompt_type(g).select("sample_id", "prediction")

@@ -169,3 +169,27 @@ def q_snk_episodes(spark, sf):
     S.write_episodes(r, d)
     back = spark.read.schema("query STRING, response STRING, reward DOUBLE, phase STRING, iteration INT").json(d)
     return back.select("phase", "iteration", "query", "response", "reward")
+
+
+@register("src_run_config", oracle=lambda: f"""
+SELECT 'run_' || event_type AS run, 'VLLMSampler' AS sampler_class, 'model-' || event_type AS model,
+  CASE WHEN event_type = 'view' THEN NULL ELSE upper(substr(event_type, 1, 1)) || substr(event_type, 2) END AS thinking_prefix,
+  CAST(NULL AS VARCHAR[]) AS stop, 0.6 ::DOUBLE AS temperature, 0.95::DOUBLE AS top_p, -1 AS top_k,
+  CAST(max(length(props)) AS INTEGER) AS max_tokens, 32768 AS max_model_len, 'model-' || event_type AS tokenizer_path
+FROM events GROUP BY event_type""")
+def q_src_run_config(spark, sf):
+    """Per-run sampler configs (one JSON record per run, derived from the runs in
+    ``events``) read with a fixed schema into the run dimension."""
+    d = _dir(spark, "run-configs")
+    ev = table(spark, sf, "events").groupBy("event_type").agg(F.max(F.length("props")).cast("int").alias("mx"))
+    cfg = ev.select(
+        F.concat(F.lit("run_"), "event_type").alias("run"),
+        F.struct(
+            F.concat(F.lit("model-"), "event_type").alias("model_name"), F.lit(0.6).alias("temperature"), F.lit(0.95).alias("top_p"),
+            F.lit(-1).alias("top_k"), F.col("mx").alias("max_tokens"), F.lit(32768).alias("max_model_len"),
+            F.lit(True).alias("trust_remote_code"),
+            F.when(F.col("event_type") != "view", F.concat(F.upper(F.substring("event_type", 1, 1)), F.substring("event_type", 2, 100))).alias("thinking_prefix"),
+        ).alias("sampler"),
+    )
+    cfg.write.json(d)
+    return R.read_run_config_json(spark, d)

@@ -90,3 +90,32 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
         spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )
+
+
+RUN_CONFIG_SCHEMA = (
+    "run STRING, sampler STRUCT<class: STRING, model_name: STRING, temperature: DOUBLE, top_p: DOUBLE, top_k: INT, "
+    "max_tokens: INT, max_model_len: INT, trust_remote_code: BOOLEAN, thinking_prefix: STRING, first_topk: INT, stop: ARRAY<STRING>>, "
+    "tokenizer STRUCT<path: STRING>"
+)
+
+
+def run_dimension(configs: DataFrame) -> DataFrame:
+    """Config records -> run dimension: ``model_name`` renamed to ``model``,
+    ``class`` split off (default sampler class), ``stop`` and ``thinking_prefix``
+    as their own columns, the remaining sampler settings kept as columns."""
+    s = F.col("sampler")
+    return configs.select(
+        "run",
+        F.coalesce(s["class"], F.lit("VLLMSampler")).alias("sampler_class"),
+        s["model_name"].alias("model"),
+        s["thinking_prefix"].alias("thinking_prefix"),
+        s["stop"].alias("stop"),
+        s["temperature"].alias("temperature"), s["top_p"].alias("top_p"), s["top_k"].alias("top_k"),
+        s["max_tokens"].alias("max_tokens"), s["max_model_len"].alias("max_model_len"),
+        F.coalesce(F.col("tokenizer.path"), s["model_name"]).alias("tokenizer_path"),
+    )
+
+
+def read_run_config_json(spark: SparkSession, path: str) -> DataFrame:
+    """A6 for configs stored as JSON records (one per run), read with a fixed schema."""
+    return run_dimension(spark.read.schema(RUN_CONFIG_SCHEMA).json(path))
