@@ -31,16 +31,25 @@ def prefix_effect(pass_by_run: DataFrame, default_run: str, run: str = "run", ke
     )
 
 
-def coverage_set_ops(counts: DataFrame, run: str = "run", question: str = "question_id") -> DataFrame:
-    """Questions solved (c > 0) by one run and never by another.
+def coverage_set_ops(counts: DataFrame, default_run: str, run: str = "run", question: str = "question_id") -> DataFrame:
+    """Questions solved (c > 0) by a run but not by the default run
+    ('gained') and solved by the default run but not by the run ('lost').
 
-    Equi-join of the solved set of run A with the unsolved set of run B on
-    the question key (the runs of one question are few).
+    Solved sets per run are aggregates; the comparisons are left-anti joins
+    on ``(run, question)`` against the default run's set (no pairs of runs
+    inside a question are enumerated).
     """
     per_q = counts.groupBy(run, question).agg(F.max(F.col("c") > 0).alias("solved"))
-    solved = per_q.where("solved").select(F.col(run).alias("run_a"), question)
-    unsolved = per_q.where(~F.col("solved")).select(F.col(run).alias("run_b"), question)
-    return solved.join(unsolved, question, "inner").where(F.col("run_a") != F.col("run_b"))
+    solved = per_q.where("solved").select(run, question)
+    base = solved.where(F.col(run) == default_run).select(question)
+    others = per_q.where(F.col(run) != default_run).select(run).distinct()
+    gained = solved.where(F.col(run) != default_run).join(base, question, "left_anti").withColumn("relation", F.lit("gained"))
+    # the default run's solved questions for every other run (few runs), minus what that run solved
+    lost = (
+        base.withColumn("__one", F.lit(1)).join(others.withColumn("__one", F.lit(1)), "__one").drop("__one")
+        .join(solved, [run, question], "left_anti").withColumn("relation", F.lit("lost"))
+    )
+    return gained.select(run, question, "relation").unionByName(lost.select(run, question, "relation"))
 
 
 def subset_rollup(graded: DataFrame, correct: str = "is_correct") -> DataFrame:

@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coverlens.operators.ranking import rank_within
+
 K_CAP = 2000
 DEFAULT_CUTOFF = 256
 
@@ -55,15 +57,21 @@ def k_grid(counts: DataFrame, run_keys: Sequence[str], k_cap: int = K_CAP) -> Da
     return mins.select(*run_keys, F.explode(F.sequence(F.lit(1), F.least(F.lit(k_cap), F.col("__min_n")))).alias("k"))
 
 
-def pass_at_k_detail(counts: DataFrame, question_keys: Sequence[str], run_keys: Sequence[str], k_cap: int = K_CAP) -> DataFrame:
-    """G4 per question: ``(run_keys, question_keys, k, pass_at_k)``.
+def with_k_grid(df: DataFrame, mins: DataFrame, run_keys: Sequence[str], k_cap: int = K_CAP) -> DataFrame:
+    """Attach ``k = 1..min(k_cap, min n)`` to every row: an equi-join with the
+    one-row-per-run minimum table (AQE broadcasts it after a size check),
+    then an explode inside each row.  No cross join."""
+    if run_keys:
+        joined = df.join(mins, list(run_keys), "inner")
+    else:
+        joined = df.withColumn("__one", F.lit(1)).join(mins.withColumn("__one", F.lit(1)), "__one", "inner").drop("__one")
+    return joined.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(k_cap), F.col("__min_n"))))).drop("__min_n")
 
-    The k grid has at most ``k_cap`` rows per run; the join is left to AQE,
-    which broadcasts it after checking its runtime size and otherwise falls
-    back to a sort-merge join.
-    """
-    grid = k_grid(counts, run_keys, k_cap)
-    joined = counts.join(grid, list(run_keys), "inner") if run_keys else counts.crossJoin(grid)
+
+def pass_at_k_detail(counts: DataFrame, question_keys: Sequence[str], run_keys: Sequence[str], k_cap: int = K_CAP) -> DataFrame:
+    """G4 per question: ``(run_keys, question_keys, k, pass_at_k)``."""
+    mins = counts.groupBy(*run_keys).agg(F.min("n").alias("__min_n"))
+    joined = with_k_grid(counts, mins, run_keys, k_cap)
     return joined.select(
         *run_keys, *question_keys, "k", estimate_pass_at_k(F.col("n"), F.col("c"), F.col("k")).alias("pass_at_k")
     )
@@ -73,13 +81,12 @@ def pass_at_k(counts: DataFrame, run_keys: Sequence[str] = (), k_cap: int = K_CA
     """Mean pass@k over questions for every ``run_keys`` value and k.
 
     Evaluated once per distinct ``(n, c, k)`` and weighted by how many
-    questions share ``(n, c)``; the k grid is derived from the same
-    histogram, so the per-question table is aggregated only once.
+    questions share ``(n, c)``; the k grid comes from the same histogram, so
+    the per-question table is aggregated only once.
     """
     hist = counts.groupBy(*run_keys, "n", "c").agg(F.count(F.lit(1)).alias("__q"))
-    grid = k_grid(hist, run_keys, k_cap)
-    joined = hist.join(grid, list(run_keys), "inner") if run_keys else hist.crossJoin(grid)
-    est = joined.withColumn("__p", estimate_pass_at_k(F.col("n"), F.col("c"), F.col("k")))
+    mins = hist.groupBy(*run_keys).agg(F.min("n").alias("__min_n"))
+    est = with_k_grid(hist, mins, run_keys, k_cap).withColumn("__p", estimate_pass_at_k(F.col("n"), F.col("c"), F.col("k")))
     return est.groupBy(*run_keys, "k").agg(
         F.round(F.sum(F.col("__p") * F.col("__q")) / F.sum("__q"), digits).alias("pass_at_k"),
         F.sum("__q").alias("n_questions"),
@@ -87,23 +94,25 @@ def pass_at_k(counts: DataFrame, run_keys: Sequence[str] = (), k_cap: int = K_CA
 
 
 def metric_vectors(detail: DataFrame, run_keys: Sequence[str], question_keys: Sequence[str]) -> DataFrame:
-    """Per k, the per-question values in question order (bounded by #questions)."""
-    ordered = F.array_sort(F.collect_list(F.struct(*[F.col(q) for q in question_keys], F.col("pass_at_k").alias("v"))))
-    return detail.groupBy(*run_keys, "k").agg(F.transform(ordered, lambda s: s["v"]).alias("values"))
+    """The per-question values of every (run, k) in question order, as a
+    long table ``(run_keys, k, pos, value)``; ``pos`` is the 0-based place in the
+    vector.  Numbering is a distributed rank, never one list in one task."""
+    ranked = rank_within(detail, [*run_keys, "k"], list(question_keys), "__pos")
+    return ranked.select(*run_keys, "k", (F.col("__pos") - 1).alias("pos"), F.col("pass_at_k").alias("value"))
 
 
 def instance_results(gen_ok: DataFrame, task: str, gen: str, ok: str = "ok") -> DataFrame:
-    """Per task, the pass flags of its generations in generation order."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(gen).alias("g"), F.col(ok).alias("ok"))))
-    return gen_ok.groupBy(task).agg(F.transform(ordered, lambda s: s["ok"]).alias("passes"))
+    """Per task the pass flag of each generation at its place in generation
+    order (long form ``task, pos, ok``; a hot task is split by range partitioning)."""
+    ranked = rank_within(gen_ok, [task], [gen], "__pos")
+    return ranked.select(task, (F.col("__pos") - 1).alias("pos"), F.col(ok).alias("ok"))
 
 
 def pass_at_k_multi_test(gen_ok: DataFrame, task: str, k_list: Sequence[int] = (1, 5), ok: str = "ok") -> DataFrame:
-    """pass@k for the given k only when every task has at least k generations."""
+    """Mean pass@k for each k of ``k_list`` kept only when every task has at least k generations."""
     counts = gen_ok.groupBy(task).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ok)).alias("c"))
-    spark = gen_ok.sparkSession
-    ks = spark.createDataFrame([(int(k),) for k in k_list], "k int")
-    mins = counts.agg(F.min("n").alias("__min_n"))
-    allowed = ks.crossJoin(mins).where(F.col("k") <= F.col("__min_n")).select("k")
-    est = counts.crossJoin(F.broadcast(allowed)).withColumn("p", estimate_pass_at_k(F.col("n"), F.col("c"), F.col("k")))
-    return est
+    mins = counts.agg(F.min("n").alias("__min_n")).withColumn("__one", F.lit(1))
+    ks = counts.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in k_list]))).withColumn("__one", F.lit(1))
+    est = ks.join(mins, "__one").where(F.col("k") <= F.col("__min_n"))
+    est = est.withColumn("p", estimate_pass_at_k(F.col("n"), F.col("c"), F.col("k")))
+    return est.groupBy("k").agg(F.round(F.avg("p"), 9).alias("pass_at_k"), F.count(F.lit(1)).alias("n_tasks"))

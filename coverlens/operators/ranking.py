@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coverlens.session import ensure_checkpoint_dir
+
 
 def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """Add a 1-based dense position ``name`` following ``order`` (ascending)."""
@@ -24,6 +26,11 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank"
     local = ranged.withColumn("__pid", F.spark_partition_id()).withColumn(
         "__idx", F.monotonically_increasing_id() - F.shiftleft(F.col("__pid").cast("bigint"), 33)
     )
+    # partition ids and positions are read twice (sizes, then offsets): pin them
+    # with a reliable checkpoint in the shared folder so both reads agree and a
+    # lost executor does not renumber rows
+    ensure_checkpoint_dir(spark)
+    local = local.checkpoint(eager=True)
     sizes = local.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     offsets = sizes.select(
         "__pid", (F.sum("__cnt").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))).alias("__off")
@@ -35,12 +42,14 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank"
     )
 
 
-def rank_within(df: DataFrame, group: str, order: Sequence[str], name: str = "rank") -> DataFrame:
-    """Position inside each ``group`` value for few, large groups (ranks, splits).
+def rank_within(df: DataFrame, group: str | Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """1-based position inside each ``group`` value, safe for hot groups.
 
-    A global rank over ``(group, order...)`` minus the group's first position;
-    the per-group start table has one row per group value.
+    A global rank over ``(group..., order...)`` (range partitioning splits a
+    large group over many tasks) minus the group's first position, taken from
+    a partial+final ``min`` aggregate per group.
     """
-    ranked = global_rank(df, [group, *order], "__g")
-    starts = ranked.groupBy(group).agg(F.min("__g").alias("__start"))
-    return ranked.join(F.broadcast(starts), group, "inner").withColumn(name, F.col("__g") - F.col("__start") + 1).drop("__g", "__start")
+    groups = [group] if isinstance(group, str) else list(group)
+    ranked = global_rank(df, [*groups, *order], "__g")
+    starts = ranked.groupBy(*groups).agg(F.min("__g").alias("__start"))
+    return ranked.join(starts, groups, "inner").withColumn(name, F.col("__g") - F.col("__start") + 1).drop("__g", "__start")

@@ -69,13 +69,17 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """§3.2: four samples per group, reward 0/1, finish reason, iteration."""
-    ev = table(spark, sf_dir, "events")
-    w = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    """§3.2: four samples per group, reward 0/1, finish reason, iteration.
+
+    Positions inside a user come from a distributed rank (a user holding a
+    large share of events is split over tasks)."""
+    from coverlens.operators.ranking import rank_within
+
+    ev = rank_within(table(spark, sf_dir, "events"), "user_id", ["event_id"], "__pos")
     return ev.select(
         F.col("event_id"),
         F.col("user_id").alias("question_id"),
-        F.floor((w - 1) / 4).cast("int").alias("grp"),
+        F.floor((F.col("__pos") - 1) / 4).cast("int").alias("grp"),
         F.when((F.col("event_id") % 12).isin(1, 5, 7, 9), F.lit(0.0)).otherwise(F.lit(1.0)).alias("reward"),
         F.when(F.col("value") > 100, F.lit("length")).otherwise(F.lit("stop")).alias("finish_reason"),
         F.dayofmonth("ts").alias("iteration"),

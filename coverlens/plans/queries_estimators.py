@@ -12,6 +12,7 @@ from coverlens.operators.estimators import (
     instance_results,
     k_grid,
     metric_vectors,
+    pass_at_k_multi_test,
     pass_at_k,
     pass_at_k_detail,
 )
@@ -114,13 +115,10 @@ def q_pass_at_k_multi_test(spark, sf):
     """pass@1 and pass@5 over tasks whose generations pass all tests,
     each k kept only when every task has at least k generations."""
     ok = all_tests_pass(fixtures.test_grades(spark, sf), "task_id", "gen_id", "grade")
-    counts = ok.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("c"))
-    ks = counts.agg(F.min("n").alias("m")).select(F.explode(F.filter(F.array(F.lit(1), F.lit(5)), lambda k: k <= F.col("m"))).alias("k"))
-    est = counts.crossJoin(F.broadcast(ks)).withColumn("p", estimate_pass_at_k(F.col("n"), F.col("c"), F.col("k")))
-    return est.groupBy("k").agg(F.round(F.avg("p"), 9).alias("pass_at_k"), F.count(F.lit(1)).alias("n_tasks"))
+    return pass_at_k_multi_test(ok, "task_id", (1, 5))
 
 
-@register("instance_results", oracle=lambda: f"SELECT task_id, list(ok ORDER BY gen_id) AS passes FROM {_DUCK_GEN_OK} GROUP BY task_id")
+@register("instance_results", oracle=lambda: f"SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY gen_id) - 1 AS pos, ok FROM {_DUCK_GEN_OK}")
 def q_instance_results(spark, sf):
     """Per task, pass flags of its generations in generation order."""
     ok = all_tests_pass(fixtures.test_grades(spark, sf), "task_id", "gen_id", "grade")
@@ -159,12 +157,15 @@ def q_prefix_effect(spark, sf):
 
 
 @register("coverage_set_ops", oracle=lambda: f"""
-WITH q AS (SELECT run, question_id, max(c > 0) AS solved FROM {_duck_counts(['run', 'split'], cutoff=2)} GROUP BY run, question_id)
-SELECT a.question_id, a.run AS run_a, b.run AS run_b FROM q a JOIN q b ON a.question_id = b.question_id
-WHERE a.solved AND NOT b.solved AND a.run <> b.run""")
+WITH q AS (SELECT run, question_id, max(c > 0) AS solved FROM {_duck_counts(['run', 'split'], cutoff=2)} GROUP BY run, question_id),
+s AS (SELECT run, question_id FROM q WHERE solved), d AS (SELECT question_id FROM s WHERE run = 'view')
+SELECT run, question_id, 'gained' AS relation FROM s WHERE run <> 'view' AND question_id NOT IN (SELECT question_id FROM d)
+UNION ALL
+SELECT r.run, d.question_id, 'lost' AS relation FROM d, (SELECT DISTINCT run FROM q WHERE run <> 'view') r
+WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.run = r.run AND s.question_id = d.question_id)""")
 def q_coverage_set_ops(spark, sf):
-    """Questions solved by run A within 2 samples and not by run B."""
-    return cov.coverage_set_ops(_outcome_counts(spark, sf, ["run", "split"], cutoff=2))
+    """Questions a run solves within 2 samples that the default run ('view') does not, and the reverse."""
+    return cov.coverage_set_ops(_outcome_counts(spark, sf, ["run", "split"], cutoff=2), "view")
 
 
 @register("subset_rollup", oracle=lambda: f"""
@@ -189,8 +190,8 @@ def q_mode_distribution(spark, sf):
 
 
 @register("metric_vectors", oracle=lambda: f"""
-SELECT run, split, k, list(round(p, 9) ORDER BY question_id, prompt_id) AS "values"
-FROM {_duck_detail(_duck_counts(['run', 'split']), ['run', 'split'])} GROUP BY run, split, k""")
+SELECT run, split, k, row_number() OVER (PARTITION BY run, split, k ORDER BY question_id, prompt_id) - 1 AS pos, round(p, 9) AS value
+FROM {_duck_detail(_duck_counts(['run', 'split']), ['run', 'split'])}""")
 def q_metric_vectors(spark, sf):
     """Per run and k, per-question pass@k values in question order."""
     d = pass_at_k_detail(_outcome_counts(spark, sf, ["run", "split"]), QK, ["run", "split"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from coverlens.operators import rollouts as ro
@@ -122,7 +123,8 @@ def q_rank_shards(spark, sf):
 def q_iteration_sample(spark, sf):
     """Per iteration, 16 episodes sampled without replacement by a seeded hash."""
     r = fixtures.rollouts(spark, sf)
-    w = F.row_number().over(__import__("pyspark.sql").sql.Window.partitionBy("iteration").orderBy(F.xxhash64(F.lit(42), "iteration", "event_id"), "event_id"))
+    # row_number <= 16 becomes a per-task WindowGroupLimit before the exchange
+    w = F.row_number().over(Window.partitionBy("iteration").orderBy(F.xxhash64(F.lit(42), "iteration", "event_id"), "event_id"))
     return r.withColumn("__rn", w).where(F.col("__rn") <= 16).select("iteration", "event_id")
 
 
