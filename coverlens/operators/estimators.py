@@ -81,16 +81,21 @@ def pass_at_k(counts: DataFrame, run_keys: Sequence[str] = (), k_cap: int = K_CA
     """Mean pass@k over questions for every ``run_keys`` value and k.
 
     Evaluated once per distinct ``(n, c, k)`` and weighted by how many
-    questions share ``(n, c)``; the k grid comes from the same histogram, so
-    the per-question table is aggregated only once.
+    questions share ``(n, c)``.  Each histogram row expands to its own
+    ``k = 1..min(k_cap, n)``; a k is kept only if every question of the run
+    reaches it (its question count equals the run's, i.e. ``k <= min n``), so
+    no separate minimum, join or cross product is needed.
     """
     hist = counts.groupBy(*run_keys, "n", "c").agg(F.count(F.lit(1)).alias("__q"))
-    mins = hist.groupBy(*run_keys).agg(F.min("n").alias("__min_n"))
-    est = with_k_grid(hist, mins, run_keys, k_cap).withColumn("__p", estimate_pass_at_k(F.col("n"), F.col("c"), F.col("k")))
-    return est.groupBy(*run_keys, "k").agg(
+    est = hist.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(k_cap), F.col("n")).cast("int"))))
+    est = est.withColumn("__p", estimate_pass_at_k(F.col("n"), F.col("c"), F.col("k")))
+    per_k = est.groupBy(*run_keys, "k").agg(
         F.round(F.sum(F.col("__p") * F.col("__q")) / F.sum("__q"), digits).alias("pass_at_k"),
         F.sum("__q").alias("n_questions"),
     )
+    # k = 1 is reached by every question, so the run's largest count is its total
+    total = F.max("n_questions").over(Window.partitionBy(*run_keys)) if run_keys else F.max("n_questions").over(Window.partitionBy(F.lit(1)))
+    return per_k.withColumn("__all", total).where(F.col("n_questions") == F.col("__all")).drop("__all")
 
 
 def metric_vectors(detail: DataFrame, run_keys: Sequence[str], question_keys: Sequence[str]) -> DataFrame:

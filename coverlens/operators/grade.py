@@ -161,7 +161,7 @@ def to_pmatrix_sql(r: str) -> str:
 def grade_answers(df: DataFrame, pred: str = "pred_answer", gt: str = "gt_norm") -> DataFrame:
     """add ``tier`` and ``is_correct`` for columns ``pred`` and ``gt``."""
     p0, r0 = f"`{pred}`", f"`{gt}`"
-    df = df.withColumn("__pv", F.expr(parse_digits_sql(p0))).withColumn("__rv", F.expr(parse_digits_sql(r0)))
+    df = df.withColumns({"__pv": F.expr(parse_digits_sql(p0)), "__rv": F.expr(parse_digits_sql(r0))})
     early = (
         f"CASE WHEN {p0} IS NULL OR {r0} IS NULL THEN 'null' "
         f"WHEN lower({strip(p0)}) = lower({strip(r0)}) THEN 'exact' "
@@ -169,16 +169,17 @@ def grade_answers(df: DataFrame, pred: str = "pred_answer", gt: str = "gt_norm")
         f"WHEN __pv IS NOT NULL AND __rv IS NOT NULL THEN {numeric_verdict_sql('__pv', '__rv')} "
         f"WHEN {p0} = '' THEN 'empty' END"
     )
-    df = df.withColumn("__early", F.expr(early))
     # symbolic part: stripped strings, set-style truth turned into a matrix
-    df = df.withColumn("__p", F.expr(strip(p0))).withColumn("__r", F.expr(strip(r0)))
+    df = df.withColumns({"__early": F.expr(early), "__p": F.expr(strip(p0)), "__r": F.expr(strip(r0))})
     df = df.withColumn(
         "__r", F.expr(f"CASE WHEN instr(__p, 'pmatrix') > 0 AND instr(__r, 'pmatrix') = 0 THEN {to_pmatrix_sql('__r')} ELSE __r END")
     )
-    df = df.withColumn("__pe", F.expr("length(__p) - length(replace(__p, '=', ''))"))
-    df = df.withColumn("__re", F.expr("length(__r) - length(replace(__r, '=', ''))"))
-    df = df.withColumn("__pl", F.expr(strip("substring_index(__p, '=', 1)"))).withColumn("__pr", F.expr(strip("substring_index(__p, '=', -1)")))
-    df = df.withColumn("__rl", F.expr(strip("substring_index(__r, '=', 1)"))).withColumn("__rr", F.expr(strip("substring_index(__r, '=', -1)")))
+    df = df.withColumns({
+        "__pe": F.expr("length(__p) - length(replace(__p, '=', ''))"),
+        "__re": F.expr("length(__r) - length(replace(__r, '=', ''))"),
+        "__pl": F.expr(strip("substring_index(__p, '=', 1)")), "__pr": F.expr(strip("substring_index(__p, '=', -1)")),
+        "__rl": F.expr(strip("substring_index(__r, '=', 1)")), "__rr": F.expr(strip("substring_index(__r, '=', -1)")),
+    })
     pl, pr, rl, rr = "__pl", "__pr", "__rl", "__rr"
     # equation tiers: every element comparison they may need, one rule copy
     pairs = (

@@ -147,6 +147,22 @@ def normalize_stages(s: str, skip_unit: bool = False) -> list[str]:
 _PLAIN_INT = r"^-?[0-9]+$"
 
 
+def _merged_stages(col: str, skip_unit: bool) -> list[str]:
+    """Stages whose expression reads the current value once are folded into the
+    previous stage (no duplication); the others keep their own projection."""
+    out: list[str] = []
+    for stage in normalize_stages(col, skip_unit):
+        if out and stage.count(col) == 1:
+            out[-1] = stage.replace(col, f"({out[-1]})")
+        else:
+            out.append(stage)
+    return out
+
+
+# Plain integers: the whole chain only strips leading zeros of unsigned ones.
+_PLAIN_INT = r"^-?[0-9]+$"
+
+
 def normalize_answers(df: DataFrame, src: str, dst: str, skip_unit: bool = False) -> DataFrame:
     """E7 ``strip_string``: add column ``dst`` with the normalised text of ``src``.
 
@@ -154,15 +170,12 @@ def normalize_answers(df: DataFrame, src: str, dst: str, skip_unit: bool = False
     value runs the ordered stages.
     """
     t, fast = "__norm", "__plain"
-    df = df.withColumn(t, F.coalesce(F.col(src).cast("string"), F.lit("")))
-    df = df.withColumn(fast, F.col(t).rlike(_PLAIN_INT))
-    for stage in normalize_stages(f"`{t}`", skip_unit):
+    df = df.withColumns({t: F.coalesce(F.col(src).cast("string"), F.lit("")), fast: F.coalesce(F.col(src).cast("string"), F.lit("")).rlike(_PLAIN_INT)})
+    for stage in _merged_stages(f"`{t}`", skip_unit):
         df = df.withColumn(t, F.expr(f"CASE WHEN `{fast}` THEN `{t}` ELSE {stage} END"))
-    df = df.withColumn(t, F.expr(f"CASE WHEN `{fast}` AND `{t}` RLIKE '^[0-9]+$' THEN regexp_replace(`{t}`, '^0+(?=[0-9])', '') ELSE `{t}` END"))
-    df = df.drop(fast)
-    if src == dst:
-        df = df.drop(src)
-    return df.withColumnRenamed(t, dst)
+    final = F.expr(f"CASE WHEN `{fast}` AND `{t}` RLIKE '^[0-9]+$' THEN regexp_replace(`{t}`, '^0+(?=[0-9])', '') ELSE `{t}` END")
+    df = df.withColumn(dst, final) if src != dst else df.drop(src).withColumn(dst, final)
+    return df.drop(t, fast)
 
 
 __all__ = ["WS", "normalize_answers", "normalize_stages", "unit_table_sql"]

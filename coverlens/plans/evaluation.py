@@ -24,11 +24,20 @@ QUESTION_KEYS = ("question_id", "prompt_id")
 
 
 def process_generations(gens: DataFrame, data_name: str = "math") -> DataFrame:
-    """``process_df``: extract, normalise the truth, grade; drops ``response``."""
-    out = extract_answers(gens, data_name=data_name)
-    out = normalize_answers(out, "gt_answer", "gt_norm")
-    out = grade_answers(out, "pred_answer", "gt_norm")
-    return out.drop("response")
+    """``process_df``: extract, normalise the truth, grade; drops ``response``.
+
+    Extraction is a per-row projection.  Normalisation and grading depend
+    only on (mode, cleaned answer, truth), so they run once per distinct
+    triple and are joined back on that key: AQE broadcasts the distinct side
+    when its runtime size allows, else a sort-merge join whose skewed
+    partitions AQE splits (a hot answer holds one row on the distinct side).
+    """
+    ex = extract_raw_answers(gens, data_name=data_name).drop("response")
+    key = ["mode", "cleaned", "gt_answer"]
+    distinct = ex.select(*key).distinct()
+    graded = grade_answers(normalize_answers(finish_answers(distinct, data_name), "gt_answer", "gt_norm"), "pred_answer", "gt_norm")
+    out = ex.join(graded, key, "inner")
+    return out.drop("cleaned")
 
 
 def graded_counts(
