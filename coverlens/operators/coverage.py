@@ -32,23 +32,19 @@ def prefix_effect(pass_by_run: DataFrame, default_run: str, run: str = "run", ke
 
 
 def coverage_set_ops(counts: DataFrame, default_run: str, run: str = "run", question: str = "question_id") -> DataFrame:
-    """Questions solved (c > 0) by a run but not by the default run
-    ('gained') and solved by the default run but not by the run ('lost').
+    """Questions a run solves (c > 0) that the default run does not
+    ('gained'), and questions the default run solves that a run attempted
+    without solving ('lost').
 
-    Solved sets per run are aggregates; the comparisons are left-anti joins
-    on ``(run, question)`` against the default run's set (no pairs of runs
-    inside a question are enumerated).
+    Solved sets are aggregates; both comparisons are semi/anti joins on the
+    question key against the default run's solved set, so no pairs of runs or
+    run x question products are built.
     """
     per_q = counts.groupBy(run, question).agg(F.max(F.col("c") > 0).alias("solved"))
-    solved = per_q.where("solved").select(run, question)
-    base = solved.where(F.col(run) == default_run).select(question)
-    others = per_q.where(F.col(run) != default_run).select(run).distinct()
-    gained = solved.where(F.col(run) != default_run).join(base, question, "left_anti").withColumn("relation", F.lit("gained"))
-    # the default run's solved questions for every other run (few runs), minus what that run solved
-    lost = (
-        base.withColumn("__one", F.lit(1)).join(others.withColumn("__one", F.lit(1)), "__one").drop("__one")
-        .join(solved, [run, question], "left_anti").withColumn("relation", F.lit("lost"))
-    )
+    base = per_q.where(F.col("solved") & (F.col(run) == default_run)).select(question)
+    others = per_q.where(F.col(run) != default_run)
+    gained = others.where("solved").join(base, question, "left_anti").withColumn("relation", F.lit("gained"))
+    lost = others.where(~F.col("solved")).join(base, question, "left_semi").withColumn("relation", F.lit("lost"))
     return gained.select(run, question, "relation").unionByName(lost.select(run, question, "relation"))
 
 

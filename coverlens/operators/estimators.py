@@ -64,7 +64,7 @@ def with_k_grid(df: DataFrame, mins: DataFrame, run_keys: Sequence[str], k_cap:
     if run_keys:
         joined = df.join(mins, list(run_keys), "inner")
     else:
-        joined = df.withColumn("__one", F.lit(1)).join(mins.withColumn("__one", F.lit(1)), "__one", "inner").drop("__one")
+        joined = df.withColumn("__min_n", mins.select("__min_n").scalar())  # scalar sub-query, no join
     return joined.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(k_cap), F.col("__min_n"))))).drop("__min_n")
 
 
@@ -116,8 +116,8 @@ def instance_results(gen_ok: DataFrame, task: str, gen: str, ok: str = "ok") ->
 def pass_at_k_multi_test(gen_ok: DataFrame, task: str, k_list: Sequence[int] = (1, 5), ok: str = "ok") -> DataFrame:
     """Mean pass@k for each k of ``k_list`` kept only when every task has at least k generations."""
     counts = gen_ok.groupBy(task).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ok)).alias("c"))
-    mins = counts.agg(F.min("n").alias("__min_n")).withColumn("__one", F.lit(1))
-    ks = counts.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in k_list]))).withColumn("__one", F.lit(1))
-    est = ks.join(mins, "__one").where(F.col("k") <= F.col("__min_n"))
+    min_n = counts.agg(F.min("n")).scalar()  # scalar sub-query, no join
+    ks = counts.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in k_list])))
+    est = ks.where(F.col("k") <= min_n)
     est = est.withColumn("p", estimate_pass_at_k(F.col("n"), F.col("c"), F.col("k")))
     return est.groupBy("k").agg(F.round(F.avg("p"), 9).alias("pass_at_k"), F.count(F.lit(1)).alias("n_tasks"))

@@ -158,11 +158,10 @@ def q_prefix_effect(spark, sf):
 
 @register("coverage_set_ops", oracle=lambda: f"""
 WITH q AS (SELECT run, question_id, max(c > 0) AS solved FROM {_duck_counts(['run', 'split'], cutoff=2)} GROUP BY run, question_id),
-s AS (SELECT run, question_id FROM q WHERE solved), d AS (SELECT question_id FROM s WHERE run = 'view')
-SELECT run, question_id, 'gained' AS relation FROM s WHERE run <> 'view' AND question_id NOT IN (SELECT question_id FROM d)
+d AS (SELECT question_id FROM q WHERE solved AND run = 'view')
+SELECT run, question_id, 'gained' AS relation FROM q WHERE solved AND run <> 'view' AND question_id NOT IN (SELECT question_id FROM d)
 UNION ALL
-SELECT r.run, d.question_id, 'lost' AS relation FROM d, (SELECT DISTINCT run FROM q WHERE run <> 'view') r
-WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.run = r.run AND s.question_id = d.question_id)""")
+SELECT run, question_id, 'lost' AS relation FROM q WHERE NOT solved AND run <> 'view' AND question_id IN (SELECT question_id FROM d)""")
 def q_coverage_set_ops(spark, sf):
     """Questions a run solves within 2 samples that the default run ('view') does not, and the reverse."""
     return cov.coverage_set_ops(_outcome_counts(spark, sf, ["run", "split"], cutoff=2), "view")

@@ -239,7 +239,7 @@ def q_diversity_mix(spark, sf):
     full = ex.groupBy("pid").agg(F.countDistinct("mode").alias("m")).where("m = 2").select("pid")
     ds = ex.join(full, "pid").where(F.col("mode") == F.when(F.col("pid") % 2 == 0, "nl").otherwise("code")).select(F.lit("dataset_level").alias("mix"), "pid", "mode", "doc_id")
     ranked = global_rank(full, ["pid"], "r")
-    n = full.agg(F.count(F.lit(1)).alias("n"))
-    keep = ranked.withColumn("__one", F.lit(1)).join(n.withColumn("__one", F.lit(1)), "__one").where(F.col("r") <= F.floor(F.col("n") / 2)).select("pid")
+    half = full.agg(F.floor(F.count(F.lit(1)) / 2)).scalar()  # scalar sub-query, no join
+    keep = ranked.where(F.col("r") <= half).select("pid")
     pl = ex.join(keep, "pid").select(F.lit("problem_level").alias("mix"), "pid", "mode", "doc_id")
     return ds.unionByName(pl)
