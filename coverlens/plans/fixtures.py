@@ -128,7 +128,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction/truth pairs, one answer shape per ``p_partkey % 10``:
     exact, percent, tuple, bracket, matrix, equation side, equation pair,
     fraction, choice, mismatch/residual."""
-    part = table(spark, sf_dir, "part")
+    part = ensure_parallelism(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     return part.select(
         "p_partkey",
         F.expr(
@@ -169,7 +169,7 @@ def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Un-normalised answer strings, one clean-up case per ``p_partkey % 12``
     (units, dollars, \\text, degrees, leading zeros, number words, decimal
     tails, \\dfrac, a/b, ``x =``, \\sqrt, percent)."""
-    part = table(spark, sf_dir, "part")
+    part = ensure_parallelism(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     return part.select(
         "p_partkey",
         F.expr(
