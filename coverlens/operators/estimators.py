@@ -54,7 +54,7 @@ def correct_counts(graded: DataFrame, keys: Sequence[str], correct_col: str = "i
 def k_grid(counts: DataFrame, run_keys: Sequence[str], k_cap: int = K_CAP) -> DataFrame:
     """``k = 1..min(k_cap, min n)`` for every ``run_keys`` value."""
     mins = counts.groupBy(*run_keys).agg(F.min("n").alias("__min_n"))
-    return mins.select(*run_keys, F.explode(F.sequence(F.lit(1), F.least(F.lit(k_cap), F.col("__min_n")))).alias("k"))
+    return mins.select(*run_keys, F.explode(F.sequence(F.lit(1), F.least(F.lit(k_cap), F.col("__min_n")).cast("int"))).alias("k"))
 
 
 def with_k_grid(df: DataFrame, mins: DataFrame, run_keys: Sequence[str], k_cap: int = K_CAP) -> DataFrame:
@@ -65,7 +65,7 @@ def with_k_grid(df: DataFrame, mins: DataFrame, run_keys: Sequence[str], k_cap:
         joined = df.join(mins, list(run_keys), "inner")
     else:
         joined = df.withColumn("__min_n", mins.select("__min_n").scalar())  # scalar sub-query, no join
-    return joined.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(k_cap), F.col("__min_n"))))).drop("__min_n")
+    return joined.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(k_cap), F.col("__min_n")).cast("int")))).drop("__min_n")
 
 
 def pass_at_k_detail(counts: DataFrame, question_keys: Sequence[str], run_keys: Sequence[str], k_cap: int = K_CAP) -> DataFrame:

@@ -129,7 +129,7 @@ def q_instance_results(spark, sf):
 
 @register("run_summary", oracle=lambda: f"""
 SELECT run, split, count(*) AS n_rows, round(avg(response_len), 9) AS mean_response_len,
-       count_if(is_valid) AS n_valid, count_if(is_correct) AS n_correct, round(count_if(is_correct) / count(*), 9) AS accuracy
+       CAST(count_if(is_valid) AS BIGINT) AS n_valid, CAST(count_if(is_correct) AS BIGINT) AS n_correct, round(count_if(is_correct) / count(*), 9) AS accuracy
 FROM ({duck.processed_generations()}) GROUP BY run, split""")
 def q_run_summary(spark, sf):
     """Mean response length, valid and correct answers per run."""
@@ -168,7 +168,7 @@ def q_coverage_set_ops(spark, sf):
 
 
 @register("subset_rollup", oracle=lambda: f"""
-SELECT split, subset, CAST(grouping(split, subset) AS INTEGER) AS level, count(*) AS n, count_if(is_correct) AS n_correct,
+SELECT split, subset, CAST(grouping(split, subset) AS BIGINT) AS level, count(*) AS n, CAST(count_if(is_correct) AS BIGINT) AS n_correct,
        round(count_if(is_correct) / count(*), 9) AS accuracy
 FROM ({duck.OUTCOMES}) GROUP BY ROLLUP (split, subset)""")
 def q_subset_rollup(spark, sf):

@@ -90,7 +90,7 @@ def q_response_length(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.expr(X.response_length_sql("text")).alias("n_tokens"))
 
 
-@register("answer_validity", oracle=lambda: f"SELECT run, split, count_if(is_valid) AS n_valid, count_if(NOT is_valid) AS n_invalid FROM ({duck.processed_generations()}) GROUP BY run, split")
+@register("answer_validity", oracle=lambda: f"SELECT run, split, CAST(count_if(is_valid) AS BIGINT) AS n_valid, CAST(count_if(NOT is_valid) AS BIGINT) AS n_invalid FROM ({duck.processed_generations()}) GROUP BY run, split")
 def q_answer_validity(spark, sf):
     """Valid (non-empty) predicted answers per run."""
     p = process_generations(fixtures.generations(spark, sf))

@@ -38,7 +38,7 @@ def _rules(spark, sf):
 
 
 _DUCK_FWD = f"""(SELECT id, pos, var, coalesce(lag(var) OVER w, premise_var) || ' + ' || CAST(cst AS VARCHAR) AS expr,
-   p0 + sum(cst) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value, premise_var, p0
+   CAST(p0 + sum(cst) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS value, premise_var, p0
  FROM {_CS} WINDOW w AS (PARTITION BY id ORDER BY pos))"""
 
 _DUCK_RULES = f"""(SELECT id, any_value(premise_var) AS premise_var, any_value(p0) AS p0,

@@ -160,7 +160,7 @@ def q_sft_render_text(spark, sf):
 
 
 @register("response_only_span", oracle=lambda: f"""
-SELECT doc_id, st AS span_start, ln AS span_len, round(ln / length(text), 9) AS trained_fraction FROM (
+SELECT doc_id, CAST(st AS INTEGER) AS span_start, CAST(ln AS INTEGER) AS span_len, round(ln / length(text), 9) AS trained_fraction FROM (
   SELECT doc_id, text, CASE WHEN strpos(text, {duck.s(P.RESPONSE_MARK)}) > 0 THEN strpos(text, {duck.s(P.RESPONSE_MARK)}) + {len(P.RESPONSE_MARK)} ELSE 0 END AS st,
          CASE WHEN strpos(text, {duck.s(P.RESPONSE_MARK)}) > 0 THEN length(text) - (strpos(text, {duck.s(P.RESPONSE_MARK)}) + {len(P.RESPONSE_MARK)}) + 1 ELSE 0 END AS ln
   FROM ({_DUCK_SFT_TEXT}))""")

@@ -12,7 +12,7 @@ from coverlens.streaming import monitors as M
 
 
 @register("stream_pass_counts", oracle=lambda: f"""
-SELECT run, split, question_id, prompt_id, count(*) AS n, count_if(is_correct) AS c FROM ({duck.processed_generations()}) GROUP BY ALL""")
+SELECT run, split, question_id, prompt_id, count(*) AS n, CAST(count_if(is_correct) AS BIGINT) AS c FROM ({duck.processed_generations()}) GROUP BY ALL""")
 def q_stream_pass_counts(spark, sf):
     """Per-question counts from a file stream of generation shards (equals batch G1 without cutoff)."""
     base = M.workdir(spark, "pass-counts")
