@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coverlens.llm import quality_rules
+from coverlens.llm import byte_bpe, quality_rules
 from coverlens.llm.common import documents
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the bytes they decode to, as digests."""
+    return byte_bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's measurements, failure bits and verdict under the policy web-1."""
     return quality_rules.apply_policy(quality_rules.ledger(documents(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
 }
 
