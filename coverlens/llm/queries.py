@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coverlens.llm import byte_bpe, quality_rules
+from coverlens.llm import byte_bpe, packing, quality_rules, secret_scan
 from coverlens.llm.common import documents
 
 
@@ -16,14 +16,26 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token of every document in one piece of one sequence of at most 2,048."""
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's measurements, failure bits and verdict under the policy web-1."""
     return quality_rules.apply_policy(quality_rules.ledger(documents(spark, sf_dir)))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the fixed patterns and of the network in every document."""
+    return secret_scan.scan_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op9_secret_scans": op9_secret_scans,
 }
 
 ORACLES: dict[str, str] = {
