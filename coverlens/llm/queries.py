@@ -7,15 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coverlens.llm import byte_bpe, packing, quality_rules, secret_scan
+from coverlens.llm import byte_bpe, license_scan, line_dedup, packing, quality_rules, secret_scan
 from coverlens.llm.common import documents
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every web page's text without the boilerplate lines of its host."""
+    return line_dedup.dedup_pages(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the bytes they decode to, as digests."""
     return byte_bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and line whose canonical text is a known licence or notice."""
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token of every document in one piece of one sequence of at most 2,048."""
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -31,14 +41,65 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(documents(spark, sf_dir))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(' ' || regexp_replace(regexp_replace(lower({text}), {_quoted(license_scan.COPYRIGHT)}, ' ', 'g'), '[^a-z0-9]+', ' ', 'g') || ' ', ' +', ' ', 'g')"
+    for old, new in license_scan.SPELLINGS:
+        out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
+    return out
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"({i}, {_quoted(spdx)}, {_quoted(text)})" for i, (spdx, text) in enumerate(license_scan.notices()))
+    return f"""
+WITH k AS (SELECT sha256({_canonical_sql("t")}) AS digest, arg_min(spdx, i) AS spdx FROM (VALUES {rows}) AS v(i, spdx, t) GROUP BY 1),
+d AS (SELECT doc_id, text FROM documents WHERE text <> ''),
+u AS (
+  SELECT doc_id, 'text' AS unit, CAST(0 AS BIGINT) AS line, text AS t FROM d
+  UNION ALL
+  SELECT doc_id, 'line', CAST(n AS BIGINT), parts[n] FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM d)))
+SELECT doc_id, unit, line, k.spdx, digest FROM (SELECT doc_id, unit, line, sha256({_canonical_sql("t")}) AS digest FROM u) JOIN k USING (digest)
+"""
+
+
+def _line_dedup_sql() -> str:
+    text = f"regexp_replace(regexp_replace(regexp_replace(html, {_quoted(line_dedup._UNSEEN)}, ' ', 'g'), {_quoted(line_dedup._BLOCK)}, chr(10), 'g'), {_quoted(line_dedup._TAG)}, '', 'g')"
+    for name, char in line_dedup._ENTITIES:
+        text = f"replace({text}, {_quoted(name)}, {_quoted(char)})"
+    bare = "trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    return rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)', 1)), '') AS host, {text} AS t
+  FROM pages),
+u AS (SELECT r, page_id, host, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS x FROM (SELECT *, string_split(t, chr(10)) AS l FROM p)),
+v AS (SELECT *, {bare} AS bare FROM u),
+s AS (SELECT DISTINCT host, lines FROM (SELECT r, host, list_sort(list(DISTINCT bare) FILTER (bare <> '')) AS lines FROM v WHERE host IS NOT NULL GROUP BY r, host)),
+total AS (SELECT host, count(*) AS total FROM s GROUP BY host),
+often AS (
+  SELECT host, bare FROM (SELECT host, bare, count(*) AS n FROM (SELECT host, unnest(lines) AS bare FROM s) GROUP BY host, bare) JOIN total USING (host)
+  WHERE n >= {line_dedup.LEAST_PAGES} AND n > total * CAST({line_dedup.RATIO} AS DOUBLE)),
+m AS (SELECT v.*, o.bare IS NOT NULL AS gone FROM v LEFT JOIN often o USING (host, bare))
+SELECT page_id, host, coalesce(string_agg(x, chr(10) ORDER BY n) FILTER (NOT gone), '') AS text,
+       count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (gone) AS n_dropped
+FROM m GROUP BY r, page_id, host
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_license_scans": op4_license_scans,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op9_secret_scans": op9_secret_scans,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": _line_dedup_sql(),
+    "op4_license_scans": _license_sql(),
     "op6_quality_rules": r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
