@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from coverlens.llm import byte_bpe, license_scan, line_dedup, packing, quality_rules, secret_scan
+from coverlens.llm import ann, byte_bpe, license_scan, line_dedup, packing, quality_rules, secret_scan
 from coverlens.llm.common import documents
 
 
@@ -16,6 +17,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_pages(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id 50 divides, against all."""
+    return ann.search(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the bytes they decode to, as digests."""
     return byte_bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -90,6 +96,7 @@ FROM m GROUP BY r, page_id, host
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_license_scans": op4_license_scans,
     "op5_packing": op5_packing,
