@@ -14,6 +14,8 @@ from coverlens.session import scratch_dir
 
 #: ASCII blanks that part words.
 BLANK = r"[\x20\x09-\x0D]+"
+#: Ids that may be broadcast (8 MB); more are shuffled.
+MOST_BROADCAST = 1_000_000
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -43,6 +45,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_semi_join(df: DataFrame, ids: DataFrame, key: str, anti: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids`` (or is not): the ids are counted, and broadcast only if they are at most MOST_BROADCAST longs."""
+    small = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    return df.join(small, key, "left_anti" if anti else "left_semi")
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column end to end, and where each row begins (one entry more than rows); null is empty."""
     if isinstance(column, pa.ChunkedArray):

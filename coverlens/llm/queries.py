@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlens.llm import ann, byte_bpe, license_scan, line_dedup, packing, quality_rules, secret_scan
+from coverlens.llm import ann, byte_bpe, license_scan, line_dedup, minhash, packing, quality_rules, secret_scan
 from coverlens.llm.common import documents
 
 
@@ -47,6 +47,11 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(documents(spark, sf_dir))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates: five-word runs, similarity of 0.8 or more."""
+    return minhash.classes(documents(spark, sf_dir))
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op9_secret_scans": op9_secret_scans,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {
