@@ -62,14 +62,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
-def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.Table]:
-    """Rows of the incoming batches in order, regrouped so that a group's ``column`` holds about ``most`` bytes.
+def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int, most_rows: int = 1 << 30) -> Iterator[pa.Table]:
+    """Rows of the incoming batches in order, regrouped so that a group's ``column`` holds about ``most`` bytes, in ``most_rows`` rows at most.
 
     A group ends once it reaches that size; a longer text is a group by itself.
     The grouping bounds memory only: callers get every row.
     """
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -79,12 +79,13 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterat
         while start < batch.num_rows:
             done = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, done + most - size, side="right")))
-            stop = min(stop, batch.num_rows)
+            stop = min(stop, batch.num_rows, start + most_rows - rows)
             held.append(batch.slice(start, stop - start))
             size += int(ends[stop - 1] - done)
+            rows += stop - start
             start = stop
-            if size >= most or start < batch.num_rows:
+            if size >= most or rows >= most_rows or start < batch.num_rows:
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, rows = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
