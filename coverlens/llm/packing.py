@@ -25,6 +25,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,9 @@ GROUP = 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Bytes of text encoded at a time, and distinct words whose ids a worker keeps.
 BYTES_AT_ONCE = 4 << 20
-MOST_WORDS = 400_000
+MOST_WORDS = 1_000_000
+#: A word that stands between words that are encoded together; words that hold it are encoded alone.
+_MARK = "\x01"
 
 
 class _Codes(dict):
@@ -64,18 +67,33 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
+        (self.mark,) = self._encode(_MARK)
         self._forget()
 
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _forget(self) -> None:
         self.codes = _Codes({b" ": 0})  # no word is a blank: the code of a text's end
         self.ids, self.at = np.array([self.end_id], np.uint32), np.array([0, 1], np.int64)
 
     def _learn(self) -> None:
-        new = list(self.codes)[len(self.at) - 1 :]
+        """Ids of the words that are new, many to a text, a mark after each."""
+        new = [w.decode("utf-8", "replace") for w in islice(self.codes, len(self.at) - 1, None)]
+        ids, sizes = [self.ids], []
         for i in range(0, len(new), 4_096):
-            got = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new[i : i + 4_096]], add_special_tokens=False)]
-            self.ids = np.concatenate([self.ids, *(np.asarray(x, np.uint32) for x in got)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in got])])
+            part = new[i : i + 4_096]
+            if any(_MARK in w for w in part):
+                got = [self._encode(w) for w in part]
+                ids.append(np.array([x for w in got for x in w], np.uint32))
+                sizes.append(np.array([len(w) for w in got]))
+            else:
+                got = np.array(self._encode(f" {_MARK} ".join(part) + f" {_MARK}"), np.uint32)
+                marks = np.flatnonzero(got == self.mark)
+                ids.append(np.delete(got, marks))
+                sizes.append(np.diff(marks, prepend=-1) - 1)
+        self.ids = np.concatenate(ids)
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
 
     def __call__(self, raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with the end id, and where each begins."""
