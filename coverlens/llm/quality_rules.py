@@ -56,21 +56,27 @@ def _same_as_neighbour(s: Column, x: Column, i: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and MEASURES, from one scan without an exchange.
+    """``doc_id`` and MEASURES, from one scan without an exchange."""
+    d = pick(docs, "doc_id", "text")
+    return _measured(d.select("doc_id", F.col("text").alias("t")), "doc_id")
+
+
+def _measured(d: DataFrame, *carried: str) -> DataFrame:
+    """MEASURES of column ``t`` beside the columns ``carried``.
 
     The 8-word windows get a 64-bit hash by doubling (pairs, fours, eights);
     only texts in which a hash occurs twice have their windows sorted.
     """
-    t = F.col("text")
-    d = pick(docs, "doc_id", "text").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    t = F.col("t")
+    d = d.select(*carried, F.coalesce(t.cast("string"), F.lit("")).alias("t"))
     d = d.select(
-        "doc_id",
-        "text",
+        *carried,
+        "t",
         F.array_remove(F.split(t, BLANK), "").alias("words"),
         F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0).alias("lines"),
     )
     d = d.select(
-        "doc_id",
+        *carried,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -89,13 +95,27 @@ def measure(docs: DataFrame) -> DataFrame:
     d = d.withColumn("at", F.array_sort(F.transform(F.filter(s, lambda x, i: _same_as_neighbour(s, x, i)), lambda x: x["i"]))).drop("s")
     at = F.col("at")
     gaps = F.transform(at, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - x, F.lit(WINDOW))).cast("long"))
-    return d.withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))).select("doc_id", *MEASURES)
+    return d.withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))).select(*carried, *MEASURES)
+
+
+def _with_bits(measured: DataFrame) -> DataFrame:
+    bits = [F.when(F.expr(rule), F.lit(BITS[name])).otherwise(F.lit(0)).cast("long") for name, rule in RULES.items()]
+    return measured.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
     """``measure`` with ``fail_bits``: bit r is set where rule r of RULES fails."""
-    bits = [F.when(F.expr(rule), F.lit(BITS[name])).otherwise(F.lit(0)).cast("long") for name, rule in RULES.items()]
-    return measure(docs).withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
+    return _with_bits(measure(docs))
+
+
+def filter_documents(docs: DataFrame, policy: str = "web-1") -> DataFrame:
+    """The rows of ``docs`` that ``policy`` keeps, with all columns, from one scan."""
+    names = docs.columns
+    at = names.index("text") if "text" in names else [n.lower() for n in names].index("text")
+    carried = [f"c{i}" for i in range(len(names))]
+    plain = docs.toDF(*carried)
+    kept = apply_policy(_with_bits(_measured(plain.withColumn("t", F.col(f"c{at}")), *carried)), policy).where("kept")
+    return kept.select(*(F.col(c).alias(n) for c, n in zip(carried, names)))
 
 
 def apply_policy(book: DataFrame, policy: str = "web-1", base: str = "base-1") -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlens.llm import ann, byte_bpe, license_scan, line_dedup, minhash, packing, quality_rules, secret_scan
+from coverlens.llm import ann, byte_bpe, debruijn_dedup, license_scan, line_dedup, minhash, packing, quality_rules, secret_scan, suffix_dedup
 from coverlens.llm.common import documents
 
 
@@ -42,6 +42,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(documents(spark, sf_dir)))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 50-byte strings that a smaller document has."""
+    return suffix_dedup.deduplicate(documents(spark, sf_dir))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word windows that a smaller document has."""
+    return debruijn_dedup.deduplicate(documents(spark, sf_dir))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of the fixed patterns and of the network in every document."""
     return secret_scan.scan_documents(documents(spark, sf_dir))
@@ -106,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scans": op4_license_scans,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_minhash": op10_minhash,
 }
