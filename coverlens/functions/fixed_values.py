@@ -26,14 +26,14 @@ UNIT_TEXTS = [
 # Rule: every unit also appears in plural form (unit + "s"), after all singulars.
 UNIT_TEXTS_WITH_PLURALS = UNIT_TEXTS + [u + "s" for u in UNIT_TEXTS]
 
-# --- fixed values: number words (a bounded subset of a words-to-number reader) -
+# --- fixed values: number words of a words-to-number reader ---------------------
 NUMBER_WORDS = {
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6,
     "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,
     "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17,
     "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40,
     "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
-    "hundred": 100,
+    "hundred": 100, "thousand": 1000, "million": 1000000, "billion": 1000000000, "point": -1,
 }
 # ------------------------------------------------------------------------------
 

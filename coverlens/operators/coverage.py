@@ -31,7 +31,7 @@ def prefix_effect(pass_by_run: DataFrame, default_run: str, run: str = "run", ke
     )
 
 
-def coverage_set_ops(counts: DataFrame, default_run: str, run: str = "run", question: str = "question_id") -> DataFrame:
+def coverage_set_ops(counts: DataFrame, default_run: str, run: str = "run", question: Sequence[str] = ("split", "question_id", "prompt_id")) -> DataFrame:
     """Questions a run solves (c > 0) that the default run does not
     ('gained'), and questions the default run solves that a run attempted
     without solving ('lost').
@@ -40,12 +40,13 @@ def coverage_set_ops(counts: DataFrame, default_run: str, run: str = "run", ques
     question key against the default run's solved set, so no pairs of runs or
     run x question products are built.
     """
-    per_q = counts.groupBy(run, question).agg(F.max(F.col("c") > 0).alias("solved"))
-    base = per_q.where(F.col("solved") & (F.col(run) == default_run)).select(question)
+    question = list(question)
+    per_q = counts.groupBy(run, *question).agg(F.max(F.col("c") > 0).alias("solved"))
+    base = per_q.where(F.col("solved") & (F.col(run) == default_run)).select(*question)
     others = per_q.where(F.col(run) != default_run)
     gained = others.where("solved").join(base, question, "left_anti").withColumn("relation", F.lit("gained"))
     lost = others.where(~F.col("solved")).join(base, question, "left_semi").withColumn("relation", F.lit("lost"))
-    return gained.select(run, question, "relation").unionByName(lost.select(run, question, "relation"))
+    return gained.select(run, *question, "relation").unionByName(lost.select(run, *question, "relation"))
 
 
 def subset_rollup(graded: DataFrame, correct: str = "is_correct") -> DataFrame:

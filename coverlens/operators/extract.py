@@ -14,23 +14,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverlens.functions.fixed_values import CHOICE_DATASETS, CHOICE_NARROW_DATASETS, SKIP_UNIT_DATASETS
-from coverlens.functions.sql import after_first, after_last, before_first, has, q, rep, rx, strip
+from coverlens.functions.sql import after_first, after_last, before_first, has, let, q, rep, rx, strip
 from coverlens.operators.normalize import normalize_answers
 
 
-def balanced_body_regex(depth: int = 10) -> str:
-    """Possessive Java regex for text with balanced ``{}`` up to ``depth`` levels.
+def braced_sql(x: str) -> str:
+    """``struct<d, n>`` for text that begins with a brace: ``n`` characters follow
+    it up to the brace that closes it (``d`` = 0), or to the end (``d`` > 0).
 
-    Possessive quantifiers keep the matcher from backtracking (and from
-    overflowing the stack on long responses).
+    One pass over braces and the pieces between them, at any depth.
     """
-    inner = r"[^{}]*+"
-    for _ in range(depth):
-        inner = r"(?:[^{}]++|\{" + inner + r"\})*+"
-    return inner
+    step = (
+        "CASE WHEN a.d = 0 THEN a ELSE named_struct('d', a.d + CASE t WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END, "
+        "'n', a.n + CASE WHEN t = '}' AND a.d = 1 THEN 0 ELSE length(t) END) END"
+    )
+    return f"aggregate(regexp_extract_all(substr({x}, 2), {q('[{}]|[^{}]+')}, 0), named_struct('d', 1, 'n', 0), (a, t) -> {step})"
 
 
-BOXED_BODY = balanced_body_regex(10)
 LAST_NUMBER = r"(?U)-?\d*\.?\d+"
 CHOICE_LETTER = r"(?U)\b(A|B|C|D|E)\b"
 
@@ -38,12 +38,7 @@ CHOICE_LETTER = r"(?U)\b(A|B|C|D|E)\b"
 def boxed_content_sql(ans: str) -> str:
     """E2 on the text after the last ``boxed``: balanced ``{...}`` body, the
     rest when the brace never closes, or up to ``$`` without a brace."""
-    braced = f"regexp_extract({ans}, {q(r'^\{(' + BOXED_BODY + r')\}')}, 1)"
-    closes = f"{ans} RLIKE {q(r'^\{' + BOXED_BODY + r'\}')}"
-    return (
-        f"CASE WHEN startswith({ans}, '{{') THEN (CASE WHEN {closes} THEN {braced} ELSE substr({ans}, 2) END) "
-        f"ELSE {strip(before_first(ans, '$'))} END"
-    )
+    return f"CASE WHEN startswith({ans}, '{{') THEN substr({ans}, 2, ({braced_sql(ans)}).n) ELSE {strip(before_first(ans, '$'))} END"
 
 
 def extract_boxed_sql(text: str) -> str:
@@ -110,9 +105,11 @@ def extract_boxed_reward_sql(text: str) -> str:
     spaced = has(body, "\\boxed ")
     spaced_ans = before_first(after_last(body, "\\boxed "), "$")
     tail = after_last(body, "\\boxed")
-    group = f"regexp_extract({tail}, {q(r'^\{(' + BOXED_BODY + r')\}')}, 1)"
-    closes = f"({tail} RLIKE {q(r'^\{' + BOXED_BODY + r'\}')})"
-    return f"CASE WHEN {spaced} THEN {spaced_ans} WHEN {has(body, chr(92) + 'boxed')} AND {closes} THEN {group} ELSE '' END"
+    group = let(
+        {"t": tail},
+        lambda v: let({"b": braced_sql(v["t"])}, lambda w: f"CASE WHEN startswith({v['t']}, '{{') AND {w['b']}.d = 0 THEN substr({v['t']}, 2, {w['b']}.n) ELSE '' END"),
+    )
+    return f"CASE WHEN {spaced} THEN {spaced_ans} WHEN {has(body, chr(92) + 'boxed')} THEN {group} ELSE '' END"
 
 
 def _text_branch_sql(r: str, data_name: str, use_last_number: bool) -> tuple[str, str]:
@@ -161,11 +158,14 @@ def extract_raw_answers(
     code_out = f"CASE WHEN startswith({code_out}, 'ERROR:') THEN '' ELSE {code_out} END"
     df = df.withColumn("branch", F.expr(f"CASE WHEN mode = 'code' THEN 'code_output' ELSE {branch} END"))
     df = df.withColumn("raw_answer", F.expr(f"CASE WHEN mode = 'code' THEN {code_out} ELSE {raw} END")).drop("__r")
-    return df.withColumn("cleaned", F.expr(f"CASE WHEN mode = 'code' THEN raw_answer ELSE {clean_sql('raw_answer', data_name)} END"))
+    cleaned = "raw_answer" if data_name in CHOICE_DATASETS else clean_sql("raw_answer", data_name)
+    return df.withColumn("cleaned", F.expr(f"CASE WHEN mode = 'code' THEN raw_answer ELSE {cleaned} END"))
 
 
 def finish_answers(df: DataFrame, data_name: str = "math") -> DataFrame:
     """E7 + E14 on ``cleaned``: ``pred_answer`` (code output kept verbatim) and ``is_valid``."""
+    if data_name in CHOICE_DATASETS:  # the letter is final
+        return df.withColumn("pred_answer", F.col("cleaned")).withColumn("is_valid", F.length("pred_answer") > 0)
     df = normalize_answers(df, "cleaned", "__normed", skip_unit=data_name in SKIP_UNIT_DATASETS)
     df = df.withColumn("pred_answer", F.expr("CASE WHEN mode = 'code' THEN cleaned ELSE __normed END"))
     return df.drop("__normed").withColumn("is_valid", F.length("pred_answer") > 0)

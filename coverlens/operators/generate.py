@@ -1,7 +1,7 @@
 """C1-C15 — deterministic synthetic problem tables.
 
-Randomness is a seeded hash of (seed, id, slot) (``xxhash64``), never a driver
-RNG, so a problem's content does not depend on partitioning.  Chains are
+Randomness is a seeded hash of (seed, id, slot) (MD5, which every SQL engine
+has), never a driver RNG, so a problem's content does not depend on partitioning.  Chains are
 additive, so traces are running sums over the step positions (windows
 partitioned by the problem id) instead of an algebra system.
 """
@@ -33,14 +33,19 @@ PLAIN_TAIL = "End the response with the result in \"\\boxed{result}\"."
 SPLIT_SIZES = [("sft", 6400), ("rlvr", 1600), ("test", 1000)]
 
 
+def seeded(id_col: Column, slot: Column, seed: int = SEED) -> Column:
+    """A number of 60 bits from MD5 of ``seed|id|slot``."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), id_col, slot)), 1, 15), 16, 10).cast("bigint")
+
+
 def hashed_slots(id_col: Column, n: int, seed: int = SEED, modulo: int = MAX_CONST) -> Column:
     """``n`` constants in [1, modulo] drawn from a seeded hash per (id, slot)."""
-    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda s: (F.pmod(F.xxhash64(F.lit(seed), id_col, s), F.lit(modulo)) + 1).cast("bigint"))
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda s: seeded(id_col, s, seed) % F.lit(modulo).cast("bigint") + 1)
 
 
 def letter_permutation(id_col: Column, seed: int = SEED) -> Column:
     """A per-problem shuffle of a..z ordered by a seeded hash."""
-    keyed = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.struct(F.xxhash64(F.lit(seed), id_col, i).alias("h"), F.char(F.lit(97) + i).alias("l")))
+    keyed = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.struct(F.md5(F.concat_ws("|", F.lit(seed), id_col, F.concat(F.lit("l"), i))).alias("h"), F.char(F.lit(97) + i).alias("l")))
     return F.transform(F.array_sort(keyed), lambda s: s["l"])
 
 

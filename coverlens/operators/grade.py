@@ -126,7 +126,29 @@ def tuple_equal_sql(p: str, r: str) -> str:
     shaped = f"({p} RLIKE {q(r'^[(\[].+[)\]]')} AND {r} RLIKE {q(r'^[(\[].+[)\]]')})"
     pp = f"split(substr({p}, 2, length({p}) - 2), ',', -1)"
     rp = f"split(substr({r}, 2, length({r}) - 2), ',', -1)"
-    return f"({shaped} AND size({pp}) = size({rp}) AND forall(zip_with({pp}, {rp}, (a, b) -> {element_equal_sql('a', 'b')}), ok -> ok))"
+    return f"({shaped} AND size({pp}) = size({rp}) AND forall(zip_with({pp}, {rp}, (a, b) -> {part_equal_sql('a', 'b')}), ok -> ok))"
+
+
+def side_equal_sql(a: str, b: str) -> str:
+    """F8: sides of two equations that are the same text, or the same number exactly."""
+    return let({"a": strip(a), "b": strip(b)}, lambda v: f"({v['a']} = {v['b']} OR coalesce({fraction_value_sql(v['a'])} = {fraction_value_sql(v['b'])}, false))")
+
+
+def part_equal_sql(p: str, r: str) -> str:
+    """An element of a tuple or matrix: the element rule, also for the side of a short equation against a plain value."""
+
+    def short(x: str) -> str:
+        return f"(length({x}) - length(replace({x}, '=', '')) = 1 AND length({strip(f'substring_index({x}, {q("=")}, 1)')}) <= 2)"
+
+    def bare(x: str, other: str) -> str:
+        return f"CASE WHEN {short(x)} AND instr({other}, '=') = 0 THEN substring_index({x}, '=', -1) ELSE {x} END"
+
+    return let({"p": p, "r": r}, lambda v: let({"a": bare(v["p"], v["r"]), "b": bare(v["r"], v["p"])}, lambda w: element_equal_sql(w["a"], w["b"])))
+
+
+def cascade_equal_sql(p: str, r: str) -> str:
+    """the side of an equation against a value, which may be a tuple or a matrix."""
+    return let({"p": strip(p), "r": strip(r)}, lambda v: f"({element_equal_sql(v['p'], v['r'])} OR {tuple_equal_sql(v['p'], v['r'])} OR {matrix_equal_sql(v['p'], v['r'])})")
 
 
 _MAT_OPEN = r"^\\begin\{[pb]matrix\}"
@@ -144,7 +166,7 @@ def matrix_equal_sql(p: str, r: str) -> str:
     pl, rl = _matrix_lines(p), _matrix_lines(r)
     row = (
         f"(ra, rb) -> size(split(ra, '&', -1)) = size(split(rb, '&', -1)) AND "
-        f"forall(zip_with(split(ra, '&', -1), split(rb, '&', -1), (ca, cb) -> {element_equal_sql('ca', 'cb')}), ok -> ok)"
+        f"forall(zip_with(split(ra, '&', -1), split(rb, '&', -1), (ca, cb) -> {part_equal_sql('ca', 'cb')}), ok -> ok)"
     )
     return f"({shaped} AND size({pl}) = size({rl}) AND forall(zip_with({pl}, {rl}, {row}), ok -> ok))"
 
@@ -181,21 +203,19 @@ def grade_answers(df: DataFrame, pred: str = "pred_answer", gt: str = "gt_norm")
         "__rl": F.expr(strip("substring_index(__r, '=', 1)")), "__rr": F.expr(strip("substring_index(__r, '=', -1)")),
     })
     pl, pr, rl, rr = "__pl", "__pr", "__rl", "__rr"
-    # equation tiers: every element comparison they may need, one rule copy
-    pairs = (
-        "array(named_struct('a', __pl, 'b', __rl), named_struct('a', __pr, 'b', __rr), "
-        "named_struct('a', __pl, 'b', __rr), named_struct('a', __pr, 'b', __rl), "
-        "named_struct('a', substring_index(__p, '=', -1), 'b', __r), named_struct('a', __p, 'b', substring_index(__r, '=', -1)))"
-    )
-    eq = f"transform({pairs}, x -> {element_equal_sql('x.a', 'x.b')})"
+    # two equations: sides equal as text or as exact numbers, in either order; one equation: the side by the whole cascade below it
+    sides = "array(named_struct('a', __pl, 'b', __rl), named_struct('a', __pr, 'b', __rr), named_struct('a', __pl, 'b', __rr), named_struct('a', __pr, 'b', __rl))"
+    exact = f"transform({sides}, x -> {side_equal_sql('x.a', 'x.b')})"
+    whole = "array(named_struct('a', substring_index(__p, '=', -1), 'b', __r), named_struct('a', __p, 'b', substring_index(__r, '=', -1)))"
+    side = f"transform({whole}, x -> {cascade_equal_sql('x.a', 'x.b')})"
     p_side = f"(__pe = 1 AND length({pl}) <= 2 AND __re = 0)"
     r_side = f"(__re = 1 AND length({rl}) <= 2 AND __pe = 0)"
     equation = let(
-        {"e": eq},
+        {"e": exact, "s": side},
         lambda v: (
             f"CASE WHEN __pe = 1 AND __re = 1 THEN (CASE WHEN ({v['e']}[0] AND {v['e']}[1]) OR ({v['e']}[2] AND {v['e']}[3]) "
             f"THEN 'equation_pair' END) "
-            f"WHEN {p_side} AND {v['e']}[4] THEN 'equation_side' WHEN {r_side} AND {v['e']}[5] THEN 'equation_side' END"
+            f"WHEN {p_side} AND {v['s']}[0] THEN 'equation_side' WHEN {r_side} AND {v['s']}[1] THEN 'equation_side' END"
         ),
     )
     needs_eq = f"((__pe = 1 AND __re = 1) OR {p_side} OR {r_side})"
@@ -225,7 +245,7 @@ def reward_int_match_sql(response: str, target: str) -> str:
     """1.0 when the boxed answer reads as an integer equal to ``target``."""
     ans = extract_boxed_reward_sql(response)
     as_int = f"CASE WHEN {ans} RLIKE {q(INT_TEXT)} THEN try_cast(replace({strip(ans)}, '_', '') AS BIGINT) END"
-    return f"CASE WHEN abs(CAST({as_int} AS DOUBLE) - CAST({target} AS DOUBLE)) < 1e-5D THEN 1.0D ELSE 0.0D END"
+    return f"CASE WHEN abs(CAST({as_int} AS DOUBLE) - try_cast({target} AS DOUBLE)) < 1e-5D THEN 1.0D ELSE 0.0D END"
 
 
 def all_tests_pass(grades: DataFrame, task: str, gen: str, grade: str) -> DataFrame:

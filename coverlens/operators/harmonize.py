@@ -10,11 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from coverlens.functions.text import py_strip
+from coverlens.functions.sql import WS
 
 ABCD = ["A", "B", "C", "D"]
 
 
+def py_strip(c: Column) -> Column:
+    """``s.strip()``."""
+    return F.btrim(c, F.lit(WS))
+
+
 def options_block(options: Column, letters: list[str] = ABCD) -> Column:
     """``(A) x (B) y ...`` from a choice list."""
     labelled = F.transform(options, lambda o, i: F.concat(F.lit("("), F.element_at(F.array(*[F.lit(x) for x in letters]), i + 1), F.lit(") "), py_strip(o)))

@@ -20,11 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverlens.functions.fixed_values import NUMBER_WORDS, UNIT_TEXTS_WITH_PLURALS
-from coverlens.functions.sql import WS, q, rep, rx, strip
-
-_TENS = [w for w, v in NUMBER_WORDS.items() if 20 <= v <= 90]
-_ONES = [w for w, v in NUMBER_WORDS.items() if 1 <= v <= 9]
-_UNSUPPORTED_NUMBER_WORDS = ["thousand", "million", "billion", "point"]
+from coverlens.functions.sql import WS, let, q, rep, rx, strip
 
 # A letter or any non-ASCII character: every unit text contains one, so a
 # string without such a character cannot lose a unit.
@@ -60,24 +56,65 @@ def remove_units_sql(s: str) -> str:
     return f"CASE WHEN {s} RLIKE {q(_HAS_WORD_CHAR)} THEN {fold} ELSE {s} END"
 
 
+def _formation_sql(a: str) -> str:
+    """Value of up to four words below a thousand (NULL for none or more): 'two hundred five', 'forty two', 'seven hundred'."""
+    v = lambda i: f"element_at({a}, {i})"
+    return (
+        f"CASE size({a}) WHEN 4 THEN {v(1)} * {v(2)} + {v(3)} + {v(4)} WHEN 3 THEN {v(1)} * {v(2)} + {v(3)} "
+        f"WHEN 2 THEN CASE WHEN array_contains({a}, 100L) THEN {v(1)} * {v(2)} ELSE {v(1)} + {v(2)} END WHEN 1 THEN {v(1)} END"
+    )
+
+
+def words_value_sql(words: str) -> str:
+    """Integer that number words (an array of their values) spell, NULL where they spell none.
+
+    The words are cut at billion, million and thousand, each allowed once and
+    in this order; a single word is its own value.
+    """
+
+    def body(v: dict[str, str]) -> str:
+        w, b, m, t = v["w"], v["b"], v["m"], v["t"]
+        bad = (
+            f"size(filter({w}, x -> x = 1000L)) > 1 OR size(filter({w}, x -> x = 1000000L)) > 1 OR size(filter({w}, x -> x = 1000000000L)) > 1 "
+            f"OR ({t} > 0 AND ({t} < {m} OR {t} < {b})) OR ({m} > 0 AND {m} < {b})"
+        )
+        part = lambda lo, hi: let({"p": f"slice({w}, CAST({lo} + 1 AS INT), CAST(greatest({hi} - {lo} - 1, 0) AS INT))"}, lambda x: _formation_sql(x["p"]))
+        last = f"greatest({b}, {m}, {t})"
+        return (
+            f"CASE WHEN size({w}) = 0 OR {bad} THEN NULL WHEN size({w}) = 1 THEN element_at({w}, 1) ELSE "
+            f"CASE WHEN {b} > 0 THEN ({part('0', b)}) * 1000000000L ELSE 0L END + CASE WHEN {m} > 0 THEN ({part(b, m)}) * 1000000L ELSE 0L END "
+            f"+ CASE WHEN {t} > 0 THEN ({part(f'greatest({b}, {m})', t)}) * 1000L ELSE 0L END "
+            f"+ CASE WHEN {last} = size({w}) THEN 0L ELSE {part(last, f'(size({w}) + 1)')} END END"
+        )
+
+    at = lambda x: f"array_position({words}, {x}L)"
+    return let({"w": words, "b": at(1000000000), "m": at(1000000), "t": at(1000)}, body)
+
+
 def word_number_sql(s: str) -> str:
-    """Digits-only text -> canonical integer; number words -> digits (bounded subset)."""
+    """Digits-only text -> canonical integer; number words -> their number, with digits after 'point'."""
     w = f"lower(replace({s}, '-', ' '))"
     keys = ", ".join(q(k) for k in NUMBER_WORDS)
-    vals = ", ".join(str(v) for v in NUMBER_WORDS.values())
-    words = f"map_from_arrays(array({keys}), array({vals}))"
-    toks = f"filter(split({strip(w)}, {q(r'\s+')}), t -> array_contains(array({keys}), t))"
-    blockers = f"exists(split({w}, {q(r'\s+')}), t -> t IN ({', '.join(q(x) for x in _UNSUPPORTED_NUMBER_WORDS)}))"
-    t1, t2 = f"try_element_at({toks}, 1)", f"try_element_at({toks}, 2)"
-    tens = ", ".join(q(x) for x in _TENS)
-    ones = ", ".join(q(x) for x in _ONES)
+    vals = ", ".join(f"{v}L" for v in NUMBER_WORDS.values())
+    found = f"transform(filter(split({strip(w)}, {q(r'\s+')}), t -> array_contains(array({keys}), t)), t -> element_at(map_from_arrays(array({keys}), array({vals})), t))"
+
+    def spelt(v: dict[str, str]) -> str:
+        n, p = v["n"], f"array_position({v['n']}, -1L)"
+        whole = f"slice({n}, 1, CAST({p} - 1 AS INT))"
+        digits = f"slice({n}, CAST({p} + 1 AS INT), size({n}))"
+        bad = f"size(filter({n}, x -> x = -1L)) > 1 OR exists({digits}, x -> x > 9L)"
+        value = words_value_sql(whole)
+        tail = f"array_join(transform({digits}, x -> CAST(x AS STRING)), '')"
+        return (
+            f"CASE WHEN {p} = 0 THEN CAST(({words_value_sql(n)}) AS STRING) WHEN {bad} OR size({digits}) = 0 THEN NULL "
+            f"ELSE concat(coalesce(CAST(({value}) AS STRING), CASE WHEN {p} = 1 THEN '0' END), '.', coalesce(nullif(regexp_replace({tail}, {q(r'0+$')}, ''), ''), '0')) END"
+        )
+
+    number = let({"n": found}, spelt)
+    letters = f"{w} RLIKE '(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|teen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|zero|hundred|thousand|million|billion)'"
     return (
-        f"CASE WHEN {w} RLIKE '^[0-9]+$' THEN {rx(w, r'^0+(?=[0-9])')} "
-        f"WHEN {blockers} THEN {s} "
-        f"WHEN size({toks}) = 1 THEN CAST(try_element_at({words}, {t1}) AS STRING) "
-        f"WHEN size({toks}) = 2 AND {t1} IN ({tens}) AND {t2} IN ({ones}) "
-        f"THEN CAST(try_element_at({words}, {t1}) + try_element_at({words}, {t2}) AS STRING) "
-        f"ELSE {s} END"
+        f"CASE WHEN {w} RLIKE {q(r'\A[0-9]+\z')} THEN {rx(w, r'^0+(?=[0-9])')} "
+        f"WHEN {letters} THEN coalesce({number}, {s}) ELSE {s} END"
     )
 
 
@@ -148,10 +185,6 @@ def normalize_stages(s: str, skip_unit: bool = False) -> list[str]:
     return stages
 
 
-# Plain integers: the whole chain only strips leading zeros of unsigned ones.
-_PLAIN_INT = r"^-?[0-9]+$"
-
-
 def _merged_stages(col: str, skip_unit: bool) -> list[str]:
     """Stages whose expression reads the current value once are folded into the
     previous stage (no duplication); the others keep their own projection."""
@@ -165,7 +198,7 @@ def _merged_stages(col: str, skip_unit: bool) -> list[str]:
 
 
 # Plain integers: the whole chain only strips leading zeros of unsigned ones.
-_PLAIN_INT = r"^-?[0-9]+$"
+_PLAIN_INT = r"\A-?[0-9]+\z"
 
 
 def normalize_answers(df: DataFrame, src: str, dst: str, skip_unit: bool = False) -> DataFrame:

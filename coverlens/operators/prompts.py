@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # --- fixed values: instruction template (system / user / assistant turns) ------
 USER_HEAD = (
-    "\nBelow is an instruction that describes a task, paired with an input that provides further context. "
+    "Below is an instruction that describes a task, paired with an input that provides further context. "
     "Write a response that appropriately completes the request.\n\n### Instruction:\n"
     "Solve the following math problem, and put your final answer within \\\\boxed{}.\n\n### Input:\n"
 )
@@ -26,13 +26,16 @@ RUN_PREFIXES = [("default", None), ("prefix_Okay", "Okay"), ("prefix_Let", "Let"
 
 
 def render_turn(role: Column, content: Column) -> Column:
-    """B2: one message of the instruction template (loop body incl. its newlines)."""
-    body = (
+    """B2: one message of the instruction template.
+
+    The chat renderer trims the line break after each block tag, so only the
+    line breaks of the template's text and after a value remain.
+    """
+    return (
         F.when(role == "user", F.concat(F.lit(USER_HEAD), content, F.lit(USER_TAIL)))
-        .when(role.isin("system", "assistant"), F.concat(F.lit("\n"), content, F.lit("\n")))
+        .when(role.isin("system", "assistant"), F.concat(content, F.lit("\n")))
         .otherwise(F.lit(""))
     )
-    return F.concat(F.lit("\n"), body, F.lit("\n"))
 
 
 def render_user_prompt(question: Column) -> Column:
@@ -51,7 +54,7 @@ def build_prompt(question: Column, template: str | None = None) -> Column:
         if "<question>" in template:
             question = F.replace(F.lit(template), F.lit("<question>"), question)
         else:
-            question = F.format_string(template.replace("{}", "%s"), question, F.lit(""))
+            question = F.format_string(template.replace("%", "%%").replace("{}", "%s"), question, F.lit(""))
     return render_user_prompt(question)
 
 

@@ -9,6 +9,8 @@ one row per partition, broadcast).  The order key must be a total order.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,4 +54,6 @@ def rank_within(df: DataFrame, group: str | Sequence[str], order: Sequence[str],
     groups = [group] if isinstance(group, str) else list(group)
     ranked = global_rank(df, [*groups, *order], "__g")
     starts = ranked.groupBy(*groups).agg(F.min("__g").alias("__start"))
-    return ranked.join(starts, groups, "inner").withColumn(name, F.col("__g") - F.col("__start") + 1).drop("__g", "__start")
+    starts = starts.withColumnsRenamed({g: f"__key_{g}" for g in groups})
+    same = reduce(and_, (F.col(g).eqNullSafe(F.col(f"__key_{g}")) for g in groups))  # rows of a null group keep their place
+    return ranked.join(starts, same, "inner").withColumn(name, F.col("__g") - F.col("__start") + 1).drop("__g", "__start", *(f"__key_{g}" for g in groups))

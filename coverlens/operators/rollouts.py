@@ -48,7 +48,11 @@ def rollout_stats(df: DataFrame, by: str = "iteration") -> DataFrame:
 
 def padded_batches(df: DataFrame, batch: str = "batch") -> DataFrame:
     """H4: pad query+response to the batch maximum; ids 0, labels -100, masks 0/1,
-    advantages 0.0 outside the response."""
+    advantages 0.0 outside the response.
+
+    ``advantage`` holds one number for each response token, or one for all.
+    """
+    per_token = F.col("advantage").cast("array<double>") if dict(df.dtypes)["advantage"].startswith("array") else F.array_repeat(F.col("advantage").cast("double"), F.size("response_ids"))
     q, r = F.col("query_ids"), F.col("response_ids")
     ql, rl = F.size(q), F.size(r)
     df = df.withColumn("__len", ql + rl).withColumn("__max", F.max(ql + rl).over(Window.partitionBy(batch)))
@@ -60,7 +64,7 @@ def padded_batches(df: DataFrame, batch: str = "batch") -> DataFrame:
         F.concat(F.array_repeat(F.lit(IGNORE_INDEX), ql), r, F.array_repeat(F.lit(IGNORE_INDEX), pad)).alias("labels"),
         F.concat(F.array_repeat(F.lit(0), ql), F.array_repeat(F.lit(1), rl), F.array_repeat(F.lit(0), pad)).alias("labels_mask"),
         F.concat(
-            F.array_repeat(F.lit(0.0), ql), F.array_repeat(F.col("advantage").cast("double"), rl), F.array_repeat(F.lit(0.0), pad)
+            F.array_repeat(F.lit(0.0), ql), per_token, F.array_repeat(F.lit(0.0), pad)
         ).alias("advantages"),
     ).drop("__len", "__max")
 
@@ -80,17 +84,34 @@ def token_loss_metrics(tok: DataFrame, by: str = "iteration") -> DataFrame:
     return tok.groupBy(by).agg(
         F.round(F.try_divide(F.sum(-F.col("logp") * F.col("adv") * m), total), 9).alias("policy_loss"),
         F.round(F.try_divide(F.sum((F.exp(delta) - 1 - delta) * m), total), 9).alias("kl_penalty"),
-        F.round(F.try_divide(-F.sum("logp"), total), 9).alias("entropy"),
+        F.round(F.try_divide(-F.sum(F.col("logp") * m), total), 9).alias("entropy"),
         F.round(F.try_divide(F.sum(F.when(F.abs(F.col("adv")) < ZERO_TOL, m).otherwise(F.lit(0.0))), total), 9).alias("zero_advantages_ratio"),
     )
 
 
 def log_softmax_gather(logits: Column, index: Column, temperature: float = 1.0) -> Column:
-    """H8: ``log_softmax(logits / T)[index]`` with the max shift (index 0-based)."""
-    scaled = F.transform(logits, lambda x: x.cast("double") / F.lit(temperature))
-    mx = F.array_max(scaled)
-    lse = mx + F.log(F.aggregate(scaled, F.lit(0.0), lambda acc, x: acc + F.exp(x - mx)))
-    return F.element_at(scaled, index + 1) - lse
+    """H8: ``log_softmax(logits / T)[index]`` with the max shift (index 0-based).
+
+    The running maximum and the sum of exponentials relative to it are carried
+    through one pass, so the cost is linear in the vocabulary.
+    """
+    scaled = lambda x: x.cast("double") / F.lit(temperature)
+    start = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(acc: Column, x: Column) -> Column:
+        v = scaled(x)
+        grown = F.struct(v.alias("m"), (acc["s"] * F.exp(acc["m"] - v) + 1.0).alias("s"))
+        return F.when(v > acc["m"], grown).otherwise(F.struct(acc["m"].alias("m"), (acc["s"] + F.exp(v - acc["m"])).alias("s")))
+
+    lse = F.aggregate(logits, start, step, lambda acc: acc["m"] + F.log(acc["s"]))
+    return scaled(F.element_at(logits, index + 1)) - lse
+
+
+def shifted_log_probs(logits: Column, labels: Column, temperature: float = 1.0) -> Column:
+    """H8 over a sequence: position t scores label t + 1, and labels of -100 score 0 (the masked positions)."""
+    at = F.sequence(F.lit(0), F.size(labels) - 2)
+    score = lambda t: F.when(F.get(labels, t + 1) == IGNORE_INDEX, F.lit(0.0)).otherwise(log_softmax_gather(F.get(logits, t), F.get(labels, t + 1), temperature))
+    return F.when(F.size(labels) > 1, F.transform(at, score)).otherwise(F.array().cast("array<double>"))
 
 
 KEY_METRICS = [

@@ -11,6 +11,8 @@ the run key over a histogram that is at most cutoff^2 rows per run).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +38,10 @@ def process_generations(gens: DataFrame, data_name: str = "math") -> DataFrame:
     key = ["mode", "cleaned", "gt_answer"]
     distinct = ex.select(*key).distinct()
     graded = grade_answers(normalize_answers(finish_answers(distinct, data_name), "gt_answer", "gt_norm"), "pred_answer", "gt_norm")
-    out = ex.join(graded, key, "inner")
-    return out.drop("cleaned")
+    # null-safe: a sample without a truth keeps its row
+    right = graded.withColumnsRenamed({k: f"__{k}" for k in key})
+    out = ex.join(right, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key)), "inner")
+    return out.drop("cleaned", *(f"__{k}" for k in key))
 
 
 def graded_counts(
@@ -77,12 +81,3 @@ def evaluate_pass_at_k(
     counts = graded_counts(gens, run_keys, data_name, cutoff)
     return pass_at_k(counts, list(run_keys))
 
-
-def run_summary(processed: DataFrame, run_keys: Sequence[str] = ("run", "split")) -> DataFrame:
-    """Mean response length, validity and accuracy per run."""
-    return processed.groupBy(*run_keys).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.round(F.avg("response_len"), 9).alias("mean_response_len"),
-        F.count_if("is_valid").alias("n_valid"),
-        F.count_if("is_correct").alias("n_correct"),
-    )

@@ -68,25 +68,30 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """§3.2: four samples per group, reward 0/1, finish reason, iteration.
-
-    Positions inside a user come from a distributed rank (a user holding a
-    large share of events is split over tasks)."""
-    from coverlens.operators.ranking import rank_within
-
-    ev = rank_within(table(spark, sf_dir, "events"), "user_id", ["event_id"], "__pos")
-    return ev.select(
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§3.2 without groups: reward 0/1, finish reason, iteration."""
+    return table(spark, sf_dir, "events").select(
         F.col("event_id"),
         F.col("user_id").alias("question_id"),
-        F.floor((F.col("__pos") - 1) / 4).cast("int").alias("grp"),
         F.when((F.col("event_id") % 12).isin(1, 5, 7, 9), F.lit(0.0)).otherwise(F.lit(1.0)).alias("reward"),
         F.when(F.col("value") > 100, F.lit("length")).otherwise(F.lit("stop")).alias("finish_reason"),
         F.dayofmonth("ts").alias("iteration"),
         (F.lit(1) + F.col("event_id") % 9).cast("int").alias("resp_len"),
+        F.col("ts").cast("timestamp").alias("ts"),
     )
 
 
+def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§3.2: ``episodes`` in groups of four samples of a question.
+
+    Positions inside a question come from a distributed rank (a question
+    holding a large share of the rows is split over tasks)."""
+    from coverlens.operators.ranking import rank_within
+
+    ranked = rank_within(episodes(spark, sf_dir).drop("ts"), "question_id", ["event_id"], "__pos")
+    return ranked.withColumn("grp", F.floor((F.col("__pos") - 1) / 4).cast("int")).drop("__pos")
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """§3.5: logged per-token log-probs, advantages and masks (lineitem)."""
     li = table(spark, sf_dir, "lineitem")
@@ -179,7 +184,7 @@ def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
               WHEN 2 THEN concat(CAST(p_size AS STRING), ' \\text{ cm}')
               WHEN 3 THEN concat(CAST(p_size AS STRING), '^\\circ')
               WHEN 4 THEN concat('00', CAST(p_size AS STRING))
-              WHEN 5 THEN element_at(array('seven', 'Twenty-one', 'one hundred', 'ninety nine'), CAST(p_size % 4 AS INT) + 1)
+              WHEN 5 THEN element_at(array('seven', 'Twenty-one', 'one hundred', 'ninety nine', 'two hundred five', 'one thousand', 'three million two thousand one hundred and six', 'two point five'), CAST(p_size % 8 AS INT) + 1)
               WHEN 6 THEN concat(CAST(p_size AS STRING), '.000')
               WHEN 7 THEN concat('\\dfrac', CAST(p_size % 10 AS STRING), CAST(p_partkey % 10 AS STRING))
               WHEN 8 THEN concat(CAST(p_size AS STRING), '/', CAST(p_size + 1 AS STRING))
@@ -229,6 +234,6 @@ def counterfact(spark: SparkSession, sf_dir: str) -> DataFrame:
     digit = lambda d: F.substring(F.lit("0123456789AB"), (d + 1).cast("int"), 1)
     return o.select(
         k.alias("id"), base.alias("base"),
-        F.concat(digit(k % 5 + 1), digit(k % 7)).alias("p"),
-        F.concat(digit(k % 3 + 1), digit((k * 5) % 7)).alias("q"),
+        F.concat(digit(k % (base - 1) + 1), digit((k * 3) % base)).alias("p"),
+        F.concat(digit((k * 7) % (base - 1) + 1), digit((k * 5) % base)).alias("q"),
     )

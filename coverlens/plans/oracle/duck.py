@@ -1,7 +1,8 @@
 """DuckDB SQL for the oracle side of the correctness gate.
 
-Written independently of the Spark builders: RE2 regexes (no possessive
-quantifiers, ASCII ``\\W``/``\\d``), ``\\1`` group references, list lambdas.
+It shares the fixed lists with the Spark builders, and follows the same
+reading of the rules; what guards that reading are the hand-derived rows of
+tests/test_golden.py.  RE2 regexes (ASCII ``\\W``/``\\d``), list lambdas.
 Each builder takes DuckDB SQL text and returns DuckDB SQL text; stage chains
 become nested ``SELECT * REPLACE`` sub-queries.
 """
@@ -10,7 +11,8 @@ from __future__ import annotations
 
 from coverlens.functions.fixed_values import NUMBER_WORDS, UNIT_TEXTS_WITH_PLURALS
 
-WS = "(' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
+#: Python's blanks by code point.
+WS = "(" + " || ".join(f"chr({c})" for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]) + ")"
 NL = "chr(10)"
 
 
@@ -57,22 +59,18 @@ def stages(source: str, col: str, exprs: list[str]) -> str:
 
 # ---------------------------------------------------------------- extraction
 
-def balanced_body(depth: int = 10) -> str:
-    inner = r"[^{}]*"
-    for _ in range(depth):
-        inner = r"(?:[^{}]|\{" + inner + r"\})*"
-    return inner
-
-
-BODY = balanced_body(10)
+def closing(x: str) -> str:
+    """Place in ``x`` (which begins with a brace) of the brace that closes the first one, NULL if none does: running depth over the characters."""
+    chars = f"string_split({x}, '')"
+    depth = f"list_transform(range(1, len({chars}) + 1), lambda i: len(list_filter({chars}[1:i], lambda c: c = '{{')) - len(list_filter({chars}[1:i], lambda c: c = '}}')))"
+    return f"list_position({depth}, 0)"
 
 
 def boxed(text: str) -> str:
     ans = after_last(text, "boxed")
-    braced = f"regexp_extract({ans}, {s('^{(' + BODY + ')}')}, 1)"
-    closes = f"regexp_matches({ans}, {s('^{' + BODY + '}')})"
+    end = closing(ans)
     return (
-        f"CASE WHEN starts_with({ans}, '{{') THEN (CASE WHEN {closes} THEN {braced} ELSE substr({ans}, 2) END) "
+        f"CASE WHEN starts_with({ans}, '{{') THEN substr({ans}, 2, coalesce({end} - 2, length({ans}))) "
         f"ELSE {strip(before_first(ans, '$'))} END"
     )
 
@@ -121,6 +119,51 @@ def _units_list() -> str:
 UNITS = _units_list()
 
 
+def _let(name: str, value: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _formation(a: str) -> str:
+    return (
+        f"(CASE len({a}) WHEN 4 THEN {a}[1] * {a}[2] + {a}[3] + {a}[4] WHEN 3 THEN {a}[1] * {a}[2] + {a}[3] "
+        f"WHEN 2 THEN CASE WHEN list_contains({a}, 100) THEN {a}[1] * {a}[2] ELSE {a}[1] + {a}[2] END WHEN 1 THEN {a}[1] END)"
+    )
+
+
+def _words_value(w: str) -> str:
+    """Value of a list of number words' values: billions, millions, thousands and the rest."""
+    at = lambda x: f"coalesce(list_position({w}, {x}), 0)"
+    b, m, t = at(1000000000), at(1000000), at(1000)
+    times = lambda x: f"len(list_filter({w}, lambda y: y = {x}))"
+    last = f"greatest({b}, {m}, {t})"
+    return (
+        f"(CASE WHEN len({w}) = 0 OR {times(1000)} > 1 OR {times(1000000)} > 1 OR {times(1000000000)} > 1 "
+        f"OR ({t} > 0 AND ({t} < {m} OR {t} < {b})) OR ({m} > 0 AND {m} < {b}) THEN NULL WHEN len({w}) = 1 THEN {w}[1] ELSE "
+        f"CASE WHEN {b} > 0 THEN {_formation(f'{w}[1:{b} - 1]')} * 1000000000 ELSE 0 END "
+        f"+ CASE WHEN {m} > 0 THEN {_formation(f'{w}[{b} + 1:{m} - 1]')} * 1000000 ELSE 0 END "
+        f"+ CASE WHEN {t} > 0 THEN {_formation(f'{w}[greatest({b}, {m}) + 1:{t} - 1]')} * 1000 ELSE 0 END "
+        f"+ CASE WHEN {last} = len({w}) THEN 0 ELSE {_formation(f'{w}[{last} + 1:]')} END END)"
+    )
+
+
+def word_number(c: str) -> str:
+    """Digit-only text and number words, as integers or decimals."""
+    w = f"lower(replace({c}, '-', ' '))"
+    keys = "[" + ", ".join(s(k) for k in NUMBER_WORDS) + "]"
+    vals = "[" + ", ".join(f"{v}::BIGINT" for v in NUMBER_WORDS.values()) + "]"
+    found = f"list_transform(list_filter(regexp_split_to_array({strip(w)}, '\\s+'), lambda t: list_contains({keys}, t)), lambda t: {vals}[list_position({keys}, t)])"
+    p = "coalesce(list_position(nw.n, -1), 0)"
+    digits = f"nw.n[{p} + 1:]"
+    tail = f"coalesce(nullif(regexp_replace(array_to_string(list_transform({digits}, lambda d: CAST(d AS VARCHAR)), ''), '0+$', ''), ''), '0')"
+    spelt = (
+        f"CASE WHEN {p} = 0 THEN CAST({_words_value('nw.n')} AS VARCHAR) "
+        f"WHEN len(list_filter(nw.n, lambda y: y = -1)) > 1 OR len(list_filter({digits}, lambda y: y > 9)) > 0 OR len({digits}) = 0 THEN NULL "
+        f"ELSE coalesce(CAST({_words_value(f'nw.n[1:{p} - 1]')} AS VARCHAR), CASE WHEN {p} = 1 THEN '0' END) || '.' || {tail} END"
+    )
+    value = _let("nw", f"{{'n': {found}}}", spelt)
+    return f"CASE WHEN regexp_full_match({w}, '[0-9]+') THEN regexp_replace({w}, '^0+([0-9])', '\\1') ELSE coalesce({value}, {c}) END"
+
+
 def normalize_exprs(c: str, skip_unit: bool = False) -> list[str]:
     x = strip(c)
     x = rep(x, "\n")
@@ -146,22 +189,7 @@ def normalize_exprs(c: str, skip_unit: bool = False) -> list[str]:
     x = rep(rep(x, "\\$"), "$")
     x = rep(rep(x, "\\("), "\\)")
     out.append(x)
-    # number words (bounded subset) and digit-only text
-    w = f"lower(replace({c}, '-', ' '))"
-    keys = "[" + ", ".join(s(k) for k in NUMBER_WORDS) + "]"
-    vals = "[" + ", ".join(str(v) for v in NUMBER_WORDS.values()) + "]"
-    toks = f"list_filter(regexp_split_to_array({strip(w)}, '\\s+'), lambda t: list_contains({keys}, t))"
-    val = lambda t: f"{vals}[list_position({keys}, {t})]"
-    blockers = f"len(list_filter(regexp_split_to_array({w}, '\\s+'), lambda t: t IN ('thousand', 'million', 'billion', 'point'))) > 0"
-    tens = "(" + ", ".join(s(k) for k, v in NUMBER_WORDS.items() if 20 <= v <= 90) + ")"
-    ones = "(" + ", ".join(s(k) for k, v in NUMBER_WORDS.items() if 1 <= v <= 9) + ")"
-    out.append(
-        f"CASE WHEN regexp_full_match({w}, '[0-9]+') THEN regexp_replace({w}, '^0+([0-9])', '\\1') "
-        f"WHEN {blockers} THEN {c} "
-        f"WHEN len({toks}) = 1 THEN CAST({val(toks + '[1]')} AS VARCHAR) "
-        f"WHEN len({toks}) = 2 AND {toks}[1] IN {tens} AND {toks}[2] IN {ones} "
-        f"THEN CAST({val(toks + '[1]')} + {val(toks + '[2]')} AS VARCHAR) ELSE {c} END"
-    )
+    out.append(word_number(c))
     x = rx(c, r"\\text\{(.*?)\}", r"\1")
     for key in ["x=", "y=", "z=", "x\\in", "y\\in", "z\\in", "x\\to", "y\\to", "z\\to"]:
         x = rep(x, key)
@@ -259,6 +287,11 @@ def element_equal(p: str, r: str) -> str:
     )
 
 
+def side_equal(a: str, b: str) -> str:
+    """Sides of two equations: the same text, or exactly the same number."""
+    return f"({a} = {b} OR coalesce({fraction_value(a)} = {fraction_value(b)}, false))"
+
+
 def grade_query(source: str, pred: str = "pred_answer", gt: str = "gt_norm") -> str:
     """Adds ``tier`` and ``is_correct`` (F10) to the rows of ``source``."""
     early = (
@@ -289,10 +322,7 @@ def grade_query(source: str, pred: str = "pred_answer", gt: str = "gt_norm") ->
     eq = lambda x: f"(length({x}) - length(replace({x}, '=', '')))"
     lhs = lambda x: strip(f"string_split({x}, '=')[1]")
     rhs = lambda x: strip(f"string_split({x}, '=')[-1]")
-    pair_ok = (
-        f"(({element_equal(lhs(p), lhs(r))} AND {element_equal(rhs(p), rhs(r))}) OR "
-        f"({element_equal(lhs(p), rhs(r))} AND {element_equal(rhs(p), lhs(r))}))"
-    )
+    pair_ok = f"(({side_equal(lhs(p), lhs(r))} AND {side_equal(rhs(p), rhs(r))}) OR ({side_equal(lhs(p), rhs(r))} AND {side_equal(rhs(p), lhs(r))}))"
     side_ok = (
         f"(CASE WHEN {eq(p)} = 1 AND length({lhs(p)}) <= 2 AND {eq(r)} = 0 THEN {element_equal(f'string_split({p}, {s(chr(61))})[-1]', r)} "
         f"WHEN {eq(r)} = 1 AND length({lhs(r)}) <= 2 AND {eq(p)} = 0 THEN {element_equal(p, f'string_split({r}, {s(chr(61))})[-1]')} ELSE false END)"
@@ -407,16 +437,16 @@ def reward_boxed(text: str) -> str:
     """E9 in DuckDB: after the first </think> (to a second one), last \\boxed{...}."""
     body = f"(CASE WHEN {has(text, '</think>')} THEN string_split({text}, '</think>')[2] ELSE {text} END)"
     tail = after_last(body, "\\boxed")
-    group = f"regexp_extract({tail}, {s('^{(' + BODY + ')}')}, 1)"
-    closes = f"regexp_matches({tail}, {s('^{' + BODY + '}')})"
+    end = closing(tail)
+    group = f"CASE WHEN starts_with({tail}, '{{') AND {end} IS NOT NULL THEN substr({tail}, 2, {end} - 2) ELSE '' END"
     spaced = before_first(after_last(body, "\\boxed "), "$")
-    return f"(CASE WHEN {has(body, chr(92) + 'boxed ')} THEN {spaced} WHEN {has(body, chr(92) + 'boxed')} AND {closes} THEN {group} ELSE '' END)"
+    return f"(CASE WHEN {has(body, chr(92) + 'boxed ')} THEN {spaced} WHEN {has(body, chr(92) + 'boxed')} THEN {group} ELSE '' END)"
 
 
 def reward_int_match(text: str, target: str) -> str:
     ans = reward_boxed(text)
     as_int = f"CASE WHEN regexp_matches({ans}, {s(r'^\s*[+-]?[0-9](?:_?[0-9])*\s*$')}) THEN TRY_CAST(replace({strip(ans)}, '_', '') AS BIGINT) END"
-    return f"(CASE WHEN abs(CAST({as_int} AS DOUBLE) - CAST({target} AS DOUBLE)) < 1e-5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+    return f"(CASE WHEN abs(CAST({as_int} AS DOUBLE) - TRY_CAST({target} AS DOUBLE)) < 1e-5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
 
 
 ANSWERS = r"""
@@ -482,8 +512,8 @@ def pair_ok(p: str, r: str) -> str:
     lhs = lambda x: strip(f"string_split({x}, '=')[1]")
     rhs = lambda x: strip(f"string_split({x}, '=')[-1]")
     return (
-        f"({_eqc(p)} = 1 AND {_eqc(r)} = 1 AND (({element_equal(lhs(p), lhs(r))} AND {element_equal(rhs(p), rhs(r))}) OR "
-        f"({element_equal(lhs(p), rhs(r))} AND {element_equal(rhs(p), lhs(r))})))"
+        f"({_eqc(p)} = 1 AND {_eqc(r)} = 1 AND (({side_equal(lhs(p), lhs(r))} AND {side_equal(rhs(p), rhs(r))}) OR "
+        f"({side_equal(lhs(p), rhs(r))} AND {side_equal(rhs(p), lhs(r))})))"
     )
 
 
@@ -503,7 +533,7 @@ SELECT p_partkey,
     WHEN 2 THEN CAST(p_size AS VARCHAR) || ' \text{ cm}'
     WHEN 3 THEN CAST(p_size AS VARCHAR) || '^\circ'
     WHEN 4 THEN '00' || CAST(p_size AS VARCHAR)
-    WHEN 5 THEN ['seven', 'Twenty-one', 'one hundred', 'ninety nine'][CAST(p_size % 4 AS INTEGER) + 1]
+    WHEN 5 THEN ['seven', 'Twenty-one', 'one hundred', 'ninety nine', 'two hundred five', 'one thousand', 'three million two thousand one hundred and six', 'two point five'][CAST(p_size % 8 AS INTEGER) + 1]
     WHEN 6 THEN CAST(p_size AS VARCHAR) || '.000'
     WHEN 7 THEN '\dfrac' || CAST(p_size % 10 AS VARCHAR) || CAST(p_partkey % 10 AS VARCHAR)
     WHEN 8 THEN CAST(p_size AS VARCHAR) || '/' || CAST(p_size + 1 AS VARCHAR)
@@ -555,8 +585,8 @@ FROM part, (SELECT unnest(range(1, 11)) AS i)
 
 COUNTERFACT = """
 SELECT o_orderkey AS id, [7, 9, 11, 12][CAST(o_orderkey % 4 AS INTEGER) + 1] AS base,
-       substr('0123456789AB', CAST(o_orderkey % 5 + 2 AS INTEGER), 1) || substr('0123456789AB', CAST(o_orderkey % 7 + 1 AS INTEGER), 1) AS p,
-       substr('0123456789AB', CAST(o_orderkey % 3 + 2 AS INTEGER), 1) || substr('0123456789AB', CAST((o_orderkey * 5) % 7 + 1 AS INTEGER), 1) AS q
+       substr('0123456789AB', CAST(o_orderkey % (base - 1) + 2 AS INTEGER), 1) || substr('0123456789AB', CAST((o_orderkey * 3) % base + 1 AS INTEGER), 1) AS p,
+       substr('0123456789AB', CAST((o_orderkey * 7) % (base - 1) + 2 AS INTEGER), 1) || substr('0123456789AB', CAST((o_orderkey * 5) % base + 1 AS INTEGER), 1) AS q
 FROM orders
 """
 

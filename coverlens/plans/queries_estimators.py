@@ -157,14 +157,14 @@ def q_prefix_effect(spark, sf):
 
 
 @register("coverage_set_ops", oracle=lambda: f"""
-WITH q AS (SELECT run, question_id, max(c > 0) AS solved FROM {_duck_counts(['run', 'split'], cutoff=2)} GROUP BY run, question_id),
-d AS (SELECT question_id FROM q WHERE solved AND run = 'view')
-SELECT run, question_id, 'gained' AS relation FROM q WHERE solved AND run <> 'view' AND question_id NOT IN (SELECT question_id FROM d)
+WITH q AS (SELECT run, split, question_id, prompt_id, max(c > 0) AS solved FROM {_duck_counts(['run', 'split'])} GROUP BY ALL),
+d AS (SELECT split, question_id, prompt_id FROM q WHERE solved AND run = 'view')
+SELECT run, split, question_id, prompt_id, 'gained' AS relation FROM q ANTI JOIN d USING (split, question_id, prompt_id) WHERE solved AND run <> 'view'
 UNION ALL
-SELECT run, question_id, 'lost' AS relation FROM q WHERE NOT solved AND run <> 'view' AND question_id IN (SELECT question_id FROM d)""")
+SELECT run, split, question_id, prompt_id, 'lost' AS relation FROM q SEMI JOIN d USING (split, question_id, prompt_id) WHERE NOT solved AND run <> 'view'""")
 def q_coverage_set_ops(spark, sf):
-    """Questions a run solves within 2 samples that the default run ('view') does not, and the reverse."""
-    return cov.coverage_set_ops(_outcome_counts(spark, sf, ["run", "split"], cutoff=2), "view")
+    """Questions a run solves that the default run ('view') does not, and the reverse."""
+    return cov.coverage_set_ops(_outcome_counts(spark, sf, ["run", "split"]), "view")
 
 
 @register("subset_rollup", oracle=lambda: f"""

@@ -16,14 +16,22 @@ _CS = f"({duck.CHAIN_STEPS})"
 _CF = f"({duck.COUNTERFACT})"
 
 
-@register("gen_chain_problems")
+_DUCK_HASH = lambda *parts: "('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 15))::BIGINT"
+
+
+@register("gen_chain_problems", oracle=f"""
+SELECT p_partkey AS id,
+       list_transform(list_sort(list_transform(range(0, 26), lambda i: {{'h': md5('{GN.SEED}|' || CAST(p_partkey AS VARCHAR) || '|l' || CAST(i AS VARCHAR)), 'l': chr(CAST(97 + i AS INTEGER))}})), lambda s: s.l) AS letters,
+       list_transform(range(1, 21), lambda i: {_DUCK_HASH(f"'{GN.SEED}'", "CAST(p_partkey AS VARCHAR)", "CAST(i AS VARCHAR)")} % {GN.MAX_CONST} + 1) AS constants,
+       {_DUCK_HASH(f"'{GN.SEED}'", "CAST(p_partkey AS VARCHAR)", "'-1'")} % {GN.MAX_CONST} + 1 AS premise_value
+FROM part""")
 def q_gen_chain_problems(spark, sf):
     """Per problem key a seeded letter permutation, 20 constants and a premise value."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
     return part.select(
         "id", GN.letter_permutation(F.col("id")).alias("letters"),
         GN.hashed_slots(F.col("id"), 20).alias("constants"),
-        (F.pmod(F.xxhash64(F.lit(GN.SEED), F.col("id"), F.lit(-1)), F.lit(GN.MAX_CONST)) + 1).alias("premise_value"),
+        (GN.seeded(F.col("id"), F.lit(-1)) % GN.MAX_CONST + 1).alias("premise_value"),
     )
 
 
@@ -166,11 +174,12 @@ def q_paired_directions(spark, sf):
              (F.col("fa") == F.col("ra")).alias("same_answer"))
 
 
-@register("shuffle_rows")
+@register("shuffle_rows", oracle=f"""
+SELECT p_partkey AS id, row_number() OVER (ORDER BY md5('{GN.SEED}|' || CAST(p_partkey AS VARCHAR)), p_partkey) AS shuffle_pos FROM part""")
 def q_shuffle_rows(spark, sf):
     """Seeded hash order of the problems (position per row)."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    p = p.withColumn("__h", F.xxhash64(F.lit(GN.SEED), "id"))
+    p = p.withColumn("__h", F.md5(F.concat_ws("|", F.lit(GN.SEED), F.col("id"))))
     return global_rank(p, ["__h", "id"], "shuffle_pos").drop("__h")
 
 
@@ -179,7 +188,7 @@ def _cf(spark, sf):
     a = F.expr("CAST(conv(p, base, 10) AS BIGINT)")
     b = F.expr("CAST(conv(q, base, 10) AS BIGINT)")
     return c.select("id", "base", "p", "q", F.expr("conv(CAST(CAST(conv(p, base, 10) AS BIGINT) + CAST(conv(q, base, 10) AS BIGINT) AS STRING), 10, base)").alias("label"),
-                    (F.col("p").cast("bigint") + F.col("q").cast("bigint")).alias("__dec"), a.alias("__a"), b.alias("__b"))
+                    (F.col("p").try_cast("bigint") + F.col("q").try_cast("bigint")).alias("__dec"), a.alias("__a"), b.alias("__b"))
 
 
 _DUCK_CF = f"""(SELECT id, base, p, q, {duck.base_digits(duck.base_value('p', 'base') + ' + ' + duck.base_value('q', 'base'), 'base')} AS label,

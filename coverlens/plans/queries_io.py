@@ -72,11 +72,11 @@ def q_src_shard_lineage(spark, sf):
     return r.groupBy("shard_split", "shard_seed", "shard_ts", "shard_worker").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@register("src_examples_parquet", oracle="SELECT doc_id AS index, substr(text, 1, 80) AS question, lang FROM documents ORDER BY doc_id LIMIT 100")
+@register("src_examples_parquet", oracle="SELECT doc_id AS index, text AS question, lang FROM documents ORDER BY doc_id LIMIT 100")
 def q_src_examples_parquet(spark, sf):
     """A4: Parquet examples, the first 100 by index."""
     d = _dir(spark, "examples")
-    table(spark, sf, "documents").select(F.col("doc_id").alias("index"), F.substring("text", 1, 80).alias("question"), "lang").write.parquet(d)
+    table(spark, sf, "documents").select(F.col("doc_id").alias("index"), F.col("text").alias("question"), "lang").write.parquet(d)
     return R.read_examples(spark, d, 100)
 
 
@@ -162,7 +162,7 @@ FROM ({duck.ROLLOUTS}) WHERE iteration % 10 = 0""")
 def q_snk_episodes(spark, sf):
     """Every 10th iteration's episodes as JSON under phase/iteration folders."""
     d = _dir(spark, "episodes")
-    r = fixtures.rollouts(spark, sf).select(
+    r = fixtures.episodes(spark, sf).select(
         F.lit("train").alias("phase"), "iteration", F.concat(F.lit("q"), F.col("question_id").cast("string")).alias("query"),
         F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("response"), "reward",
     )
@@ -172,10 +172,10 @@ def q_snk_episodes(spark, sf):
 
 
 @register("src_run_config", oracle=lambda: f"""
-SELECT 'run_' || event_type AS run, 'VLLMSampler' AS sampler_class, 'model-' || event_type AS model,
+SELECT 'run_' || event_type AS run, 'ChatCompletionSampler' AS sampler_class, 'model-' || event_type AS model,
   CASE WHEN event_type = 'view' THEN NULL ELSE upper(substr(event_type, 1, 1)) || substr(event_type, 2) END AS thinking_prefix,
   CAST(NULL AS VARCHAR[]) AS stop, 0.6 ::DOUBLE AS temperature, 0.95::DOUBLE AS top_p, -1 AS top_k,
-  CAST(max(length(props)) AS INTEGER) AS max_tokens, 32768 AS max_model_len, 'model-' || event_type AS tokenizer_path
+  CAST(max(length(props)) AS INTEGER) AS max_tokens, 32768 AS max_model_len, CAST(NULL AS INTEGER) AS first_topk, true AS trust_remote_code, CAST(NULL AS VARCHAR) AS tokenizer_path
 FROM events GROUP BY event_type""")
 def q_src_run_config(spark, sf):
     """Per-run sampler configs (one JSON record per run, derived from the runs in

@@ -26,8 +26,8 @@ _TAIL = duck.s(P.USER_TAIL)
 
 def _duck_turn(role: str, content: str) -> str:
     return (
-        f"(chr(10) || CASE WHEN {role} = 'user' THEN {_HEAD} || {content} || {_TAIL} "
-        f"WHEN {role} IN ('system', 'assistant') THEN chr(10) || {content} || chr(10) ELSE '' END || chr(10))"
+        f"(CASE WHEN {role} = 'user' THEN {_HEAD} || {content} || {_TAIL} "
+        f"WHEN {role} IN ('system', 'assistant') THEN {content} || chr(10) ELSE '' END)"
     )
 
 
@@ -140,17 +140,17 @@ def q_flatten_conversations(spark, sf):
 
 def _sft(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", P.sft_messages(F.substring("text", 1, 80), F.col("text")).alias("messages"))
+    return d.select("doc_id", P.sft_messages(F.col("text"), F.col("text")).alias("messages"))
 
 
 @register("sft_messages", oracle="""
-SELECT doc_id, [{'role': 'user', 'content': substr(text, 1, 80)}, {'role': 'assistant', 'content': ' ' || text}] AS messages FROM documents""")
+SELECT doc_id, [{'role': 'user', 'content': text}, {'role': 'assistant', 'content': ' ' || text}] AS messages FROM documents""")
 def q_sft_messages(spark, sf):
     """user/assistant message pairs from whole documents."""
     return _sft(spark, sf)
 
 
-_DUCK_SFT_TEXT = f"SELECT doc_id, {_duck_turn(chr(39) + 'user' + chr(39), 'substr(text, 1, 80)')} || {_duck_turn(chr(39) + 'assistant' + chr(39), chr(39) + ' ' + chr(39) + ' || text')} AS text FROM documents"
+_DUCK_SFT_TEXT = f"SELECT doc_id, {_duck_turn(chr(39) + 'user' + chr(39), 'text')} || {_duck_turn(chr(39) + 'assistant' + chr(39), chr(39) + ' ' + chr(39) + ' || text')} AS text FROM documents"
 
 
 @register("sft_render_text", oracle=lambda: _DUCK_SFT_TEXT)

@@ -30,8 +30,7 @@ FROM w WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM r) - INTERVAL 1 DAY""")
 def q_stream_reward_monitor(spark, sf):
     """Watermarked daily reward windows; windows still open at the end are not emitted."""
     base = M.workdir(spark, "reward-monitor")
-    ev = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    r = fixtures.rollouts(spark, sf).join(ev, "event_id").select(
+    r = fixtures.episodes(spark, sf).select(
         "event_id", "ts", "reward", "finish_reason", "resp_len", (F.col("event_id") % 4).cast("int").alias("shard")
     )
     M.stage_shards(r, f"{base}/shards")

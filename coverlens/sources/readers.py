@@ -12,6 +12,8 @@ GENERATION_SCHEMA = (
     "sampler_config STRING, prompt_tokens INT, completion_tokens INT, sample_id BIGINT"
 )
 JOB_SCHEMA = "job_dir STRING, run_name STRING, split STRING, num_samples INT"
+#: Fixed value: the sampler class of a config that names none.
+DEFAULT_SAMPLER = "ChatCompletionSampler"
 SHARD_NAME = r"([^/]+)\.generations_seed(\d+)\.(\d{8}_\d{6})_(\d+)\.csv"
 
 
@@ -27,14 +29,14 @@ def read_benchmark(spark: SparkSession, name: str, registry: dict[str, str], jso
 
 
 def read_generation_shards(spark: SparkSession, sample_dir: str, split: str) -> DataFrame:
-    """A2/A3: every ``{split}.generations*`` shard (multi-line quoted CSV) with
+    """A2/A3: every ``{split}.generations*.csv`` shard (multi-line quoted CSV) with
     its lineage (split, seed, timestamp, worker) parsed from the file name."""
     try:
         df = (
             spark.read.schema(GENERATION_SCHEMA)
             .option("header", True).option("multiLine", True).option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .csv(f"{sample_dir.rstrip('/')}/{split}.generations*")
+            .csv(f"{sample_dir.rstrip('/')}/{split}.generations*.csv")
         )
     except AnalysisException as e:
         raise FileNotFoundError(f"No generation CSVs found in {sample_dir} for split '{split}'") from e
@@ -42,9 +44,9 @@ def read_generation_shards(spark: SparkSession, sample_dir: str, split: str) ->
     return df.select(
         "*",
         F.regexp_extract(path, SHARD_NAME, 1).alias("shard_split"),
-        F.regexp_extract(path, SHARD_NAME, 2).cast("int").alias("shard_seed"),
+        F.regexp_extract(path, SHARD_NAME, 2).try_cast("int").alias("shard_seed"),
         F.regexp_extract(path, SHARD_NAME, 3).alias("shard_ts"),
-        F.regexp_extract(path, SHARD_NAME, 4).cast("int").alias("shard_worker"),
+        F.regexp_extract(path, SHARD_NAME, 4).try_cast("int").alias("shard_worker"),
     )
 
 
@@ -76,7 +78,7 @@ def read_run_configs(spark: SparkSession, paths: list[str]) -> DataFrame:
         s = dict(cfg.get("sampler", {}))
         stop = s.pop("stop", None)
         rows.append((
-            os.path.basename(os.path.dirname(p)), s.pop("class", "VLLMSampler"), s.pop("model_name", None),
+            os.path.basename(os.path.dirname(p)), s.pop("class", DEFAULT_SAMPLER), s.pop("model_name", None),
             s.pop("thinking_prefix", None), None if stop is None else str(stop),
             {k: str(v) for k, v in s.items()},
         ))
@@ -106,13 +108,14 @@ def run_dimension(configs: DataFrame) -> DataFrame:
     s = F.col("sampler")
     return configs.select(
         "run",
-        F.coalesce(s["class"], F.lit("VLLMSampler")).alias("sampler_class"),
+        F.coalesce(s["class"], F.lit(DEFAULT_SAMPLER)).alias("sampler_class"),
         s["model_name"].alias("model"),
         s["thinking_prefix"].alias("thinking_prefix"),
         s["stop"].alias("stop"),
         s["temperature"].alias("temperature"), s["top_p"].alias("top_p"), s["top_k"].alias("top_k"),
         s["max_tokens"].alias("max_tokens"), s["max_model_len"].alias("max_model_len"),
-        F.coalesce(F.col("tokenizer.path"), s["model_name"]).alias("tokenizer_path"),
+        s["first_topk"].alias("first_topk"), s["trust_remote_code"].alias("trust_remote_code"),
+        F.col("tokenizer.path").alias("tokenizer_path"),
     )
 
 
