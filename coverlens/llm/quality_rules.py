@@ -98,14 +98,20 @@ def _measured(d: DataFrame, *carried: str) -> DataFrame:
     return d.withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))).select(*carried, *MEASURES)
 
 
-def _with_bits(measured: DataFrame) -> DataFrame:
+def _with_bits(measured: DataFrame, *carried: str) -> DataFrame:
+    """``fail_bits`` beside the measurements.
+
+    They pass through a generator of one row: else the optimizer would move a
+    filter on them below the measuring steps and repeat those in it.
+    """
     bits = [F.when(F.expr(rule), F.lit(BITS[name])).otherwise(F.lit(0)).cast("long") for name, rule in RULES.items()]
-    return measured.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
+    book = measured.select(*carried, F.explode(F.array(F.struct(*MEASURES, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fail_bits")))).alias("m"))
+    return book.select(*carried, "m.*")
 
 
 def ledger(docs: DataFrame) -> DataFrame:
     """``measure`` with ``fail_bits``: bit r is set where rule r of RULES fails."""
-    return _with_bits(measure(docs))
+    return _with_bits(measure(docs), "doc_id")
 
 
 def filter_documents(docs: DataFrame, policy: str = "web-1") -> DataFrame:
@@ -114,9 +120,7 @@ def filter_documents(docs: DataFrame, policy: str = "web-1") -> DataFrame:
     at = names.index("text") if "text" in names else [n.lower() for n in names].index("text")
     carried = [f"c{i}" for i in range(len(names))]
     plain = docs.toDF(*carried)
-    book = _with_bits(_measured(plain.withColumn("t", F.col(f"c{at}")), *carried))
-    # a generator in between: else the optimizer moves the filter below the measuring steps and repeats them in it
-    book = book.select(*carried, F.explode(F.array(F.struct("fail_bits"))).alias("m")).select(*carried, "m.fail_bits")
+    book = _with_bits(_measured(plain.withColumn("t", F.col(f"c{at}")), *carried), *carried)
     return apply_policy(book, policy).where("kept").select(*(F.col(c).alias(n) for c, n in zip(carried, names)))
 
 
