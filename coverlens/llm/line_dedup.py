@@ -57,8 +57,9 @@ def _bare(line: Column) -> Column:
 def boilerplate(hosts: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``host`` and ``dropped``, the hashes of its boilerplate lines, from rows of ``host`` and ``text``."""
     hashes = F.transform(F.filter(F.transform(F.split("text", "\n"), _bare), lambda x: x != ""), lambda x: F.xxhash64(x))
-    pages = hosts.where("host IS NOT NULL AND text IS NOT NULL").select("host", F.array_sort(F.array_distinct(hashes)).alias("lines"))
-    pages = written(pages.distinct(), "line-sets")
+    # filtered once written: a filter on the text would compute it a second time
+    pages = hosts.select("host", F.array_sort(F.array_distinct(hashes)).alias("lines"))
+    pages = written(pages.distinct(), "line-sets").where("host IS NOT NULL AND lines IS NOT NULL")
     total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     lines = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     often = lines.where(F.col("n") >= least_pages).join(total, "host").where(F.col("n") > F.col("total") * F.lit(ratio))
@@ -75,7 +76,7 @@ def drop_lines(df: DataFrame, host: Column, text: str = "text", ratio: float = R
     at = names.index(text)
     often = boilerplate(plain.select("host", F.col(f"c{at}").alias("text")), ratio, least_pages)
     both = plain.join(often, "host", "left").withColumn("lines", F.split(f"c{at}", "\n"))
-    gone = lambda x: F.array_contains(F.col("dropped"), F.xxhash64(_bare(x))) & (_bare(x) != "")
+    gone = lambda x: F.array_contains(F.col("dropped"), F.xxhash64(_bare(x)))  # noqa: E731  blank lines are in no list
     both = both.withColumn("left_over", F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~gone(x))))
     out = [F.col(f"c{i}").alias(n) if i != at else F.array_join("left_over", "\n").alias(n) for i, n in enumerate(names)]
     if counts:
