@@ -53,7 +53,9 @@ def remove_units_sql(s: str) -> str:
         f"aggregate({unit_table_sql()}, {s}, (acc, u) -> CASE WHEN instr(acc, u.needle) > 0 "
         f"THEN coalesce(nullif(regexp_replace(acc, u.pat, '$1$2'), ''), acc) ELSE acc END)"
     )
-    return f"CASE WHEN {s} RLIKE {q(_HAS_WORD_CHAR)} THEN {fold} ELSE {s} END"
+    # without a match of any unit the fold changes nothing: one constant pattern tells
+    some = r"(?U)(?:^|\W)(?:" + "|".join(UNIT_TEXTS_WITH_PLURALS) + r")(?:$|\W)"
+    return f"CASE WHEN {s} RLIKE {q(_HAS_WORD_CHAR)} AND {s} RLIKE {q(some)} THEN {fold} ELSE {s} END"
 
 
 def _formation_sql(a: str) -> str:

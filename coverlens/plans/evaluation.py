@@ -11,8 +11,6 @@ the run key over a histogram that is at most cutoff^2 rows per run).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,20 +26,12 @@ QUESTION_KEYS = ("question_id", "prompt_id")
 def process_generations(gens: DataFrame, data_name: str = "math") -> DataFrame:
     """``process_df``: extract, normalise the truth, grade; drops ``response``.
 
-    Extraction is a per-row projection.  Normalisation and grading depend
-    only on (mode, cleaned answer, truth), so they run once per distinct
-    triple and are joined back on that key: AQE broadcasts the distinct side
-    when its runtime size allows, else a sort-merge join whose skewed
-    partitions AQE splits (a hot answer holds one row on the distinct side).
+    Everything is a per-row projection over one scan, without an exchange:
+    plain integers take the short way through normalisation, and the cheap
+    grading tiers settle most rows.
     """
     ex = extract_raw_answers(gens, data_name=data_name).drop("response")
-    key = ["mode", "cleaned", "gt_answer"]
-    distinct = ex.select(*key).distinct()
-    graded = grade_answers(normalize_answers(finish_answers(distinct, data_name), "gt_answer", "gt_norm"), "pred_answer", "gt_norm")
-    # null-safe: a sample without a truth keeps its row
-    right = graded.withColumnsRenamed({k: f"__{k}" for k in key})
-    out = ex.join(right, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key)), "inner")
-    return out.drop("cleaned", *(f"__{k}" for k in key))
+    return grade_answers(normalize_answers(finish_answers(ex, data_name), "gt_answer", "gt_norm"), "pred_answer", "gt_norm").drop("cleaned")
 
 
 def graded_counts(
