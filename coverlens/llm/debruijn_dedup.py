@@ -18,6 +18,10 @@ that is an anchor in one document alone, are compared by a 128-bit hash of
 their words: counted first, then joined back to their source coordinates.
 Windows whose own anchor no other document has cannot repeat.
 
+A text that repeats itself (one word a thousand times) meets the same node with
+the same windows again and again: these occurrences are one row with all their
+places, and such a node counts as branching.
+
 Rows of a common passage are combined before they are shuffled, and are joined
 to one row each, which Spark splits where they are many.
 
@@ -41,13 +45,14 @@ from coverlens.llm.repeats import BLOCK_ROWS, PIECE, Filter, copies, keyed, merg
 from coverlens.llm.words import mix, window_hashes, word_hashes, words
 
 LENGTH = 50
-ANCHOR = 12
+ANCHOR = 24
 _U = np.uint64
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _TYPES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-#: An occurrence of a node: its edges, its place and its neighbours' (-1: none), its first window, and the two hashes of each of its windows.
-_NODE = "node long, edge_in long, edge_out long, doc_id long, text_key long, at int, before int, after int, window int, hashes binary"
-_FOUND = "w1 long, w2 long, doc_id long, text_key long, lo int, hi int"
+#: An occurrence of a node: its edges, its place and its neighbours' (-1: none), its first window, the two hashes of each of its windows, and the first windows of all if it is several.
+_NODE = "node long, edge_in long, edge_out long, doc_id long, text_key long, at int, before int, after int, window int, hashes binary, starts binary"
+#: [lo, hi) is an interval of words, or with ``starts`` one from each of these.
+_FOUND = "w1 long, w2 long, doc_id long, text_key long, lo int, hi int, starts binary"
 
 
 def anchors(h: np.ndarray, n_words: np.ndarray, length: int, anchor: int):
@@ -105,13 +110,23 @@ def occurrences(bits, length: int = LENGTH, anchor: int = ANCHOR):
             before = np.where(joined[:-1], low - begin[text], -1)
             after = np.where(joined[1:], high - anchor - begin[text], -1)
             w = np.stack([window_hashes(h, length, 1), window_hashes(h, length, 2)], axis=1)
+            # occurrences of one text with equal windows: the first stands for all
+            content = mix(k[a][some] + of(p[some], p[some] + count[some] + length - 1))
+            order = np.lexsort((p[some], content, text[some]))
+            new = np.ones(len(order), bool)
+            new[1:] = (content[order][1:] != content[order][:-1]) | (text[some][order][1:] != text[some][order][:-1])
+            first = np.flatnonzero(new)
+            groups = np.split(some[order], first[1:])
+            some, many = some[order][first], np.diff(np.append(first, len(order))) > 1
+            starts = [(p[g] - begin[text[g[0]]]).astype("<i4").tobytes() if m else None for g, m in zip(groups, many)]
+            edge_in[some[many]] = edge_out[some[many]] = 0
             hashes = [w[s : s + c].tobytes() for s, c in zip(p[some].tolist(), count[some].tolist())]
             t = text[some]
             take = pa.array(t)
             yield pa.RecordBatch.from_arrays([
                 pa.array(k[a][some].view(np.int64)), pa.array(edge_in[some].view(np.int64)), pa.array(edge_out[some].view(np.int64)),
                 part["doc_id"].combine_chunks().take(take), part["text_key"].combine_chunks().take(take),
-                pa.array(a[some] - begin[t], pa.int32()), pa.array(before[some], pa.int32()), pa.array(after[some], pa.int32()), pa.array(p[some] - begin[t], pa.int32()), pa.array(hashes, pa.binary()),
+                pa.array(a[some] - begin[t], pa.int32()), pa.array(before[some], pa.int32()), pa.array(after[some], pa.int32()), pa.array(p[some] - begin[t], pa.int32()), pa.array(hashes, pa.binary()), pa.array(starts, pa.binary()),
             ], schema=types)
 
     return run
@@ -119,7 +134,7 @@ def occurrences(bits, length: int = LENGTH, anchor: int = ANCHOR):
 
 def _paths(length: int, anchor: int):
     """Intervals settled by nonbranching paths, and windows whose words must be compared (with w1, w2), from occurrences in the order of their text."""
-    types = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32()}[c.split()[1]]) for c in _FOUND.split(", ")])
+    types = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in _FOUND.split(", ")])
     reach = length - anchor  # a window at p holds the anchors from p to p + reach
 
     def settle(t: pa.Table) -> pa.RecordBatch:
@@ -127,7 +142,8 @@ def _paths(length: int, anchor: int):
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (at[1:] != at[:-1])])
         t = t.filter(pa.array(new)).combine_chunks()  # equal rows give equal occurrences
         doc, key, at, before, after, window = (t[c].to_numpy() for c in ("doc_id", "text_key", "at", "before", "after", "window"))
-        simple = t["simple"].to_numpy(zero_copy_only=False)
+        several = t["starts"].is_valid().to_numpy(zero_copy_only=False)
+        simple = t["simple"].to_numpy(zero_copy_only=False) & ~several
         earlier = t["first"].to_numpy() < doc
         raw, cut = buffers(t["hashes"])
         hashes, cut = raw.view("<i8").reshape(-1, 2), cut // 16
@@ -151,10 +167,12 @@ def _paths(length: int, anchor: int):
         open_ = np.flatnonzero(~path)
         none = pa.nulls(len(lo), pa.int64())
         own = row[open_]
+        base = np.where(several[own], window[own], 0)  # with starts, the interval counts from each of them
+        starts = pa.concat_arrays([pa.nulls(len(lo), pa.binary()), t["starts"].combine_chunks().take(pa.array(own))])
         join = lambda a, b, kind: pa.concat_arrays([a, pa.array(b, kind)])
         return pa.RecordBatch.from_arrays([
             join(none, hashes[open_, 0], pa.int64()), join(none, hashes[open_, 1], pa.int64()), pa.array(doc[np.concatenate([of, own])]), pa.array(key[np.concatenate([of, own])]),
-            pa.array(np.concatenate([lo, p[open_]]), pa.int32()), pa.array(np.concatenate([hi, p[open_] + length]), pa.int32()),
+            pa.array(np.concatenate([lo, p[open_] - base]), pa.int32()), pa.array(np.concatenate([hi, p[open_] - base + length]), pa.int32()), starts,
         ], schema=types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +195,17 @@ def _paths(length: int, anchor: int):
     return run
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An interval from each of ``starts``, joined where they touch."""
+    types = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+    for batch in batches:
+        raw, cut = buffers(batch["starts"])
+        at, cut = raw.view("<i4").astype(np.int64), cut // 4
+        row = np.repeat(np.arange(batch.num_rows), np.diff(cut))
+        lo, hi, row = merged(at + batch["lo"].to_numpy()[row], at + batch["hi"].to_numpy()[row], row)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row)), batch["text_key"].take(pa.array(row)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], schema=types)
+
+
 def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, text_key, lo, hi: word intervals of ``keyed`` texts, no copies among them, that occur in a smaller document."""
 
@@ -190,14 +219,15 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
         F.min("doc_id").alias("first"), (F.min("doc_id") < F.max("doc_id")).alias("shared"),
         ((F.min("edge_in") == F.max("edge_in")) & (F.min("edge_out") == F.max("edge_out"))).alias("simple"),
     ).where("shared")
-    known = seen.join(nodes, "node").select("doc_id", "text_key", "at", "before", "after", "window", "hashes", "first", "simple")
+    known = seen.join(nodes, "node").select("doc_id", "text_key", "at", "before", "after", "window", "hashes", "starts", "first", "simple")
     found = known.repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "at").mapInArrow(_paths(length, anchor), _FOUND)
     found = written(found, "windows")
     open_ = found.where("w1 IS NOT NULL")
     first = open_.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
     verified = open_.join(first, ["w1", "w2"]).where("doc_id > first")
     names = ["doc_id", "text_key", "lo", "hi"]
-    return found.where("w1 IS NULL").select(*names).unionByName(verified.select(*names))
+    several = verified.where("starts IS NOT NULL").select(*names, "starts").mapInArrow(_places, "doc_id long, text_key long, lo int, hi int")
+    return found.where("w1 IS NULL").select(*names).unionByName(verified.where("starts IS NULL").select(*names)).unionByName(several)
 
 
 def _digest(length: int):

@@ -138,7 +138,7 @@ def repeated_keys(docs: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarra
     found = docs.mapInArrow(keys, "bucket int, keys binary").groupBy("bucket").applyInPandas(again, "bucket int, n long, keys binary")
     found = written(found, "repeated-keys")
     n = found.agg(F.sum("n")).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, 8 * buckets, 1 << (16 * n).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 8 * buckets, 1 << (64 * n).bit_length()))
     width = bits // buckets
 
     def bitmap(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
