@@ -60,18 +60,19 @@ def subset_rollup(graded: DataFrame, correct: str = "is_correct") -> DataFrame:
 
 
 def mode_distribution(extracted: DataFrame, run: str = "run") -> DataFrame:
-    """Share of code vs text answers and of extraction branches per run."""
-    counts = extracted.groupBy(run, "mode", "branch").agg(F.count(F.lit(1)).alias("n"))
+    """Share of code vs text answers and of extraction branches per run, each with its accuracy."""
+    counts = extracted.groupBy(run, "mode", "branch").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_correct").alias("n_correct"))
     total = F.sum("n").over(Window.partitionBy(run))
-    return counts.withColumn("share", F.round(F.col("n") / total, 9))
+    return counts.withColumn("share", F.round(F.col("n") / total, 9)).withColumn("accuracy", F.round(F.col("n_correct") / F.col("n"), 9))
 
 
 def run_summary(processed: DataFrame, run_keys: Sequence[str] = ("run", "split")) -> DataFrame:
-    """Rows, mean response length, valid and correct answers per run."""
+    """Rows, mean response length, valid, correct and unsettled answers per run (an unsettled answer counts as wrong)."""
     return processed.groupBy(*run_keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.round(F.avg("response_len"), 9).alias("mean_response_len"),
         F.count_if("is_valid").alias("n_valid"),
         F.count_if("is_correct").alias("n_correct"),
+        F.count_if(F.col("tier") == "residual").alias("n_residual"),
         F.round(F.count_if("is_correct") / F.count(F.lit(1)), 9).alias("accuracy"),
     )

@@ -16,7 +16,6 @@ from coverlens.operators.estimators import (
     pass_at_k,
     pass_at_k_detail,
 )
-from coverlens.operators.extract import extract_answers
 from coverlens.operators.grade import all_tests_pass
 from coverlens.plans import fixtures
 from coverlens.plans.evaluation import process_generations
@@ -129,7 +128,8 @@ def q_instance_results(spark, sf):
 
 @register("run_summary", oracle=lambda: f"""
 SELECT run, split, count(*) AS n_rows, round(avg(response_len), 9) AS mean_response_len,
-       CAST(count_if(is_valid) AS BIGINT) AS n_valid, CAST(count_if(is_correct) AS BIGINT) AS n_correct, round(count_if(is_correct) / count(*), 9) AS accuracy
+       CAST(count_if(is_valid) AS BIGINT) AS n_valid, CAST(count_if(is_correct) AS BIGINT) AS n_correct, CAST(count_if(tier = 'residual') AS BIGINT) AS n_residual,
+       round(count_if(is_correct) / count(*), 9) AS accuracy
 FROM ({duck.processed_generations()}) GROUP BY run, split""")
 def q_run_summary(spark, sf):
     """Mean response length, valid and correct answers per run."""
@@ -177,15 +177,11 @@ def q_subset_rollup(spark, sf):
 
 
 @register("mode_distribution", oracle=lambda: f"""
-WITH x AS (SELECT run, CASE WHEN strpos(response, '<llm-code>') > 0 THEN 'code' ELSE 'nl' END AS mode,
-                  CASE WHEN strpos(response, '<llm-code>') > 0 THEN 'code_output' ELSE {duck.text_branch(duck.rep('response', 'ки'))[0]} END AS branch
-           FROM ({duck.GENERATIONS})),
-c AS (SELECT run, mode, branch, count(*) AS n FROM x GROUP BY ALL)
-SELECT *, round(n / sum(n) OVER (PARTITION BY run), 9) AS share FROM c""")
+WITH c AS (SELECT run, mode, branch, count(*) AS n, CAST(count_if(is_correct) AS BIGINT) AS n_correct FROM ({duck.processed_generations()}) GROUP BY ALL)
+SELECT *, round(n / sum(n) OVER (PARTITION BY run), 9) AS share, round(n_correct / n, 9) AS accuracy FROM c""")
 def q_mode_distribution(spark, sf):
-    """Share of code vs text answers and of extraction branches per run."""
-    ex = extract_answers(fixtures.generations(spark, sf)).select("run", "mode", "branch")
-    return cov.mode_distribution(ex)
+    """Share of code vs text answers and of extraction branches per run, with accuracy."""
+    return cov.mode_distribution(process_generations(fixtures.generations(spark, sf)))
 
 
 @register("metric_vectors", oracle=lambda: f"""
