@@ -17,12 +17,16 @@ sequences are one class from the start.  Of the signature, ``BANDS`` bands of
 miss with probability of at most (1 - 0.8 ** 4) ** 24, about 3e-6.
 
 No bucket is expanded into all pairs.  Round one compares each member with the
-smallest one of its bucket; linked texts unite.  Round two compares each member
-with a member that the band's own hash chooses, where a bucket still spans
-several components.  In the buckets that still do, every pair across components
-is compared, so no link that joins two components is lost: a pair inside a
-component changes nothing.  A comparison is exact: the two sets' elements are
-joined on the smaller id, then on the larger, and counted.
+most central one of its bucket (the one whose buckets are largest in sum, as
+the text is from which the others were copied); linked texts unite, and a pair
+inside a component needs no look.  Rounds two and three do the same, where a
+bucket still spans several components, with the most central member outside the
+first one's component and with one that a hash chooses.  The texts that are
+still in such buckets, few by now, get longer bands (FINE_BANDS of FINE_ROWS
+coordinates: at a similarity of 0.8 all miss with a probability of at most
+7e-4, at 0.5 one pair in 16 meets), and there every pair across components is
+compared.  A comparison is exact: the two sets' elements are joined on the
+smaller id, then on the larger, and counted.
 
 Defined cases: texts that are null or have no words are alone in their class;
 rows with equal words are in one class whatever their blanks; rows of one
@@ -48,7 +52,9 @@ from coverlens.llm.words import mix, window_hashes, word_hashes, words
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
-BYTES_AT_ONCE = 8 << 20
+FINE_BANDS, FINE_ROWS = 64, 10
+#: Bytes of text hashed at a time, and darts thrown at a time.
+BYTES_AT_ONCE, DARTS_AT_ONCE = 2 << 20, 1_000_000
 _U = np.uint64
 
 
@@ -126,11 +132,14 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
     """doc_id, whole (hash of the word sequence, 0 without words) and the bands' hashes of every text."""
     types = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
+    k = bands * rows
+    most_rows = max(1, int(DARTS_AT_ONCE / (k * math.log(k) + 2 * k)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_size(batches, "text", BYTES_AT_ONCE):
+        for part in by_size(batches, "text", BYTES_AT_ONCE, most_rows):
             raw, begin = buffers(part["text"])
             sets, values, n, whole = elements(raw, begin, shingle)
-            sig = dart_minhash(sets, values, n.astype(np.float64) if counted else np.ones(len(n)), len(whole), bands * rows)
+            sig = dart_minhash(sets, values, n.astype(np.float64) if counted else np.ones(len(n)), len(whole), k)
             band = np.zeros((len(whole), bands), _U)
             for r in range(rows):
                 band = mix(band + sig[:, r::rows] + _U(r))
@@ -160,6 +169,28 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _fine_pairs(docs: DataFrame, first: DataFrame, members: DataFrame, shingle: int, counted: bool) -> DataFrame:
+    """Pairs (a, b) of different components among ``members`` (doc_id, c) that share a band of FINE_ROWS coordinates."""
+    members = written(members, "open-members")
+    some = bounded_semi_join(docs, members.select("doc_id"), "doc_id")
+    signed = signatures(some, FINE_BANDS, FINE_ROWS, shingle, counted).join(first.select("doc_id", "whole"), ["doc_id", "whole"], "left_semi").dropDuplicates(["doc_id"])
+    rows = written(signed.select("doc_id", F.explode("bands").alias("bucket")).join(members, "doc_id"), "fine-buckets")
+    mixed = rows.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+    rows = rows.join(mixed, "bucket", "left_semi")
+    left = rows.select("bucket", F.col("doc_id").alias("a"), F.col("c").alias("ca"))
+    right = rows.select("bucket", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
+    return left.join(right, "bucket").where("a < b AND ca <> cb").select("a", "b")
+
+
+def _united(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` after further links: only the components that they join are connected anew."""
+    of = lambda x: label.select(F.col("id").alias(x), F.col("c").alias(f"c{x}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = components(between)
+    known = label.join(up.select(F.col("id").alias("c"), F.col("c").alias("u")), "c", "left").select("id", F.coalesce("u", "c").alias("c"))
+    return written(known.unionByName(up.join(label.select("id"), "id", "left_anti")), "labels")
+
+
 def compare(pairs: DataFrame, docs: DataFrame, first: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, counted: bool = False) -> DataFrame:
     """The pairs (a, b) of doc ids whose texts' elements have a Jaccard similarity of at least ``similarity``, exactly.
 
@@ -212,29 +243,34 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     signed = written(one.select("doc_id", "s.whole", "s.bands"), "signatures").where("whole <> 0")
     # the smallest doc_id of each word sequence stands for its copies
     heads = written(signed.groupBy("whole").agg(F.min("doc_id").alias("head")), "heads")
-    copies = signed.select("doc_id", "whole").join(heads, "whole").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     first = signed.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi")
     banded = first.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("bucket", "hub")
-    banded = written(banded.join(buckets, "bucket"), "buckets")
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    banded = written(banded.join(sizes, "bucket"), "buckets")
+    # a text in the middle of its group shares the large buckets in most bands
+    crowd = banded.groupBy("doc_id").agg(F.sum("n").alias("crowd"))
+    banded = written(banded.select("bucket", "doc_id").join(crowd, "doc_id"), "buckets")
     check = lambda pairs: compare(pairs, known, first, similarity, shingle, counted)
-    links = written(check(_ordered(banded, "doc_id", "hub")), "links")
-    for rule in ("other", "pairs"):
-        label = components(links)
-        now = banded.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("c", "doc_id").alias("c"))
-        open_ = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = written(now.join(open_, "bucket", "left_semi"), "open-buckets")
-        if rule == "other":
-            some = F.xxhash64("doc_id", "bucket")
-            chosen = open_.groupBy("bucket").agg(F.min_by("doc_id", some).alias("other"), F.min_by("c", some).alias("oc"))
-            pairs = _ordered(open_.join(chosen, "bucket").where("c <> oc"), "doc_id", "other")
-        else:
-            left = open_.select("bucket", F.col("doc_id").alias("a"), F.col("c").alias("ca"))
-            right = open_.select("bucket", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-            pairs = left.join(right, "bucket").where("a < b AND ca <> cb").select("a", "b")
-        links = written(links.unionByName(check(pairs)), "links")
-    label = components(links.unionByName(copies)).select(F.col("id").alias("doc_id"), "c")
-    out = written(d.select("doc_id").join(label, "doc_id", "left").select("doc_id", F.coalesce("c", "doc_id").alias("class_id")), "classes")
+    central = F.max_by("doc_id", F.struct("crowd", -F.col("doc_id")))
+    hubs = banded.groupBy("bucket").agg(central.alias("hub"))
+    label = components(written(check(_ordered(banded.join(hubs, "bucket"), "doc_id", "hub")), "links"))
+    for rule in ("central", "any", "fine"):
+        now = banded.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+        open_ = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("c", F.struct("crowd", -F.col("doc_id"))).alias("top")).where("lo <> hi")
+        open_ = written(now.join(open_.select("bucket", "top"), "bucket"), "open-buckets")
+        if not open_.take(1):
+            break
+        if rule == "fine":
+            pairs = _fine_pairs(known, first, open_.select("doc_id", "c").distinct(), shingle, counted)
+        else:  # the most central member beyond the component of the first hub; then any member
+            order = F.struct((F.col("c") != F.col("top")).cast("int"), "crowd", -F.col("doc_id")) if rule == "central" else F.struct(F.xxhash64("doc_id", "bucket"))
+            hubs = open_.groupBy("bucket").agg(F.max_by("doc_id", order).alias("hub"), F.max_by("c", order).alias("hc"))
+            pairs = _ordered(open_.join(hubs, "bucket").where("c <> hc"), "doc_id", "hub")
+        links = written(check(pairs), "links")
+        if links.take(1):
+            label = _united(label, links)
+    own = signed.join(heads, "whole").join(label.withColumnRenamed("id", "head"), "head", "left").select("doc_id", F.coalesce("c", "head").alias("c"))
+    out = written(d.select("doc_id").join(own, "doc_id", "left").select("doc_id", F.coalesce("c", "doc_id").alias("class_id")), "classes")
     sizes = out.where("class_id IS NOT NULL").distinct().groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
     return out.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("n", F.lit(1)).cast("long").alias("class_size"))
 
