@@ -67,13 +67,14 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
-        (self.mark,) = self._encode(_MARK)
-        self._forget()
+        ((self.mark,),) = self._encode([_MARK])
+        self.forget()
 
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Frees what has been learnt."""
         self.codes = _Codes({b" ": 0})  # no word is a blank: the code of a text's end
         self.ids, self.at = np.array([self.end_id], np.uint32), np.array([0, 1], np.int64)
 
@@ -81,14 +82,14 @@ class WordIds:
         """Ids of the words that are new, many to a text, a mark after each."""
         new = [w.decode("utf-8", "replace") for w in islice(self.codes, len(self.at) - 1, None)]
         ids, sizes = [self.ids], []
-        for i in range(0, len(new), 4_096):
-            part = new[i : i + 4_096]
+        for i in range(0, len(new), 512):
+            part = new[i : i + 512]
             if any(_MARK in w for w in part):
-                got = [self._encode(w) for w in part]
+                got = self._encode(part)
                 ids.append(np.array([x for w in got for x in w], np.uint32))
                 sizes.append(np.array([len(w) for w in got]))
             else:
-                got = np.array(self._encode(f" {_MARK} ".join(part) + f" {_MARK}"), np.uint32)
+                got = np.array(self._encode([f" {_MARK} ".join(part) + f" {_MARK}"])[0], np.uint32)
                 marks = np.flatnonzero(got == self.mark)
                 ids.append(np.delete(got, marks))
                 sizes.append(np.diff(marks, prepend=-1) - 1)
@@ -98,7 +99,7 @@ class WordIds:
     def __call__(self, raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with the end id, and where each begins."""
         if len(self.codes) > MOST_WORDS:
-            self._forget()
+            self.forget()
         data, words, ends = raw.tobytes(), [], []
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
             words += data[a:b].split()
@@ -189,6 +190,7 @@ def _first_pass(path: str, capacity: int, open_windows: int, end_id: int, types:
                 packer.place(key, ids[a:b])
             yield _batch(packer.done, types)
             packer.done = []
+        encode.forget()  # the worker may go on with other work
         rest = packer.close()
         yield _batch(packer.done, types)
         yield _batch([(key, start, len(ids), None, total, None, None, task, i, ids.tobytes()) for i, (key, start, ids, total) in enumerate(rest)], types)
