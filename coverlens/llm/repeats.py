@@ -31,7 +31,7 @@ _U = np.uint64
 KEY_BITS = 48
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 #: Bytes of text hashed at a time, and in a block of keys; documents in a block.
-PIECE, BLOCK, BLOCK_ROWS = 4 << 20, 32 << 20, 60_000
+PIECE, BLOCK, BLOCK_ROWS = 2 << 20, 32 << 20, 60_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
