@@ -4,8 +4,8 @@ Fitting: at most ``SAMPLE`` distinct vectors (those with the smallest hash of
 their id) are halved recursively at the median, so all lists get alike shares,
 and a few rounds of k-means with a penalty on large lists settle the centroids.
 The centroids and a graph that links each to its nearest ones stay in memory
-(both are bounded by the sample); every vector and query finds its lists by a
-best-first walk over that graph.
+(both are bounded by the sample); every vector finds its lists by a best-first
+walk over that graph, a query by comparison with all centroids.
 
 Indexing: *every* vector is posted to its nearest list and, if it lies near a
 boundary, to further lists whose distance is within ``BOUNDARY`` times the
@@ -14,7 +14,11 @@ vector.  Lists are cut into blocks of about ``BLOCK`` vectors, so a large list
 is many rows rather than one.
 
 Searching: a query reads the lists within ``PRUNE`` times its nearest
-centroid's distance, ``LISTS`` at most and ``LEAST_LISTS`` at least.  Blocks of
+centroid's distance, ``LISTS`` of them at most, and in any case its ``depth``
+nearest lists.  The depth is measured on the table itself: ``SAMPLE_QUERIES``
+queries (those with the smallest hash) are compared with every vector, and the
+depth is the least at which their lists hold ``RECALL`` of the neighbours so
+found; it has no upper bound but the number of lists.  Blocks of
 queries meet blocks of the same list by an equi-join and each pair keeps its
 best; duplicates from replicated postings collapse when the best are merged.  A
 query that has found too few then reads all lists.
@@ -48,6 +52,8 @@ PER_LIST = 200
 MOST_LISTS = 2_048
 REPLICAS, BOUNDARY = 4, 1.15
 LISTS, LEAST_LISTS, PRUNE = 48, 8, 1.35
+#: The part of the sampled queries' true neighbours that the lists must hold, and the size of that sample.
+RECALL, SAMPLE_QUERIES = 0.98, 256
 BEAM, LINKS = 64, 16
 BLOCK = 512
 
@@ -144,17 +150,52 @@ def postings(centroids: Centroids, x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def probes(centroids: Centroids, x: np.ndarray) -> list[np.ndarray]:
-    """The lists that each unit query reads."""
+def probes(centroids: Centroids, x: np.ndarray, depth: int = 0) -> list[np.ndarray]:
+    """The lists that each unit query reads, nearest first: by distance ratio, and ``depth`` at least."""
     out = []
-    for row in centroids.walk(x):
-        order = np.argsort(-row, kind="stable")[:LISTS]
-        order = order[np.isfinite(row[order])]
-        d = _distance(row[order])
-        out.append(order[: max(min(LEAST_LISTS, len(order)), int((d <= PRUNE * d[0]).sum()))])
+    for row in x @ centroids.points.T:
+        order = np.argsort(-row, kind="stable")
+        d = _distance(row[order[:LISTS]])
+        out.append(order[: max(min(LEAST_LISTS, len(order)), int((d <= PRUNE * d[0]).sum()), depth)])
     return out
 
 
+def nearest_of_all(classes: DataFrame, qids: np.ndarray, x: np.ndarray, k: int) -> DataFrame:
+    """q, id, score: the ``k`` vectors nearest to each of a few unit queries, by comparison with every one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score, ids = np.zeros((len(x), 0)), np.zeros((len(x), 0), np.int64)
+        for f in frames:
+            for start in range(0, len(f), 4_096):
+                part = f.iloc[start : start + 4_096]
+                own = part["id"].to_numpy()
+                got = x @ _unit(_vectors(part["v"])).T
+                got[qids[:, None] == own] = -np.inf
+                score, ids = np.concatenate([score, got], axis=1), np.concatenate([ids, np.broadcast_to(own, got.shape)], axis=1)
+                at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                score, ids = np.take_along_axis(score, at, 1), np.take_along_axis(ids, at, 1)
+        best = pd.DataFrame({"q": np.repeat(qids, score.shape[1]), "id": ids.ravel(), "score": score.ravel()})
+        yield best[np.isfinite(best["score"])]
+
+    best = classes.select("id", "v").mapInPandas(run, "q long, id long, score double")
+    return best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k).select("q", "id", "score")
+
+
+def fit_depth(centroids: Centroids, classes: DataFrame, posted: DataFrame, asked: DataFrame, k: int, recall: float = RECALL) -> int:
+    """The least number of nearest lists that hold ``recall`` of the true neighbours of a sample of queries."""
+    some = asked.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLE_QUERIES).select("id", "v").toPandas()
+    if not len(some):
+        return 0
+    x = _unit(_vectors(some["v"]))
+    true = nearest_of_all(classes, some["id"].to_numpy(), x, k)
+    at = posted.select("id", "list").join(F.broadcast(true.select("q", "id")), "id").groupBy("q", "id").agg(F.collect_set("list").alias("lists")).collect()
+    read = {q: len(own) for q, own in zip(some["id"], probes(centroids, x))}
+    place = {q: np.argsort(np.argsort(-row, kind="stable")) for q, row in zip(some["id"], x @ centroids.points.T)}
+    need = [int(place[r.q][r.lists].min()) + 1 for r in at]
+    need = sorted(0 if n <= read[r.q] else n for n, r in zip(need, at))
+    return need[int(np.ceil(recall * len(need))) - 1] if need else 0
+
+
 def valid(vectors: DataFrame) -> DataFrame:
     """vec_id and v (doubles) of the vectors that take part."""
     v = F.col("embedding").cast("array<double>")
@@ -224,7 +265,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPL
         one = pairs.groupBy("q", "id").agg(F.max("score").alias("score"))
         return one.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1).select("q", "id", "score")
 
-    found = written(meet(asked.mapInPandas(assigned(probes), row)), "neighbours")
+    depth = fit_depth(centroids, classes, posted, asked, k)
+    found = written(meet(asked.mapInPandas(assigned(lambda c, x: probes(c, x, depth)), row)), "neighbours")
     few = asked.join(found.groupBy("q").agg(F.count(F.lit(1)).alias("c")).withColumnRenamed("q", "id"), "id", "left").where(F.coalesce("c", F.lit(0)) < min(k + 1, n)).select("id", "v")
     few = written(few, "queries-left")
     if few.take(1):

@@ -1,6 +1,7 @@
 """Neighbours against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from coverlens.llm import ann
@@ -61,3 +62,12 @@ def test_small_and_empty(spark):
     assert [(r.rank, r.vec_id) for r in ann.search(df, F.col("vec_id") == 0).collect()] == [(1, 2), (2, 1)]
     assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0
     assert ann.search(df, F.lit(False)).count() == 0
+
+
+@pytest.mark.parametrize("n", [20_000, 40_000])  # 1,000 and 2,000 lists
+def test_recall_without_clusters_in_many_lists(spark, monkeypatch, n):
+    monkeypatch.setattr(ann, "PER_LIST", 20)
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    rows = ann.search(df, F.col("vec_id") % 100 == 0).collect()
+    assert _recall(rows, brute(list(range(n)), x, range(0, n, 100))) >= 0.95
