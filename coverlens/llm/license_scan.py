@@ -3,7 +3,8 @@
 A text is made canonical: lower case, lines with a copyright mark dropped,
 marks and blanks one space, equivalent spellings one spelling.  Its SHA-256 is
 looked up by a hash join in the table of known digests, which is as long as the
-list of notices below and therefore always small enough to broadcast.  Two
+list of notices below and therefore always small enough to broadcast.  Texts
+are known with and without their title and the line 'All rights reserved'.  Two
 units are looked up: each whole text, and each of its lines, so that a document
 that is a licence and one that ends in a notice are both found.
 
@@ -76,12 +77,76 @@ SPELLINGS = (
     (" gplv2 ", " gpl version 2 "), (" gplv3 ", " gpl version 3 "), (" gnu general public license ", " gnu gpl "), (" gnu lesser general public license ", " gnu lgpl "),
     (" gnu affero general public license ", " gnu agpl "),
 )
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: ",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. ",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY '
+    "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+
+
+def _bsd(clauses: int) -> tuple[str, ...]:
+    """With numbers or other marks before the clauses, and either word for the holder."""
+    mark = lambda numbered, i: f"{i}. " if numbered else "* "
+    return tuple(
+        _BSD[0] + "".join(mark(numbered, i) + _BSD[i] for i in range(1, clauses + 1)) + _BSD[4].format(holder)
+        for numbered in (True, False) for holder in ("HOLDER", "OWNER", "HOLDERS")
+    )
+
+
+#: Further whole texts.
+MORE_TEXTS: dict[str, tuple[str, ...]] = {
+    "BSD-2-Clause": _bsd(2),
+    "BSD-3-Clause": _bsd(3),
+    "MIT-0": (
+        TEXTS["MIT"].replace(", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "."),
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+        "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution.",
+    ),
+    "BSL-1.0": (
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") '
+        "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, "
+        "all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, "
+        "must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely "
+        "in the form of machine-executable object code generated by a source language processor. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, '
+        "TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+}
+#: Titles that stand above the texts.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"),
+}
+#: What the registered SQL drops; it has no line of a text to keep.
 COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©|&copy;)[^\n]*$"
+#: A line with a notice: a mark, or the word with a year or holder after it; no line of a text that only begins with the word.
+NOTICE_LINE = (
+    r"(?m)^[ \t]*(\(c\)|©|&copy;|copyrights?(?![a-z])[ \t:,]*+(?=[^\s])"
+    r"(?!(notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|and|or|in|of|to|on|is|are|shall|may|must)(?![a-z])|[.;)\"']))[^\n]*$"
+)
 
 
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, marks and blanks one space, spellings unified, one space at either end."""
-    out = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, " "), r"[^a-z0-9]+", " "), F.lit(" "))
+    out = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(text), NOTICE_LINE, " "), r"[^a-z0-9]+", " "), F.lit(" "))
     out = F.regexp_replace(out, r" +", " ")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
@@ -95,9 +160,16 @@ def notices() -> list[tuple[str, str]]:
     return cited + tags + list(TEXTS.items())
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """(SPDX id, text) of every whole text, as it stands and below its titles."""
+    texts = {spdx: (text,) for spdx, text in TEXTS.items()} | MORE_TEXTS
+    heads = lambda spdx: [(t, a) for t in ("", *TITLES[spdx]) for a in ("", "All rights reserved.")]
+    return [(spdx, f"{title}\n{rights}\n{text}") for spdx, own in texts.items() for text in own for title, rights in heads(spdx)]
+
+
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """``digest`` and ``spdx``; of notices with one canonical text the first id stays."""
-    rows = [(i, spdx, text) for i, (spdx, text) in enumerate(texts or notices())]
+    rows = [(i, spdx, text) for i, (spdx, text) in enumerate(texts or notices() + whole_texts())]
     table = spark.createDataFrame(rows, "i int, spdx string, text string").select("i", "spdx", F.sha2(canonical(F.col("text")), 256).alias("digest"))
     return table.groupBy("digest").agg(F.min_by("spdx", "i").alias("spdx"))
 

@@ -57,3 +57,20 @@ def test_licences(spark):
         (8, "text", 0, "CC-BY-NC-4.0"), (8, "line", 1, "CC-BY-NC-4.0"), *[(0, "text", 0, "MIT"), (0, "line", 1, "MIT")] * 2,
     ])
     assert license_scan.scan(df.limit(0)).count() == 0
+
+
+def test_whole_texts_with_titles_and_wrapped_lines(spark):
+    isc, mit = license_scan.TEXTS["ISC"], license_scan.TEXTS["MIT"]
+    bsd = license_scan.MORE_TEXTS["BSD-3-Clause"][0]
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit, "MIT"),
+        (2, "Copyright 2020 Someone\n" + isc.replace(" copyright notice", "\ncopyright notice"), "ISC"),
+        (3, "copyright Someone Else\n" + mit.replace(" COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS"), "MIT"),
+        (4, "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + bsd.replace(" copyright holder", "\ncopyright holder").replace("COPYRIGHT HOLDER ", "\nCOPYRIGHT HOLDER\n"), "BSD-3-Clause"),
+        (5, license_scan.MORE_TEXTS["BSD-2-Clause"][3].replace("* ", "\n- "), "BSD-2-Clause"),
+        (6, "Boost Software License - Version 1.0 - August 17th, 2003\n" + license_scan.MORE_TEXTS["BSL-1.0"][0], "BSL-1.0"),
+        (7, license_scan.MORE_TEXTS["MIT-0"][0].replace(". ", ".\n"), "MIT-0"),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.spdx for r in license_scan.scan(df).where("unit = 'text'").collect()}
+    assert got == {i: spdx for i, _, spdx in rows}
