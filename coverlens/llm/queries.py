@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlens.llm import ann, byte_bpe, debruijn_dedup, license_scan, line_dedup, minhash, packing, quality_rules, secret_scan, suffix_dedup
+from coverlens.llm import ann, byte_bpe, debruijn_dedup, exact_dedup, fill_in_middle, license_scan, line_dedup, minhash, packing, quality_rules, secret_scan, spelling, suffix_dedup
 from coverlens.llm.common import documents
 
 
@@ -62,6 +62,21 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its commoner near word, the root that those lead to, and how many words are one edit away."""
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's output with its parts in another order, and the text rebuilt from it, as digests."""
+    return fill_in_middle.transform(documents(spark, sf_dir))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its equal texts."""
+    return exact_dedup.groups(documents(spark, sf_dir))
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -120,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_minhash": op10_minhash,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -148,5 +166,58 @@ f AS (
          + CASE WHEN 10 * n_letters < 4 * word_chars THEN 64 ELSE 0 END AS BIGINT) AS fail_bits
   FROM m)
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, fail_bits = 0 AS kept, 'web-1' AS policy FROM f
+""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE bits AS (
+  SELECT i, list_reduce([i::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT],
+         lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c
+  FROM range(256) AS r(i)),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits),
+runs AS (
+  SELECT doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')) AS x FROM documents)),
+seen AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(strlen(s)), lambda i: ('0x' || substr(hex(s), 2 * i::BIGINT + 1, 2))::UBIGINT)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS h
+  FROM seen, tab),
+noisy AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM noisy WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+v AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+near AS (
+  SELECT v.word, w.word AS other FROM v JOIN w ON w.word = v.d
+  UNION SELECT w.word, v.word FROM v JOIN w ON w.word = v.d
+  UNION SELECT a.word, b.word FROM v AS a JOIN v AS b ON a.i = b.i AND a.d = b.d AND a.word <> b.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, max(w.n) AS most, arg_min(near.other, struct_pack(a := -w.n, b := encode(near.other))) AS other
+  FROM near JOIN w ON w.word = near.other GROUP BY near.word),
+form AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN other END AS form, CASE WHEN most >= 10 * w.n THEN most END AS form_n FROM w LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS root FROM form
+  UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON form.word = walk.root WHERE form.form IS NOT NULL),
+steps AS (SELECT walk.word, root FROM walk JOIN form ON form.word = walk.root WHERE form.form IS NULL)
+SELECT form.word, form, root, n, n_near, form_n FROM form JOIN steps USING (word)
+""",
+    "op12_fill_in_middle": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM t),
+c AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (SELECT *, substr(t, 1, a) AS x, substr(t, a + 1, b - a) AS y, substr(t, b + 1) AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+       sha256(CASE WHEN form = 'plain' THEN t ELSE x || y || z END) AS restored_sha256
+FROM p
+""",
+    "op13_exact_dedup": """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
+FROM d
 """,
 }
