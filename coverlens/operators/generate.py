@@ -1,4 +1,4 @@
-"""C1-C15 — deterministic synthetic problem tables.
+"""C1, C4, C5, C11-C15 — deterministic synthetic problem tables (problems with their texts and outputs: ``chains``).
 
 Randomness is a seeded hash of (seed, id, slot) (MD5, which every SQL engine
 has), never a driver RNG, so a problem's content does not depend on partitioning.  Chains are
@@ -11,14 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverlens.operators.ranking import global_rank
-
 SEED = 42
 MAX_CONST = 20
 STEPS = 10
 
 # --- fixed values: problem and solution wording --------------------------------
-PROBLEM_HEAD = "Consider a system of variables where each variable is defined as follows: "
+PROBLEM_TEXT = ("Consider a system of variables where each variable is defined as follows: ", ". If ", ", determine the value of ", ".")
 OPENINGS = [
     "To find the target value, we compute the following variables step by step:",
     "We compute the following variables step by step to obtain the target value.",
@@ -28,10 +26,10 @@ DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES = [7, 9, 11, 12]
 COT_TAIL = "Let's think step by step, and end the response with the result in \"\\boxed{result}\"."
 PLAIN_TAIL = "End the response with the result in \"\\boxed{result}\"."
+BASE_TEXT = ("You are a mathematician. Assuming that all numbers are in base-", ' where the digits are "', '", what is ', "? ")
+TRIVIAL_TEXT = ("What is ", "? ")
 # ------------------------------------------------------------------------------
 
-SPLIT_SIZES = [("sft", 6400), ("rlvr", 1600), ("test", 1000)]
-
 
 def seeded(id_col: Column, slot: Column, seed: int = SEED) -> Column:
     """A number of 60 bits from MD5 of ``seed|id|slot``."""
@@ -81,21 +79,8 @@ def reverse_trace(steps: DataFrame) -> DataFrame:
 
 def problem_text(rules: Column, premise: Column, target: Column) -> Column:
     """Question text (template 2) with the rules joined by '; '."""
-    return F.concat(F.lit(PROBLEM_HEAD), F.array_join(rules, "; "), F.lit(". If "), premise, F.lit(", determine the value of "), target, F.lit("."))
-
-
-def split_by_rank(df: DataFrame, order: str, sizes=SPLIT_SIZES) -> DataFrame:
-    """Prefix splits by global rank of ``order`` (sizes in order; the rest 'unused')."""
-    ranked = global_rank(df, [order], "__rank")
-    expr = None
-    lo = 0
-    for name, size in sizes:
-        cond = (F.col("__rank") > lo) & (F.col("__rank") <= lo + size)
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-        lo += size
-    return ranked.withColumn("split", expr.otherwise(F.lit("unused"))).withColumn(
-        "split_index", F.col("__rank") - 1
-    ).drop("__rank")
+    head, given, wanted, end = map(F.lit, PROBLEM_TEXT)
+    return F.concat(head, F.array_join(rules, "; "), given, premise, wanted, target, end)
 
 
 def base_repr_sql(value: str, base: str) -> str:
@@ -106,12 +91,10 @@ def base_repr_sql(value: str, base: str) -> str:
 def counterfact_prompt(expr: Column, base: Column, cot: bool = True) -> Column:
     """C14: the base-N addition question, with or without step-by-step."""
     digits = F.substr(F.lit(DIGITS), F.lit(1), base)
-    tail = COT_TAIL if cot else PLAIN_TAIL
-    return F.concat(
-        F.lit("You are a mathematician. Assuming that all numbers are in base-"), base.cast("string"),
-        F.lit(' where the digits are "'), digits, F.lit('", what is '), expr, F.lit("? " + tail),
-    )
+    head, of, what, end = map(F.lit, BASE_TEXT)
+    return F.concat(head, base.cast("string"), of, digits, what, expr, end, F.lit(COT_TAIL if cot else PLAIN_TAIL))
 
 
 def trivial_prompt(expr: Column) -> Column:
-    return F.concat(F.lit("What is "), expr, F.lit("? " + PLAIN_TAIL))
+    what, end = map(F.lit, TRIVIAL_TEXT)
+    return F.concat(what, expr, end, F.lit(PLAIN_TAIL))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from coverlens.operators import chains as CH
 from coverlens.operators import generate as GN
 from coverlens.operators.ranking import global_rank
 from coverlens.plans import fixtures
@@ -17,62 +17,110 @@ _CF = f"({duck.COUNTERFACT})"
 
 
 _DUCK_HASH = lambda *parts: "('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 15))::BIGINT"
+WORLD = CH.ARITHCHAIN_2_10
+#: Of the problems, per cent in each split.
+SHARES = {"sft": 64, "rlvr": 16, "test": 10}
+
+#: The world's rules as relations: place in the text, letter of the variable, letter of its parent; both solutions' order of rules.
+_L = {n: i for i, n in enumerate(sorted([f"{b}{i}" for b in "ab" for i in range(1, 11)] + ["p0"]), 1)}
+_RULE_ROWS = ", ".join(f"({i}, {_L[f'{b}{k}']}, {_L[f'{b}{k - 1}' if k > 1 else 'p0']})" for i, (b, k) in enumerate([(b, k) for b in "ab" for k in range(1, 11)], 1))
+
+
+def _chain_ctes(source: str) -> str:
+    """CTEs over ``source`` (id, seed): base, rules, fsteps, rsteps, problem, solved."""
+    draw = lambda slot: _DUCK_HASH(f"'{GN.SEED}'", "seed", slot) + f" % {GN.MAX_CONST} + 1"
+    opening = lambda d: "[" + ", ".join(duck.s(o) for o in GN.OPENINGS) + "][CAST(" + _DUCK_HASH(f"'{GN.SEED}'", "seed", f"'opening-{d}'") + f" % {len(GN.OPENINGS)} AS INTEGER) + 1]"
+    return f"""base AS (
+  SELECT id, seed,
+    list_transform(list_sort(list_transform(range(0, 26), lambda i: {{'h': md5('{GN.SEED}|' || seed || '|l' || CAST(i AS VARCHAR)), 'l': chr(CAST(97 + i AS INTEGER))}})), lambda x: x.l) AS letters,
+    list_transform(range(1, 21), lambda i: {draw("CAST(i AS VARCHAR)")}) AS constants, {draw("'-1'")} AS premise_value
+  FROM ({source})),
+rule(i, v, p) AS (VALUES {_RULE_ROWS}),
+said AS (SELECT id, i, letters[v] AS var, letters[p] || ' + ' || CAST(constants[i] AS VARCHAR) AS expr, constants[i] AS cst, letters[p] AS parent FROM base, rule),
+rules AS (
+  SELECT id, list({{'var': var, 'expr': expr}} ORDER BY i) AS rules
+  FROM (SELECT id, i, var, expr FROM said UNION ALL SELECT id, 21, letters[{_L["p0"]}], CAST(premise_value AS VARCHAR) FROM base) GROUP BY id),
+fsteps AS (SELECT id, i AS step, var, expr, CAST(premise_value + sum(cst) OVER (PARTITION BY id ORDER BY i) AS VARCHAR) AS value FROM said JOIN base USING (id) WHERE i <= 10),
+rsteps AS (
+  SELECT id, step, var, expr, CASE WHEN step = 10 THEN CAST(total + premise_value AS VARCHAR) ELSE parent || ' + ' || CAST(total AS VARCHAR) END AS value FROM (
+    SELECT id, 10 - i AS step, var, expr, parent, premise_value, sum(cst) OVER (PARTITION BY id ORDER BY i DESC) AS total
+    FROM (SELECT id, i, var, expr, cst, parent FROM said WHERE i <= 10 UNION ALL SELECT id, 0, letters[{_L["p0"]}], CAST(premise_value AS VARCHAR), 0, NULL FROM base) JOIN base USING (id))
+  WHERE step > 0),
+problem AS (
+  SELECT id, letters[{_L["a10"]}] AS target, {duck.s(GN.PROBLEM_TEXT[0])} || array_to_string(list_transform(rules, lambda r: r.var || ' = ' || r.expr), '; ')
+    || {duck.s(GN.PROBLEM_TEXT[1])} || letters[{_L["p0"]}] || ' = ' || CAST(premise_value AS VARCHAR) || {duck.s(GN.PROBLEM_TEXT[2])} || letters[{_L["a10"]}] || '.' AS question,
+    premise_value + list_sum(constants[1:10]) AS answer
+  FROM base JOIN rules USING (id)),
+solved AS (
+  SELECT id, 'forward' AS direction, {opening("forward")} || chr(10) || lines || chr(10) || chr(10) || 'Thus, ' || target || ' = \\boxed{{' || CAST(answer AS VARCHAR) || '}}.' AS solution, final
+  FROM base JOIN problem USING (id) JOIN (SELECT id, string_agg(CAST(step AS VARCHAR) || '. ' || var || ' = ' || expr || ' = ' || value || '.', chr(10) ORDER BY step) AS lines, arg_max(value, step) AS final FROM fsteps GROUP BY id) USING (id)
+  UNION ALL
+  SELECT id, 'reverse', {opening("reverse")} || chr(10) || lines || chr(10) || chr(10) || 'Thus, ' || target || ' = \\boxed{{' || CAST(answer AS VARCHAR) || '}}.', final
+  FROM base JOIN problem USING (id) JOIN (SELECT id, string_agg(CAST(step AS VARCHAR) || '. Substitute ' || var || ' = ' || expr || ' into the target expression, yielding ' || target || ' = ' || value || '.', chr(10) ORDER BY step) AS lines, arg_max(value, step) AS final
+    FROM rsteps JOIN problem USING (id) GROUP BY id) USING (id))"""
+
+
+_PARTS = "SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS seed FROM part"
+
+
+def _parts(spark, sf):
+    """Stand-in for a list of problems to make: an id, and a seed that decides its content."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("seed"))
 
 
 @register("gen_chain_problems", oracle=f"""
-SELECT p_partkey AS id,
-       list_transform(list_sort(list_transform(range(0, 26), lambda i: {{'h': md5('{GN.SEED}|' || CAST(p_partkey AS VARCHAR) || '|l' || CAST(i AS VARCHAR)), 'l': chr(CAST(97 + i AS INTEGER))}})), lambda s: s.l) AS letters,
-       list_transform(range(1, 21), lambda i: {_DUCK_HASH(f"'{GN.SEED}'", "CAST(p_partkey AS VARCHAR)", "CAST(i AS VARCHAR)")} % {GN.MAX_CONST} + 1) AS constants,
-       {_DUCK_HASH(f"'{GN.SEED}'", "CAST(p_partkey AS VARCHAR)", "'-1'")} % {GN.MAX_CONST} + 1 AS premise_value
-FROM part""")
+WITH {_chain_ctes(_PARTS)}
+SELECT id, letters, constants, premise_value, rules, letters[{_L["p0"]}] AS premise, letters[{_L["a10"]}] AS target FROM base JOIN rules USING (id)""")
 def q_gen_chain_problems(spark, sf):
-    """Per problem key a seeded letter permutation, 20 constants and a premise value."""
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    return part.select(
-        "id", GN.letter_permutation(F.col("id")).alias("letters"),
-        GN.hashed_slots(F.col("id"), 20).alias("constants"),
-        (GN.seeded(F.col("id"), F.lit(-1)) % GN.MAX_CONST + 1).alias("premise_value"),
-    )
+    """Per seed a letter permutation, 20 constants, the premise's value, and the rules of both branches with the premise."""
+    return CH.problems(_parts(spark, sf), WORLD).drop("seed")
 
 
-def _rules(spark, sf):
-    fw = GN.forward_trace(fixtures.chain_steps(spark, sf))
-    s = fixtures.chain_steps(spark, sf).select("id", "premise_var", "p0").distinct()
-    rules = fw.groupBy("id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat("var", F.lit(" = "), "expr").alias("r")))), lambda x: x["r"]).alias("rules"),
-        F.max(F.struct("pos", "var", "value")).alias("last"),
-    )
-    return rules.join(s, "id")
+_DRAWN = f"""SELECT p_partkey + r * 1000000000000 AS id, p_name || '|' || p_brand || '|' || p_type || '|' || CAST(p_size AS VARCHAR) || '|' || CAST(r AS VARCHAR) AS seed
+FROM part, (SELECT unnest(range(4)) AS r)"""
 
 
-_DUCK_FWD = f"""(SELECT id, pos, var, coalesce(lag(var) OVER w, premise_var) || ' + ' || CAST(cst AS VARCHAR) AS expr,
-   CAST(p0 + sum(cst) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS value, premise_var, p0
- FROM {_CS} WINDOW w AS (PARTITION BY id ORDER BY pos))"""
+@register("dedup_problems", oracle=lambda: f"""
+WITH {_chain_ctes(_DRAWN)},
+keyed AS (SELECT id, array_to_string(list_sort(list_distinct(list_transform(rules, lambda r: r.expr))), '|') AS key FROM rules),
+firsts AS (SELECT key, min(id) AS id FROM keyed GROUP BY key)
+SELECT id // 1000000000000 AS round, id % 1000000000000 AS id, key FROM firsts QUALIFY row_number() OVER (ORDER BY id) <= (SELECT count(*) FROM part)""")
+def q_dedup_problems(spark, sf):
+    """As many problems as parts, no two with one set of right-hand sides (both branches and the premise).
 
-_DUCK_RULES = f"""(SELECT id, any_value(premise_var) AS premise_var, any_value(p0) AS p0,
-   list(var || ' = ' || expr ORDER BY pos) AS rules, arg_max(var, pos) AS target, max_by(value, pos) AS answer
- FROM {_DUCK_FWD} GROUP BY id)"""
+    Each round draws one problem a part, seeded by the part's description, which
+    several parts share; rounds go on until the number is reached.
+    """
+    part = table(spark, sf, "part")
 
+    def draw(r):
+        seed = F.concat_ws("|", "p_name", "p_brand", "p_type", F.col("p_size").cast("string"), F.lit(str(r)))
+        return CH.problems(part.select(F.lit(r).cast("bigint").alias("round"), F.col("p_partkey").alias("id"), seed.alias("seed")), WORLD).select("round", "id", CH.rule_set_key().alias("key"))
 
-@register("dedup_problems", oracle=lambda: f"""
-SELECT min(id) AS id, key FROM (SELECT id, array_to_string(list_sort(list_distinct(list_transform(rules, lambda r: string_split(r, ' = ')[2]) || [CAST(p0 AS VARCHAR)])), '|') AS key
-FROM {_DUCK_RULES}) GROUP BY key""")
-def q_dedup_problems(spark, sf):
-    """One problem per set of rule right-hand sides (lowest id kept)."""
-    r = _rules(spark, sf)
-    rhs = F.concat(F.transform("rules", lambda x: F.element_at(F.split(x, " = "), 2)), F.array(F.col("p0").cast("string")))
-    keyed = r.select("id", F.array_join(F.array_sort(F.array_distinct(rhs)), "|").alias("key"))
-    return keyed.groupBy("key").agg(F.min("id").alias("id"))
+    return CH.unique_until(draw, part.count(), ["round", "id"])
 
 
-@register("fixed_splits", oracle="""
-SELECT p_partkey AS id, CASE WHEN rn <= 6400 THEN 'sft' WHEN rn <= 8000 THEN 'rlvr' WHEN rn <= 9000 THEN 'test' ELSE 'unused' END AS split,
-       rn - 1 AS split_index
-FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn FROM part)""")
+def _sizes(ids):
+    n = ids.count()
+    return [(name, n * share // 100) for name, share in SHARES.items()]
+
+
+_SPLIT = """(SELECT id, seed, split, rn FROM (
+  SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS seed, rn,
+    CASE WHEN rn <= n * 64 // 100 THEN 'sft' WHEN rn <= n * 64 // 100 + n * 16 // 100 THEN 'rlvr' WHEN rn <= n * 64 // 100 + n * 16 // 100 + n * 10 // 100 THEN 'test' END AS split
+  FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn, count(*) OVER () AS n FROM part)) WHERE split IS NOT NULL)"""
+
+
+@register("fixed_splits", oracle=f"SELECT id, split FROM {_SPLIT}")
 def q_fixed_splits(spark, sf):
-    """Prefix splits 6400 / 1600 / 1000 by problem order (distributed global rank)."""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    return GN.split_by_rank(p, "id").select("id", "split", F.col("split_index").cast("bigint"))
+    """Prefix splits of given sizes by problem order (distributed global rank); the rest is in none."""
+    ids = _parts(spark, sf)
+    return CH.splits(ids.select("id"), _sizes(ids))
+
+
+_DUCK_FWD = f"""(SELECT id, pos, var, coalesce(lag(var) OVER w, premise_var) || ' + ' || CAST(cst AS VARCHAR) AS expr,
+   CAST(p0 + sum(cst) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS value
+ FROM {_CS} WINDOW w AS (PARTITION BY id ORDER BY pos))"""
 
 
 @register("forward_trace", oracle=lambda: f"SELECT id, pos, var, expr, value FROM {_DUCK_FWD}")
@@ -92,95 +140,57 @@ def q_reverse_trace(spark, sf):
     return GN.reverse_trace(fixtures.chain_steps(spark, sf))
 
 
-_DUCK_PROBLEM = f"""(SELECT id, {duck.s(GN.PROBLEM_HEAD)} || array_to_string(rules || [premise_var || ' = ' || CAST(p0 AS VARCHAR)], '; ')
-   || '. If ' || premise_var || ' = ' || CAST(p0 AS VARCHAR) || ', determine the value of ' || target || '.' AS question, answer, target
- FROM {_DUCK_RULES})"""
-
-
-def _problem(spark, sf):
-    r = _rules(spark, sf)
-    all_rules = F.concat("rules", F.array(F.concat("premise_var", F.lit(" = "), F.col("p0").cast("string"))))
-    premise = F.concat("premise_var", F.lit(" = "), F.col("p0").cast("string"))
-    return r.select("id", GN.problem_text(all_rules, premise, F.col("last.var")).alias("question"),
-                    F.col("last.value").alias("answer"), F.col("last.var").alias("target"))
-
-
-@register("problem_text", oracle=lambda: f"SELECT id, question FROM {_DUCK_PROBLEM}")
+@register("problem_text", oracle=lambda: f"WITH {_chain_ctes(_PARTS)} SELECT id, question FROM problem")
 def q_problem_text(spark, sf):
-    """Question text from the rules and the premise."""
-    return _problem(spark, sf).select("id", "question")
+    """Question text from the rules of both branches, the premise as rule and as given, and the target."""
+    return CH.problems(_parts(spark, sf), WORLD).select("id", CH.question().alias("question"))
 
 
-_OPEN = "[" + ", ".join(duck.s(o) for o in GN.OPENINGS) + "]"
-_DUCK_SOLUTION = f"""(SELECT id, {_OPEN}[CAST(id % 3 AS INTEGER) + 1] || chr(10) ||
-   string_agg(CAST(pos AS VARCHAR) || '. ' || var || ' = ' || expr || ' = ' || CAST(value AS VARCHAR) || '.', chr(10) ORDER BY pos)
-   || chr(10) || chr(10) || 'Thus, ' || arg_max(var, pos) || ' = \\boxed{{' || CAST(max_by(value, pos) AS VARCHAR) || '}}.' AS solution
- FROM {_DUCK_FWD} GROUP BY id)"""
+@register("solution_text", oracle=lambda: f"WITH {_chain_ctes(_PARTS)} SELECT id, direction, solution FROM solved")
+def q_solution_text(spark, sf):
+    """Both solutions as text: forward evaluation and back-substitution, with the boxed value."""
+    p = CH.problems(_parts(spark, sf), WORLD)
+    both = F.explode(F.array(*(F.struct(F.lit(d).alias("direction"), CH.solution(WORLD, d).alias("solution")) for d in ("forward", "reverse"))))
+    return p.select("id", both.alias("s")).select("id", "s.*")
 
 
-def _solution(spark, sf):
-    fw = GN.forward_trace(fixtures.chain_steps(spark, sf))
-    line = F.concat(F.col("pos").cast("string"), F.lit(". "), "var", F.lit(" = "), "expr", F.lit(" = "), F.col("value").cast("string"), F.lit("."))
-    g = fw.groupBy("id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]).alias("lines"),
-        F.max(F.struct("pos", "var", "value")).alias("last"),
-    )
-    opening = F.element_at(F.array(*[F.lit(o) for o in GN.OPENINGS]), (F.col("id") % 3).cast("int") + 1)
-    closing = F.concat(F.lit("\nThus, "), F.col("last.var"), F.lit(" = \\boxed{"), F.col("last.value").cast("string"), F.lit("}."))
-    return g.select("id", F.array_join(F.concat(F.array(opening), F.col("lines"), F.array(closing)), "\n").alias("solution"))
+_OUTPUT_ROWS = "(VALUES " + ", ".join(f"('{o}', '{sp}', '{d}')" for o, sp, d in [("train_sft_forward", "sft", "forward"), ("train_sft_reverse", "sft", "reverse"), ("train_rlvr", "rlvr", "forward"), ("test", "test", "forward")]) + ") o(output, split, direction)"
+_PLACED = f"""(SELECT output, direction, id, row_number() OVER (PARTITION BY output ORDER BY CASE WHEN output = 'test' THEN '' ELSE md5('{GN.SEED}|' || output || '|' || CAST(id AS VARCHAR)) END, id) - 1 AS index
+FROM {_SPLIT} JOIN {_OUTPUT_ROWS} USING (split))"""
+_DUCK_RECORDS = f"""WITH {_chain_ctes(_PARTS)},
+records AS (SELECT output, id, question, solution, answer, {{'data_source': 'arithchain_2_10', 'direction': direction, 'split': output, 'index': index}} AS extra_info
+  FROM {_PLACED} JOIN problem USING (id) JOIN solved USING (id, direction))"""
 
 
-@register("solution_text", oracle=lambda: f"SELECT id, solution FROM {_DUCK_SOLUTION}")
-def q_solution_text(spark, sf):
-    """Numbered forward solution with the boxed final value."""
-    return _solution(spark, sf)
+def _placed(spark, sf):
+    ids = _parts(spark, sf)
+    return CH.placed(CH.splits(ids, _sizes(ids)))
 
 
-@register("example_records", oracle=lambda: f"""
-SELECT p.id, question, solution, answer,
-  {{'data_source': 'arithchain_2_10', 'direction': 'forward', 'split': split,
-    'index': CAST(rn - 1 - CASE split WHEN 'sft' THEN 0 WHEN 'rlvr' THEN 6400 WHEN 'test' THEN 8000 ELSE 9000 END AS BIGINT)}} AS extra_info
-FROM {_DUCK_PROBLEM} p JOIN {_DUCK_SOLUTION} s USING (id) JOIN (
-  SELECT id, rn, CASE WHEN rn <= 6400 THEN 'sft' WHEN rn <= 8000 THEN 'rlvr' WHEN rn <= 9000 THEN 'test' ELSE 'unused' END AS split
-  FROM (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) AS rn FROM part)) r USING (id)""")
+@register("example_records", oracle=lambda: f"{_DUCK_RECORDS} SELECT * FROM records")
 def q_example_records(spark, sf):
-    """Training records (question, solution, answer, extra_info with split and index)."""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    sp = GN.split_by_rank(p, "id")
-    starts = F.when(F.col("split") == "sft", 0).when(F.col("split") == "rlvr", 6400).when(F.col("split") == "test", 8000).otherwise(9000)
-    recs = _problem(spark, sf).join(_solution(spark, sf), "id").join(sp, "id")
-    return recs.select(
-        "id", "question", "solution", "answer",
-        F.struct(F.lit("arithchain_2_10").alias("data_source"), F.lit("forward").alias("direction"), F.col("split").alias("split"),
-                 (F.col("split_index") - starts).cast("bigint").alias("index")).alias("extra_info"),
-    )
+    """Training and test records of all four outputs (question, solution, answer, extra_info with output and index)."""
+    return CH.records(_placed(spark, sf), WORLD)
 
 
 @register("paired_directions", oracle=lambda: f"""
-WITH f AS (SELECT id, max_by(value, pos) AS answer FROM {_DUCK_FWD} GROUP BY id),
-r AS (SELECT id, CAST(p0 + sum(cst) AS VARCHAR) AS answer FROM {_CS} GROUP BY id, p0)
-SELECT f.id, d.direction, CASE d.direction WHEN 'forward' THEN CAST(f.answer AS VARCHAR) ELSE r.answer END AS answer,
-       CAST(f.answer AS VARCHAR) = r.answer AS same_answer
-FROM f JOIN r USING (id), (VALUES ('forward'), ('reverse')) d(direction)""")
+WITH {_chain_ctes(_PARTS)}
+SELECT id, question, f.solution AS forward_solution, r.solution AS reverse_solution, answer, f.final AS forward_value, r.final AS reverse_value, f.final = r.final AS same_answer
+FROM problem JOIN solved f USING (id) JOIN solved r USING (id) WHERE f.direction = 'forward' AND r.direction = 'reverse'""")
 def q_paired_directions(spark, sf):
-    """Each problem in forward and reverse form; answers must agree."""
-    steps = fixtures.chain_steps(spark, sf)
-    f = GN.forward_trace(steps).groupBy("id").agg(F.max(F.struct("pos", "value")).alias("l")).select("id", F.col("l.value").cast("string").alias("fa"))
-    r = GN.reverse_trace(steps).where(F.col("step") == GN.STEPS).select("id", F.col("result").alias("ra"))
-    both = f.join(r, "id")
-    return both.select(
-        "id", F.explode(F.array(F.lit("forward"), F.lit("reverse"))).alias("direction"), "fa", "ra"
-    ).select("id", "direction", F.when(F.col("direction") == "forward", F.col("fa")).otherwise(F.col("ra")).alias("answer"),
-             (F.col("fa") == F.col("ra")).alias("same_answer"))
-
-
-@register("shuffle_rows", oracle=f"""
-SELECT p_partkey AS id, row_number() OVER (ORDER BY md5('{GN.SEED}|' || CAST(p_partkey AS VARCHAR)), p_partkey) AS shuffle_pos FROM part""")
+    """Each problem with both solutions, and the value that either ends with."""
+    p = CH.problems(_parts(spark, sf), WORLD)
+    last = lambda d: F.element_at(CH.steps(WORLD, d), -1)["value"]
+    return p.select(
+        "id", CH.question().alias("question"), CH.solution(WORLD, "forward").alias("forward_solution"), CH.solution(WORLD, "reverse").alias("reverse_solution"),
+        CH.answer(WORLD).alias("answer"), last("forward").alias("forward_value"), last("reverse").alias("reverse_value"), (last("forward") == last("reverse")).alias("same_answer"),
+    )
+
+
+@register("shuffle_rows", oracle=f"SELECT output, id, index FROM {_PLACED}")
 def q_shuffle_rows(spark, sf):
-    """Seeded hash order of the problems (position per row)."""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    p = p.withColumn("__h", F.md5(F.concat_ws("|", F.lit(GN.SEED), F.col("id"))))
-    return global_rank(p, ["__h", "id"], "shuffle_pos").drop("__h")
+    """Each training output in its own seeded hash order, the test output in problem order."""
+    return _placed(spark, sf).select("output", "id", "index")
 
 
 def _cf(spark, sf):
@@ -218,12 +228,12 @@ def q_unordered_pair_dedup(spark, sf):
     return c.groupBy(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "base").agg(F.min("id").alias("id"))
 
 
+_BASED = " || ".join([duck.s(GN.BASE_TEXT[0]), "CAST(base AS VARCHAR)", duck.s(GN.BASE_TEXT[1]), f"substr({duck.s(GN.DIGITS)}, 1, base)", duck.s(GN.BASE_TEXT[2]), "p || ' + ' || q", duck.s(GN.BASE_TEXT[3])])
+
+
 @register("counterfact_prompt", oracle=lambda: f"""
-SELECT id, 'You are a mathematician. Assuming that all numbers are in base-' || CAST(base AS VARCHAR) || ' where the digits are "'
-  || substr({duck.s(GN.DIGITS)}, 1, base) || '", what is ' || p || ' + ' || q || '? ' || {duck.s(GN.COT_TAIL)} AS cot_prompt,
-  'You are a mathematician. Assuming that all numbers are in base-' || CAST(base AS VARCHAR) || ' where the digits are "'
-  || substr({duck.s(GN.DIGITS)}, 1, base) || '", what is ' || p || ' + ' || q || '? ' || {duck.s(GN.PLAIN_TAIL)} AS plain_prompt,
-  'What is ' || p || ' + ' || q || '? ' || {duck.s(GN.PLAIN_TAIL)} AS trivial_prompt
+SELECT id, {_BASED} || {duck.s(GN.COT_TAIL)} AS cot_prompt, {_BASED} || {duck.s(GN.PLAIN_TAIL)} AS plain_prompt,
+  {duck.s(GN.TRIVIAL_TEXT[0])} || p || ' + ' || q || {duck.s(GN.TRIVIAL_TEXT[1] + GN.PLAIN_TAIL)} AS trivial_prompt
 FROM {_CF}""")
 def q_counterfact_prompt(spark, sf):
     """C14: question text with and without step-by-step, and the trivial form."""

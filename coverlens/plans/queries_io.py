@@ -11,9 +11,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from coverlens.operators import generate as GN
+from coverlens.operators import chains as CH
 from coverlens.operators.estimators import correct_counts, pass_at_k
 from coverlens.plans import fixtures
+from coverlens.plans import queries_generate as chain
 from coverlens.plans.oracle import duck
 from coverlens.plans.queries_prompts import ITEMS, _PROMPTS, items, prompts
 from coverlens.plans.registry import register
@@ -145,15 +146,21 @@ def q_snk_metrics_json(spark, sf):
     return back.select("run", F.explode("pass_at_k").alias("metric", "value"))
 
 
-@register("snk_dataset_splits", oracle="""
-SELECT p_partkey AS id, CASE WHEN rn <= 6400 THEN 'sft' WHEN rn <= 8000 THEN 'rlvr' WHEN rn <= 9000 THEN 'test' ELSE 'unused' END AS split
-FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn FROM part)""")
+@register("snk_dataset_splits", oracle=lambda: f"""
+{chain._DUCK_RECORDS}
+SELECT output, extra_info.index AS index, question, solution, answer, extra_info.direction AS direction FROM records
+UNION ALL SELECT 'test_items', extra_info.index, question, NULL, answer, extra_info.data_source FROM records WHERE output = 'test'""")
 def q_snk_dataset_splits(spark, sf):
-    """Split-partitioned records plus a test-item JSON view, read back."""
+    """The four outputs as Parquet and the test items as JSON, all read back."""
     d = _dir(spark, "splits")
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question"), F.col("p_size").alias("answer"))
-    S.write_dataset_splits(GN.split_by_rank(p, "id").drop("split_index"), d)
-    return spark.read.parquet(f"{d}/records").select("id", "split")
+    rows = CH.records(chain._placed(spark, sf), chain.WORLD)
+    CH.write_outputs(rows, d)
+    back = spark.read.schema(rows.schema).parquet(f"{d}/records")
+    back = back.select("output", "extra_info.index", "question", "solution", "answer", "extra_info.direction")
+    items = spark.read.schema("id BIGINT, Question STRING, answer BIGINT, subset STRING").json(f"{d}/test_items")
+    return back.unionByName(items.select(
+        F.lit("test_items").alias("output"), F.col("id").alias("index"), F.col("Question").alias("question"), F.lit(None).cast("string").alias("solution"),
+        "answer", F.col("subset").alias("direction")))
 
 
 @register("snk_episodes", oracle=lambda: f"""

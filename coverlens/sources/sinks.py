@@ -1,4 +1,4 @@
-"""A7-A12 — writers.  Every sink is a distributed Spark write."""
+"""A7-A10, A12 — writers (A11 is ``operators.chains.write_outputs``).  Every sink is a distributed Spark write."""
 
 from __future__ import annotations
 
@@ -40,14 +40,6 @@ def write_metrics_json(pass_by_run: DataFrame, path: str, run_keys: tuple[str, .
     metrics.write.mode("overwrite").json(path)
 
 
-def write_dataset_splits(records: DataFrame, path: str) -> None:
-    """Records partitioned by split (Parquet) plus the test items as JSON."""
-    records.write.mode("overwrite").partitionBy("split").parquet(f"{path}/records")
-    records.where(F.col("split") == "test").select(
-        F.col("id"), F.col("question").alias("Question"), F.col("answer").cast("string").alias("answer"), F.lit("arithchain").alias("subset")
-    ).write.mode("overwrite").json(f"{path}/test_items")
-
-
 def write_episodes(episodes: DataFrame, path: str, every: int = 10) -> None:
     """``{query, response, reward}`` JSON for every ``every``-th iteration,
     one folder per phase (train/eval) and iteration."""
