@@ -67,7 +67,11 @@ def mode_distribution(extracted: DataFrame, run: str = "run") -> DataFrame:
 
 
 def run_summary(processed: DataFrame, run_keys: Sequence[str] = ("run", "split")) -> DataFrame:
-    """Rows, mean response length, valid, correct and unsettled answers per run (an unsettled answer counts as wrong)."""
+    """Rows, mean response length, valid, correct and unsettled answers per run (an unsettled answer counts as wrong).
+
+    Where the rows carry token counts, their totals too.
+    """
+    totals = [F.sum(c).cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens") if c in processed.columns]
     return processed.groupBy(*run_keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.round(F.avg("response_len"), 9).alias("mean_response_len"),
@@ -75,4 +79,5 @@ def run_summary(processed: DataFrame, run_keys: Sequence[str] = ("run", "split")
         F.count_if("is_correct").alias("n_correct"),
         F.count_if(F.col("tier") == "residual").alias("n_residual"),
         F.round(F.count_if("is_correct") / F.count(F.lit(1)), 9).alias("accuracy"),
+        *totals,
     )

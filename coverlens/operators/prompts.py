@@ -73,6 +73,11 @@ def job_matrix(items: DataFrame, num_samples: int) -> DataFrame:
     return items.withColumn("run", F.explode(runs)).withColumn("sample_idx", F.explode(F.sequence(F.lit(1), F.lit(num_samples))))
 
 
+def job_groups(jobs: DataFrame) -> DataFrame:
+    """Run directories of an A5 job list grouped by (job dir, split), each once."""
+    return jobs.groupBy("job_dir", "split").agg(F.array_sort(F.collect_set(F.concat_ws("/", "job_dir", "run_name"))).alias("run_dirs"))
+
+
 def first_token_fanout(cands: DataFrame, topk: int, n: int, prompt: str = "prompt", token: str = "token", logprob: str = "logprob") -> DataFrame:
     """Top-``topk`` first tokens per prompt, repeated cyclically to exactly ``n`` slots."""
     w = Window.partitionBy(prompt).orderBy(F.col(logprob).desc(), F.col(token))

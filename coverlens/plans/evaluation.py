@@ -23,14 +23,15 @@ from coverlens.operators.normalize import normalize_answers
 QUESTION_KEYS = ("question_id", "prompt_id")
 
 
-def process_generations(gens: DataFrame, data_name: str = "math") -> DataFrame:
-    """``process_df``: extract, normalise the truth, grade; drops ``response``.
+def process_generations(gens: DataFrame, data_name: str = "math", keep_response: bool = False) -> DataFrame:
+    """``process_df``: extract, normalise the truth, grade; drops ``response`` unless it is to be kept.
 
     Everything is a per-row projection over one scan, without an exchange:
     plain integers take the short way through normalisation, and the cheap
     grading tiers settle most rows.
     """
-    ex = extract_raw_answers(gens, data_name=data_name).drop("response")
+    ex = extract_raw_answers(gens, data_name=data_name)
+    ex = ex if keep_response else ex.drop("response")
     return grade_answers(normalize_answers(finish_answers(ex, data_name), "gt_answer", "gt_norm"), "pred_answer", "gt_norm").drop("cleaned")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from coverlens.operators import prompts as P
 from coverlens.plans.oracle import duck
 from coverlens.plans.registry import register
+from coverlens.session import ensure_checkpoint_dir
+from coverlens.sources.readers import read_job_list
 from coverlens.sources.tables import table
 
 
@@ -73,11 +77,14 @@ def q_job_matrix(spark, sf):
 
 
 @register("job_groups", oracle=lambda: f"""
-SELECT 'jobs/' || subset AS job_dir, 'test' AS split, list(DISTINCT run ORDER BY run) AS run_dirs FROM ({ITEMS}), {_RUNS} GROUP BY subset""")
+SELECT 'jobs/' || subset AS job_dir, 'test' AS split, list(DISTINCT 'jobs/' || subset || '/' || run ORDER BY 'jobs/' || subset || '/' || run) AS run_dirs
+FROM ({ITEMS}), {_RUNS} GROUP BY subset""")
 def q_job_groups(spark, sf):
-    """Run directories grouped by (job dir, split)."""
-    j = P.job_matrix(items(spark, sf), 1).select(F.concat(F.lit("jobs/"), "subset").alias("job_dir"), F.lit("test").alias("split"), "run")
-    return j.groupBy("job_dir", "split").agg(F.array_sort(F.collect_set("run")).alias("run_dirs"))
+    """Run directories grouped by (job dir, split), from a job list file."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/io/job-list-{uuid.uuid4().hex}"
+    j = P.job_matrix(items(spark, sf).select("subset").distinct(), 1)
+    j.select(F.concat(F.lit("jobs/"), "subset", F.lit("|"), "run", F.lit("|test|8")).alias("line")).write.text(path)
+    return P.job_groups(read_job_list(spark, path))
 
 
 def _candidates(spark, sf):

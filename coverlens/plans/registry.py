@@ -40,4 +40,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # importing the query modules fills the registry
-    from coverlens.plans import queries_estimators, queries_eval, queries_extract, queries_generate, queries_grade, queries_harmonize, queries_io, queries_prompts, queries_rollouts, queries_streaming  # noqa: F401
+    from coverlens.plans import queries_estimators, queries_eval, queries_extract, queries_generate, queries_grade, queries_harmonize, queries_io, queries_jobs, queries_prompts, queries_rollouts, queries_streaming  # noqa: F401

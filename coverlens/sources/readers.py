@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ GENERATION_SCHEMA = (
     "question_id BIGINT, prompt_id BIGINT, response STRING, pred_answer STRING, gt_answer STRING, "
     "sampler_config STRING, prompt_tokens INT, completion_tokens INT, sample_id BIGINT"
 )
+#: Shards as sampling workers write them: no sample id, the order is that of the rows.
+SHARD_SCHEMA = GENERATION_SCHEMA.rsplit(", ", 1)[0]
 JOB_SCHEMA = "job_dir STRING, run_name STRING, split STRING, num_samples INT"
 #: Fixed value: the sampler class of a config that names none.
 DEFAULT_SAMPLER = "ChatCompletionSampler"
@@ -50,6 +54,38 @@ def read_generation_shards(spark: SparkSession, sample_dir: str, split: str) ->
     )
 
 
+#: A shard of a run: job folder, run folder, split, seed, timestamp, worker; one file, or a folder of part files.
+RUN_SHARD = r"^(?:(.*)/)?([^/]+)/([^/]+)\.generations_seed(\d+)\.(\d{8}_\d{6})_(\d+)\.csv(?:/[^/]+)?$"
+
+
+def read_run_shards(spark: SparkSession, root: str) -> DataFrame:
+    """A2/A3: all generation shards of all runs below ``root`` in one scan.
+
+    Columns of the shards (without a sample id), and from each file's path
+    ``job_dir`` (relative to ``root``), ``run``, ``split``, ``seed``, ``ts`` and
+    ``worker``.  ``place`` = (shard, file, row) orders samples: shards by name, so by
+    seed, time and worker, and rows as they stand in a file.  A multi-line file is
+    read by one task from its start, so the order of ``row`` inside a file is that
+    of its lines, whatever else the task reads.
+    """
+    df = (
+        spark.read.schema(SHARD_SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", "{*.generations*.csv,part-*.csv}")
+        .option("header", True).option("multiLine", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(root)
+    )
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
+    uri = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    path = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    df = df.select("*", F.substring(path, len(base) + 2, 1 << 20).alias("__path"), F.monotonically_increasing_id().alias("__row"))
+    part = lambda i: F.regexp_extract("__path", RUN_SHARD, i)
+    shard = F.regexp_extract("__path", r"([^/]+\.csv)(?:/[^/]+)?$", 1)
+    return df.where(F.col("__path").rlike(RUN_SHARD)).select(
+        part(1).alias("job_dir"), part(2).alias("run"), part(3).alias("split"), part(4).cast("long").alias("seed"), part(5).alias("ts"), part(6).cast("int").alias("worker"),
+        F.struct(shard.alias("shard"), F.col("__path").alias("file"), F.col("__row").alias("row")).alias("place"),
+        *(c for c in df.columns if not c.startswith("__")),
+    )
+
+
 def read_examples(spark: SparkSession, path: str, n: int | None = None, index: str = "index") -> DataFrame:
     """A4: Parquet examples; the first ``n`` by index when given (a top-n read)."""
     df = spark.read.parquet(path)
