@@ -114,10 +114,14 @@ def instance_results(gen_ok: DataFrame, task: str, gen: str, ok: str = "ok") ->
 
 
 def pass_at_k_multi_test(gen_ok: DataFrame, task: str, k_list: Sequence[int] = (1, 5), ok: str = "ok") -> DataFrame:
-    """Mean pass@k for each k of ``k_list`` kept only when every task has at least k generations."""
+    """pass@k for each k of ``k_list`` kept only when every task has at least k generations.
+
+    One row per k and task (the detail), and one per k with a null task: the mean over all tasks.
+    """
     counts = gen_ok.groupBy(task).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ok)).alias("c"))
     min_n = counts.agg(F.min("n")).scalar()  # scalar sub-query, no join
     ks = counts.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in k_list])))
     est = ks.where(F.col("k") <= min_n)
     est = est.withColumn("p", estimate_pass_at_k(F.col("n"), F.col("c"), F.col("k")))
-    return est.groupBy("k").agg(F.round(F.avg("p"), 9).alias("pass_at_k"), F.count(F.lit(1)).alias("n_tasks"))
+    both = est.rollup("k", task).agg(F.grouping_id().alias("__level"), F.round(F.avg("p"), 9).alias("pass_at_k"), F.count(F.lit(1)).alias("n_tasks"))
+    return both.where(F.col("__level") < 3).drop("__level")

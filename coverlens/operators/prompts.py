@@ -58,18 +58,25 @@ def build_prompt(question: Column, template: str | None = None) -> Column:
     return render_user_prompt(question)
 
 
-def prefix_variants(prompts: DataFrame, prompt_col: str = "prompt") -> DataFrame:
-    """One row per (prompt, run) with the run's thinking prefix appended."""
-    runs = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(p).cast("string").alias("prefix")) for r, p in RUN_PREFIXES])
+def _run_list(runs: DataFrame | None) -> Column:
+    """(run, prefix) of a run dimension (A6, a handful of rows, each run once) in order of name, as one scalar list; without one the default runs."""
+    if runs is None:
+        return F.array(*[F.struct(F.lit(r).alias("run"), F.lit(p).cast("string").alias("prefix")) for r, p in RUN_PREFIXES])
+    return runs.agg(F.array_sort(F.collect_set(F.struct("run", F.col("thinking_prefix").alias("prefix"))))).scalar()
+
+
+def prefix_variants(prompts: DataFrame, prompt_col: str = "prompt", runs: DataFrame | None = None) -> DataFrame:
+    """One row per (prompt, run) with the run's thinking prefix appended; ``runs`` is A6's run dimension."""
+    runs = _run_list(runs)
     out = prompts.withColumn("__run", F.explode(runs))
     return out.select(
         "*", F.col("__run.run").alias("run"), F.concat(F.col(prompt_col), F.coalesce(F.col("__run.prefix"), F.lit(""))).alias("run_prompt")
     ).drop("__run")
 
 
-def job_matrix(items: DataFrame, num_samples: int) -> DataFrame:
-    """Items x runs x sample slots as explodes."""
-    runs = F.array(*[F.lit(r) for r, _ in RUN_PREFIXES])
+def job_matrix(items: DataFrame, num_samples: int, runs: DataFrame | None = None) -> DataFrame:
+    """Items x runs x sample slots as explodes; ``runs`` is A6's run dimension."""
+    runs = F.transform(_run_list(runs), lambda r: r["run"])
     return items.withColumn("run", F.explode(runs)).withColumn("sample_idx", F.explode(F.sequence(F.lit(1), F.lit(num_samples))))
 
 
@@ -78,13 +85,22 @@ def job_groups(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("job_dir", "split").agg(F.array_sort(F.collect_set(F.concat_ws("/", "job_dir", "run_name"))).alias("run_dirs"))
 
 
-def first_token_fanout(cands: DataFrame, topk: int, n: int, prompt: str = "prompt", token: str = "token", logprob: str = "logprob") -> DataFrame:
-    """Top-``topk`` first tokens per prompt, repeated cyclically to exactly ``n`` slots."""
+def first_token_fanout(
+    cands: DataFrame, topk: int, n: int, prompt: str = "prompt", token: str = "token", logprob: str = "logprob", seed: int | None = None
+) -> DataFrame:
+    """Top-``topk`` first tokens per prompt, repeated cyclically to exactly ``n`` slots.
+
+    With a ``seed`` the slots of each prompt are permuted: they are ordered by the
+    MD5 of seed, prompt and the slot before, inside the row.
+    """
     w = Window.partitionBy(prompt).orderBy(F.col(logprob).desc(), F.col(token))
     top = cands.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= topk)
     lists = top.groupBy(prompt).agg(F.array_sort(F.collect_list(F.struct(F.col("__r"), F.col(token).alias("t")))).alias("__c"))
     toks = F.transform(F.col("__c"), lambda s: s["t"])
     filled = F.slice(F.flatten(F.array_repeat(toks, F.ceil(F.lit(n) / F.size(toks)).cast("int"))), 1, n)
+    if seed is not None:
+        drawn = F.transform(filled, lambda t, i: F.struct(F.md5(F.concat_ws("|", F.lit(seed), F.col(prompt), i)).alias("h"), i.alias("i"), t.alias("t")))
+        filled = F.transform(F.array_sort(drawn), lambda s: s["t"])
     return lists.select(prompt, F.posexplode(filled).alias("slot", "first_token"))
 
 

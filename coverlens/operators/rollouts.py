@@ -114,6 +114,15 @@ def shifted_log_probs(logits: Column, labels: Column, temperature: float = 1.0)
     return F.when(F.size(labels) > 1, F.transform(at, score)).otherwise(F.array().cast("array<double>"))
 
 
+def sequence_log_probs(rows: DataFrame, *keys: str, logits: str = "logits", labels: str = "labels", temperature: float = 1.0) -> DataFrame:
+    """H8 as a table: (keys, pos, logp) of every position but the last of sequences stored as a row each.
+
+    ``logits`` holds one array per position.  A narrow projection: stored logits, the
+    widest column there is, go through no exchange.
+    """
+    return rows.select(*keys, F.posexplode(shifted_log_probs(F.col(logits), F.col(labels), temperature)).alias("pos", "logp"))
+
+
 KEY_METRICS = [
     # fixed values: metric names picked for the run log, in this order
     "train/kl_penalty",

@@ -109,10 +109,11 @@ def q_all_tests_pass(spark, sf):
 @register("pass_at_k_multi_test", oracle=lambda: f"""
 WITH c AS (SELECT task_id, count(*) AS n, CAST(count_if(ok) AS BIGINT) AS c FROM {_DUCK_GEN_OK} GROUP BY task_id),
 ks AS (SELECT CAST(k AS INTEGER) AS k FROM (VALUES (1), (5)) t(k) WHERE k <= (SELECT min(n) FROM c))
-SELECT k, round(avg({_duck_est()}), 9) AS pass_at_k, count(*) AS n_tasks FROM c, ks GROUP BY k""")
+SELECT k, CAST(NULL AS BIGINT) AS task_id, round(avg({_duck_est()}), 9) AS pass_at_k, count(*) AS n_tasks FROM c, ks GROUP BY k
+UNION ALL SELECT k, task_id, round({_duck_est()}, 9), 1 FROM c, ks""")
 def q_pass_at_k_multi_test(spark, sf):
-    """pass@1 and pass@5 over tasks whose generations pass all tests,
-    each k kept only when every task has at least k generations."""
+    """pass@1 and pass@5 over tasks whose generations pass all tests, each k kept
+    only when every task has at least k generations: per task, and the mean (null task)."""
     ok = all_tests_pass(fixtures.test_grades(spark, sf), "task_id", "gen_id", "grade")
     return pass_at_k_multi_test(ok, "task_id", (1, 5))
 
@@ -157,14 +158,15 @@ def q_prefix_effect(spark, sf):
 
 
 @register("coverage_set_ops", oracle=lambda: f"""
-WITH q AS (SELECT run, split, question_id, prompt_id, max(c > 0) AS solved FROM {_duck_counts(['run', 'split'])} GROUP BY ALL),
+WITH q AS (SELECT run, split, question_id, prompt_id, bool_or(is_correct AND (question_id + length(run)) % 3 > 0) AS solved FROM ({duck.OUTCOMES}) GROUP BY ALL),
 d AS (SELECT split, question_id, prompt_id FROM q WHERE solved AND run = 'view')
 SELECT run, split, question_id, prompt_id, 'gained' AS relation FROM q ANTI JOIN d USING (split, question_id, prompt_id) WHERE solved AND run <> 'view'
 UNION ALL
 SELECT run, split, question_id, prompt_id, 'lost' AS relation FROM q SEMI JOIN d USING (split, question_id, prompt_id) WHERE NOT solved AND run <> 'view'""")
 def q_coverage_set_ops(spark, sf):
     """Questions a run solves that the default run ('view') does not, and the reverse."""
-    return cov.coverage_set_ops(_outcome_counts(spark, sf, ["run", "split"]), "view")
+    o = fixtures.outcomes(spark, sf).withColumn("is_correct", F.expr("is_correct AND (question_id + length(run)) % 3 > 0"))  # each run misses a third of the questions
+    return cov.coverage_set_ops(correct_counts(o, ["run", "split", *QK]), "view")
 
 
 @register("subset_rollup", oracle=lambda: f"""

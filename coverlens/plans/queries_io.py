@@ -30,10 +30,10 @@ def _dir(spark, name: str) -> str:
 
 @register("src_benchmark_json", oracle=lambda: f"SELECT id, Question, answer, CAST(NULL AS VARCHAR) AS Solution, subset FROM ({ITEMS})")
 def q_src_benchmark_json(spark, sf):
-    """A1: benchmark items written as JSON and read back by registry name with a fixed schema."""
+    """A1: benchmark items as files that hold one JSON array each, read back by registry name with a fixed schema."""
     d = _dir(spark, "benchmark")
-    items(spark, sf).write.json(d)
-    return R.read_benchmark(spark, "items", {"items": d}, json_lines=True)
+    S.write_item_arrays(items(spark, sf), d)
+    return R.read_benchmark(spark, "items", {"items": d})
 
 
 def _gen_rows(spark, sf):
@@ -164,13 +164,13 @@ def q_snk_dataset_splits(spark, sf):
 
 
 @register("snk_episodes", oracle=lambda: f"""
-SELECT 'train' AS phase, iteration, 'q' || CAST(question_id AS VARCHAR) AS query, 'r' || CAST(event_id AS VARCHAR) AS response, reward
+SELECT CASE WHEN event_id % 5 = 0 THEN 'eval' ELSE 'train' END AS phase, iteration, 'q' || CAST(question_id AS VARCHAR) AS query, 'r' || CAST(event_id AS VARCHAR) AS response, reward
 FROM ({duck.ROLLOUTS}) WHERE iteration % 10 = 0""")
 def q_snk_episodes(spark, sf):
-    """Every 10th iteration's episodes as JSON under phase/iteration folders."""
+    """Every 10th iteration's training and evaluation episodes as JSON under phase/iteration folders."""
     d = _dir(spark, "episodes")
     r = fixtures.episodes(spark, sf).select(
-        F.lit("train").alias("phase"), "iteration", F.concat(F.lit("q"), F.col("question_id").cast("string")).alias("query"),
+        F.when(F.col("event_id") % 5 == 0, "eval").otherwise("train").alias("phase"), "iteration", F.concat(F.lit("q"), F.col("question_id").cast("string")).alias("query"),
         F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("response"), "reward",
     )
     S.write_episodes(r, d)

@@ -96,17 +96,18 @@ _DUCK_CANDS = "SELECT l_partkey AS prompt, l_suppkey AS token, max(-l_extendedpr
 _DUCK_FANOUT = f"""
 WITH top AS (SELECT prompt, list(token ORDER BY logprob DESC, token) AS c FROM (
    SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY logprob DESC, token) AS r FROM ({_DUCK_CANDS})) WHERE r <= 8 GROUP BY prompt)
-SELECT prompt, CAST(s AS INTEGER) AS slot, c[(s % len(c)) + 1] AS first_token FROM top, range(0, 10) t(s)"""
+SELECT prompt, CAST(row_number() OVER (PARTITION BY prompt ORDER BY md5('42|' || CAST(prompt AS VARCHAR) || '|' || CAST(s AS VARCHAR))) - 1 AS INTEGER) AS slot, c[(s % len(c)) + 1] AS first_token
+FROM top, range(0, 10) t(s)"""
 
 
 @register("first_token_fanout", oracle=lambda: _DUCK_FANOUT)
 def q_first_token_fanout(spark, sf):
-    """Top-8 first tokens per prompt repeated cyclically to 10 forced-prefix slots."""
-    return P.first_token_fanout(_candidates(spark, sf), 8, 10)
+    """Top-8 first tokens per prompt repeated cyclically to 10 forced-prefix slots, in a seeded order."""
+    return P.first_token_fanout(_candidates(spark, sf), 8, 10, seed=42)
 
 
 def _flat(spark, sf):
-    f = P.first_token_fanout(_candidates(spark, sf), 8, 10)
+    f = P.first_token_fanout(_candidates(spark, sf), 8, 10, seed=42)
     return f.select(
         "prompt", "slot", "first_token", F.concat(F.lit(" then "), F.col("slot").cast("string")).alias("text"),
         (F.col("slot") % 3 + 5).alias("completion_tokens"), F.lit(21).alias("prompt_tokens"),

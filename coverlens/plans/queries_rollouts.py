@@ -104,6 +104,22 @@ def q_score_stored_logits(spark, sf):
     return e.select("vec_id", "label", F.round(ro.log_softmax_gather(F.col("embedding"), F.col("label"), 0.7), 6).alias("logp"))
 
 
+@register("score_sequences", oracle="""
+WITH s AS (SELECT vec_id // 8 AS seq_id, vec_id, embedding AS logits, CASE WHEN vec_id % 5 = 0 THEN -100 ELSE label END AS label, row_number() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) - 1 AS pos FROM embeddings),
+n AS (SELECT seq_id, pos, list_transform(logits, lambda x: CAST(x AS DOUBLE) / 0.7) AS z, lead(label) OVER (PARTITION BY seq_id ORDER BY pos) AS next FROM s),
+m AS (SELECT *, list_max(z) AS mx FROM n WHERE next IS NOT NULL)
+SELECT seq_id, pos, CASE WHEN next = -100 THEN 0.0 ELSE round(z[next + 1] - (mx + ln(list_sum(list_transform(z, lambda x: exp(x - mx))))), 6) END AS logp FROM m""")
+def q_score_sequences(spark, sf):
+    """H8 over sequences: position t scores label t + 1, masked labels (-100) score 0; one row per position.
+
+    The stand-in makes sequences of eight rows of logits.
+    """
+    e = table(spark, sf, "embeddings").select((F.col("vec_id") / 8).cast("bigint").alias("seq_id"), F.struct(
+        "vec_id", F.col("embedding").alias("logits"), F.when(F.col("vec_id") % 5 == 0, -100).otherwise(F.col("label")).cast("int").alias("label")).alias("r"))
+    rows = e.groupBy("seq_id").agg(F.array_sort(F.collect_list("r")).alias("r")).select("seq_id", F.col("r.logits").alias("logits"), F.col("r.label").alias("labels"))
+    return ro.sequence_log_probs(rows, "seq_id", temperature=0.7).withColumn("logp", F.round("logp", 6))
+
+
 @register("holdout_split", oracle="""
 SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) <= 10 THEN 'test' ELSE 'train' END AS split
 FROM documents""")
@@ -150,23 +166,25 @@ def q_reward_int_match(spark, sf):
 
 @register("eval_rollouts", oracle=lambda: f"""
 SELECT run, 'eval' AS phase, count(*) AS n_episodes, round(avg(r), 9) AS rewards,
-       round(avg(CAST(regexp_count_words AS DOUBLE)), 9) AS response_lengths,
+       round(avg(CAST(regexp_count_words AS DOUBLE)), 9) AS response_lengths, round(avg(CAST(sample_id % 7 = 3 AS DOUBLE)), 9) AS non_stop_rate,
        MAP {{'equation_reward': round(avg(r), 9)}} AS reward_metrics
-FROM (SELECT run, {duck.reward_int_match('response', 'gt_answer')} AS r,
+FROM (SELECT run, sample_id, {duck.reward_int_match('response', 'gt_answer')} AS r,
              len(regexp_extract_all(response, '\\S+', 0)) AS regexp_count_words FROM ({duck.GENERATIONS}))
 GROUP BY run""")
 def q_eval_rollouts(spark, sf):
-    """Evaluation rollouts: reward, length and named reward components per run."""
+    """Evaluation rollouts: reward, length, non-stop rate and named reward components per run."""
     g = fixtures.generations(spark, sf).select(
         "run",
         F.expr(reward_int_match_sql("response", "gt_answer")).alias("r"),
         F.expr("regexp_count(response, '(?U)\\\\S+')").alias("len"),
+        F.when(F.col("sample_id") % 7 == 3, "length").otherwise("stop").alias("finish_reason"),
     )
     return g.groupBy("run").agg(
         F.lit("eval").alias("phase"),
         F.count(F.lit(1)).alias("n_episodes"),
         F.round(F.avg("r"), 9).alias("rewards"),
         F.round(F.avg(F.col("len").cast("double")), 9).alias("response_lengths"),
+        F.round(F.avg((F.col("finish_reason") != "stop").cast("double")), 9).alias("non_stop_rate"),
         F.create_map(F.lit("equation_reward"), F.round(F.avg("r"), 9)).alias("reward_metrics"),
     )
 

@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def write_item_arrays(items: DataFrame, path: str, most: int = 1_000) -> None:
+    """Benchmark items (a numeric ``id``) as JSON arrays of at most ``most`` neighbouring ids, one array a file."""
+    fields = F.struct(*items.columns)
+    groups = items.groupBy(F.floor(F.col("id") / most).alias("__g")).agg(F.to_json(F.array_sort(F.collect_list(fields))).alias("value"))
+    groups.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def write_prompts(df: DataFrame, path: str) -> None:
     """Prompts CSV (header, every field quoted: prompts span lines)."""
     (df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"')
