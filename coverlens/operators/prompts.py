@@ -76,8 +76,8 @@ def prefix_variants(prompts: DataFrame, prompt_col: str = "prompt", runs: DataFr
 
 def job_matrix(items: DataFrame, num_samples: int, runs: DataFrame | None = None) -> DataFrame:
     """Items x runs x sample slots as explodes; ``runs`` is A6's run dimension."""
-    runs = F.transform(_run_list(runs), lambda r: r["run"])
-    return items.withColumn("run", F.explode(runs)).withColumn("sample_idx", F.explode(F.sequence(F.lit(1), F.lit(num_samples))))
+    out = items.withColumn("__run", F.explode(_run_list(runs))).withColumn("run", F.col("__run.run")).drop("__run")
+    return out.withColumn("sample_idx", F.explode(F.sequence(F.lit(1), F.lit(num_samples))))
 
 
 def job_groups(jobs: DataFrame) -> DataFrame:

@@ -179,24 +179,24 @@ def q_snk_episodes(spark, sf):
 
 
 @register("src_run_config", oracle=lambda: f"""
-SELECT 'run_' || event_type AS run, 'ChatCompletionSampler' AS sampler_class, 'model-' || event_type AS model,
+SELECT 'jobs/aime' AS job_dir, 'run_' || event_type AS run, CASE WHEN event_type < 'm' THEN 'VLLMSampler' ELSE 'ChatCompletionSampler' END AS sampler_class, 'model-' || event_type AS model,
   CASE WHEN event_type = 'view' THEN NULL ELSE upper(substr(event_type, 1, 1)) || substr(event_type, 2) END AS thinking_prefix,
-  CAST(NULL AS VARCHAR[]) AS stop, 0.6 ::DOUBLE AS temperature, 0.95::DOUBLE AS top_p, -1 AS top_k,
-  CAST(max(length(props)) AS INTEGER) AS max_tokens, 32768 AS max_model_len, CAST(NULL AS INTEGER) AS first_topk, true AS trust_remote_code, CAST(NULL AS VARCHAR) AS tokenizer_path
+  CASE WHEN event_type < 'm' THEN NULL ELSE ['a b', 'c'] END AS stop, 0.6::DOUBLE AS temperature, 0.95::DOUBLE AS top_p, -1 AS top_k,
+  CAST(max(length(props)) AS INTEGER) AS max_tokens, 32768 AS max_model_len, CASE WHEN event_type < 'm' THEN 8 END AS first_topk, true AS trust_remote_code,
+  CASE WHEN event_type < 'm' THEN NULL ELSE 'tok/' || event_type END AS tokenizer_path, 'x=' || event_type AS note
 FROM events GROUP BY event_type""")
 def q_src_run_config(spark, sf):
-    """Per-run sampler configs (one JSON record per run, derived from the runs in
-    ``events``) read with a fixed schema into the run dimension."""
+    """Per-run sampler configs as whole YAML files in run folders, read into the run dimension."""
     d = _dir(spark, "run-configs")
-    ev = table(spark, sf, "events").groupBy("event_type").agg(F.max(F.length("props")).cast("int").alias("mx"))
-    cfg = ev.select(
-        F.concat(F.lit("run_"), "event_type").alias("run"),
-        F.struct(
-            F.concat(F.lit("model-"), "event_type").alias("model_name"), F.lit(0.6).alias("temperature"), F.lit(0.95).alias("top_p"),
-            F.lit(-1).alias("top_k"), F.col("mx").alias("max_tokens"), F.lit(32768).alias("max_model_len"),
-            F.lit(True).alias("trust_remote_code"),
-            F.when(F.col("event_type") != "view", F.concat(F.upper(F.substring("event_type", 1, 1)), F.substring("event_type", 2, 100))).alias("thinking_prefix"),
-        ).alias("sampler"),
-    )
-    cfg.write.json(d)
-    return R.read_run_config_json(spark, d)
+    ev = table(spark, sf, "events").groupBy("event_type").agg(F.max(F.length("props")).alias("mx"))
+    first = F.col("event_type") < "m"
+    lines = F.concat_ws(
+        "\n", F.lit("sampler:"), F.when(first, F.lit("  class: VLLMSampler")), F.concat(F.lit("  model_name: model-"), "event_type"),
+        F.lit("  temperature: 0.6\n  top_p: 0.95  # nucleus\n  top_k: -1"), F.concat(F.lit("  max_tokens: "), F.col("mx").cast("string")),
+        F.lit("  max_model_len: 32768\n  trust_remote_code: true"), F.when(first, F.lit("  first_topk: 8")).otherwise(F.lit("  stop: ['a b', \"c\"]")),
+        F.when(F.col("event_type") != "view", F.concat(F.lit("  thinking_prefix: "), F.initcap("event_type"))),
+        F.concat(F.lit('  note: "x='), "event_type", F.lit('"')), F.when(~first, F.concat(F.lit("tokenizer:\n  path: tok/"), "event_type")))
+    rows = ev.select("event_type", lines.alias("value"))
+    for r in rows.select("event_type").collect():
+        S.write_run_config(rows.where(F.col("event_type") == r.event_type), f"{d}/jobs/aime", f"run_{r.event_type}")
+    return R.read_run_configs(spark, d).withColumn("note", F.col("params")["note"]).drop("params")

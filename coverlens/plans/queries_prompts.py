@@ -10,7 +10,8 @@ from coverlens.operators import prompts as P
 from coverlens.plans.oracle import duck
 from coverlens.plans.registry import register
 from coverlens.session import ensure_checkpoint_dir
-from coverlens.sources.readers import read_job_list
+from coverlens.sources.readers import read_job_list, read_run_configs
+from coverlens.sources.sinks import write_run_config
 from coverlens.sources.tables import table
 
 
@@ -64,16 +65,25 @@ def q_render_alpaca(spark, sf):
 _RUNS = "(VALUES ('default', NULL), ('prefix_Okay', 'Okay'), ('prefix_Let', 'Let'), ('prefix_Alright', 'Alright'), ('prefix_To', 'To')) r(run, prefix)"
 
 
+def _run_table(spark):
+    """The run dimension of the default runs, from config files as the job scripts leave them."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/io/runs-{uuid.uuid4().hex}"
+    for run, prefix in P.RUN_PREFIXES:
+        text = "sampler:\n  class: VLLMSampler\n  temperature: 0.6" + (f"\n  thinking_prefix: {prefix}" if prefix else "")
+        write_run_config(spark.createDataFrame([(text,)], "value string"), base, run)
+    return read_run_configs(spark, base)
+
+
 @register("prefix_variants", oracle=lambda: f"SELECT question_id, run, prompt || coalesce(prefix, '') AS run_prompt FROM ({_PROMPTS}), {_RUNS}")
 def q_prefix_variants(spark, sf):
-    """Every prompt once per run with the run's thinking prefix appended."""
-    return P.prefix_variants(prompts(spark, sf)).select("question_id", "run", "run_prompt")
+    """Every prompt once per run of the run table with the run's thinking prefix appended."""
+    return P.prefix_variants(prompts(spark, sf), runs=_run_table(spark)).select("question_id", "run", "run_prompt")
 
 
-@register("job_matrix", oracle=lambda: f"SELECT id AS question_id, run, CAST(s AS INTEGER) AS sample_idx FROM ({ITEMS}), {_RUNS}, range(1, 9) t(s)")
+@register("job_matrix", oracle=lambda: f"SELECT subset, id AS question_id, run, CAST(s AS INTEGER) AS sample_idx FROM ({ITEMS}), {_RUNS}, range(1, 9) t(s)")
 def q_job_matrix(spark, sf):
-    """Items x runs x 8 sample slots."""
-    return P.job_matrix(items(spark, sf), 8).select(F.col("id").alias("question_id"), "run", "sample_idx")
+    """Items (of every dataset) x runs of the run table x 8 sample slots."""
+    return P.job_matrix(items(spark, sf), 8, _run_table(spark)).select("subset", F.col("id").alias("question_id"), "run", "sample_idx")
 
 
 @register("job_groups", oracle=lambda: f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ITEM_SCHEMA = "id BIGINT, Question STRING, answer STRING, Solution STRING, subset STRING"
@@ -54,6 +54,14 @@ def read_generation_shards(spark: SparkSession, sample_dir: str, split: str) ->
     )
 
 
+def _below(root: str) -> Column:
+    """The path of a row's file below ``root``."""
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    base = re.sub(scheme, "", root).rstrip("/")
+    uri = F.regexp_replace(F.col("_metadata.file_path"), scheme, "")
+    return F.substring(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), len(base) + 2, 1 << 20)
+
+
 #: A shard of a run: job folder, run folder, split, seed, timestamp, worker; one file, or a folder of part files.
 RUN_SHARD = r"^(?:(.*)/)?([^/]+)/([^/]+)\.generations_seed(\d+)\.(\d{8}_\d{6})_(\d+)\.csv(?:/[^/]+)?$"
 
@@ -73,10 +81,7 @@ def read_run_shards(spark: SparkSession, root: str) -> DataFrame:
         .option("header", True).option("multiLine", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(root)
     )
-    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
-    uri = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    path = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
-    df = df.select("*", F.substring(path, len(base) + 2, 1 << 20).alias("__path"), F.monotonically_increasing_id().alias("__row"))
+    df = df.select("*", _below(root).alias("__path"), F.monotonically_increasing_id().alias("__row"))
     part = lambda i: F.regexp_extract("__path", RUN_SHARD, i)
     shard = F.regexp_extract("__path", r"([^/]+\.csv)(?:/[^/]+)?$", 1)
     return df.where(F.col("__path").rlike(RUN_SHARD)).select(
@@ -97,64 +102,58 @@ def read_job_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JOB_SCHEMA).option("sep", "|").option("mode", "PERMISSIVE").csv(path)
 
 
-def read_run_configs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Sampler configs -> run dimension (a handful of small YAML files, parsed
-    on the driver; the result is a small table meant for broadcast joins)."""
-    import os
+#: A run's config: job folder, run folder; one file, or a folder of one part file.
+RUN_CONFIG = r"^(?:(.*)/)?([^/]+)/sampler_config\.yaml(?:/[^/]+)?$"
+#: The settings that the run dimension names; others stay in ``params``.
+CONFIG_COLUMNS = {"temperature": "double", "top_p": "double", "top_k": "int", "max_tokens": "int", "max_model_len": "int", "first_topk": "int", "trust_remote_code": "boolean"}
 
-    try:
-        import yaml  # noqa: PLC0415
-    except ImportError as e:  # optional dependency
-        raise RuntimeError("reading run configs needs PyYAML") from e
-
-    rows = []
-    for p in paths:
-        with open(p, encoding="utf-8") as fh:
-            cfg = yaml.safe_load(fh) or {}
-        s = dict(cfg.get("sampler", {}))
-        stop = s.pop("stop", None)
-        rows.append((
-            os.path.basename(os.path.dirname(p)), s.pop("class", DEFAULT_SAMPLER), s.pop("model_name", None),
-            s.pop("thinking_prefix", None), None if stop is None else str(stop),
-            {k: str(v) for k, v in s.items()},
-        ))
-    return spark.createDataFrame(rows, "run STRING, sampler_class STRING, model STRING, thinking_prefix STRING, stop STRING, params MAP<STRING, STRING>")
 
+def _yaml_section(name: str) -> Column:
+    """The ``key: value`` lines indented below ``name:`` as a map of unquoted strings; empty, ``~`` and ``null`` values are NULL.
 
-def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """Prompts CSV written by ``write_prompts`` (quoted, multi-line, whitespace kept)."""
-    schema = "question_id BIGINT, prompt_id BIGINT, question STRING, answer STRING, prompt STRING"
-    return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    )
+    A quoted value ends at its closing quote, a plain one before `` #``; double quotes
+    know ``\\n`` and ``\\t``.
+    """
+    body = F.regexp_extract("value", rf"(?m)^{name}:[ \t]*\r?\n((?:[ \t]+[^\n]*(?:\n|\z)|[ \t]*\r?\n)*)", 1)
+    line = r"^[ \t]+([A-Za-z_][A-Za-z0-9_-]*):[ \t]*(.*?)[ \t]*$"
 
+    def scalar(v: Column) -> Column:
+        double = F.regexp_extract(v, r'^"((?:[^"\\]|\\.)*)"', 1)
+        for mark, char in [("\\n", "\n"), ("\\t", "\t"), ('\\"', '"')]:
+            double = F.replace(double, F.lit(mark), F.lit(char))
+        plain = F.trim(F.regexp_replace(v, r"(^|[ \t])#.*$", ""))
+        return F.when(v.startswith('"'), double).when(v.startswith("'"), F.regexp_extract(v, "^'([^']*)'", 1)).otherwise(
+            F.when(~plain.isin("", "~", "null"), plain))
+
+    keyed = F.transform(F.split(body, r"\r?\n"), lambda x: F.struct(F.regexp_extract(x, line, 1).alias("key"), scalar(F.regexp_extract(x, line, 2)).alias("value")))
+    return F.map_from_entries(F.filter(keyed, lambda e: e["key"] != ""))
 
-RUN_CONFIG_SCHEMA = (
-    "run STRING, sampler STRUCT<class: STRING, model_name: STRING, temperature: DOUBLE, top_p: DOUBLE, top_k: INT, "
-    "max_tokens: INT, max_model_len: INT, trust_remote_code: BOOLEAN, thinking_prefix: STRING, first_topk: INT, stop: ARRAY<STRING>>, "
-    "tokenizer STRUCT<path: STRING>"
-)
 
+def read_run_configs(spark: SparkSession, root: str) -> DataFrame:
+    """Every ``sampler_config.yaml`` below ``root``, read whole and parsed by Spark, as the run dimension.
 
-def run_dimension(configs: DataFrame) -> DataFrame:
-    """Config records -> run dimension: ``model_name`` renamed to ``model``,
-    ``class`` split off (default sampler class), ``stop`` and ``thinking_prefix``
-    as their own columns, the remaining sampler settings kept as columns."""
-    s = F.col("sampler")
-    return configs.select(
-        "run",
-        F.coalesce(s["class"], F.lit(DEFAULT_SAMPLER)).alias("sampler_class"),
-        s["model_name"].alias("model"),
-        s["thinking_prefix"].alias("thinking_prefix"),
-        s["stop"].alias("stop"),
-        s["temperature"].alias("temperature"), s["top_p"].alias("top_p"), s["top_k"].alias("top_k"),
-        s["max_tokens"].alias("max_tokens"), s["max_model_len"].alias("max_model_len"),
-        s["first_topk"].alias("first_topk"), s["trust_remote_code"].alias("trust_remote_code"),
-        F.col("tokenizer.path").alias("tokenizer_path"),
+    Configs have the sections ``sampler`` and ``tokenizer`` with one setting a line.
+    ``stop`` is a string or a list in brackets.  Settings without a column of their
+    own are in ``params``.
+    """
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{sampler_config.yaml,part-*}").text(root, wholetext=True)
+    df = df.select("value", _below(root).alias("path")).where(F.col("path").rlike(RUN_CONFIG))
+    df = df.select(F.regexp_extract("path", RUN_CONFIG, 1).alias("job_dir"), F.regexp_extract("path", RUN_CONFIG, 2).alias("run"), _yaml_section("sampler").alias("s"), _yaml_section("tokenizer").alias("t"))
+    s = F.col("s")
+    unquoted = F.transform(F.split(F.regexp_replace(s["stop"], r"^\[[ ]*|[ ]*\]$", ""), r"[ ]*,[ ]*"), lambda x: F.regexp_replace(x, "^['\"]|['\"]$", ""))
+    stop = F.when(s["stop"].rlike(r"^\[.*\]$"), unquoted).when(s["stop"].isNotNull(), F.array(s["stop"]))
+    named = ["class", "model_name", "thinking_prefix", "stop", *CONFIG_COLUMNS]
+    return df.select(
+        "job_dir", "run", F.coalesce(s["class"], F.lit(DEFAULT_SAMPLER)).alias("sampler_class"), s["model_name"].alias("model"), s["thinking_prefix"].alias("thinking_prefix"),
+        stop.alias("stop"), *(s[c].cast(kind).alias(c) for c, kind in CONFIG_COLUMNS.items()), F.col("t")["path"].alias("tokenizer_path"),
+        F.map_filter(s, lambda k, _: ~k.isin(named)).alias("params"),
     )
 
 
-def read_run_config_json(spark: SparkSession, path: str) -> DataFrame:
-    """A6 for configs stored as JSON records (one per run), read with a fixed schema."""
-    return run_dimension(spark.read.schema(RUN_CONFIG_SCHEMA).json(path))
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """Prompts CSV written by ``write_prompts`` (quoted, multi-line, whitespace kept)."""
+    schema = "question_id BIGINT, prompt_id BIGINT, question STRING, answer STRING, prompt STRING"
+    return (
+        spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )

@@ -13,6 +13,11 @@ def write_item_arrays(items: DataFrame, path: str, most: int = 1_000) -> None:
     groups.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
+def write_run_config(config: DataFrame, job_dir: str, run: str) -> None:
+    """One run's config, a row with the whole text in ``value``, in its run folder."""
+    config.select("value").coalesce(1).write.mode("errorifexists").text(f"{job_dir.rstrip('/')}/{run}/sampler_config.yaml")
+
+
 def write_prompts(df: DataFrame, path: str) -> None:
     """Prompts CSV (header, every field quoted: prompts span lines)."""
     (df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"')

@@ -2,9 +2,8 @@
 
 Shards land as files; the stream reads them with an explicit schema, does the
 stateless text work per row and keeps only aggregation state.  Outputs go to
-Parquet folders through Spark sinks (``foreachBatch`` overwrite for the
-complete-mode counts, the file sink for append-mode windows); nothing is
-collected to the driver.  Folders live under the shared checkpoint folder
+Parquet folders through Spark sinks (a folder for each epoch of updated counts, the
+file sink for append-mode windows); nothing is collected to the driver.  Folders live under the shared checkpoint folder
 named by ``spark.checkpoint.dir``.
 """
 
@@ -31,30 +30,53 @@ def workdir(spark: SparkSession, name: str) -> str:
 
 
 def stage_shards(df: DataFrame, path: str, shard_col: str = "shard") -> str:
-    """Write a table as one folder per shard (how sampling workers deliver files)."""
-    df.write.mode("overwrite").partitionBy(shard_col).parquet(path)
+    """Add a table's rows as one folder per shard (how sampling workers deliver files)."""
+    df.write.mode("append").partitionBy(shard_col).parquet(path)
     return path
 
 
-def stream_pass_counts(spark: SparkSession, source: str, out: str, checkpoint: str, data_name: str = "math") -> DataFrame:
-    """Running per-question ``(n, c)`` as generation shards arrive.
+COUNT_KEYS = ("run", "split", "question_id", "prompt_id")
+COUNT_SCHEMA = "run STRING, split STRING, question_id BIGINT, prompt_id BIGINT, n BIGINT, c BIGINT, epoch BIGINT"
 
-    Extraction, normalisation and grading are stateless per row; the only
-    state is the per-question count.  Shards are concatenated as delivered
-    (no cutoff: a later shard may hold earlier sample ids).
+
+def write_epoch(batch: DataFrame, epoch: int, out: str) -> None:
+    """Updated counts of one epoch as a folder of its own.
+
+    A replayed epoch replaces its folder with the same rows, so it is applied once;
+    folders of other epochs, which a reader may be reading, are never touched.
     """
-    gens = spark.readStream.schema(GEN_SCHEMA).parquet(source)
-    keys = ["run", "split", "question_id", "prompt_id"]
-    x = finish_answers(extract_raw_answers(gens, data_name), data_name)
-    x = grade_answers(normalize_answers(x, "gt_answer", "gt_norm"), "pred_answer", "gt_norm")
-    counts = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_correct").alias("c"))
+    batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+
+def latest_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The counts now: of each question those of its last epoch (partial aggregation, no sort)."""
+    log = spark.read.schema(COUNT_SCHEMA).parquet(out)
+    return log.groupBy(*COUNT_KEYS).agg(F.max_by(F.struct("n", "c"), "epoch").alias("v")).select(*COUNT_KEYS, "v.n", "v.c")
+
 
-    def write_batch(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+def stream_pass_counts(
+    spark: SparkSession, source: str, out: str, checkpoint: str, data_name: str = "math", files_per_trigger: int | None = None
+) -> DataFrame:
+    """Running per-question ``(n, c)`` as generation shards arrive, each sample once.
 
-    q = counts.writeStream.outputMode("complete").foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    Extraction is stateless and drops the response; a sample (run, split, question,
+    prompt, sample id) that came before, in this batch or any earlier one, is
+    dropped by a stateful deduplication of its key; only new samples are normalised
+    and graded.  State is one key per sample and one count per question.  Update mode
+    writes the counts that changed, an epoch at a time.  No cutoff: a later shard may
+    hold earlier sample ids.  ``pass_at_k`` of the result is the running estimate.
+    """
+    reader = spark.readStream.schema(GEN_SCHEMA)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    keys = list(COUNT_KEYS)
+    x = extract_raw_answers(reader.parquet(source), data_name).select(*keys, "sample_id", "mode", "cleaned", "gt_answer")
+    x = finish_answers(x.dropDuplicates([*keys, "sample_id"]), data_name)
+    x = grade_answers(normalize_answers(x, "gt_answer", "gt_norm"), "pred_answer", "gt_norm")
+    counts = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_correct").alias("c"))
+    q = counts.writeStream.outputMode("update").foreachBatch(lambda batch, epoch: write_epoch(batch, epoch, out)).option("checkpointLocation", checkpoint)
     q.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    return latest_counts(spark, out)
 
 
 def stream_reward_monitor(spark: SparkSession, source: str, out: str, checkpoint: str, delay: str = "1 day") -> DataFrame:
@@ -73,3 +95,31 @@ def stream_reward_monitor(spark: SparkSession, source: str, out: str, checkpoint
     q = agg.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     q.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("window_start STRING, n_episodes BIGINT, rewards DOUBLE, non_stop_rate DOUBLE").parquet(out)
+
+
+WINDOW_SCHEMA = "window_start STRING, window_end STRING, n_episodes BIGINT, rewards DOUBLE, non_stop_rate DOUBLE"
+
+
+def stream_reward_sliding(spark: SparkSession, source: str, out: str, checkpoint: str, width: str = "2 days", slide: str = "1 day", delay: str = "1 day") -> DataFrame:
+    """I2 over sliding windows: an episode counts in each window that holds its time.
+
+    A window is closed, and emitted once, when the watermark (latest time seen less
+    ``delay``) reaches its end.  An episode that comes later counts in its windows that
+    are still open and in no other.  Called again with the same checkpoint, it goes
+    on with what has arrived since.
+    """
+    ev = spark.readStream.schema(ROLLOUT_SCHEMA).parquet(source)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    agg = (
+        ev.withWatermark("ts", delay)
+        .groupBy(F.window("ts", width, slide).alias("w"))
+        .agg(
+            F.count(F.lit(1)).alias("n_episodes"),
+            F.round(F.avg("reward"), 9).alias("rewards"),
+            F.round(F.avg((F.col("finish_reason") != "stop").cast("double")), 9).alias("non_stop_rate"),
+        )
+        .select(text("w.start").alias("window_start"), text("w.end").alias("window_end"), "n_episodes", "rewards", "non_stop_rate")
+    )
+    q = agg.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    q.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(WINDOW_SCHEMA).parquet(out)
