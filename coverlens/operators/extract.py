@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from coverlens.functions.fixed_values import CHOICE_DATASETS, CHOICE_NARROW_DATASETS, SKIP_UNIT_DATASETS
 from coverlens.functions.sql import after_first, after_last, before_first, has, let, q, rep, rx, strip
+from coverlens.operators.arithmetic import product_value_sql
 from coverlens.operators.normalize import normalize_answers
 
 
@@ -202,8 +203,9 @@ def clean_units_sql(x: str) -> str:
 
 def theoremqa_answer_sql(pred: str) -> str:
     """yes/true -> True, no/false -> False, option letters kept; else the
-    boxed content's value after the last '=', units cleaned, a trailing unit
-    word dropped (LaTeX evaluation is not built)."""
+    boxed content's value after the last '=', units cleaned: a product or quotient
+    of numbers as its value (``arithmetic.product_value_sql``), else without a
+    trailing unit word (other LaTeX is not evaluated)."""
     low = f"lower({pred})"
     opts = " OR ".join(f"instr({low}, '({c})') > 0" for c in "abcdef")
     body = f"CASE WHEN instr({pred}, 'boxed') > 0 THEN {extract_boxed_sql(pred)} ELSE {pred} END"
@@ -212,6 +214,7 @@ def theoremqa_answer_sql(pred: str) -> str:
         f"CASE WHEN {v} RLIKE {q(r'^-?[\d\.]+\s\D+$')} OR {v} RLIKE {q(r'^-?[\d\.]+\s[^\s]+$')} "
         f"THEN substring_index({v}, ' ', 1) ELSE {v} END"
     )
+    tail = f"coalesce({product_value_sql(v)}, {tail})"
     return (
         f"CASE WHEN instr({low}, 'yes') > 0 OR instr({low}, 'true') > 0 THEN 'True' "
         f"WHEN instr({low}, 'no') > 0 OR instr({low}, 'false') > 0 THEN 'False' "
@@ -219,12 +222,19 @@ def theoremqa_answer_sql(pred: str) -> str:
     )
 
 
-def extract_by_prompt_type(df: DataFrame, data_name: str = "math", response_col: str = "response") -> DataFrame:
-    """E15 ``run_execute`` (text prompt types): empty or 'error' -> NULL; else the
-    extracted answer normalised once more."""
+def extract_by_prompt_type(df: DataFrame, data_name: str = "math", response_col: str = "response", prompt_type: str = "'cot'") -> DataFrame:
+    """E15 ``run_execute``: empty or 'error' -> NULL; else the answer that the prompt
+    type (an SQL expression, such as a column's name) calls for, normalised once more.
+
+    Types that hold ``program_only``, and ``pot`` and ``pal``, take the recorded
+    program output; all others the answer extracted from the text.
+    """
     r = f"`{response_col}`"
     branch, raw = _text_branch_sql(rep(r, "ки"), data_name, True)
-    df = df.withColumn("__x", F.expr(clean_sql(f"({raw})", data_name)))
+    program = f"(instr({prompt_type}, 'program_only') > 0 OR {prompt_type} IN ('pot', 'pal'))"
+    df = df.withColumn("__program", F.expr(f"coalesce({program}, false)"))
+    df = df.withColumn("__x", F.expr(f"CASE WHEN __program THEN '' ELSE {clean_sql(f'({raw})', data_name)} END"))
     df = normalize_answers(df, "__x", "__x", skip_unit=data_name in SKIP_UNIT_DATASETS)
+    df = df.withColumn("__x", F.expr(f"CASE WHEN __program THEN coalesce({recorded_code_output_sql(r)}, '') ELSE __x END")).drop("__program")
     df = normalize_answers(df, "__x", "__x", skip_unit=data_name in SKIP_UNIT_DATASETS)
     return df.withColumn("prediction", F.expr(f"CASE WHEN {r} IS NULL OR {r} = '' OR {r} = 'error' THEN NULL ELSE __x END")).drop("__x")

@@ -5,7 +5,7 @@ cheapest first and the first tier that settles a row wins:
 
     null, exact, choice, numeric / numeric_percent / numeric_mismatch (final),
     empty, bracket, tuple, matrix, equation_pair, equation_side,
-    fraction_value, residual
+    fraction_value, linear / linear_mismatch (final), residual
 
 ``residual`` rows are those the evaluated pipeline hands to a computer-algebra
 system; they grade false here and are listed by ``symbolic_residual`` (F11).
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverlens.functions.sql import WS, let, q, rep, strip
+from coverlens.operators.arithmetic import linear_equal_sql
 from coverlens.operators.extract import extract_boxed_reward_sql
 
 REL_TOL = 1e-4
@@ -63,13 +64,15 @@ def choice_clean_sql(p: str) -> str:
     return f"rtrim('/', rtrim('.', {picked}))"
 
 
-def numeric_verdict_sql(pv: str, rv: str) -> str:
-    """'numeric', 'numeric_percent' or 'numeric_mismatch' for two parsed numbers."""
-    return (
-        f"CASE WHEN {is_close_sql(pv, rv)} THEN 'numeric' "
-        f"WHEN {is_close_sql(pv, f'({rv} / 100.0D)')} OR {is_close_sql(pv, f'({rv} * 100.0D)')} THEN 'numeric_percent' "
-        f"ELSE 'numeric_mismatch' END"
-    )
+def numeric_verdict_sql(pv: str, rv: str, include_percentage: bool = True, is_close: bool = True) -> str:
+    """'numeric', 'numeric_percent' or 'numeric_mismatch' for two parsed numbers.
+
+    Without ``include_percentage`` a factor of 100 is a mismatch; without ``is_close``
+    numbers must be the same double.
+    """
+    same = is_close_sql if is_close else lambda a, b: f"coalesce({a} = {b} AND NOT isnan({a}), false)"
+    percent = f"WHEN {same(pv, f'({rv} / 100.0D)')} OR {same(pv, f'({rv} * 100.0D)')} THEN 'numeric_percent' " if include_percentage else ""
+    return f"CASE WHEN {same(pv, rv)} THEN 'numeric' {percent}ELSE 'numeric_mismatch' END"
 
 
 def bracket_equal_sql(p: str, r: str) -> str:
@@ -180,15 +183,19 @@ def to_pmatrix_sql(r: str) -> str:
     )
 
 
-def grade_answers(df: DataFrame, pred: str = "pred_answer", gt: str = "gt_norm") -> DataFrame:
-    """add ``tier`` and ``is_correct`` for columns ``pred`` and ``gt``."""
+def grade_answers(df: DataFrame, pred: str = "pred_answer", gt: str = "gt_norm", include_percentage: bool = True, is_close: bool = True) -> DataFrame:
+    """add ``tier`` and ``is_correct`` for columns ``pred`` and ``gt``.
+
+    ``include_percentage`` and ``is_close`` rule how two plain numbers compare (F3);
+    parts of tuples, matrices and equations compare by the default rule.
+    """
     p0, r0 = f"`{pred}`", f"`{gt}`"
     df = df.withColumns({"__pv": F.expr(parse_digits_sql(p0)), "__rv": F.expr(parse_digits_sql(r0))})
     early = (
         f"CASE WHEN {p0} IS NULL OR {r0} IS NULL THEN 'null' "
         f"WHEN lower({strip(p0)}) = lower({strip(r0)}) THEN 'exact' "
         f"WHEN {r0} IN {CHOICES} AND {choice_clean_sql(p0)} = {r0} THEN 'choice' "
-        f"WHEN __pv IS NOT NULL AND __rv IS NOT NULL THEN {numeric_verdict_sql('__pv', '__rv')} "
+        f"WHEN __pv IS NOT NULL AND __rv IS NOT NULL THEN {numeric_verdict_sql('__pv', '__rv', include_percentage, is_close)} "
         f"WHEN {p0} = '' THEN 'empty' END"
     )
     # symbolic part: stripped strings, set-style truth turned into a matrix
@@ -228,7 +235,11 @@ def grade_answers(df: DataFrame, pred: str = "pred_answer", gt: str = "gt_norm")
         f"CASE WHEN {fraction} THEN 'fraction_value' ELSE 'residual' END) END"
     )
     df = df.withColumn("tier", F.expr(f"coalesce(__early, {late})"))
-    df = df.withColumn("is_correct", F.expr("tier NOT IN ('null', 'numeric_mismatch', 'empty', 'residual')"))
+    # what is left of two equations: both linear, and the differences of their sides equal up to sign, or not
+    open_pair = "tier = 'residual' AND __pe = 1 AND __re = 1"
+    df = df.withColumn("__same", F.expr(f"CASE WHEN {open_pair} THEN {linear_equal_sql('__p', '__r')} END"))
+    df = df.withColumn("tier", F.expr("CASE WHEN __same THEN 'linear' WHEN NOT __same THEN 'linear_mismatch' ELSE tier END")).drop("__same")
+    df = df.withColumn("is_correct", F.expr("tier NOT IN ('null', 'numeric_mismatch', 'empty', 'linear_mismatch', 'residual')"))
     return df.drop("__pv", "__rv", "__early", "__p", "__r", "__pe", "__re", "__pl", "__pr", "__rl", "__rr")
 
 

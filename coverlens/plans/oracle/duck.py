@@ -605,35 +605,3 @@ def base_digits(v: str, b: str) -> str:
 def base_value(x: str, b: str) -> str:
     d = "'0123456789AB'"
     return f"((strpos({d}, substr({x}, 1, 1)) - 1) * {b} + (strpos({d}, substr({x}, 2, 1)) - 1))"
-
-
-THEOREM_TEXTS = r"""
-SELECT p_partkey AS id,
-  CASE CAST(p_partkey % 5 AS INTEGER)
-    WHEN 0 THEN 'The statement is true.'
-    WHEN 1 THEN 'Answer: (b)'
-    WHEN 2 THEN '\boxed{x = ' || CAST(p_size AS VARCHAR) || '}'
-    WHEN 3 THEN 'The value = ' || CAST(p_size AS VARCHAR) || ' m'
-    ELSE CAST(p_size AS VARCHAR) || '%'
-  END AS response
-FROM part
-"""
-
-
-def theoremqa(pred: str) -> str:
-    """E6 in DuckDB (fixture has no pi, which needs a look-behind RE2 lacks)."""
-    low = f"lower({pred})"
-    opts = " OR ".join(f"strpos({low}, '({c})') > 0" for c in "abcdef")
-    body = f"(CASE WHEN strpos({pred}, 'boxed') > 0 THEN {boxed(pred)} ELSE {pred} END)"
-    v = strip(f"string_split({body}, '=')[-1]")
-    v = rep(v, "%", "/100")
-    for mark in ["$", "¥", "°C", " C", "°"]:
-        v = rep(v, mark)
-    tail = (
-        f"CASE WHEN regexp_matches({v}, '^-?[\\d\\.]+\\s\\D+$') OR regexp_matches({v}, '^-?[\\d\\.]+\\s[^\\s]+$') "
-        f"THEN string_split({v}, ' ')[1] ELSE {v} END"
-    )
-    return (
-        f"CASE WHEN strpos({low}, 'yes') > 0 OR strpos({low}, 'true') > 0 THEN 'True' "
-        f"WHEN strpos({low}, 'no') > 0 OR strpos({low}, 'false') > 0 THEN 'False' WHEN {opts} THEN {pred} ELSE {tail} END"
-    )

@@ -99,38 +99,49 @@ def q_answer_validity(spark, sf):
 
 def theorem_texts(spark, sf):
     """Theorem-QA style responses (part): true/false words, option letters, boxed
-    equations, values with units, percentages."""
+    equations, values with units, percentages, quotients, products, powers of ten."""
     p = table(spark, sf, "part")
     return p.select(
         F.col("p_partkey").alias("id"),
         F.expr(
-            r"""CASE CAST(p_partkey % 5 AS INT)
+            r"""CASE CAST(p_partkey % 8 AS INT)
               WHEN 0 THEN 'The statement is true.'
               WHEN 1 THEN 'Answer: (b)'
               WHEN 2 THEN concat('\\boxed{x = ', CAST(p_size AS STRING), '}')
               WHEN 3 THEN concat('The value = ', CAST(p_size AS STRING), ' m')
-              ELSE concat(CAST(p_size AS STRING), '%')
+              WHEN 4 THEN concat(CAST(p_size AS STRING), '%')
+              WHEN 5 THEN concat('\\boxed{\\frac{', CAST(p_size AS STRING), '}{8}}')
+              WHEN 6 THEN concat('The product = ', CAST(p_size AS STRING), ' \\times 3')
+              ELSE concat('$', CAST(p_size AS STRING), ' \\cdot 10^{-2}$')
             END"""
         ).alias("response"),
     )
 
 
-@register("extract_theoremqa", oracle=lambda: f"SELECT id, {duck.theoremqa('response')} AS answer FROM ({duck.THEOREM_TEXTS})")
+@register("extract_theoremqa", oracle="""
+SELECT p_partkey AS id, CASE CAST(p_partkey % 8 AS INTEGER) WHEN 0 THEN 'True' WHEN 1 THEN 'Answer: (b)' WHEN 2 THEN CAST(p_size AS VARCHAR) WHEN 3 THEN CAST(p_size AS VARCHAR)
+  WHEN 5 THEN (CASE WHEN p_size % 8 = 0 THEN CAST(p_size // 8 AS VARCHAR) ELSE CAST(p_size / 8 AS VARCHAR) END) WHEN 6 THEN CAST(p_size * 3 AS VARCHAR)
+  ELSE (CASE WHEN p_size % 100 = 0 THEN CAST(p_size // 100 AS VARCHAR) ELSE CAST(p_size / 100 AS VARCHAR) END) END AS answer
+FROM part""")
 def q_extract_theoremqa(spark, sf):
-    """Theorem-QA answers (booleans, options, value after '=', units cleaned)."""
+    """Theorem-QA answers (booleans, options, value after '=', units cleaned, products and quotients as values)."""
     return theorem_texts(spark, sf).select("id", F.expr(X.theoremqa_answer_sql("response")).alias("answer"))
 
 
+_KIND = "CASE CAST(sample_id % 5 AS INTEGER) WHEN 0 THEN 'program_only' WHEN 1 THEN 'pot' WHEN 2 THEN 'pal' WHEN 3 THEN 'cot' END"
+
+
 def _duck_by_prompt_type() -> str:
     branch, raw = duck.text_branch(duck.rep("response", "ки"))
     base = f"SELECT sample_id, response, {duck.clean(f'({raw})')} AS x FROM {_G}"
     once = duck.stages(base, "x", duck.normalize_exprs("x"))
+    once = f"SELECT * REPLACE (CASE WHEN sample_id % 5 < 3 THEN coalesce({duck.code_output('response')}, '') ELSE x END AS x) FROM ({once})"
     twice = duck.stages(once, "x", duck.normalize_exprs("x"))
     return f"SELECT sample_id, CASE WHEN response IS NULL OR response = '' OR response = 'error' THEN NULL ELSE x END AS prediction FROM ({twice})"
 
 
 @register("extract_by_prompt_type", oracle=lambda: _duck_by_prompt_type())
 def q_extract_by_prompt_type(spark, sf):
-    """Text-prompt extraction (code blocks not executed) normalised again; empty/'error' -> NULL."""
-    g = fixtures.generations(spark, sf).select("sample_id", "response")
-    return X.extract_by_prompt_type(g).select("sample_id", "prediction")
+    """The recorded program output or the text's answer, as the prompt type says, normalised again; empty/'error' -> NULL."""
+    g = fixtures.generations(spark, sf).select("sample_id", "response", F.expr(_KIND).alias("prompt_type"))
+    return X.extract_by_prompt_type(g, prompt_type="prompt_type").select("sample_id", "prediction")

@@ -113,3 +113,27 @@ WHERE tier = 'residual' GROUP BY pred, gt""")
 def q_symbolic_residual(spark, sf):
     """(pred, gt) pairs no tier settles, with their counts."""
     return G.symbolic_residual(G.grade_answers(fixtures.answers(spark, sf), "pred", "gt"), "pred", "gt")
+
+
+_LINEAR = r"""(SELECT p_partkey, p_size % 9 + 1 AS a, p_partkey % 7 + 1 AS b, p_partkey % 50 AS c FROM part)"""
+
+
+@register("grade_linear_equations", oracle=rf"""
+WITH e AS (SELECT *, CAST(a AS VARCHAR) || 'x + ' || CAST(b AS VARCHAR) || 'y = ' || CAST(c AS VARCHAR) AS pred, [a, b, -c] AS pc,
+  CASE p_partkey % 4 WHEN 0 THEN CAST(c AS VARCHAR) || ' - ' || CAST(b AS VARCHAR) || 'y = ' || CAST(a AS VARCHAR) || 'x'
+    WHEN 1 THEN CAST(2 * a AS VARCHAR) || 'x + ' || CAST(2 * b AS VARCHAR) || 'y = ' || CAST(2 * c AS VARCHAR)
+    WHEN 2 THEN '\frac{{' || CAST(a AS VARCHAR) || '}}{{2}}x + ' || CAST(b AS VARCHAR) || '*y + ' || CAST(a AS VARCHAR) || 'x/2 = ' || CAST(c AS VARCHAR)
+    ELSE CAST(a AS VARCHAR) || 'x = ' || CAST(c AS VARCHAR) || ' + ' || CAST(b AS VARCHAR) || 'y' END AS gt,
+  CASE p_partkey % 4 WHEN 0 THEN [-a, -b, c] WHEN 1 THEN [2 * a, 2 * b, -2 * c] WHEN 2 THEN [a, b, -c] ELSE [a, -b, -c] END AS gc
+  FROM {_LINEAR})
+SELECT p_partkey, pred, gt, CASE WHEN pc = gc OR pc = list_transform(gc, lambda v: -v) THEN 'linear' ELSE 'linear_mismatch' END AS tier,
+  pc = gc OR pc = list_transform(gc, lambda v: -v) AS is_correct FROM e""")
+def q_grade_linear_equations(spark, sf):
+    """F8: two linear equations whose differences of sides are equal up to sign, whatever the order of their terms."""
+    from coverlens.sources.tables import table
+
+    e = table(spark, sf, "part").selectExpr("p_partkey", "CAST(p_size % 9 + 1 AS INT) AS a", "p_partkey % 7 + 1 AS b", "p_partkey % 50 AS c")
+    gt = r"""CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN concat(c, ' - ', b, 'y = ', a, 'x') WHEN 1 THEN concat(2 * a, 'x + ', 2 * b, 'y = ', 2 * c)
+      WHEN 2 THEN concat('\\frac{', a, '}{2}x + ', b, '*y + ', a, 'x/2 = ', c) ELSE concat(a, 'x = ', c, ' + ', b, 'y') END"""
+    e = e.select("p_partkey", F.expr("concat(a, 'x + ', b, 'y = ', c)").alias("pred"), F.expr(gt).alias("gt"))
+    return G.grade_answers(e, "pred", "gt").select("p_partkey", "pred", "gt", "tier", "is_correct")
