@@ -21,19 +21,22 @@ most central one of its bucket (the one whose buckets are largest in sum, as
 the text is from which the others were copied); linked texts unite, and a pair
 inside a component needs no look.  Rounds two and three do the same, where a
 bucket still spans several components, with the most central member outside the
-first one's component and with one that a hash chooses.  The texts that are
-still in such buckets, few by now, get longer bands (FINE_BANDS of FINE_ROWS
-coordinates: at a similarity of 0.8 all miss with a probability of at most
-7e-4, at 0.5 one pair in 16 meets), and there every pair across components is
-compared.  A comparison is exact: the two sets' elements are joined on the
-smaller id, then on the larger, and counted.
+first one's component and with one that a hash chooses.  Among the texts that are
+still in such buckets, few by now, pairs across components are found by an exact
+prefix filter: of the elements in order of frequency, a similar pair shares one of
+the first fifth of the larger set and the first ninth of the smaller.  So no pair
+that the bands found is lost, and a text whose own elements fill that ninth, as
+those of a copy too far from the hubs do, meets nobody.  The filter's frequencies
+are those of the at most ``MOST_COMMON`` commonest elements; the others count as
+equal, which costs work only.  A comparison is exact: the two sets' elements are
+joined on the smaller id, then on the larger, and counted.
 
 Defined cases: texts that are null or have no words are alone in their class;
 rows with equal words are in one class whatever their blanks; rows of one
-doc_id are one document (of several texts the one with the smallest hash
-stands for it); a null doc_id is returned with a null class; further
-columns are ignored by ``classes`` and kept by ``deduplicate``; an empty table
-gives no rows.
+doc_id are one document for ``classes`` (of several texts the one with the
+smallest hash stands for it), while ``deduplicate`` looks at each text of an id by
+itself; a null doc_id is returned with a null class; further columns are ignored
+by ``classes`` and kept by ``deduplicate``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,11 +51,13 @@ from pyspark.sql import functions as F
 
 from coverlens.llm.common import bounded_semi_join, buffers, by_size, pick, written
 from coverlens.llm.words import mix, window_hashes, word_hashes, words
+from coverlens.operators.ranking import global_rank
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
-FINE_BANDS, FINE_ROWS = 64, 10
+#: Elements whose frequency every task knows (16 bytes each).
+MOST_COMMON = 1_000_000
 #: Bytes of text hashed at a time, and darts thrown at a time.
 BYTES_AT_ONCE, DARTS_AT_ONCE = 2 << 20, 1_000_000
 _U = np.uint64
@@ -169,17 +174,75 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _fine_pairs(docs: DataFrame, first: DataFrame, members: DataFrame, shingle: int, counted: bool) -> DataFrame:
-    """Pairs (a, b) of different components among ``members`` (doc_id, c) that share a band of FINE_ROWS coordinates."""
+def _prefixes(n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many first elements a set of each size must show to a smaller or equal set, and to a larger or equal one."""
+    shared = lambda share: np.ceil(n * share - 1e-9).astype(np.int64)  # noqa: E731  elements that a pair has in common at least
+    return n - shared(similarity) + 1, n - shared(2 * similarity / (1 + similarity)) + 1
+
+
+def _prefix_pairs(docs: DataFrame, first: DataFrame, members: DataFrame, similarity: float, shingle: int, counted: bool) -> DataFrame:
+    """Pairs (a, b) of different components among ``members`` (doc_id, c), with every pair that reaches ``similarity`` among them.
+
+    Prefix filtering: with all elements in one order, the first ones of two similar
+    sets meet; of the smaller set a shorter prefix will do.  Common elements come last
+    in the order, so prefixes hold rare ones: a copy too far from the hub has so many
+    elements of its own that its shorter prefix holds nothing else.
+    """
     members = written(members, "open-members")
     some = bounded_semi_join(docs, members.select("doc_id"), "doc_id")
-    signed = signatures(some, FINE_BANDS, FINE_ROWS, shingle, counted).join(first.select("doc_id", "whole"), ["doc_id", "whole"], "left_semi").dropDuplicates(["doc_id"])
-    rows = written(signed.select("doc_id", F.explode("bands").alias("bucket")).join(members, "doc_id"), "fine-buckets")
-    mixed = rows.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    rows = rows.join(mixed, "bucket", "left_semi")
-    left = rows.select("bucket", F.col("doc_id").alias("a"), F.col("c").alias("ca"))
-    right = rows.select("bucket", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-    return left.join(right, "bucket").where("a < b AND ca <> cb").select("a", "b")
+
+    def spread(sets, values, n, size):
+        """Multiset elements as so many different ones."""
+        if not counted:
+            return sets, values
+        at = np.repeat(np.arange(len(sets)), n)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        values = mix(values[at] + nth.astype(_U))
+        order = np.lexsort((values, sets[at]))
+        return sets[at][order], values[order]
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_size(batches, "text", BYTES_AT_ONCE):
+            sets, values, n, whole = elements(*buffers(part["text"]), shingle)
+            _, values = spread(sets, values, n, len(whole))
+            value, times = np.unique(values, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times, pa.int64())], names=["value", "n"])
+
+    counts = some.mapInArrow(alone, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = written(counts, "element-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # fewer than MOST_COMMON elements can occur that often
+    common = counts.where(F.col("n") > max(1, total // MOST_COMMON)).toPandas()
+    common = common.assign(value=common["value"].to_numpy(np.int64).view(_U)).sort_values("value")
+    held = docs.sparkSession.sparkContext.broadcast((common["value"].to_numpy(_U), common["n"].to_numpy(np.int64)))
+    types = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("size", pa.int64()), ("value", pa.int64()), ("short", pa.bool_())])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = held.value
+        for part in by_size(batches, "text", BYTES_AT_ONCE):
+            sets, values, n, whole = elements(*buffers(part["text"]), shingle)
+            sets, values = spread(sets, values, n, len(whole))
+            often = np.zeros(len(values), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                often = np.where(known[at] == values, times[at], 0)
+            order = np.lexsort((values, often, sets))
+            sets, values = sets[order], values[order]
+            begin = np.searchsorted(sets, np.arange(len(whole) + 1))
+            size = np.diff(begin)
+            place = np.arange(len(sets)) - begin[sets]
+            long, short = _prefixes(size, similarity)
+            some = np.flatnonzero(place < long[sets])
+            of = sets[some]
+            ids = part["doc_id"].combine_chunks().take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(whole[of].view(np.int64)), pa.array(size[of], pa.int64()), pa.array(values[some].view(np.int64)), pa.array(place[some] < short[of])], schema=types)
+
+    rows = some.mapInArrow(prefixes, "doc_id long, whole long, size long, value long, short boolean").join(first.select("doc_id", "whole"), ["doc_id", "whole"], "left_semi")
+    rows = written(rows.join(members, "doc_id").select("doc_id", "c", "size", "value", "short"), "prefixes")
+    more = rows.select("value", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("size").alias("nx"))
+    less = rows.where("short").select("value", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("size").alias("ny"))
+    fits = F.expr("cx <> cy AND (ny < nx OR ny = nx AND y < x)") & (F.col("ny") >= F.col("nx") * F.lit(similarity) - 1e-9)
+    return _ordered(more.join(less, "value").where(fits), "x", "y").distinct()
 
 
 def _united(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -254,14 +317,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     central = F.max_by("doc_id", F.struct("crowd", -F.col("doc_id")))
     hubs = banded.groupBy("bucket").agg(central.alias("hub"))
     label = components(written(check(_ordered(banded.join(hubs, "bucket"), "doc_id", "hub")), "links"))
-    for rule in ("central", "any", "fine"):
+    for rule in ("central", "any", "rest"):
         now = banded.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
         open_ = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("c", F.struct("crowd", -F.col("doc_id"))).alias("top")).where("lo <> hi")
         open_ = written(now.join(open_.select("bucket", "top"), "bucket"), "open-buckets")
         if not open_.take(1):
             break
-        if rule == "fine":
-            pairs = _fine_pairs(known, first, open_.select("doc_id", "c").distinct(), shingle, counted)
+        if rule == "rest":
+            pairs = _prefix_pairs(known, first, open_.select("doc_id", "c").distinct(), similarity, shingle, counted)
         else:  # the most central member beyond the component of the first hub; then any member
             order = F.struct((F.col("c") != F.col("top")).cast("int"), "crowd", -F.col("doc_id")) if rule == "central" else F.struct(F.xxhash64("doc_id", "bucket"))
             hubs = open_.groupBy("bucket").agg(F.max_by("doc_id", order).alias("hub"), F.max_by("c", order).alias("hc"))
@@ -276,13 +339,32 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with the smallest doc_id of each class, all columns; of rows that repeat a doc_id one stays, rows with a null doc_id stay."""
-    found = written(classes(docs, similarity, shingle), "class-of")
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = bounded_semi_join(docs, written(gone, "gone"), "doc_id", anti=True)
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").take(1):
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    """``docs`` without the rows whose text is a near duplicate of an earlier one, all columns.
+
+    Of each class the row with the smallest doc_id stays, of several such texts the one
+    with the smallest hash, of equal rows one; rows with a null doc_id stay.
+    """
+    names = docs.columns
+    plain = pick(docs, "doc_id", "text")
+    at = [next(i for exact in (True, False) for i, c in enumerate(names) if (c == n if exact else c.lower() == n)) for n in plain.columns]
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("_id", F.col(f"c{at[0]}").cast("long"))
+    rows = rows.withColumn("_key", F.xxhash64(F.coalesce(F.col(f"c{at[1]}").cast("string"), F.lit(""))))
+    texts = written(rows.where("_id IS NOT NULL").groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("n")), "texts")
+    several = bool(texts.groupBy("_id").count().where("count > 1").take(1))
+    if several:  # each text of an id is numbered by itself, in order of ids
+        number = written(global_rank(texts.select("_id", "_key"), ["_id", "_key"], "uid"), "numbers")
+        keyed = rows.where("_id IS NOT NULL").dropDuplicates(["_id", "_key"]).join(number, ["_id", "_key"])
+        found = classes(keyed.select(F.col("uid").alias("doc_id"), F.col(f"c{at[1]}").alias("text")), similarity, shingle)
+        gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("uid")).join(number, "uid").select("_id", "_key")
+        kept = rows.join(written(gone, "gone"), ["_id", "_key"], "left_anti")
+    else:
+        gone = classes(plain, similarity, shingle).where("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
+        kept = bounded_semi_join(rows, written(gone, "gone"), "_id", anti=True)
+    again = texts.where("n > 1").select("_id", "_key")
+    if again.take(1):
+        one = kept.join(again, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+        kept = kept.join(again, ["_id", "_key"], "left_anti").select(one.columns).unionByName(one)
+    return kept.select(*(F.col(f"c{i}") for i in range(len(names)))).toDF(*names)
 
 
 def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -83,6 +83,55 @@ def test_classes(spark):
     assert kept == sorted(set(expected))
 
 
+def test_prefixes_meet_for_every_similar_pair():
+    r = random.Random(5)
+    for t in (0.5, 0.8, 0.9):
+        for _ in range(400):
+            common, a, b = r.randrange(1, 60), r.randrange(0, 20), r.randrange(0, 20)
+            x, y = (sorted([*range(common), *range(lo, lo + k)], key=lambda v: (v * 7919 + 13) % 1009) for lo, k in ((100, a), (200, b)))
+            if len(y) > len(x):
+                x, y = y, x
+            if common >= t * (common + a + b):
+                long, short = (int(p[0]) for p in (M._prefixes(np.array([len(x)]), t)[0], M._prefixes(np.array([len(y)]), t)[1]))
+                assert set(x[:long]) & set(y[:short])
+
+
+def test_pairs_of_what_is_left(spark):
+    texts = make(30, seed=9)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for counted in (False, True):
+        first = M.signatures(docs, counted=counted).where("whole <> 0").dropDuplicates(["whole"]).select("doc_id", "whole")
+        members = first.selectExpr("doc_id", "doc_id AS c")
+        pairs = {tuple(p) for p in M._prefix_pairs(docs, first, members, 0.8, 5, counted).collect()}
+        everything = first.selectExpr("doc_id AS a").crossJoin(first.selectExpr("doc_id AS b")).where("a < b")
+        similar = {tuple(p) for p in M.compare(everything, docs, first, 0.8, 5, counted).collect()}
+        assert similar and similar <= pairs
+
+
+def test_a_large_group_of_far_copies(spark):
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for i in range(300):
+        own = list(base)
+        for j in r.sample(range(120), r.choice([1, 2, 4, 8])):
+            own[j] = f"x{i}-{j}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {x.doc_id: x.class_id for x in M.classes(docs).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_texts_of_one_id_are_looked_at_one_by_one(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, a, "k"), (1, b, "k"), (2, a, "k"), (2, a, "k"), (3, b + " x", "k"), (None, a, "k"), (4, None, "k"), (4, None, "k"), (4, "", "k")], "doc_id long, text string, Text2 string")
+    left = M.deduplicate(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in left.collect()) == sorted([(0, a), (1, a), (1, b), (3, b + " x"), (4, "")])
+    same = spark.createDataFrame([(5, a), (5, a), (6, a)], "doc_id long, text string")
+    assert [tuple(r) for r in M.deduplicate(same).collect()] == [(5, a)]
+
+
 def test_repeated_rows_null_ids_and_an_empty_table(spark):
     t = "one two three four five six seven"
     docs = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t), (None, None), (3, "other")], "doc_id long, text string")
