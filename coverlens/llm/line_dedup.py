@@ -2,12 +2,14 @@
 
 Pages are grouped by host.  For each line the number of the host's pages that
 contain it, divided by the host's page total, is its ratio; lines beyond
-``ratio`` on at least ``least_pages`` pages are dropped wherever the host shows
-them.  Pages of a host with the same set of lines count as one page, so a page
-that was copied does not make its own lines boilerplate.
-
-Lines travel as 64-bit hashes, once for each page, and are counted before they
-are shuffled, so neither a common line nor a large host gathers in one task.
+``ratio`` on more than one page are dropped wherever the host shows them.  Every
+page counts, copies too.  A line of a single page is no boilerplate, whatever the
+ratio: on a host of nine pages or fewer each line would be beyond 0.1.
+
+Lines travel as 64-bit hashes.  Pages of a host with the same set of lines are
+first counted as one set with their number, which is then added up on both sides
+of the ratio, so neither a common page or line nor a large host gathers in one
+task.
 A host has at most (mean lines of its pages) / ``ratio`` boilerplate lines:
 every one of them takes up that share of its pages.  These short lists are
 written, and join the pages on the host; Spark broadcasts them where their
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 from coverlens.llm.common import pick, written
 
 RATIO = 0.1
-LEAST_PAGES = 5
 _BLANKS = " \t\n\x0b\x0c\r"
 _UNSEEN = r"(?is)<script.*?</script\s*>|<style.*?</style\s*>|<!--.*?-->"
 _BLOCK = r"(?i)</?(p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|section|article|aside|main|nav|header|footer|title|head|body|html|blockquote|pre|form|hr)(\s[^>]*)?/?>"
@@ -54,19 +55,19 @@ def _bare(line: Column) -> Column:
     return F.trim(line, F.lit(_BLANKS))
 
 
-def boilerplate(hosts: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(hosts: DataFrame, ratio: float = RATIO) -> DataFrame:
     """``host`` and ``dropped``, the hashes of its boilerplate lines, from rows of ``host`` and ``text``."""
     hashes = F.transform(F.filter(F.transform(F.split("text", "\n"), _bare), lambda x: x != ""), lambda x: F.xxhash64(x))
     # filtered once written: a filter on the text would compute it a second time
     pages = hosts.select("host", F.array_sort(F.array_distinct(hashes)).alias("lines"))
-    pages = written(pages.distinct(), "line-sets").where("host IS NOT NULL AND lines IS NOT NULL")
-    total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    lines = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    often = lines.where(F.col("n") >= least_pages).join(total, "host").where(F.col("n") > F.col("total") * F.lit(ratio))
+    sets = written(pages.groupBy("host", "lines").agg(F.count(F.lit(1)).alias("pages")), "line-sets").where("host IS NOT NULL AND lines IS NOT NULL")
+    total = sets.groupBy("host").agg(F.sum("pages").alias("total"))
+    lines = sets.select("host", F.explode("lines").alias("line"), "pages").groupBy("host", "line").agg(F.sum("pages").alias("n"))
+    often = lines.where("n > 1").join(total, "host").where(F.col("n") > F.col("total") * F.lit(ratio))
     return written(often.groupBy("host").agg(F.collect_list("line").alias("dropped")), "boilerplate")
 
 
-def drop_lines(df: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counts: bool = False) -> DataFrame:
+def drop_lines(df: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, counts: bool = False) -> DataFrame:
     """``df`` without the boilerplate lines of its ``text``; with ``counts`` also n_lines and n_dropped.
 
     ``host`` is an expression over ``df``.  All columns stay, in their order.
@@ -74,7 +75,7 @@ def drop_lines(df: DataFrame, host: Column, text: str = "text", ratio: float = R
     names = df.columns
     plain = df.withColumn("\x01host", host).toDF(*(f"c{i}" for i in range(len(names))), "host")
     at = names.index(text)
-    often = boilerplate(plain.select("host", F.col(f"c{at}").alias("text")), ratio, least_pages)
+    often = boilerplate(plain.select("host", F.col(f"c{at}").alias("text")), ratio)
     both = plain.join(often, "host", "left").withColumn("lines", F.split(f"c{at}", "\n"))
     gone = lambda x: F.array_contains(F.col("dropped"), F.xxhash64(_bare(x)))  # noqa: E731  blank lines are in no list
     both = both.withColumn("left_over", F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~gone(x))))
@@ -85,7 +86,7 @@ def drop_lines(df: DataFrame, host: Column, text: str = "text", ratio: float = R
     return both.select(*out)
 
 
-def dedup_pages(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def dedup_pages(pages: DataFrame, ratio: float = RATIO) -> DataFrame:
     """page_id, host, text without boilerplate lines, n_lines, n_dropped of raw web pages."""
     p = pick(pages, "page_id", "url", "html").select("page_id", url_host(F.col("url")).alias("host"), html_text(F.col("html")).alias("text"))
-    return drop_lines(p, F.col("host"), ratio=ratio, least_pages=least_pages, counts=True)
+    return drop_lines(p, F.col("host"), ratio=ratio, counts=True)

@@ -112,11 +112,10 @@ WITH p AS (
   FROM pages),
 u AS (SELECT r, page_id, host, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS x FROM (SELECT *, string_split(t, chr(10)) AS l FROM p)),
 v AS (SELECT *, {bare} AS bare FROM u),
-s AS (SELECT DISTINCT host, lines FROM (SELECT r, host, list_sort(list(DISTINCT bare) FILTER (bare <> '')) AS lines FROM v WHERE host IS NOT NULL GROUP BY r, host)),
-total AS (SELECT host, count(*) AS total FROM s GROUP BY host),
+total AS (SELECT host, count(DISTINCT r) AS total FROM v WHERE host IS NOT NULL GROUP BY host),
 often AS (
-  SELECT host, bare FROM (SELECT host, bare, count(*) AS n FROM (SELECT host, unnest(lines) AS bare FROM s) GROUP BY host, bare) JOIN total USING (host)
-  WHERE n >= {line_dedup.LEAST_PAGES} AND n > total * CAST({line_dedup.RATIO} AS DOUBLE)),
+  SELECT host, bare FROM (SELECT host, bare, count(DISTINCT r) AS n FROM v WHERE bare <> '' AND host IS NOT NULL GROUP BY host, bare) JOIN total USING (host)
+  WHERE n > 1 AND n > total * CAST({line_dedup.RATIO} AS DOUBLE)),
 m AS (SELECT v.*, o.bare IS NOT NULL AS gone FROM v LEFT JOIN often o USING (host, bare))
 SELECT page_id, host, coalesce(string_agg(x, chr(10) ORDER BY n) FILTER (NOT gone), '') AS text,
        count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (gone) AS n_dropped

@@ -24,13 +24,17 @@ def test_registered_sql(spark, key):
 
 def test_lines(spark):
     rows = [(i, "h", f"own {i}\n footer \n\nown {i}") for i in range(20)]
-    rows += [(100 + i, "h", "copied text\nall of it") for i in range(50)]  # copies count as one page
-    rows += [(200, None, "footer"), (201, "h", None), (202, "h", ""), (203, "small", "footer\nx"), (204, "small", "footer\ny")]
+    rows += [(100 + i, "h", "copied text\nall of it") for i in range(50)]  # every copy is a page
+    rows += [(200, None, "footer"), (201, "h", None), (202, "h", ""), (203, "small", "footer\nx"), (204, "small", "footer\ny"), (205, "one", "a\nb")]
+    rows += [(300 + i, "shell", "consent" if i < 60 else f"page {i}\n" + ("rare" if i < 70 else "")) for i in range(100)]  # on 60, and on 10, of 100
+    rows += [(500, "long", "line\n" * 200_000 + "end"), (501, "long", "line"), (502, "long", "end\u2003")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, host string, text string, LINES int")
     got = {r.page_id: r for r in line_dedup.drop_lines(df, F.col("host"), counts=True).collect()}
     assert got[3].text == "own 3\n\nown 3" and (got[3].n_lines, got[3].n_dropped) == (3, 1) and got[3].LINES == 1
-    assert got[100].text == "copied text\nall of it" and got[100].n_dropped == 0
-    assert got[200].text == "footer" and got[201].text is None and got[202].text == "" and got[203].text == "footer\nx"
+    assert got[100].text == "" and got[100].n_dropped == 2
+    assert got[200].text == "footer" and got[201].text is None and got[202].text == "" and got[203].text == "x" and got[205].text == "a\nb"
+    assert got[310].text == "" and got[365].text == "page 65\nrare"
+    assert got[500].text == "end" and got[500].n_dropped == 200_000 and got[501].text == "" and got[502].text == "end\u2003"
     assert len(got) == len(rows) and line_dedup.drop_lines(df.limit(0), F.col("host")).count() == 0
 
 
