@@ -14,7 +14,9 @@ cut at powers of two, which need no padding.
 The first pass is written to the shared folder, so both passes see the same
 windows whatever is recomputed.
 
-Defined cases: a null or empty text is the end id alone; equal rows and null
+Defined cases: a null or empty text is the end id alone; the characters of a mark
+that the tokenizer knows as one token, such as `<|endoftext|>`, are that token, as in
+the plain call of the library, wherever they stand in a word; equal rows and null
 doc_ids are packed each for itself; further columns are ignored; an empty table
 gives no sequences.
 """
@@ -58,14 +60,13 @@ class _Codes(dict):
 
 
 class WordIds:
-    """Ids of texts, word by word: the tokenizer drops blanks and merges nothing across them, so a word has the same ids everywhere."""
+    """Ids of texts, word by word: the tokenizer drops blanks, merges nothing across them, and no token it adds holds one, so a word has the same ids everywhere."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
         ((self.mark,),) = self._encode([_MARK])
         self.forget()

@@ -15,7 +15,6 @@ PATH = P.path("word_bpe_49k.json")
 
 def _expected(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [np.asarray(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4") for x in texts]
 
 
@@ -44,9 +43,16 @@ def _check(rows, texts, capacity):
     assert padding == 0
 
 
+def test_marks_are_tokens(spark):
+    texts = ["hello <|endoftext|> world", "hello<|endoftext|>world", "<|startoftext|>", "<|start oftext|>"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    assert [r.doc_tokens for r in sorted(rows, key=lambda r: r.doc_id)][:3] == [4, 4, 2]
+    _check(rows, texts, 2048)
+
+
 def test_documents(spark):
     r = random.Random(3)
-    words = ["the", "Of", "naïve", "12345", "don't", "ÉCLAIR", "漢字かな", "x y", "a b", "ΣΑΣ", "İstanbul", "<|endoftext|>", "éte"]
+    words = ["the", "Of", "naïve", "12345", "don't", "ÉCLAIR", "漢字かな", "x y", "a b", "ΣΑΣ", "İstanbul", "<|endoftext|>", "a<|endoftext|><|startoftext|>b", "<|endoftext", "<|EndOfText|>", "éte"]
     texts = [None, "", " \n\t "] + [" ".join(r.choice(words) for _ in range(r.choice([1, 5, 40, 300]))) for _ in range(120)] + ["same text"] * 5
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, Start int").repartition(5)
     for windows in (1, 4):
