@@ -57,7 +57,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 #: Elements whose frequency every task knows (16 bytes each).
-MOST_COMMON = 1_000_000
+MOST_COMMON = 100_000
 #: Bytes of text hashed at a time, and darts thrown at a time.
 BYTES_AT_ONCE, DARTS_AT_ONCE = 2 << 20, 1_000_000
 _U = np.uint64
@@ -212,9 +212,10 @@ def _prefix_pairs(docs: DataFrame, first: DataFrame, members: DataFrame, similar
     counts = written(counts, "element-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     # fewer than MOST_COMMON elements can occur that often
-    common = counts.where(F.col("n") > max(1, total // MOST_COMMON)).toPandas()
-    common = common.assign(value=common["value"].to_numpy(np.int64).view(_U)).sort_values("value")
-    held = docs.sparkSession.sparkContext.broadcast((common["value"].to_numpy(_U), common["n"].to_numpy(np.int64)))
+    common = counts.where(F.col("n") > max(1, total // MOST_COMMON)).toArrow()
+    value, times = common["value"].to_numpy().view(_U), common["n"].to_numpy()
+    order = np.argsort(value)
+    held = docs.sparkSession.sparkContext.broadcast((value[order], times[order]))
     types = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("size", pa.int64()), ("value", pa.int64()), ("short", pa.bool_())])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
