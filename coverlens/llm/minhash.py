@@ -26,7 +26,11 @@ still in such buckets, few by now, pairs across components are found by an exact
 prefix filter: of the elements in order of frequency, a similar pair shares one of
 the first fifth of the larger set and the first ninth of the smaller.  So no pair
 that the bands found is lost, and a text whose own elements fill that ninth, as
-those of a copy too far from the hubs do, meets nobody.  The filter's frequencies
+those of a copy too far from the hubs do, meets nobody.  Two such texts that meet
+without being similar mostly differ in their sketches, one bit for each coordinate of a
+longer signature: a pair whose agreement falls 4.5 standard deviations short of
+what the similarity promises (chance of a similar pair: 3.4e-6, as of missing all
+bands) is dropped where it meets.  The filter's frequencies
 are those of the at most ``MOST_COMMON`` commonest elements; the others count as
 equal, which costs work only.  A comparison is exact: the two sets' elements are
 joined on the smaller id, then on the larger, and counted.
@@ -56,6 +60,8 @@ from coverlens.operators.ranking import global_rank
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
+#: Bits of the sketch that a candidate pair has to pass before it is compared, and how many standard deviations it may fall short.
+SKETCH_BITS, SKETCH_SLACK = 2_048, 4.5
 #: Elements whose frequency every task knows (16 bytes each).
 MOST_COMMON = 100_000
 #: Bytes of text hashed at a time, and darts thrown at a time.
@@ -180,6 +186,23 @@ def _prefixes(n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]
     return n - shared(similarity) + 1, n - shared(2 * similarity / (1 + similarity)) + 1
 
 
+def _sketch(sets: np.ndarray, values: np.ndarray, n: np.ndarray, n_sets: int) -> np.ndarray:
+    """n_sets x SKETCH_BITS / 64: the lowest bit of each coordinate."""
+    some = max(1, int(DARTS_AT_ONCE / (SKETCH_BITS * math.log(SKETCH_BITS) + 2 * SKETCH_BITS)))
+    out = []
+    for lo in range(0, n_sets, some):
+        part = slice(*np.searchsorted(sets, [lo, min(lo + some, n_sets)]))
+        sig = dart_minhash(sets[part] - lo, values[part], n[part].astype(np.float64), min(some, n_sets - lo), SKETCH_BITS)
+        out.append(np.packbits((sig & _U(1)).astype(np.uint8), axis=1).view(np.int64))
+    return np.concatenate(out) if out else np.zeros((0, SKETCH_BITS // 64), np.int64)
+
+
+def _sketch_bar(similarity: float) -> int:
+    """How many bits may differ."""
+    differ = (1 - similarity) / 2
+    return math.floor(SKETCH_BITS * differ + SKETCH_SLACK * math.sqrt(SKETCH_BITS * differ * (1 - differ)))
+
+
 def _prefix_pairs(docs: DataFrame, first: DataFrame, members: DataFrame, similarity: float, shingle: int, counted: bool) -> DataFrame:
     """Pairs (a, b) of different components among ``members`` (doc_id, c), with every pair that reaches ``similarity`` among them.
 
@@ -216,12 +239,13 @@ def _prefix_pairs(docs: DataFrame, first: DataFrame, members: DataFrame, similar
     value, times = common["value"].to_numpy().view(_U), common["n"].to_numpy()
     order = np.argsort(value)
     held = docs.sparkSession.sparkContext.broadcast((value[order], times[order]))
-    types = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("size", pa.int64()), ("value", pa.int64()), ("short", pa.bool_())])
+    types = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("size", pa.int64()), ("value", pa.int64()), ("short", pa.bool_()), ("sketch", pa.list_(pa.int64()))])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = held.value
         for part in by_size(batches, "text", BYTES_AT_ONCE):
             sets, values, n, whole = elements(*buffers(part["text"]), shingle)
+            sketch = _sketch(sets, values, n if counted else np.ones(len(n)), len(whole))
             sets, values = spread(sets, values, n, len(whole))
             often = np.zeros(len(values), np.int64)
             if len(known):
@@ -236,13 +260,15 @@ def _prefix_pairs(docs: DataFrame, first: DataFrame, members: DataFrame, similar
             some = np.flatnonzero(place < long[sets])
             of = sets[some]
             ids = part["doc_id"].combine_chunks().take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(whole[of].view(np.int64)), pa.array(size[of], pa.int64()), pa.array(values[some].view(np.int64)), pa.array(place[some] < short[of])], schema=types)
-
-    rows = some.mapInArrow(prefixes, "doc_id long, whole long, size long, value long, short boolean").join(first.select("doc_id", "whole"), ["doc_id", "whole"], "left_semi")
-    rows = written(rows.join(members, "doc_id").select("doc_id", "c", "size", "value", "short"), "prefixes")
-    more = rows.select("value", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("size").alias("nx"))
-    less = rows.where("short").select("value", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("size").alias("ny"))
-    fits = F.expr("cx <> cy AND (ny < nx OR ny = nx AND y < x)") & (F.col("ny") >= F.col("nx") * F.lit(similarity) - 1e-9)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1) * sketch.shape[1], pa.int32()), pa.array(sketch[of].ravel()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(whole[of].view(np.int64)), pa.array(size[of], pa.int64()), pa.array(values[some].view(np.int64)), pa.array(place[some] < short[of]), bits], schema=types)
+
+    rows = some.mapInArrow(prefixes, "doc_id long, whole long, size long, value long, short boolean, sketch array<long>").join(first.select("doc_id", "whole"), ["doc_id", "whole"], "left_semi")
+    rows = written(rows.join(members, "doc_id").select("doc_id", "c", "size", "value", "short", "sketch"), "prefixes")
+    more = rows.select("value", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("size").alias("nx"), F.col("sketch").alias("sx"))
+    less = rows.where("short").select("value", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("size").alias("ny"), F.col("sketch").alias("sy"))
+    differ = " + ".join(f"bit_count(sx[{i}] ^ sy[{i}])" for i in range(SKETCH_BITS // 64))
+    fits = F.expr(f"cx <> cy AND (ny < nx OR ny = nx AND y < x) AND {differ} <= {_sketch_bar(similarity)}") & (F.col("ny") >= F.col("nx") * F.lit(similarity) - 1e-9)
     return _ordered(more.join(less, "value").where(fits), "x", "y").distinct()
 
 
