@@ -135,8 +135,6 @@ TITLES: dict[str, tuple[str, ...]] = {
     "Zlib": ("zlib License", "The zlib License"),
     "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"),
 }
-#: What the registered SQL drops; it has no line of a text to keep.
-COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©|&copy;)[^\n]*$"
 #: A line with a notice: a mark, or the word with a year or holder after it; no line of a text that only begins with the word.
 NOTICE_LINE = (
     r"(?m)^[ \t]*(\(c\)|©|&copy;|copyrights?(?![a-z])[ \t:,]*+(?=[^\s])"

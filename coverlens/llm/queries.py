@@ -42,6 +42,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(documents(spark, sf_dir)))
 
 
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy web-1 rejects, rejects alone, and what would be kept without it."""
+    return quality_rules.ablation(quality_rules.ledger(documents(spark, sf_dir)))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 50-byte strings that a smaller document has."""
     return suffix_dedup.deduplicate(documents(spark, sf_dir))
@@ -82,14 +87,19 @@ def _quoted(text: str) -> str:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(' ' || regexp_replace(regexp_replace(lower({text}), {_quoted(license_scan.COPYRIGHT)}, ' ', 'g'), '[^a-z0-9]+', ' ', 'g') || ' ', ' +', ' ', 'g')"
+    """``license_scan.canonical`` line by line: RE2 has no look-ahead, so what follows the word is taken off and looked at."""
+    after = r"regexp_replace(regexp_extract(x, '^[ \t]*copyrights?([^a-z].*)$', 1), '^[ \t:,]+', '')"
+    word = r"'^(notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|and|or|in|of|to|on|is|are|shall|may|must)([^a-z]|$)'"
+    named = rf"""({after} <> '' AND NOT regexp_matches({after}, '^(\s|[.;)"''])') AND NOT regexp_matches({after}, {word}))"""
+    lines = rf"list_transform(string_split(lower({text}), chr(10)), lambda x: CASE WHEN regexp_matches(x, '^[ \t]*(\(c\)|©|&copy;)') OR {named} THEN ' ' ELSE x END)"
+    out = f"regexp_replace(' ' || regexp_replace(array_to_string({lines}, chr(10)), '[^a-z0-9]+', ' ', 'g') || ' ', ' +', ' ', 'g')"
     for old, new in license_scan.SPELLINGS:
         out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
     return out
 
 
 def _license_sql() -> str:
-    rows = ", ".join(f"({i}, {_quoted(spdx)}, {_quoted(text)})" for i, (spdx, text) in enumerate(license_scan.notices()))
+    rows = ", ".join(f"({i}, {_quoted(spdx)}, {_quoted(text)})" for i, (spdx, text) in enumerate(license_scan.notices() + license_scan.whole_texts()))
     return f"""
 WITH k AS (SELECT sha256({_canonical_sql("t")}) AS digest, arg_min(spdx, i) AS spdx FROM (VALUES {rows}) AS v(i, spdx, t) GROUP BY 1),
 d AS (SELECT doc_id, text FROM documents WHERE text <> ''),
@@ -137,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_spelling_variants": op11_spelling_variants,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_exact_dedup": op13_exact_dedup,
+    "quality_rule_ablation": quality_rule_ablation,
 }
 
 ORACLES: dict[str, str] = {
@@ -220,3 +231,10 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
 FROM d
 """,
 }
+
+_RULES = ", ".join(f"('{r}', {quality_rules.BITS[r]})" for r in quality_rules.POLICIES["web-1"])
+ORACLES["quality_rule_ablation"] = f"""
+SELECT rule, CAST(count_if(fail_bits & bit <> 0) AS BIGINT) AS n_failed, CAST(count_if(fail_bits = bit) AS BIGINT) AS n_failed_alone,
+  CAST(count_if(fail_bits = 0 OR fail_bits = bit) AS BIGINT) AS n_kept_without
+FROM ({ORACLES["op6_quality_rules"]}), (VALUES {_RULES}) AS r(rule, bit) GROUP BY rule
+"""

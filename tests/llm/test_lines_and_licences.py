@@ -12,7 +12,7 @@ from tests.test_entry import _digest
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("key", ["op1_line_dedup", "op4_license_scans", "op6_quality_rules"])
+@pytest.mark.parametrize("key", ["op1_line_dedup", "op4_license_scans", "op6_quality_rules", "op11_spelling_variants", "op12_fill_in_middle", "op13_exact_dedup", "quality_rule_ablation"])
 def test_registered_sql(spark, key):
     con = duckdb.connect()
     for t in TABLES:
@@ -78,3 +78,22 @@ def test_whole_texts_with_titles_and_wrapped_lines(spark):
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     got = {r.doc_id: r.spdx for r in license_scan.scan(df).where("unit = 'text'").collect()}
     assert got == {i: spdx for i, _, spdx in rows}
+
+
+def test_registered_sql_on_whole_licences(spark):
+    own = license_scan.whole_texts()
+    rows = [(i, f"Copyright (c) 20{i:02d} Some Holder\n{text}".replace(". ", ".\n")) for i, (_, text) in enumerate(own)]
+    lines = [
+        "Copyright 2020 Someone", "copyright notice and this permission notice appear in all copies.", "(c) 2001", "© Holder", "  Copyrights: A. Name", "copyright", "Copyright:", "copyrighted work",
+        "Copyright, the authors", "copyright holders", "copyright holdersx", 'copyright "Name"', "Copyright. All", "copyright\tNotice", "&copy; x", "x copyright y", "Copyright\u2003Name",
+    ]
+    mit = license_scan.TEXTS["MIT"]
+    rows += [(1_000 + i, f"{line}\n{mit}") for i, line in enumerate(lines)] + [(2_000, mit.replace("Software", "Softwares")), (2_001, "MIT"), (2_002, None), (2_003, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    cur = con.execute(ORACLES["op4_license_scans"])
+    want = _digest([d[0] for d in cur.description], found := cur.fetchall())
+    got = license_scan.scan(docs)
+    assert _digest(got.columns, [tuple(r) for r in got.collect()]) == want
+    assert {r[0] for r in found if r[1] == "text"} >= set(range(len(own))) | {1_000, 1_002, 1_003, 1_004}
