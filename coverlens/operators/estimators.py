@@ -98,12 +98,15 @@ def pass_at_k(counts: DataFrame, run_keys: Sequence[str] = (), k_cap: int = K_CA
     return per_k.withColumn("__all", total).where(F.col("n_questions") == F.col("__all")).drop("__all")
 
 
-def metric_vectors(detail: DataFrame, run_keys: Sequence[str], question_keys: Sequence[str]) -> DataFrame:
+def metric_vectors(counts: DataFrame, run_keys: Sequence[str], question_keys: Sequence[str], k_cap: int = K_CAP) -> DataFrame:
     """The per-question values of every (run, k) in question order, as a
     long table ``(run_keys, k, pos, value)``; ``pos`` is the 0-based place in the
-    vector.  Numbering is a distributed rank, never one list in one task."""
-    ranked = rank_within(detail, [*run_keys, "k"], list(question_keys), "__pos")
-    return ranked.select(*run_keys, "k", (F.col("__pos") - 1).alias("pos"), F.col("pass_at_k").alias("value"))
+    vector.  Questions are numbered once, by a distributed rank of the counts, before
+    the k are spread over them; never one list in one task."""
+    ranked = rank_within(counts, run_keys, question_keys, "__pos")
+    mins = ranked.groupBy(*run_keys).agg(F.min("n").alias("__min_n"))
+    grid = with_k_grid(ranked, mins, run_keys, k_cap)
+    return grid.select(*run_keys, "k", (F.col("__pos") - 1).alias("pos"), estimate_pass_at_k(F.col("n"), F.col("c"), F.col("k")).alias("value"))
 
 
 def instance_results(gen_ok: DataFrame, task: str, gen: str, ok: str = "ok") -> DataFrame:

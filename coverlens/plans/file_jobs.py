@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from coverlens.operators.estimators import DEFAULT_CUTOFF, K_CAP, correct_counts, estimate_pass_at_k, first_n_cutoff, with_k_grid
-from coverlens.operators.ranking import rank_within
+from coverlens.operators.estimators import DEFAULT_CUTOFF, K_CAP, correct_counts, first_n_cutoff, metric_vectors
 from coverlens.plans.evaluation import QUESTION_KEYS, process_generations
 from coverlens.session import scratch_dir
 from coverlens.sources.readers import read_job_list, read_run_shards
@@ -55,16 +54,10 @@ def read_processed(spark: SparkSession, path: str, schema: StructType) -> DataFr
 
 
 def question_vectors(processed: DataFrame, cutoff: int = DEFAULT_CUTOFF, k_cap: int = K_CAP) -> DataFrame:
-    """G15 of every run: (run keys, k, pos, value), ``pos`` from 0 in question order.
-
-    Questions are ranked once, before the k are spread over them.
-    """
+    """G15 of every run: (run keys, k, pos, value), ``pos`` from 0 in question order."""
     keys = [*RUN, *QUESTION_KEYS]
     counts = correct_counts(first_n_cutoff(processed.select(*keys, "place", "is_correct"), keys, "place", cutoff), keys)
-    ranked = rank_within(counts, RUN, QUESTION_KEYS, "pos")
-    mins = ranked.groupBy(*RUN).agg(F.min("n").alias("__min_n"))
-    grid = with_k_grid(ranked, mins, RUN, k_cap)
-    return grid.select(*RUN, "k", (F.col("pos") - 1).alias("pos"), estimate_pass_at_k(F.col("n"), F.col("c"), F.col("k")).alias("value"))
+    return metric_vectors(counts, RUN, QUESTION_KEYS, k_cap)
 
 
 def metrics_lines(vectors: DataFrame, lengths: DataFrame) -> DataFrame:

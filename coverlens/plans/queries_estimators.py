@@ -191,6 +191,4 @@ SELECT run, split, k, row_number() OVER (PARTITION BY run, split, k ORDER BY que
 FROM {_duck_detail(_duck_counts(['run', 'split']), ['run', 'split'])}""")
 def q_metric_vectors(spark, sf):
     """Per run and k, per-question pass@k values in question order."""
-    d = pass_at_k_detail(_outcome_counts(spark, sf, ["run", "split"]), QK, ["run", "split"])
-    d = d.withColumn("pass_at_k", F.round("pass_at_k", 9))
-    return metric_vectors(d, ["run", "split"], QK)
+    return metric_vectors(_outcome_counts(spark, sf, ["run", "split"]), ["run", "split"], QK).withColumn("value", F.round("value", 9))
