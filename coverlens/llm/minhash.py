@@ -260,11 +260,18 @@ def _prefix_pairs(docs: DataFrame, first: DataFrame, members: DataFrame, similar
             some = np.flatnonzero(place < long[sets])
             of = sets[some]
             ids = part["doc_id"].combine_chunks().take(pa.array(of))
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1) * sketch.shape[1], pa.int32()), pa.array(sketch[of].ravel()))
+            # the sketch travels once, with a set's first element
+            once = sketch[of[place[some] == 0]]
+            ends = np.concatenate([[0], np.cumsum(place[some] == 0)]) * sketch.shape[1]
+            bits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(once.ravel()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(whole[of].view(np.int64)), pa.array(size[of], pa.int64()), pa.array(values[some].view(np.int64)), pa.array(place[some] < short[of]), bits], schema=types)
 
     rows = some.mapInArrow(prefixes, "doc_id long, whole long, size long, value long, short boolean, sketch array<long>").join(first.select("doc_id", "whole"), ["doc_id", "whole"], "left_semi")
     rows = written(rows.join(members, "doc_id").select("doc_id", "c", "size", "value", "short", "sketch"), "prefixes")
+    # most elements are in one set's prefix, or in those of one component, and need not meet
+    mixed = rows.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("short").alias("short")).where("lo <> hi AND short").select("value")
+    sketches = rows.where("size(sketch) > 0").select("doc_id", "sketch")
+    rows = rows.drop("sketch").join(mixed, "value", "left_semi").join(sketches, "doc_id")
     more = rows.select("value", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("size").alias("nx"), F.col("sketch").alias("sx"))
     less = rows.where("short").select("value", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("size").alias("ny"), F.col("sketch").alias("sy"))
     differ = " + ".join(f"bit_count(sx[{i}] ^ sy[{i}])" for i in range(SKETCH_BITS // 64))
