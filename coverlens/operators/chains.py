@@ -205,12 +205,17 @@ def unique_until(draw: Callable[[int], DataFrame], size: int, order: Sequence[st
     raise RuntimeError(f"{have} of {size} different problems after {most_rounds} rounds")
 
 
-def splits(ids: DataFrame, sizes: Sequence[tuple[str, int]], order: str = "id") -> DataFrame:
-    """Prefix splits of the given sizes in ``order``; rows beyond them are in no split."""
-    ranked, lo, split = global_rank(ids, [order], "__rank"), 0, F.lit(None).cast("string")
+def split_all(ids: DataFrame, sizes: Sequence[tuple[str, int]], order: str = "id") -> DataFrame:
+    """Every row with its prefix split of the given sizes in ``order``, 'unused' beyond them, and ``split_index``, its place in ``order`` from 0."""
+    ranked, lo, split = global_rank(ids, [order], "__rank"), 0, F.lit("unused")
     for name, size in sizes:
         split, lo = F.when((F.col("__rank") > lo) & (F.col("__rank") <= lo + size), F.lit(name)).otherwise(split), lo + size
-    return ranked.withColumn("split", split).drop("__rank").where("split is not null")
+    return ranked.withColumn("split", split).withColumn("split_index", F.col("__rank") - 1).drop("__rank")
+
+
+def splits(ids: DataFrame, sizes: Sequence[tuple[str, int]], order: str = "id") -> DataFrame:
+    """The rows of the given splits alone, without those beyond them."""
+    return split_all(ids, sizes, order).where(F.col("split").isin([name for name, _ in sizes])).drop("split_index")
 
 
 def placed(split: DataFrame, seed: int = SEED) -> DataFrame:

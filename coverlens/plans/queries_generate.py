@@ -111,11 +111,15 @@ _SPLIT = """(SELECT id, seed, split, rn FROM (
   FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn, count(*) OVER () AS n FROM part)) WHERE split IS NOT NULL)"""
 
 
-@register("fixed_splits", oracle=f"SELECT id, split FROM {_SPLIT}")
+@register("fixed_splits", oracle="""
+SELECT id, split, rn - 1 AS split_index FROM (
+  SELECT p_partkey AS id, rn, CASE WHEN rn <= n * 64 // 100 THEN 'sft' WHEN rn <= n * 64 // 100 + n * 16 // 100 THEN 'rlvr'
+    WHEN rn <= n * 64 // 100 + n * 16 // 100 + n * 10 // 100 THEN 'test' ELSE 'unused' END AS split
+  FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn, count(*) OVER () AS n FROM part))""")
 def q_fixed_splits(spark, sf):
-    """Prefix splits of given sizes by problem order (distributed global rank); the rest is in none."""
+    """Prefix splits of given sizes by problem order (distributed global rank), every problem with its place; the rest is 'unused'."""
     ids = _parts(spark, sf)
-    return CH.splits(ids.select("id"), _sizes(ids))
+    return CH.split_all(ids.select("id"), _sizes(ids)).select("id", "split", F.col("split_index").cast("bigint"))
 
 
 _DUCK_FWD = f"""(SELECT id, pos, var, coalesce(lag(var) OVER w, premise_var) || ' + ' || CAST(cst AS VARCHAR) AS expr,

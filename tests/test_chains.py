@@ -63,3 +63,16 @@ def test_exact_size_with_collisions(spark, size):
 def test_too_few_problems_is_an_error(spark):
     with pytest.raises(RuntimeError):
         CH.unique_until(lambda r: spark.createDataFrame([(r, 1, "one")], "round long, id long, key string"), 2, ["round", "id"], most_rounds=3)
+
+
+def test_every_problem_is_in_a_split_or_unused(spark):
+    rows = CH.split_all(spark.range(30).select((F.col("id") * 7).alias("id")).repartition(4), [("sft", 19), ("rlvr", 4), ("test", 3)]).collect()
+    names = ["sft"] * 19 + ["rlvr"] * 4 + ["test"] * 3 + ["unused"] * 4
+    assert sorted((r.id, r.split, r.split_index) for r in rows) == [(i * 7, names[i], i) for i in range(30)]
+
+
+def test_fixed_splits_returns_every_part(spark):
+    from coverlens.plans import registry
+
+    rows = registry.queries()["fixed_splits"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count() and "unused" in {r.split for r in rows}
