@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from coverlens.operators import harmonize as H
 from coverlens.plans.oracle import duck
 from coverlens.plans.registry import register
-from coverlens.sources.tables import table
+from coverlens.sources.tables import ensure_parallelism, table
 
 _NAMES = (
     "math minerva_math math500 gsm8k svamp asdiv mawps tabmwp carp_en mmlu_stem sat_math aqua gaokao2023en college_math gaokao_math_cloze "
@@ -57,7 +57,8 @@ def _select(text: str, array: tuple[str, str], backslash: str) -> list[str]:
 
 def sources(spark, sf):
     """Union table of twenty-five benchmark record shapes, one per ``p_partkey % 25``."""
-    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size", (F.col("p_partkey") % 25).cast("int").alias("k"), F.col("p_size").cast("string").alias("z"))
+    p = ensure_parallelism(table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size"))
+    p = p.select("*", (F.col("p_partkey") % 25).cast("int").alias("k"), F.col("p_size").cast("string").alias("z"))
     name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), F.col("k") + 1)
     options = "CASE WHEN k = 15 THEN array(named_struct('key', 'A', 'value', z), named_struct('key', 'B', 'value', p_brand)) END AS option_map"
     return p.select(F.col("p_partkey").alias("id"), name.alias("data_name"), *(F.expr(e) for e in [*_select("STRING", ("array(", ")"), "\\\\"), options]))
