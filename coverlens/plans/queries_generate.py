@@ -10,7 +10,7 @@ from coverlens.operators.ranking import global_rank
 from coverlens.plans import fixtures
 from coverlens.plans.oracle import duck
 from coverlens.plans.registry import register
-from coverlens.sources.tables import table
+from coverlens.sources.tables import ensure_parallelism, table
 
 _CS = f"({duck.CHAIN_STEPS})"
 _CF = f"({duck.COUNTERFACT})"
@@ -65,7 +65,7 @@ _PARTS = "SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS seed FROM part"
 
 def _parts(spark, sf):
     """Stand-in for a list of problems to make: an id, and a seed that decides its content."""
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("seed"))
+    return ensure_parallelism(table(spark, sf, "part").select(F.col("p_partkey").alias("id"))).select("id", F.col("id").cast("string").alias("seed"))
 
 
 @register("gen_chain_problems", oracle=f"""

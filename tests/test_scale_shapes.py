@@ -1,5 +1,7 @@
 """Plan-shape checks: the properties the design relies on at scale."""
 
+import pytest
+
 from tests.conftest import SF_SMALL
 from coverlens.plans import registry
 
@@ -48,3 +50,13 @@ def test_streaming_counts_equal_batch(spark):
         F.count(F.lit(1)).alias("n"), F.count_if("is_correct").alias("c")
     )
     assert stream == {tuple(r) for r in batch.collect()}
+
+
+@pytest.mark.parametrize("key", ["problem_text", "paired_directions", "solution_text", "gen_chain_problems", "question_union", "grade_linear_equations"])
+def test_texts_and_grades_of_a_small_file_use_every_core(spark, key):
+    assert registry.queries()[key](spark, SF_SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_residual_rows_are_not_filtered_below_the_cascade(spark):
+    plan = registry.queries()["symbolic_residual"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "Filter" not in plan
