@@ -172,18 +172,23 @@ def rule_set_key() -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.transform("rules", lambda r: r["expr"]))), "|")
 
 
-def unique_until(draw: Callable[[int], DataFrame], size: int, order: Sequence[str], most_rounds: int = 100) -> DataFrame:
+def unique_until(
+    draw: Callable[[int], DataFrame], size: int, order: Sequence[str], most_rounds: int = 100, draw_rounds: Callable[[int, int], DataFrame] | None = None,
+) -> DataFrame:
     """Exactly ``size`` rows with different ``key``: the first of each key in the order of drawing, cut after ``size``.
 
-    ``draw(r)`` gives round r's rows, of which ``order`` is a total order; rows of a
-    later round come after all rows of an earlier one.  Each round keeps one row of
-    each key (map-side first), drops the keys of earlier rounds by an anti-join and is
-    written to the shared folder, so the result depends neither on partitions nor
-    on how many rounds it took.
+    ``draw(r)`` gives round r's rows, of which ``order`` is a total order over all rounds;
+    rows of a later round come after all rows of an earlier one.  ``draw_rounds(a, b)``,
+    where given, draws the rounds from a up to b at once.  Rounds are drawn in steps: a step
+    takes as many as the rest needs at the last step's rate of new keys, which falls, so
+    the steps are few however many rounds it takes and none draws far beyond ``size``.
+    A step keeps one row of each key (map-side first), drops the keys of earlier steps by an
+    anti-join and is written to the shared folder, so the result depends neither on
+    partitions nor on the steps.  ``most_rounds`` in a row without a new key are an error.
     """
-    spark, path, have = None, None, 0
-    for r in range(most_rounds):
-        rows = draw(r)
+    spark, path, have, r, step, barren = None, None, 0, 0, 1, 0
+    while barren < most_rounds:
+        rows = draw(r) if step == 1 else draw_rounds(r, r + step) if draw_rounds else reduce(DataFrame.unionByName, map(draw, range(r, r + step)))
         names = rows.columns
         if path is None:
             spark = rows.sparkSession
@@ -199,10 +204,11 @@ def unique_until(draw: Callable[[int], DataFrame], size: int, order: Sequence[st
         if have + n > size:
             found = global_rank(found, list(order), "__rank").where(F.col("__rank") <= size - have).drop("__rank")
         found.write.parquet(f"{path}/round={r}")
-        have += min(n, size - have)
+        r, have, barren = r + step, have + min(n, size - have), 0 if n else barren + step
         if have == size:
             return spark.read.schema(schema).parquet(f"{path}/round=*")
-    raise RuntimeError(f"{have} of {size} different problems after {most_rounds} rounds")
+        step = max(1, -(-(size - have) * step // n)) if n else min(2 * step, most_rounds - barren)
+    raise RuntimeError(f"{have} of {size} different problems after {r} rounds")
 
 
 def split_all(ids: DataFrame, sizes: Sequence[tuple[str, int]], order: str = "id") -> DataFrame:

@@ -92,12 +92,17 @@ def q_dedup_problems(spark, sf):
     several parts share; rounds go on until the number is reached.
     """
     part = table(spark, sf, "part")
+    said = ["p_name", "p_brand", "p_type", "p_size"]
+    # parts of one description draw the same problem, of which the smallest id stays
+    seeds = part.groupBy(*said).agg(F.min("p_partkey").alias("id"))
 
-    def draw(r):
-        seed = F.concat_ws("|", "p_name", "p_brand", "p_type", F.col("p_size").cast("string"), F.lit(str(r)))
-        return CH.problems(part.select(F.lit(r).cast("bigint").alias("round"), F.col("p_partkey").alias("id"), seed.alias("seed")), WORLD).select("round", "id", CH.rule_set_key().alias("key"))
+    def rounds(first, end):
+        drawn = seeds.select("*", F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(end - 1).cast("bigint"))).alias("round"))
+        drawn = drawn.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id", "round")
+        seed = F.concat_ws("|", "p_name", "p_brand", "p_type", F.col("p_size").cast("string"), F.col("round").cast("string"))
+        return CH.problems(drawn.select("round", "id", seed.alias("seed")), WORLD).select("round", "id", CH.rule_set_key().alias("key"))
 
-    return CH.unique_until(draw, part.count(), ["round", "id"])
+    return CH.unique_until(lambda r: rounds(r, r + 1), part.count(), ["round", "id"], draw_rounds=rounds)
 
 
 def _sizes(ids):

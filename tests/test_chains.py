@@ -76,3 +76,14 @@ def test_fixed_splits_returns_every_part(spark):
 
     rows = registry.queries()["fixed_splits"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count() and "unused" in {r.split for r in rows}
+
+
+def test_more_rounds_than_most_rounds_when_each_brings_new_problems(spark):
+    drawn = []
+
+    def rounds(first, end):
+        drawn.append((first, end))
+        return spark.range(first, end).selectExpr("id AS round", "CAST(1 AS BIGINT) AS id", "concat('k', id) AS key")
+
+    got = CH.unique_until(lambda r: rounds(r, r + 1), 150, ["round", "id"], draw_rounds=rounds)
+    assert sorted(r.round for r in got.collect()) == list(range(150)) and drawn == [(0, 1), (1, 150)]
