@@ -12,17 +12,18 @@ and the ``DRAWN`` fixed keys of usual shapes, as findings alone would teach the
 patterns' own shape.  Candidates are unlabelled: among them are the very secrets
 that no pattern knows.  So a first network learns from the positives and the fixed
 clean windows, and only candidates that it takes for clean (probability below
-``RELIABLE``) are negatives of the second one, with the fixed ones.  From findings
-and from candidates' windows a bounded sample is taken (``SAMPLE`` of each, those
-with the smallest hash).  Half of the training rows come a second time without their
-surroundings, so that the shape of the key counts as well.  Scores are calibrated
-on rows held out from training (Platt scaling), and the threshold is the highest
-probability that still finds ``RECALL`` of the held-out positives; the precision
-there is logged.
+``RELIABLE``) are negatives of the second one, with the fixed ones.  Every distinct
+window of findings and candidates takes part: dealt by hash into shards of about
+``SHARD``, each of which trains on its rows and the fixed ones from the same network,
+whose results are averaged (as integers, so that the order of summing does not
+matter) before the next pass.  Half of the training rows come a second time without
+their surroundings, so that the shape of the key counts as well.  Scores are
+calibrated on all rows held out from training (Platt scaling), and the threshold is
+the highest probability that still finds ``RECALL`` of all held-out positives, both by
+counts of scores to 1/``STEPS``; the precision there is logged.
 
 One pass over the texts writes the findings and the candidates' windows, narrow
-rows without the texts; training reads the sample from that table and scoring
-reads it again.
+rows without the texts; training reads that table whole and scoring reads it again.
 
 Defined cases: a null text is empty and has no spans; equal rows are scanned
 each for itself; further columns are ignored (``redact`` keeps them); an empty
@@ -36,12 +37,12 @@ import logging
 import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverlens.llm.common import pick, written
@@ -57,7 +58,8 @@ _PART = re.compile(rb"[A-Za-z0-9+]{%d,}" % CANDIDATE_CHARS)
 #: Bytes of the candidate and of the text on either side that the network sees.
 INSIDE, AROUND = 48, 24
 WIDTH = INSIDE + 2 * AROUND
-SAMPLE = 2_000
+#: Distinct windows a shard, passes over all of them where there is one shard and at least, steps of a score.
+SHARD, PASSES, LEAST_PASSES, STEPS = 4_000, 12, 3, 256
 RECALL = 0.95
 #: Fixed windows of each class, at every size; below which probability a candidate counts as clean in training.
 DRAWN = 400
@@ -213,66 +215,113 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.a * scores + self.b, -30, 30)))
 
 
-def _platt(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit to held-out scores, by gradient steps."""
-    a, b = 1.0, 0.0
-    for _ in range(500):
-        p = 1 / (1 + np.exp(-np.clip(a * scores + b, -30, 30)))
-        a -= 0.1 * float(((p - labels) * scores).mean()) / (1 + float((scores**2).mean()))
-        b -= 0.5 * float((p - labels).mean())
-    return a, b
+def _split(rows: list[bytes], held: bool) -> list[bytes]:
+    """Every fourth row is held out from training."""
+    return [w for i, w in enumerate(rows) if (i % 4 == 3) == held]
+
+
+def _start(seed: int = 7) -> Network:
+    rng = np.random.default_rng(seed)
+    normal = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+    return Network(normal(_SPAN, _SYMBOLS, _FILTERS), normal(_SPAN, _FILTERS), np.zeros(_FILTERS, np.float32), normal(3 * _FILTERS), 0.0)
+
+
+_PARAMS = ("conv", "case", "bias", "out")
+_ONE = 2**32
 
 
-def train(positives: list[bytes], negatives: list[bytes], epochs: int = 12, seed: int = 7) -> Network:
-    """The network fitted to labelled windows, four of each class at least; every fourth row of a class is held out for calibration and the threshold."""
+def _packed(net: Network) -> np.ndarray:
+    """The parameters as integers of 1/_ONE, whose sums are exact."""
+    flat = np.concatenate([*(getattr(net, p).ravel().astype(np.float64) for p in _PARAMS), [net.out_bias]])
+    return np.round(flat * _ONE).astype(np.int64)
+
+
+def _unpacked(flat: np.ndarray) -> Network:
+    net, at = _start(), 0
+    for p in _PARAMS:
+        old = getattr(net, p)
+        setattr(net, p, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
+        at += old.size
+    net.out_bias = float(flat[at])
+    return net
+
+
+def _pass(net: Network, positives: list[bytes], negatives: list[bytes], seed: list[int]) -> Network:
+    """``net`` after one pass over the rows in steps of 64, classes balanced, moments from zero."""
     rng = np.random.default_rng(seed)
-    split = lambda rows, held: [w for i, w in enumerate(rows) if (i % 4 == 3) == held]
-    fit = [(w, 1.0) for w in split(positives, False)] + [(w, 0.0) for w in split(negatives, False)]
+    fit = [(w, 1.0) for w in positives] + [(w, 0.0) for w in negatives]
     fit += [(alone(w), y) for w, y in fit[::2]]
     symbols, case = _inputs([w for w, _ in fit])
     labels = np.array([y for _, y in fit], np.float32)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
-    normal = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    net = Network(normal(_SPAN, _SYMBOLS, _FILTERS), normal(_SPAN, _FILTERS), np.zeros(_FILTERS, np.float32), normal(3 * _FILTERS), 0.0)
-    params = ["conv", "case", "bias", "out"]
-    first, second = ({p: np.zeros_like(getattr(net, p)) for p in params} for _ in range(2))
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(labels))
-        for i in range(0, len(order), 64):
-            rows = order[i : i + 64]
-            s, c = symbols[rows], case[rows]
-            score, hidden, best = net.forward(s, c)
-            d = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[rows]) * weight[rows] / len(rows)
-            grad = {"out": hidden.T @ d, "conv": np.zeros_like(net.conv), "case": np.zeros_like(net.case)}
-            back = (d[:, None] * net.out) * (hidden > 0)
-            grad["bias"] = back.reshape(-1, 3, _FILTERS).sum((0, 1))
-            filters, each = np.arange(_FILTERS), np.arange(len(rows))[:, None]
-            for region, at in enumerate(best):
-                g = back[:, region * _FILTERS : (region + 1) * _FILTERS]
-                for t in range(_SPAN):
-                    np.add.at(grad["conv"][t], (s[each, at + t], filters), g)
-                    grad["case"][t] += (g * c[each, at + t]).sum(0)
-            step += 1
-            for p in params:
-                first[p] = 0.9 * first[p] + 0.1 * grad[p]
-                second[p] = 0.999 * second[p] + 0.001 * grad[p] ** 2
-                setattr(net, p, (getattr(net, p) - 0.01 * (first[p] / (1 - 0.9**step)) / (np.sqrt(second[p] / (1 - 0.999**step)) + 1e-8)).astype(np.float32))
-            net.out_bias -= 0.05 * float(d.sum())
-    held_pos, held_neg = split(positives, True), split(negatives, True)
-    scores = net.forward(*_inputs(held_pos + held_neg))[0]
-    net.a, net.b = _platt(scores, np.r_[np.ones(len(held_pos)), np.zeros(len(held_neg))])
-    net.threshold, net.precision = _threshold(net, held_pos, held_neg)
+    net = replace(net)
+    first, second = ({p: np.zeros_like(getattr(net, p)) for p in _PARAMS} for _ in range(2))
+    order = rng.permutation(len(labels))
+    for step, i in enumerate(range(0, len(order), 64), 1):
+        rows = order[i : i + 64]
+        s, c = symbols[rows], case[rows]
+        score, hidden, best = net.forward(s, c)
+        d = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[rows]) * weight[rows] / len(rows)
+        grad = {"out": hidden.T @ d, "conv": np.zeros_like(net.conv), "case": np.zeros_like(net.case)}
+        back = (d[:, None] * net.out) * (hidden > 0)
+        grad["bias"] = back.reshape(-1, 3, _FILTERS).sum((0, 1))
+        filters, each = np.arange(_FILTERS), np.arange(len(rows))[:, None]
+        for region, at in enumerate(best):
+            g = back[:, region * _FILTERS : (region + 1) * _FILTERS]
+            for t in range(_SPAN):
+                np.add.at(grad["conv"][t], (s[each, at + t], filters), g)
+                grad["case"][t] += (g * c[each, at + t]).sum(0)
+        for p in _PARAMS:
+            first[p] = 0.9 * first[p] + 0.1 * grad[p]
+            second[p] = 0.999 * second[p] + 0.001 * grad[p] ** 2
+            setattr(net, p, (getattr(net, p) - 0.01 * (first[p] / (1 - 0.9**step)) / (np.sqrt(second[p] / (1 - 0.999**step)) + 1e-8)).astype(np.float32))
+        net.out_bias -= 0.05 * float(d.sum())
+    return net
+
+
+def _counts(net: Network, rows: list[bytes]) -> dict[int, int]:
+    """How many windows score in each step of 1/STEPS."""
+    if not rows:
+        return {}
+    scores = np.concatenate([net.forward(*_inputs(rows[i : i + 1_024]))[0] for i in range(0, len(rows), 1_024)])
+    steps, n = np.unique(np.floor(np.clip(scores, -64, 64) * STEPS).astype(np.int64), return_counts=True)
+    return dict(zip(steps.tolist(), n.tolist()))
+
+
+def _platt(scores: np.ndarray, labels: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic fit to held-out scores that come ``n`` times, by gradient steps."""
+    a, b, share = 1.0, 0.0, n / n.sum()
+    for _ in range(500):
+        p = 1 / (1 + np.exp(-np.clip(a * scores + b, -30, 30)))
+        a -= 0.1 * float(((p - labels) * scores * share).sum()) / (1 + float((scores**2 * share).sum()))
+        b -= 0.5 * float(((p - labels) * share).sum())
+    return a, b
+
+
+def _calibrated(net: Network, positives: dict[int, int], negatives: dict[int, int]) -> Network:
+    """``net`` with Platt's a and b, the threshold that finds RECALL of the held-out positives, and the precision there."""
+    steps = np.array([*sorted(positives), *sorted(negatives)], np.float64)
+    n = np.array([*(positives[k] for k in sorted(positives)), *(negatives[k] for k in sorted(negatives))], np.float64)
+    labels = np.r_[np.ones(len(positives)), np.zeros(len(negatives))]
+    net = replace(net)
+    net.a, net.b = _platt((steps + 0.5) / STEPS, labels, n)
+    sure = lambda x: 1 / (1 + np.exp(-np.clip(net.a * x + net.b, -30, 30)))
+    least = np.minimum(sure(steps / STEPS), sure((steps + 1) / STEPS))  # of the scores of a step
+    order = np.argsort(-least[labels == 1], kind="stable")
+    found = np.cumsum(n[labels == 1][order])
+    net.threshold = float(least[labels == 1][order][np.searchsorted(found, np.ceil(RECALL * found[-1]))])
+    right, wrong = (float(n[(labels == y) & (least >= net.threshold)].sum()) for y in (1, 0))
+    net.precision = right / (right + wrong)
     _LOG.info("threshold %.4f, precision %.3f", net.threshold, net.precision)
     return net
 
 
-def _threshold(net: Network, positives: list[bytes], negatives: list[bytes]) -> tuple[float, float]:
-    """The highest probability that finds RECALL of the positives, and the precision there."""
-    found = np.sort(net.probability(positives))[::-1]
-    least = float(found[int(np.ceil(RECALL * len(found))) - 1])
-    right, wrong = int((found >= least).sum()), int((net.probability(negatives) >= least).sum())
-    return least, right / (right + wrong)
+def train(positives: list[bytes], negatives: list[bytes], epochs: int = PASSES, seed: int = 7) -> Network:
+    """The network fitted to one shard of labelled windows, four of each class at least."""
+    net = _start(seed)
+    for epoch in range(epochs):
+        net = _pass(net, _split(positives, False), _split(negatives, False), [seed, epoch])
+    return _calibrated(net, _counts(net, _split(positives, True)), _counts(net, _split(negatives, True)))
 
 
 def drawn(n: int = DRAWN) -> tuple[list[bytes], list[bytes]]:
@@ -297,30 +346,71 @@ def drawn(n: int = DRAWN) -> tuple[list[bytes], list[bytes]]:
     return [seen(r.choice(key)) for _ in range(n)], [seen(r.choice(name)) for _ in range(n)]
 
 
-def fit(found: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """Trains on at most ``sample`` windows of the findings and of the candidates, those with the smallest hash: bounded, and the same for the same table."""
+def _shards(found: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Every distinct window once, ``known`` from findings and ``others`` from candidates: a row for each shard of about ``size`` windows, and how many shards."""
+    distinct = lambda windows, known: found.select(F.explode(windows).alias("w")).select("w").distinct().withColumn("known", F.lit(known))
+    rows = written(distinct(F.col("positives"), True).unionByName(distinct(F.flatten("candidates.windows"), False)), "windows")
+    n = max(1, -(-rows.count() // size))
+    of = lambda known: F.sort_array(F.collect_list(F.when(known, F.col("w"))))
+    dealt = rows.groupBy(F.pmod(F.xxhash64("w"), F.lit(n)).alias("shard")).agg(of(F.col("known")).alias("known"), of(~F.col("known")).alias("others"))
+    return written(dealt.repartition(min(n, 10_000), "shard"), "shards"), n
 
-    def some(windows: Column) -> list[bytes]:
-        rows = found.select(F.explode(windows).alias("w")).select("w").distinct()
-        return [bytes(r.w) for r in rows.orderBy(F.xxhash64("w"), "w").limit(sample).collect()]
 
-    unlabelled = some(F.flatten("candidates.windows"))
-    if not unlabelled:
-        return None  # nothing to score
+def _fitted(shards: DataFrame, passes: int, before: Network | None, seed: int = 7) -> Network:
+    """A network trained on every shard; negatives are the fixed ones and, given the network ``before``, the candidates that it takes for clean."""
     keys, clean = drawn()
-    positives = some(F.col("positives")) + keys
-    likely = train(positives, clean).probability(unlabelled)
-    return train(positives, [w for w, p in zip(unlabelled, likely) if p < RELIABLE] + clean)
+
+    def labelled(f: pd.DataFrame, held: bool) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
+        for shard, known, others in zip(f["shard"], f["known"], f["others"]):
+            others = [bytes(w) for w in others] if before else []
+            others = [w for w, p in zip(others, before.probability(others) if before else ()) if p < RELIABLE]
+            yield int(shard), _split([bytes(w) for w in known], held), _split(others, held)
+
+    net = _start(seed)
+    for number in range(passes):
+
+        def run(frames: Iterator[pd.DataFrame], net=net, number=number) -> Iterator[pd.DataFrame]:
+            total, n = 0, 0
+            for f in frames:
+                for shard, positives, negatives in labelled(f, False):
+                    total = total + _packed(_pass(net, positives + _split(keys, False), negatives + _split(clean, False), [seed, number, shard]))
+                    n += 1
+            if n:
+                yield pd.DataFrame({"n": [n], "v": [total]})
+
+        sums = shards.mapInPandas(run, "n long, v array<long>").select("n", F.posexplode("v").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+        net = _unpacked(np.array([r.v / r.n / _ONE for r in sorted(sums.collect(), key=lambda r: r.pos)]))  # as many rows as the network has parameters
+
+    def held(frames: Iterator[pd.DataFrame], net=net) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for _, positives, negatives in labelled(f, True):
+                for known, rows in ((True, positives), (False, negatives)):
+                    counts = _counts(net, rows)
+                    yield pd.DataFrame({"known": [known] * len(counts), "step": list(counts), "n": list(counts.values())}).astype({"known": bool, "step": "int64", "n": "int64"})
+
+    counts = {True: _counts(net, _split(keys, True)), False: _counts(net, _split(clean, True))}
+    for r in shards.mapInPandas(held, "known boolean, step long, n long").groupBy("known", "step").agg(F.sum("n").alias("n")).collect():  # at most 128 * STEPS steps
+        counts[r.known][r.step] = counts[r.known].get(r.step, 0) + r.n
+    return _calibrated(net, counts[True], counts[False])
+
+
+def fit(found: DataFrame, shard: int = SHARD) -> Network | None:
+    """Trains on every distinct window of the findings and of the candidates: the same for the same table, however it is partitioned."""
+    if found.where(F.size("candidates") > 0).isEmpty():
+        return None  # nothing to score
+    shards, n = _shards(found, shard)
+    passes = max(LEAST_PASSES, -(-PASSES // n))
+    return _fitted(shards, passes, _fitted(shards, passes, None))
 
 
 def _text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def scan_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def scan_documents(docs: DataFrame) -> DataFrame:
     """RESULT for every text."""
     found = written(find(docs), "secrets")
-    net = fit(found, sample)
+    net = fit(found)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -336,12 +426,12 @@ def scan_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return found.drop("positives").mapInPandas(score, RESULT)
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", sample: int = SAMPLE) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark``; all columns stay, a null text stays null.
 
     ``n_chars``, where present, is the length of the new text.
     """
-    net = fit(written(find(docs), "secrets"), sample)
+    net = fit(written(find(docs), "secrets"))
     at = docs.columns.index("text") if "text" in docs.columns else [c.lower() for c in docs.columns].index("text")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     new = mark.encode()

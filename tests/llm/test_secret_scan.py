@@ -132,3 +132,19 @@ def test_recall_alone_sets_the_threshold():
     net = S.train(rows[:60], rows[60:])  # the classes do not differ
     held = net.probability([w for i, w in enumerate(rows[:60]) if i % 4 == 3])
     assert (held >= net.threshold).mean() >= S.RECALL and net.precision < 0.5
+
+
+def test_every_window_trains(spark):
+    known, paths, _ = _planted(60, 4)
+    found = S.find(spark.createDataFrame(list(enumerate(known + paths)), "doc_id long, text string").repartition(3))
+    rows = found.collect()
+    shards, n = S._shards(found, 50)
+    dealt = shards.collect()
+    assert n > 3 and len(dealt) <= n
+    assert sorted(bytes(w) for r in dealt for w in r.known) == sorted({bytes(w) for r in rows for w in r.positives})
+    assert sorted(bytes(w) for r in dealt for w in r.others) == sorted({bytes(w) for r in rows for c in r.candidates for w in c.windows})
+    a, b = S.fit(found, 50), S.fit(found.coalesce(1), 50)  # many shards, whatever the partitions
+    assert (S._packed(a) == S._packed(b)).all() and a.threshold == b.threshold
+    words = [w for r in rows for c in r.candidates for w in map(bytes, c.windows)]
+    keys = [bytes(w) for r in rows for w in r.positives]
+    assert (a.probability(words) >= a.threshold).mean() <= 0.05 and (a.probability(keys) >= a.threshold).mean() >= 0.9
