@@ -66,6 +66,8 @@ SKETCH_BITS, SKETCH_SLACK = 2_048, 4.5
 MOST_COMMON = 100_000
 #: Bytes of text hashed at a time, and darts thrown at a time.
 BYTES_AT_ONCE, DARTS_AT_ONCE = 2 << 20, 1_000_000
+#: Darts thrown in one step: so many strips, with about as many throws each as they need.
+THROWS_AT_ONCE = 1 << 16
 _U = np.uint64
 
 
@@ -100,12 +102,15 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 def dart_minhash(sets: np.ndarray, values: np.ndarray, weights: np.ndarray, n_sets: int, k: int) -> np.ndarray:
     """n_sets x k signature of weighted sets; rows of sets without elements are zero.
 
-    ``sets`` ascend.  Weights are positive.
+    ``sets`` ascend.  Weights are positive.  Strips are taken a few at a time, so
+    that their darts stay in the processor's cache; a coordinate keeps its earliest
+    dart so far, and needs no sort.
     """
-    out = np.zeros((n_sets, k), _U)
+    out, best = np.zeros(n_sets * k, _U), np.full(n_sets * k, np.inf)
     total = np.bincount(sets, weights=weights, minlength=n_sets)
     todo = total > 0
     limit = np.where(todo, (k * math.log(k) + 2 * k) / np.maximum(total, 1e-300), 0.0)
+    step = _U(0x9E3779B97F4A7C15)
     while todo.any():
         own = np.flatnonzero(todo[sets])
         s, w = sets[own], weights[own].astype(np.float64)
@@ -115,28 +120,30 @@ def dart_minhash(sets: np.ndarray, values: np.ndarray, weights: np.ndarray, n_se
         s, w, low = s[at], w[at], np.where(column > 0, 2.0 ** (column - 1), 0.0)
         width = np.where(column > 0, 2.0 ** (column - 1), 1.0)
         seed = mix(values[own][at] + mix(column.astype(_U) + _U(101)))
-        rank, found, j = np.zeros(len(at)), [], 0
-        live = np.arange(len(at))
-        while len(live):
-            j += 1
-            draw = mix(seed[live] + _U((j * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)))
-            rank[live] -= np.log(_uniform(draw)) / width[live]
-            live_now = rank[live] < limit[s[live]]
-            live, draw = live[live_now], draw[live_now]
-            dart = mix(draw ^ _U(0x6A09E667F3BCC909))
-            hit = low[live] + _uniform(dart) * width[live] <= w[live]
-            coordinate = (mix(dart + _U(3)) % _U(k)).astype(np.int64)
-            found.append((s[live][hit], coordinate[hit], rank[live][hit], mix(dart + _U(5))[hit]))
-        fs, fc, fr, fv = (np.concatenate(x) for x in zip(*found))
-        cell = fs * k + fc
-        order = np.lexsort((fr, cell))
-        cell = cell[order]
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        filled = np.bincount(fs[order][first], minlength=n_sets)
-        out.ravel()[cell[first]] = fv[order][first]
-        todo &= filled < k
-        limit *= 2
-    return out
+        throws = int(np.clip(np.ceil((limit[s] * width).mean()), 4, 64))
+        strips = THROWS_AT_ONCE // throws
+        for first in range(0, len(seed), strips):
+            live, j = np.arange(first, min(first + strips, len(seed))), 0
+            rank = np.zeros(len(live))
+            while len(live):
+                nth = np.arange(j + 1, j + 1 + throws).astype(_U) * step
+                draw = mix(seed[live] + nth[:, None])
+                ranks = -np.log(_uniform(draw)) / width[live]
+                ranks[0] += rank
+                ranks = np.cumsum(ranks, axis=0)
+                early = ranks < limit[s[live]]
+                of = live[np.nonzero(early)[1]]
+                dart, when = mix(draw[early] ^ _U(0x6A09E667F3BCC909)), ranks[early]
+                hit = low[of] + _uniform(dart) * width[of] <= w[of]
+                of, dart, when = of[hit], dart[hit], when[hit]
+                cell = s[of] * k + (mix(dart + _U(3)) % _U(k)).astype(np.int64)
+                np.minimum.at(best, cell, when)
+                won = np.flatnonzero(when == best[cell])
+                out[cell[won]] = mix(dart[won] + _U(5))
+                rank, live, j = ranks[-1][early[-1]], live[early[-1]], j + throws
+        todo &= np.isfinite(best.reshape(n_sets, k)).sum(axis=1) < k
+        limit *= 1.25  # the earliest darts stay what they are
+    return out.reshape(n_sets, k)
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, counted: bool = False) -> DataFrame:
