@@ -193,7 +193,7 @@ def grade_answers(df: DataFrame, pred: str = "pred_answer", gt: str = "gt_norm",
     df = df.withColumns({"__pv": F.expr(parse_digits_sql(p0)), "__rv": F.expr(parse_digits_sql(r0))})
     early = (
         f"CASE WHEN {p0} IS NULL OR {r0} IS NULL THEN 'null' "
-        f"WHEN lower({strip(p0)}) = lower({strip(r0)}) THEN 'exact' "
+        f"WHEN {p0} = {r0} OR lower({strip(p0)}) = lower({strip(r0)}) THEN 'exact' "
         f"WHEN {r0} IN {CHOICES} AND {choice_clean_sql(p0)} = {r0} THEN 'choice' "
         f"WHEN __pv IS NOT NULL AND __rv IS NOT NULL THEN {numeric_verdict_sql('__pv', '__rv', include_percentage, is_close)} "
         f"WHEN {p0} = '' THEN 'empty' END"

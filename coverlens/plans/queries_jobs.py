@@ -23,7 +23,9 @@ _JOB = "CASE WHEN run < 'm' THEN 'jobs/first' ELSE 'jobs/second set' END"
 def _staged(spark, sf):
     """Stand-in for what samplers leave behind: shards in run folders, two workers a run, and a job list.
 
-    The list leaves one run out and names one that has no shards.
+    The list leaves one run out and names one that has no shards.  A shard is a folder
+    of as many part files in order of samples as there are cores, for a multi-line file
+    is written and read by one task.
     """
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/io/jobs-{uuid.uuid4().hex}"
     g = fixtures.generations(spark, sf).select(
@@ -31,9 +33,10 @@ def _staged(spark, sf):
         F.lit('{"temperature": 0.6}').alias("sampler_config"), (F.col("question_id") % 5 + 20).cast("int").alias("prompt_tokens"),
         (F.col("sample_id") % 400).cast("int").alias("completion_tokens"))
     runs = [(r.run, r.job) for r in g.select("run", F.expr(_JOB).alias("job")).distinct().collect()]
+    parts = max(2, spark.sparkContext.defaultParallelism)
     for run, job in runs:
         for w in range(2):
-            rows = g.where((F.col("run") == run) & (F.col("sample_id") % 2 == w)).repartitionByRange(2, "sample_id").sortWithinPartitions("sample_id")
+            rows = g.where((F.col("run") == run) & (F.col("sample_id") % 2 == w)).repartitionByRange(parts, "sample_id").sortWithinPartitions("sample_id")
             S.write_generation_shard(rows.drop("run", "sample_id"), f"{base}/runs/{job}/{run}", "test", w, "20260101_000000", w)
     lines = [f"{job}|{run}|test|8" for run, job in sorted(runs)[1:]] + ["jobs/first|never sampled|test|8"]
     spark.createDataFrame([(x,) for x in lines], "line string").write.text(f"{base}/job_list")

@@ -54,11 +54,14 @@ def read_generation_shards(spark: SparkSession, sample_dir: str, split: str) ->
     )
 
 
+#: What stands before a path in a URI.
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def _below(root: str) -> Column:
     """The path of a row's file below ``root``."""
-    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-    base = re.sub(scheme, "", root).rstrip("/")
-    uri = F.regexp_replace(F.col("_metadata.file_path"), scheme, "")
+    base = re.sub(SCHEME, "", root).rstrip("/")
+    uri = F.regexp_replace(F.col("_metadata.file_path"), SCHEME, "")
     return F.substring(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), len(base) + 2, 1 << 20)
 
 
@@ -75,18 +78,28 @@ def read_run_shards(spark: SparkSession, root: str) -> DataFrame:
     seed, time and worker, and rows as they stand in a file.  A multi-line file is
     read by one task from its start, so the order of ``row`` inside a file is that
     of its lines, whatever else the task reads.
+
+    Paths are taken apart once a file, in the listing that a scan has anyway, and a
+    row finds its file's parts by the path.
     """
+    options = {"recursiveFileLookup": True, "pathGlobFilter": "{*.generations*.csv,part-*.csv}"}
     df = (
-        spark.read.schema(SHARD_SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", "{*.generations*.csv,part-*.csv}")
+        spark.read.schema(SHARD_SCHEMA).options(**options)
         .option("header", True).option("multiLine", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(root)
     )
-    df = df.select("*", _below(root).alias("__path"), F.monotonically_increasing_id().alias("__row"))
+    df = df.select("*", F.col("_metadata.file_path").alias("__uri"), F.monotonically_increasing_id().alias("__row"))
+    files = spark.read.format("binaryFile").options(**options).load(root)
+    # from the listing's own column: a condition on the join's key would be made one on every row
+    files = files.select(F.col("_metadata.file_path").alias("__uri"), F.substring(F.regexp_replace("path", SCHEME, ""), len(re.sub(SCHEME, "", root).rstrip("/")) + 2, 1 << 20).alias("__path"))
     part = lambda i: F.regexp_extract("__path", RUN_SHARD, i)
     shard = F.regexp_extract("__path", r"([^/]+\.csv)(?:/[^/]+)?$", 1)
-    return df.where(F.col("__path").rlike(RUN_SHARD)).select(
-        part(1).alias("job_dir"), part(2).alias("run"), part(3).alias("split"), part(4).cast("long").alias("seed"), part(5).alias("ts"), part(6).cast("int").alias("worker"),
-        F.struct(shard.alias("shard"), F.col("__path").alias("file"), F.col("__row").alias("row")).alias("place"),
+    files = files.where(F.col("__path").rlike(RUN_SHARD)).select(
+        "__uri", part(1).alias("job_dir"), part(2).alias("run"), part(3).alias("split"), part(4).cast("long").alias("seed"), part(5).alias("ts"), part(6).cast("int").alias("worker"),
+        shard.alias("__shard"), F.col("__path").alias("__file"),
+    )
+    return df.join(F.broadcast(files), "__uri").select(
+        "job_dir", "run", "split", "seed", "ts", "worker", F.struct(F.col("__shard").alias("shard"), F.col("__file").alias("file"), F.col("__row").alias("row")).alias("place"),
         *(c for c in df.columns if not c.startswith("__")),
     )
 

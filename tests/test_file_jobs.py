@@ -8,8 +8,10 @@ import pytest
 
 from coverlens.operators.coverage import run_summary
 from coverlens.plans import file_jobs as J
+from coverlens.plans import queries_jobs as Q
 from coverlens.sources.readers import read_run_shards
 
+SMOKE_DIR = "/root/testdata/sf0.001"
 COLUMNS = ["question_id", "prompt_id", "response", "pred_answer", "gt_answer", "sampler_config", "prompt_tokens", "completion_tokens"]
 
 
@@ -74,3 +76,25 @@ def test_job_list_to_metrics(spark, root, tmp_path, monkeypatch, cutoff, line):
     assert [r.pos for r in back] == [0, 1, 2]
     tokens = run_summary(processed, J.RUN).first()
     assert (tokens.prompt_tokens, tokens.completion_tokens) == (90, 198)
+
+
+def test_paths_are_taken_apart_once_a_file(spark, root):
+    """The rows of the scan meet their file's parts in a join; no pattern is matched with a row's path."""
+    shards = read_run_shards(spark, root[0])
+    plan = shards._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "regexp_extract" in plan
+    rows = plan[plan.index("Join Inner") : plan.index(" csv")]
+    assert not any(word in rows for word in ("regexp", "RLIKE", "url_decode", "UrlCodec"))
+
+
+def test_a_staged_shard_has_a_part_for_every_core(spark):
+    base = Q._staged(spark, SMOKE_DIR)
+    shards = [d for d, _, _ in os.walk(f"{base}/runs") if d.endswith(".csv")]
+    assert len(shards) == 10
+    for d in shards:
+        parts = [f for f in os.listdir(d) if f.startswith("part-")]
+        assert len(parts) >= spark.sparkContext.defaultParallelism > 2
+    places = read_run_shards(spark, f"{base}/runs").where("run = 'click'").select("place", "worker", "completion_tokens").collect()
+    for w in (0, 1):  # completion_tokens are sample_id % 400, samples ascend
+        tokens = [r.completion_tokens for r in sorted(places, key=lambda r: tuple(r.place)) if r.worker == w]
+        assert tokens == [i % 400 for i in sorted(r.event_id for r in spark.read.parquet(f"{SMOKE_DIR}/events.parquet").where(f"event_type = 'click' AND event_id % 2 = {w}").collect())]
