@@ -19,9 +19,9 @@ miss with probability of at most (1 - 0.8 ** 4) ** 24, about 3e-6.
 No bucket is expanded into all pairs.  Round one compares each member with the
 most central one of its bucket (the one whose buckets are largest in sum, as
 the text is from which the others were copied); linked texts unite, and a pair
-inside a component needs no look.  Rounds two and three do the same, where a
-bucket still spans several components, with the most central member outside the
-first one's component and with one that a hash chooses.  Among the texts that are
+inside a component needs no look.  Round two does the same, where a bucket still
+spans several components, with the most central member outside the first one's
+component and with one that a hash chooses.  Among the texts that are
 still in such buckets, few by now, pairs across components are found by an exact
 prefix filter: of the elements in order of frequency, a similar pair shares one of
 the first fifth of the larger set and the first ninth of the smaller.  So no pair
@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import bounded_semi_join, buffers, by_size, pick, written
+from coverlens.llm.common import MOST_BROADCAST, bounded_semi_join, buffers, by_size, pick, written
 from coverlens.llm.words import mix, window_hashes, word_hashes, words
 from coverlens.operators.ranking import global_rank
 
@@ -172,19 +172,19 @@ def components(links: DataFrame) -> DataFrame:
     """``id`` and ``c``, the smallest id that it is connected with, of undirected links (a, b).
 
     Every vertex takes the smallest label around it, and then its label's
-    label, until none changes; labels are written each round.
+    label, until no link has two labels; labels are written each round.  ``links``
+    is read each round, so it should be a written table; it may repeat a link.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.where("a <> b").distinct(), "links")
+    links = links.select("a", "b").where("a <> b")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "id"), "labels")
-    while True:
+    of = lambda x: label.select(F.col("id").alias(x), F.col("c").alias(f"c{x}"))
+    while links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").take(1):
         around = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("n"))
-        near = label.join(around, "id").select("id", F.col("c").alias("old"), F.least("c", "n").alias("c"))
+        near = label.join(around, "id").select("id", F.least("c", "n").alias("c"))
         up = label.select(F.col("id").alias("c"), F.col("c").alias("up"))
-        new = written(near.join(up, "c", "left").select("id", "old", F.least("c", F.coalesce("up", "c")).alias("c")), "labels")
-        label = new.select("id", "c")
-        if not new.where("c <> old").take(1):
-            return label
+        label = written(near.join(up, "c", "left").select("id", F.least("c", F.coalesce("up", "c")).alias("c")), "labels")
+    return label
 
 
 def _prefixes(n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +219,8 @@ def _prefix_pairs(docs: DataFrame, first: DataFrame, members: DataFrame, similar
     elements of its own that its shorter prefix holds nothing else.
     """
     members = written(members, "open-members")
-    some = bounded_semi_join(docs, members.select("doc_id"), "doc_id")
+    members = written(first.select("doc_id", "whole").join(_bounded(members), "doc_id"), "open-members")
+    some = docs.join(_bounded(members), "doc_id")
 
     def spread(sets, values, n, size):
         """Multiset elements as so many different ones."""
@@ -234,6 +235,7 @@ def _prefix_pairs(docs: DataFrame, first: DataFrame, members: DataFrame, similar
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_size(batches, "text", BYTES_AT_ONCE):
             sets, values, n, whole = elements(*buffers(part["text"]), shingle)
+            sets, values, n = _of_rows(_standing(part, whole), sets, values, n)
             _, values = spread(sets, values, n, len(whole))
             value, times = np.unique(values, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times, pa.int64())], names=["value", "n"])
@@ -246,12 +248,13 @@ def _prefix_pairs(docs: DataFrame, first: DataFrame, members: DataFrame, similar
     value, times = common["value"].to_numpy().view(_U), common["n"].to_numpy()
     order = np.argsort(value)
     held = docs.sparkSession.sparkContext.broadcast((value[order], times[order]))
-    types = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("size", pa.int64()), ("value", pa.int64()), ("short", pa.bool_()), ("sketch", pa.list_(pa.int64()))])
+    types = pa.schema([("doc_id", pa.int64()), ("c", pa.int64()), ("size", pa.int64()), ("value", pa.int64()), ("short", pa.bool_()), ("sketch", pa.list_(pa.int64()))])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = held.value
         for part in by_size(batches, "text", BYTES_AT_ONCE):
             sets, values, n, whole = elements(*buffers(part["text"]), shingle)
+            sets, values, n = _of_rows(_standing(part, whole), sets, values, n)
             sketch = _sketch(sets, values, n if counted else np.ones(len(n)), len(whole))
             sets, values = spread(sets, values, n, len(whole))
             often = np.zeros(len(values), np.int64)
@@ -266,12 +269,11 @@ def _prefix_pairs(docs: DataFrame, first: DataFrame, members: DataFrame, similar
             long, short = _prefixes(size, similarity)
             some = np.flatnonzero(place < long[sets])
             of = sets[some]
-            ids = part["doc_id"].combine_chunks().take(pa.array(of))
+            ids, c = (part[x].combine_chunks().take(pa.array(of)) for x in ("doc_id", "c"))
             bits = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1) * sketch.shape[1], pa.int32()), pa.array(sketch[of].ravel()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(whole[of].view(np.int64)), pa.array(size[of], pa.int64()), pa.array(values[some].view(np.int64)), pa.array(place[some] < short[of]), bits], schema=types)
+            yield pa.RecordBatch.from_arrays([ids, c, pa.array(size[of], pa.int64()), pa.array(values[some].view(np.int64)), pa.array(place[some] < short[of]), bits], schema=types)
 
-    rows = some.mapInArrow(prefixes, "doc_id long, whole long, size long, value long, short boolean, sketch array<long>").join(first.select("doc_id", "whole"), ["doc_id", "whole"], "left_semi")
-    rows = written(rows.join(members, "doc_id").select("doc_id", "c", "size", "value", "short", "sketch"), "prefixes")
+    rows = written(some.mapInArrow(prefixes, "doc_id long, c long, size long, value long, short boolean, sketch array<long>"), "prefixes")
     more = rows.select("value", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("size").alias("nx"), F.col("sketch").alias("sx"))
     less = rows.where("short").select("value", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("size").alias("ny"), F.col("sketch").alias("sy"))
     differ = " + ".join(f"bit_count(sx[{i}] ^ sy[{i}])" for i in range(SKETCH_BITS // 64))
@@ -279,11 +281,26 @@ def _prefix_pairs(docs: DataFrame, first: DataFrame, members: DataFrame, similar
     return _ordered(more.join(less, "value").where(fits), "x", "y").distinct()
 
 
+def _bounded(members: DataFrame) -> DataFrame:
+    """``members`` (an id and one or two longs), broadcast if they are at most MOST_BROADCAST."""
+    return F.broadcast(members) if members.count() <= MOST_BROADCAST else members
+
+
+def _standing(part: pa.Table, whole: np.ndarray) -> np.ndarray:
+    """Which rows hold the text that stands for their id."""
+    return whole.view(np.int64) == part["whole"].to_numpy()
+
+
+def _of_rows(rows: np.ndarray, sets: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Only the elements of the sets that ``rows`` marks."""
+    return tuple(x[rows[sets]] for x in (sets, *columns))
+
+
 def _united(label: DataFrame, links: DataFrame) -> DataFrame:
     """``label`` after further links: only the components that they join are connected anew."""
     of = lambda x: label.select(F.col("id").alias(x), F.col("c").alias(f"c{x}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    up = components(between)
+    up = components(written(between.where("a <> b"), "links"))
     known = label.join(up.select(F.col("id").alias("c"), F.col("c").alias("u")), "c", "left").select("id", F.coalesce("u", "c").alias("c"))
     return written(known.unionByName(up.join(label.select("id"), "id", "left_anti")), "labels")
 
@@ -297,18 +314,20 @@ def compare(pairs: DataFrame, docs: DataFrame, first: DataFrame, similarity: flo
     pairs = written(pairs.distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = written(first.select("doc_id", "whole").join(ids, "doc_id"), "pair-ids")
-    types = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("set", pa.binary())])
+    types = pa.schema([("doc_id", pa.int64()), ("set", pa.binary())])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_size(batches, "text", BYTES_AT_ONCE):
             sets, values, n, whole = elements(*buffers(part["text"]), shingle)
             cut = np.searchsorted(sets, np.arange(len(whole) + 1))
             data = np.stack([values, n.astype(_U)], axis=1) if counted else values
-            rows = pa.array([data[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), pa.array(whole.view(np.int64)), rows], schema=types)
+            stand = np.flatnonzero(_standing(part, whole))
+            rows = pa.array([data[cut[i] : cut[i + 1]].tobytes() for i in stand], pa.binary())
+            yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks().take(pa.array(stand)), rows], schema=types)
 
-    sets = bounded_semi_join(docs, ids.select("doc_id"), "doc_id").mapInArrow(sets_of, "doc_id long, whole long, set binary")
-    sets = written(sets.join(ids, ["doc_id", "whole"], "left_semi").dropDuplicates(["doc_id"]), "element-sets")
+    sets = written(docs.join(_bounded(ids), "doc_id").mapInArrow(sets_of, "doc_id long, set binary"), "element-sets")
+    if sets.count() > ids.count():  # rows that repeat an id and its text; else no set has to travel for that
+        sets = written(sets.dropDuplicates(["doc_id"]), "element-sets")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -339,8 +358,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     one = signatures(known, shingle=shingle, counted=counted).groupBy("doc_id").agg(F.min(F.struct("whole", "bands")).alias("s"))
     signed = written(one.select("doc_id", "s.whole", "s.bands"), "signatures").where("whole <> 0")
     # the smallest doc_id of each word sequence stands for its copies
-    heads = written(signed.groupBy("whole").agg(F.min("doc_id").alias("head")), "heads")
-    first = signed.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi")
+    heads = signed.groupBy("whole").agg(F.min(F.struct("doc_id", "bands")).alias("s"), F.count(F.lit(1)).alias("n"))
+    heads = written(heads.select("whole", "n", F.col("s.doc_id").alias("head"), "s.bands"), "heads")
+    first = heads.select(F.col("head").alias("doc_id"), "whole", "bands")
     banded = first.select("doc_id", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     banded = written(banded.join(sizes, "bucket"), "buckets")
@@ -351,7 +371,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     central = F.max_by("doc_id", F.struct("crowd", -F.col("doc_id")))
     hubs = banded.groupBy("bucket").agg(central.alias("hub"))
     label = components(written(check(_ordered(banded.join(hubs, "bucket"), "doc_id", "hub")), "links"))
-    for rule in ("central", "any", "rest"):
+    for rule in ("hubs", "rest"):
         now = banded.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
         open_ = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("c", F.struct("crowd", -F.col("doc_id"))).alias("top")).where("lo <> hi")
         open_ = written(now.join(open_.select("bucket", "top"), "bucket"), "open-buckets")
@@ -359,17 +379,20 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
             break
         if rule == "rest":
             pairs = _prefix_pairs(known, first, open_.select("doc_id", "c").distinct(), similarity, shingle, counted)
-        else:  # the most central member beyond the component of the first hub; then any member
-            order = F.struct((F.col("c") != F.col("top")).cast("int"), "crowd", -F.col("doc_id")) if rule == "central" else F.struct(F.xxhash64("doc_id", "bucket"))
-            hubs = open_.groupBy("bucket").agg(F.max_by("doc_id", order).alias("hub"), F.max_by("c", order).alias("hc"))
-            pairs = _ordered(open_.join(hubs, "bucket").where("c <> hc"), "doc_id", "hub")
+        else:  # the most central member beyond the component of the first hub, and any member
+            orders = (F.struct((F.col("c") != F.col("top")).cast("int"), "crowd", -F.col("doc_id")), F.struct(F.xxhash64("doc_id", "bucket")))
+            hubs = open_.groupBy("bucket").agg(F.array(*(F.max_by(F.struct(F.col("doc_id").alias("hub"), F.col("c").alias("hc")), o) for o in orders)).alias("hubs"))
+            pairs = open_.join(hubs, "bucket").select("doc_id", "c", F.inline("hubs")).where("c <> hc")
+            pairs = _ordered(pairs, "doc_id", "hub")
         links = written(check(pairs), "links")
         if links.take(1):
             label = _united(label, links)
-    own = signed.join(heads, "whole").join(label.withColumnRenamed("id", "head"), "head", "left").select("doc_id", F.coalesce("c", "head").alias("c"))
-    out = written(d.select("doc_id").join(own, "doc_id", "left").select("doc_id", F.coalesce("c", "doc_id").alias("class_id")), "classes")
-    sizes = out.where("class_id IS NOT NULL").distinct().groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
-    return out.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("n", F.lit(1)).cast("long").alias("class_size"))
+    # a class has as many ids as its heads have copies
+    sizes = label.join(heads.select(F.col("head").alias("id"), "n"), "id").groupBy("c").agg(F.sum("n").alias("size"))
+    label = written(label.join(sizes, "c").select(F.col("id").alias("head"), "c", "size"), "labels")
+    of = heads.select("whole", "head", "n").join(label, "head", "left").select("whole", F.coalesce("c", "head").alias("c"), F.coalesce("size", "n").alias("size"))
+    own = signed.select("doc_id", "whole").join(of, "whole").select("doc_id", "c", "size")
+    return d.select("doc_id").join(own, "doc_id", "left").select("doc_id", F.coalesce("c", "doc_id").alias("class_id"), F.coalesce("size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:

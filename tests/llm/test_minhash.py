@@ -150,6 +150,18 @@ def test_pairs_of_what_is_left(spark):
         assert similar and similar <= pairs
 
 
+def far_copies(n):
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for i in range(n):
+        own = list(base)
+        for j in r.sample(range(120), r.choice([1, 2, 4, 8])):
+            own[j] = f"x{i}-{j}"
+        texts.append(" ".join(own))
+    return texts
+
+
 def test_a_large_group_of_far_copies(spark):
     r = random.Random(2)
     base = [f"w{i}" for i in range(120)]
@@ -180,3 +192,36 @@ def test_repeated_rows_null_ids_and_an_empty_table(spark):
     assert sorted(((r.doc_id or 0), (r.class_id or 0), r.class_size) for r in M.classes(docs).collect()) == [(0, 0, 1), (0, 0, 1), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 3, 1)]
     assert sorted((r.doc_id or 0) for r in M.deduplicate(docs).collect()) == [0, 0, 1, 3]
     assert M.classes(docs.limit(0)).count() == 0
+
+
+def test_shuffles_are_few(spark):
+    """Stages with tasks: 113; they were 139.  Each has as many tasks as there are partitions."""
+    docs = spark.createDataFrame(list(enumerate(far_copies(100))), "doc_id long, text string").repartition(2)
+    context, group = spark.sparkContext, "shuffles-are-few"
+    context.setJobGroup(group, group)
+    try:
+        M.classes(docs).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < sum(s.numCompletedTasks > 0 for s in stages if s) < 125
+
+
+def test_components_of_repeated_links_and_a_long_chain(spark):
+    links = [(i, i + 1) for i in range(0, 40)] * 2 + [(100, 101), (101, 100), (103, 102)]
+    rows = spark.createDataFrame(links, "a long, b long").transform(lambda x: M.written(x, "test-links"))
+    label = {r.id: r.c for r in M.components(rows).collect()}
+    assert label == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 102, 103: 102}
+
+
+def test_rows_that_repeat_a_near_copy(spark):
+    texts = far_copies(12)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    other = "alpha beta gamma delta epsilon zeta"
+    docs = spark.createDataFrame(rows * 2 + [(50, other), (51, other), (51, other)], "doc_id long, text string").repartition(3)
+    expected = dict(enumerate(brute(texts))) | {50: 50, 51: 50}
+    found = M.classes(docs).collect()
+    assert len(found) == 2 * len(texts) + 3 and {r.doc_id: r.class_id for r in found} == expected
+    assert all(r.class_size == list(expected.values()).count(r.class_id) for r in found)
