@@ -56,6 +56,8 @@ LISTS, LEAST_LISTS, PRUNE = 48, 8, 1.35
 RECALL, SAMPLE_QUERIES = 0.98, 256
 BEAM, LINKS = 64, 16
 BLOCK = 512
+#: Vectors that are compared with all centroids at once, which bounds the memory of the driver and of a task.
+ROWS = 512
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -95,15 +97,18 @@ class Centroids:
         share = len(x) / len(points)
         size = np.full(len(points), share)
         for _ in range(rounds):
-            own = np.argmax(x @ points.T - 0.02 * (size / share - 1), axis=1)
+            penalty = 0.02 * (size / share - 1)
+            own = np.concatenate([np.argmax(x[i : i + ROWS] @ points.T - penalty, axis=1) for i in range(0, len(x), ROWS)])
             size = np.bincount(own, minlength=len(points)).astype(float)
             total = np.zeros_like(points)
             np.add.at(total, own, x)
             points = _unit(np.where(size[:, None] > 0, total, points) + 1e-12)
         links = min(LINKS, len(points) - 1)
-        near = points @ points.T
-        np.fill_diagonal(near, -np.inf)
-        graph = np.argsort(-near, axis=1, kind="stable")[:, :links]
+        graph = np.zeros((len(points), links), np.int64)
+        for i in range(0, len(points), ROWS):
+            near = points[i : i + ROWS] @ points.T
+            near[np.arange(len(near)), np.arange(i, i + len(near))] = -np.inf
+            graph[i : i + ROWS] = np.argsort(-near, axis=1, kind="stable")[:, :links]
         far = np.random.default_rng(1).integers(0, len(points), (len(points), 2))  # keeps the graph connected
         return Centroids(points, np.concatenate([graph, far], axis=1), np.unique(np.linspace(0, len(points) - 1, 24).astype(int)))
 
@@ -160,6 +165,24 @@ def probes(centroids: Centroids, x: np.ndarray, depth: int = 0) -> list[np.ndarr
     return out
 
 
+def least_hashed(rows: DataFrame, most: int, *seed: Column) -> DataFrame:
+    """id and v of the ``most`` rows (of distinct ids) with the smallest hash of their id, as a written table.
+
+    Each task of a plain top-k would send ``most`` rows to one place.  Hashes
+    are spread evenly, so about twice ``most`` rows lie below a bound that
+    follows from the number of rows; where they are fewer, the bound is raised.
+    """
+    hashed = F.xxhash64("id", *seed)
+    part = 2 * most / max(1, rows.count())
+    below = rows
+    while part < 1:
+        below = rows.where(hashed < F.lit(int(part * 2**64) - 2**63))
+        if below.count() >= most:
+            break
+        below, part = rows, 2 * part
+    return written(below.orderBy(hashed, "id").limit(most).select("id", "v"), "vector-sample")
+
+
 def nearest_of_all(classes: DataFrame, qids: np.ndarray, x: np.ndarray, k: int) -> DataFrame:
     """q, id, score: the ``k`` vectors nearest to each of a few unit queries, by comparison with every one."""
 
@@ -183,7 +206,7 @@ def nearest_of_all(classes: DataFrame, qids: np.ndarray, x: np.ndarray, k: int)
 
 def fit_depth(centroids: Centroids, classes: DataFrame, posted: DataFrame, asked: DataFrame, k: int, recall: float = RECALL) -> int:
     """The least number of nearest lists that hold ``recall`` of the true neighbours of a sample of queries."""
-    some = asked.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLE_QUERIES).select("id", "v").toPandas()
+    some = least_hashed(asked, SAMPLE_QUERIES, F.lit(1)).toPandas()
     if not len(some):
         return 0
     x = _unit(_vectors(some["v"]))
@@ -225,7 +248,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPL
     classes = members.groupBy("v").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     classes = written(classes, "vector-classes")
     n = classes.count()
-    chosen = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()
+    chosen = least_hashed(classes, sample).orderBy(F.xxhash64("id"), "id").select("v").toPandas()
     empty = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], empty)

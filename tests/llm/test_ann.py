@@ -1,5 +1,7 @@
 """Neighbours against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +73,33 @@ def test_recall_without_clusters_in_many_lists(spark, monkeypatch, n):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
     rows = ann.search(df, F.col("vec_id") % 100 == 0).collect()
     assert _recall(rows, brute(list(range(n)), x, range(0, n, 100))) >= 0.95
+
+
+def test_fit_needs_little_memory_beside_the_sample():
+    x = np.random.default_rng(5).normal(size=(20_000, 64))
+    tracemalloc.start()
+    try:
+        centroids = ann.Centroids.fit(x, 2_048, rounds=1)
+        assert tracemalloc.get_traced_memory()[1] < 120e6  # all scores at once: 20,000 x 2,048 doubles, twice
+    finally:
+        tracemalloc.stop()
+    assert len(centroids.points) >= 1_024 and (centroids.graph[:, : ann.LINKS] != np.arange(len(centroids.points))[:, None]).all()
+
+
+def test_driver_gets_written_samples_only(spark, monkeypatch):
+    plans = []
+    x = np.random.default_rng(6).normal(size=(2_000, 8))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(40)
+    plain = type(df).toPandas
+    monkeypatch.setattr(type(df), "toPandas", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or plain(self))
+    rows = ann.search(df, F.col("vec_id") % 50 == 0, sample=100).collect()
+    assert _recall(rows, brute(list(range(2_000)), x, range(0, 2_000, 50))) >= 0.95
+    assert len(plans) == 2 and not any("Limit" in p for p in plans)  # a limit sends that many rows of every task
+
+
+@pytest.mark.parametrize("most", [1, 30, 900, 5_000])
+def test_least_hashed_is_the_ordered_limit(spark, most):
+    df = spark.range(1_000).select("id", F.array(F.col("id").cast("double")).alias("v")).repartition(9)
+    for seed in ((), (F.lit(1),)):
+        expected = df.orderBy(F.xxhash64("id", *seed), "id").limit(most).collect()
+        assert sorted(ann.least_hashed(df, most, *seed).collect()) == sorted(expected)
