@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,33 @@ def test_least_hashed_is_the_ordered_limit(spark, most):
     for seed in ((), (F.lit(1),)):
         expected = df.orderBy(F.xxhash64("id", *seed), "id").limit(most).collect()
         assert sorted(ann.least_hashed(df, most, *seed).collect()) == sorted(expected)
+
+
+def test_groups_in_parts_give_the_same_rows(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(4_000, 16))
+    x[100:400] = x[7]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(5)
+    plain = ann.search(df, F.col("vec_id") % 20 == 0).collect()
+    monkeypatch.setattr(ann, "MOST_POSTED", 300)
+    monkeypatch.setattr(ann, "MOST_ASKED", 30)
+    assert sorted(ann.search(df, F.col("vec_id") % 20 == 0).collect()) == sorted(plain)
+    monkeypatch.setattr(ann, "TOGETHER", 1)
+    assert sorted(ann.search(df, F.col("vec_id") % 20 == 0).collect()) == sorted(plain)
+
+
+def test_nearest_within_a_key_with_ties():
+    r = np.random.default_rng(9)
+    q, v = (r.integers(-2, 3, (n, 3)).astype("<f4") for n in (700, 2_600))  # small whole numbers: many equal scores
+
+    def batches(*parts):
+        for key, posted, bits, ids, u in parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key)), pa.array(np.full(len(ids), posted)), pa.array(np.full(len(ids), bits)), pa.array(ids), ann._binary(u)], ["key", "posted", "bits", "id", "u"])
+
+    ids = np.arange(2_600)
+    got = ann.nearest(batches((3, False, 1, np.arange(700), q), (3, True, 1, ids[:1_500], v[:1_500]), (3, True, 2, ids, v), (3, True, 3, ids[1_500:], v[1_500:]), (4, True, 1, ids, v), (5, False, 1, ids[:2], q[:2])), 7)
+    near = {}
+    for b in got:
+        for i, j, s in zip(*(b.column(c).to_pylist() for c in range(3))):
+            near.setdefault(i, []).append((-s, j))
+    score = -(q @ v.T)
+    assert near == {i: sorted(zip(score[i].tolist(), ids.tolist()))[:7] for i in range(700)}
