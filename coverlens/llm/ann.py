@@ -67,6 +67,8 @@ BEAM, LINKS = 64, 16
 ROWS, BLOCK = 256, 512
 #: Neighbouring lists that one task reads together at most, the vectors and the queries that it should read, and how many more than k it keeps.
 TOGETHER, MOST_POSTED, MOST_ASKED, SPARE = 16, 500_000, 200_000, 4
+#: Bytes of vectors that a task sends at once.
+SENT = 8 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -464,7 +466,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPL
                     part = b.slice(start, 2_048)
                     own, x = part.column(0).to_numpy(), _unit(_vectors(part.column(1)))
                     key, bits, at = deal.rows(own, *which(x), query)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), not query)), pa.array(bits), pa.array(own[at]), _binary(x[at].astype("<f4"))], ["key", "posted", "bits", "id", "u"])
+                    step = max(1, SENT // (4 * x.shape[1]))
+                    for i in range(0, len(key), step):
+                        to, few = at[i : i + step], slice(i, i + step)
+                        yield pa.RecordBatch.from_arrays([pa.array(key[few]), pa.array(np.full(len(to), not query)), pa.array(bits[few]), pa.array(own[to]), _binary(x[to].astype("<f4"))], ["key", "posted", "bits", "id", "u"])
 
         return run
 
